@@ -25,7 +25,7 @@ def near_sql(source: str, percent: int) -> str:
     return f"""
 near_words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {_WORD}) AS ws FROM {source}),
 near_shingles AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) AS s FROM near_words)),
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM near_words)),
 near_sizes AS (SELECT doc_id, count(*) AS n FROM near_shingles GROUP BY doc_id),
 near_pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM near_shingles a JOIN near_shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 near_links AS (SELECT a, b FROM near_pairs JOIN near_sizes x ON x.doc_id = a JOIN near_sizes y ON y.doc_id = b WHERE 100 * i >= {percent} * (x.n + y.n - i)),
