@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
-MAX_CHUNK_BYTES = 3 << 20
+MAX_CHUNK_BYTES = 1 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -65,6 +65,7 @@ def chunks(batches: Iterator[pa.RecordBatch], col: str, most: int = MAX_CHUNK_BY
                 at, total = i, 0
             total += n
         yield b.slice(at)
+        pa.default_memory_pool().release_unused()
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,9 +107,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
     """64-bit hashes of data[start:end] for each span, by one prefix sum; fold takes A-Z as a-z."""
-    n = len(data)
+    return value_hashes((_FOLD if fold else _BYTE)[data], start, end)
+
+
+def value_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of a sequence of 64-bit values."""
+    n = len(values)
     prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((_FOLD if fold else _BYTE)[data] * powers(_BASE, n), out=prefix[1:])
+    np.cumsum(values * powers(_BASE, n), out=prefix[1:])
     back = powers(pow(_BASE, -1, 2**64), n + 1)
     return mix((prefix[end] - prefix[start]) * back[start] ^ (end - start).astype(np.uint64))
 

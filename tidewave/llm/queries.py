@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewave.llm import near_dedup
+import corpus_pipeline
+from tidewave.llm import bit_sliced, decontamination, language_id, near_dedup, quality, sentencepieces, substring_dedup, token_counts, url_filters, warc
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -16,10 +18,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"), 4, 2)).select("text", "lang"))
+    found = language_id.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", language_id.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op2_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = lambda c: language_id.held_out(F.col(c), 5, 0)
+    model = quality.train(docs.where(~out("doc_id")), labels.where(~out("doc_id")))
+    return quality.scored(docs.select("doc_id", "text"), model, keep=["doc_id"], cut=0.3).select("doc_id", out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.length_histogram(token_counts.token_lengths(_table(spark, sf_dir, "documents")))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(_table(spark, sf_dir, "pages"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("url")
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=80)
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encoded(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeat_digests(_table(spark, sf_dir, "documents"))
+
+
 def near_sql(source: str, percent: int) -> str:
     """CTEs that end in near_found(doc_id, n_shingles, component_id), over a relation of doc_id and text."""
     return f"""
@@ -34,10 +78,67 @@ near_reach(node, root) AS (SELECT doc_id, doc_id FROM {source} UNION SELECT b, r
 near_found AS (SELECT node AS doc_id, coalesce(max(n), 0) AS n_shingles, min(root) AS component_id FROM near_reach LEFT JOIN near_sizes s ON s.doc_id = node GROUP BY node)"""
 
 
+def contained_sql(source: str, items: str, percent: int) -> str:
+    """CTEs that end in leaks(doc_id, item_id, n_shared, n_item); items of fewer than 5 words are looked for as runs."""
+    grams = "list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))"
+    lower = f"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), {_WORD})"
+    return f"""
+leak_docs AS (SELECT doc_id, {lower} AS ws FROM {source} WHERE text IS NOT NULL),
+leak_items AS (SELECT item_id, {lower} AS ws FROM {items} WHERE text IS NOT NULL),
+leak_doc_grams AS (SELECT DISTINCT doc_id, unnest({grams}) AS s FROM leak_docs WHERE len(ws) >= 5),
+leak_item_grams AS (SELECT DISTINCT item_id, unnest({grams}) AS s FROM leak_items WHERE len(ws) >= 5),
+leak_sizes AS (SELECT item_id, count(*) AS n FROM leak_item_grams GROUP BY item_id),
+leak_shared AS (SELECT doc_id, item_id, count(*) AS k FROM leak_doc_grams JOIN leak_item_grams USING (s) GROUP BY 1, 2),
+leaks AS (SELECT doc_id, item_id, k AS n_shared, n AS n_item FROM leak_shared JOIN leak_sizes USING (item_id) WHERE 100 * k >= {percent} * n
+    UNION SELECT doc_id, item_id, 1, 1 FROM leak_docs d JOIN leak_items i ON len(i.ws) BETWEEN 1 AND 4 AND contains(' ' || array_to_string(d.ws, ' ') || ' ', ' ' || array_to_string(i.ws, ' ') || ' '))"""
+
+
+def repeats_sql(source: str) -> str:
+    """CTEs that end in rep_kept(doc_id, n_words, n_removed, kept, ws), over a relation of doc_id and text."""
+    return f"""
+rep_words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS ws FROM {source}),
+rep_windows AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS pos, ws FROM rep_words WHERE len(ws) >= 13),
+rep_hashed AS (SELECT doc_id, pos, array_to_string(ws[pos:pos + 12], ' ') AS w FROM rep_windows),
+rep_first AS (SELECT w, min(doc_id) AS low FROM rep_hashed GROUP BY w HAVING count(DISTINCT doc_id) > 1),
+rep_covered AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos FROM rep_hashed JOIN rep_first USING (w) WHERE doc_id > low),
+rep_each AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM rep_words),
+rep_some AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY pos) AS kept FROM rep_each ANTI JOIN rep_covered USING (doc_id, pos) GROUP BY doc_id),
+rep_kept AS (SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n_kept, 0) AS n_removed, coalesce(kept, '') AS kept FROM rep_words LEFT JOIN rep_some USING (doc_id))"""
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS sha FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY sha) AS last FROM d)
+SELECT page_id, n AS payload_bytes, sha AS payload_digest, CASE WHEN n >= 1000 AND last > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 1000 AND last > page_id THEN last END AS refers_to FROM m"""
+
+_TOP_SQL = """
+WITH fine AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i]))::BIGINT AS score
+    FROM fine q JOIN fine c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x))
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_bit_sliced_top_k": op2_bit_sliced_top_k,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_token_counts": op4_token_counts,
+    "op5_url_filters": op5_url_filters,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_warc": op7_warc,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_substring_dedup": op10_substring_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
+    "op2_bit_sliced_top_k": _TOP_SQL,
+    "op5_url_filters": url_filters.sql(),
     "op6_minhash_near_dedup": f"WITH RECURSIVE {near_sql('documents', 85)}\nSELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM near_found",
+    "op7_warc": _WARC_SQL,
+    "op8_benchmark_decontamination": f"WITH {contained_sql('documents', 'benchmark', 80)}\nSELECT doc_id, item_id, n_shared, n_item FROM leaks",
+    "op10_substring_dedup": f"WITH {repeats_sql('documents')}\nSELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM rep_kept",
 }
