@@ -1 +1 @@
-
+"""Join strategies that Spark has no operator for."""
