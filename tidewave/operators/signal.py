@@ -12,24 +12,26 @@ from pyspark.sql import functions as F
 from tidewave.functions.compat import NAN, ratio
 from tidewave.operators.series import AT, ID, X, over
 
-WHOLE = Window.partitionBy(ID)
+def whole():
+    return Window.partitionBy(ID)
+
 
 
 def normalize(df: DataFrame, name: str = "y") -> DataFrame:
     """(x - min) / (max - min) of the series, NaN for a constant."""
-    lo, hi = F.min(X).over(WHOLE), F.max(X).over(WHOLE)
+    lo, hi = F.min(X).over(whole()), F.max(X).over(whole())
     return df.withColumn(name, F.coalesce(F.try_divide(F.col(X) - lo, hi - lo), F.lit(NAN)))
 
 
 def scale_to_percent(df: DataFrame, name: str = "y") -> DataFrame:
     """100 (x - min) / (max - min), 0 for a constant."""
-    lo, hi = F.min(X).over(WHOLE), F.max(X).over(WHOLE)
+    lo, hi = F.min(X).over(whole()), F.max(X).over(whole())
     return df.withColumn(name, ratio(100 * (F.col(X) - lo), hi - lo, 0.0))
 
 
 def zscore(df: DataFrame, name: str = "y") -> DataFrame:
     """(x - mean) / population deviation; NaN for a constant."""
-    return df.withColumn(name, F.coalesce(F.try_divide(F.col(X) - F.avg(X).over(WHOLE), F.stddev_pop(X).over(WHOLE)), F.lit(NAN)))
+    return df.withColumn(name, F.coalesce(F.try_divide(F.col(X) - F.avg(X).over(whole()), F.stddev_pop(X).over(whole())), F.lit(NAN)))
 
 
 def percent_change_outliers(df: DataFrame, threshold: float, name: str = "outlier") -> DataFrame:
