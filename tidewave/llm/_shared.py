@@ -17,6 +17,17 @@ MAX_CHUNK_BYTES = 1 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, most: int = 1000) -> SparkSession:
+    """Send at most so many rows to Python at once, from now on in this session: texts are long, and both sides hold a batch."""
+    now = int(spark.conf.get(BATCH_ROWS))
+    if now <= 0 or now > most:
+        spark.conf.set(BATCH_ROWS, str(most))
+    return spark
+
+
 class Scratch:
     """Tables written for a query in the folder that spark.checkpoint.dir names; lineage is cut by reading them back.
 
@@ -26,24 +37,27 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewave-")
-        self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = small_batches(spark), f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._path(self.root)[0].deleteOnExit(self._path(self.root)[1])
 
     def _path(self, where: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and read it back. Shuffle files of the write go as soon as it is over."""
-        was = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+    def save(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """Write df as Parquet and read it back. Shuffle files of the write go as soon as it is over.
+
+        batch_rows: how many rows are sent to Python at once meanwhile.
+        """
+        mine = {CLEANUP: "true"} | ({BATCH_ROWS: str(batch_rows)} if batch_rows else {})
+        was = {k: self.spark.conf.get(k) for k in mine}
         try:
+            for k, v in mine.items():
+                self.spark.conf.set(k, v)
             df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         finally:
-            if was is None:
-                self.spark.conf.unset(CLEANUP)
-            else:
-                self.spark.conf.set(CLEANUP, was)
+            for k, v in was.items():
+                self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

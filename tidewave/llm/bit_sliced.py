@@ -171,6 +171,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec: str = "embedding
                 cols = zip(*found, strict=True) if found else [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=RESULT)
 
-    best = met.mapInArrow(run, "query_id long, vec_id long, score long")
+    # a row holds a whole index block
+    best = s.save(met.mapInArrow(run, "query_id long, vec_id long, score long"), "best", batch_rows=8)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

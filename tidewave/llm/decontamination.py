@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm._shared import chunks, mix, record, shingle_sets, windows, words
+from tidewave.llm._shared import chunks, mix, record, shingle_sets, small_batches, windows, words
 
 WORDS = 5
 #: Benchmark text that one pass over the documents looks for; more is looked for in more passes.
@@ -94,6 +94,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, text:
     ignored. The index goes to all tasks: it holds at most MAX_BLOCK_CHARS of benchmark text or so, and a larger
     benchmark is searched for block by block, with one pass over the documents for each.
     """
+    small_batches(docs.sparkSession)
     docs = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm._shared import chunks, value_hashes
+from tidewave.llm._shared import chunks, small_batches, value_hashes
 from tidewave.llm.vocabulary import MARK, PIECES, Trie, pieces
 
 #: About so many training documents of each language are drawn by a hash of their text; fewer: all.
@@ -180,6 +180,7 @@ class Model:
 
 def train(labelled: DataFrame, path: str = PIECES, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     """labelled (text, lang), nulls left out. The model holds one number for each piece and language."""
+    small_batches(labelled.sparkSession)
     labelled = labelled.where("text is not null and lang is not null")
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     vocabulary = letter_pieces(path)
@@ -234,6 +235,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     `und` and 0 if the text is null or has no letter, or if no language was learned; equal scores go to the first name.
     Only text is looked at. Every row comes back once, repeated rows as often as they are there.
     """
+    small_batches(docs.sparkSession)
     keep = keep or [c for c in docs.columns if c not in PREDICTED.names]
     m = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep, F.col(text).alias("lang_pred"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm._shared import Words, chunks, mix, words
+from tidewave.llm._shared import Words, chunks, mix, small_batches, words
 
 BITS = 18
 SIZE = 1 << BITS
@@ -141,6 +141,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", text:
 
     The draw of at most a few thousand ids is what is sent to all tasks; one task fits the model to their features.
     """
+    small_batches(documents.sparkSession)
     there = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
     n = there.count()
     drawn = there.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < min(1.0, most / max(n, 1)) * 1_000_003).dropDuplicates(["id"])
@@ -163,7 +164,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", text:
 
 def scored(docs: DataFrame, model, keep: list[str], text: str = "text", cut: float = 0.3) -> DataFrame:
     """The columns keep of docs, score (0 to 1) and predicted (score >= cut) of each whole text; null counts as empty."""
-    m = docs.sparkSession.sparkContext.broadcast(model)
+    m = small_batches(docs.sparkSession).sparkContext.broadcast(model)
     source = docs.select(*keep, F.col(text).alias("score"))
     schema = docs.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm._shared import chunks, mix, value_hashes
+from tidewave.llm._shared import chunks, mix, small_batches, value_hashes
 from tidewave.llm.vocabulary import MARK, PIECES, pieces
 
 #: The suffix array tells suffixes apart by so many characters; no piece may be longer.
@@ -327,7 +327,7 @@ def encoded(docs: DataFrame, keep: list[str], text: str = "text", path: str = PI
     holds the mark itself comes back with spaces. Null has null tokens and no round trip, an empty text has none of either
     kind but is decoded rightly. Only text is looked at.
     """
-    v = docs.sparkSession.sparkContext.broadcast(tuple(pieces(path)))
+    v = small_batches(docs.sparkSession).sparkContext.broadcast(tuple(pieces(path)))
     source = docs.select(*keep, F.col(text).alias("tokens"))
     schema = docs.select(*keep, F.lit(0).cast("long").alias("n_tokens"), F.array(F.lit(0)).alias("tokens"), F.lit(True).alias("round_trip")).schema
 

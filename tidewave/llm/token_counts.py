@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.llm._shared import chunks
+from tidewave.llm._shared import chunks, small_batches
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the public tokenizer cuts a text before it merges bytes (a fixed value of the vocabulary).
@@ -28,6 +28,7 @@ def _encoding(lines: bytes, pattern: str):
 
 def token_lengths(docs: DataFrame, text: str = "text", path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """(n_tokens, docs): how many rows of docs have how many tokens in each task's share. A null text has none."""
+    small_batches(docs.sparkSession)
     with open(path, "rb") as f:
         lines = docs.sparkSession.sparkContext.broadcast(f.read())
 
