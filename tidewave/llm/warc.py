@@ -14,17 +14,19 @@ import json
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewave.llm._shared import Scratch, chunks
+from tidewave.llm._shared import Scratch
 
 #: Payloads of so many bytes are written once; equal ones revisit that record.
 REVISIT_BYTES = 1000
 #: A file ends with the record that takes it to so many compressed bytes.
 ROLL_BYTES = 16 << 20
-#: Ids of a range that are summed up together.
+#: Ids of a range whose records are made together.
 SPAN = 1024
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 4
@@ -64,14 +66,19 @@ def member(record: bytes) -> bytes:
     return out
 
 
-def records(data: bytes):
+def records(data: bytes | memoryview, step: int = 1 << 16):
     """(headers, block) of each record of a file of gzip members; lengths, ends and block digests are checked."""
-    while data:
-        d = zlib.decompressobj(31)
-        raw = d.decompress(data) + d.flush()
-        if not d.eof:
-            raise ValueError("a WARC file ends within a record")
-        data = d.unused_data
+    data, at = memoryview(data), 0
+    while at < len(data):
+        d, raw = zlib.decompressobj(31), []
+        while not d.eof:
+            if at >= len(data):
+                raise ValueError("a WARC file ends within a record")
+            part = data[at : at + step]
+            raw.append(d.decompress(part))
+            at += len(part)
+        at -= len(d.unused_data)
+        raw = b"".join(raw)
         if not raw:
             continue
         head, _, rest = raw.partition(b"\r\n\r\n")
@@ -84,15 +91,15 @@ def records(data: bytes):
         yield fields, block
 
 
-def kinds(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, payload binary) with record_type and refers_to.
+def revisits(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, refers_to) of the records whose large payload a larger page_id has too.
 
-    The digests are grouped before they are joined; a payload of very many pages is a skewed join key.
+    Only ids and digests are moved. Digests are grouped before they are joined; a payload of very many pages is a skewed
+    join key.
     """
-    p = pages.withColumn("digest", F.sha1("payload"))
-    large = F.octet_length("payload") >= REVISIT_BYTES
-    last = p.where(large).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("same"), "last")
-    return p.join(last, large & (F.col("digest") == F.col("same")), "left").select("page_id", "url", "payload", F.when(F.col("last") > F.col("page_id"), F.col("last")).alias("refers_to"))
+    light = pages.where(F.octet_length("payload") >= REVISIT_BYTES).select("page_id", F.sha1("payload").alias("digest"))
+    last = light.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return light.join(last, "digest").where("page_id < refers_to").distinct()
 
 
 def write(pages: DataFrame, folder: str, scratch: Scratch, payload: str = "html", roll: int = ROLL_BYTES) -> DataFrame:
@@ -104,29 +111,31 @@ def write(pages: DataFrame, folder: str, scratch: Scratch, payload: str = "html"
     spark = pages.sparkSession
     p = pages.where(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b"")).alias("payload"))
 
-    def make(batches):
-        for b in chunks(batches, "payload"):
-            out = []
-            for row in b.to_pylist():
-                gz = member(record_bytes(row["page_id"], row["url"], row["payload"], "response" if row["refers_to"] is None else "revisit", row["refers_to"]))
-                out.append((row["page_id"], len(gz), gz))
-            ids, sizes, members = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(members, pa.binary())], names=["page_id", "size", "gz"])
-
-    made = scratch.save(kinds(p).mapInArrow(make, "page_id long, size long, gz binary"), "members")
-    # where each record would lie if all lay one after another; one row a span meets in one task
-    sizes = made.select("page_id", "size", F.xxhash64("gz").alias("tie"), F.expr(f"floor(page_id / {SPAN})").alias("span"))
-    spans = sizes.groupBy("span").agg(F.sum("size").alias("total"))
-    spans = spans.select("span", F.coalesce(F.sum("total").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    own = Window.partitionBy("span").orderBy("page_id").rangeBetween(Window.unboundedPreceding, -1)
-    placed = sizes.join(spans, "span").select("page_id", F.floor((F.col("base") + F.coalesce(F.sum("size").over(own), F.lit(0))) / roll).alias("file")).distinct()
-    placed = scratch.save(placed, "placed")
-    files = placed.agg(F.countDistinct("file")).first()[0]
-    sorted_ = made.join(placed, "page_id").repartitionByRange(max(1, files), "file").sortWithinPartitions("file", "page_id", F.xxhash64("gz"))
+    span = F.expr(f"floor(page_id / {SPAN})").alias("span")
+
+    def make(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Records of one range of ids, in order, with where each begins if they lie one after another."""
+        known = {(a, d): r for a, d, r in zip(right.r_page.tolist(), right.digest, right.refers_to.tolist(), strict=True)}
+        out = []
+        for page, url, html in zip(left.page_id.tolist(), left.url, left.payload, strict=True):
+            refers_to = known.get((page, hashlib.sha1(html).hexdigest())) if known else None
+            out.append((page, member(record_bytes(page, url, bytes(html), "response" if refers_to is None else "revisit", refers_to))))
+        out.sort()
+        sizes = [len(gz) for _, gz in out]
+        return pd.DataFrame({"span": left.span.iloc[0] if len(left) else [], "start": np.cumsum([0, *sizes])[:-1], "size": sizes, "gz": [gz for _, gz in out]})
+
+    spans_of = p.select(span, "*").groupBy("span").cogroup(revisits(p).select(F.expr(f"floor(page_id / {SPAN})").alias("r_span"), F.col("page_id").alias("r_page"), "digest", "refers_to").groupBy("r_span"))
+    made = scratch.save(spans_of.applyInPandas(make, "span long, start long, size long, gz binary"), "members")
+    # where each range of ids would begin if all records lay one after another; one row a range meets in one task
+    spans = made.groupBy("span").agg(F.sum("size").alias("total"))
+    spans = scratch.save(spans.select("span", "total", F.coalesce(F.sum("total").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")), "spans")
+    files = -(-(spans.agg(F.sum("total")).first()[0] or 0) // roll)
+    placed = made.join(spans.select("span", "base"), "span").select("span", "start", "gz", F.floor((F.col("base") + F.col("start")) / roll).alias("file"))
+    sorted_ = placed.repartitionByRange(max(1, files), "file").sortWithinPartitions("file", "span", "start")
     # the writer ends each value with the separator: a zero, which every member ends with
     lines = sorted_.select(F.expr("substring(gz, 1, length(gz) - 1)").cast("string").alias("value"), "file")
     lines.write.mode("overwrite").partitionBy("file").option("lineSep", "\x00").text(f"{folder}/_parts")
-    scratch.drop("members", "placed")
+    scratch.drop("members", "spans")
     return commit(spark, folder)
 
 
@@ -169,7 +178,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
         for b in batches:
             for content in b.column("content"):
                 out = []
-                for fields, block in records(content.as_buffer().to_pybytes()):
+                for fields, block in records(content.as_buffer()):
                     payload = block.partition(b"\r\n\r\n")[2]
                     digest = base64.b32decode(fields["WARC-Payload-Digest"].partition(":")[2])
                     revisit = fields["WARC-Type"] == "revisit"
@@ -196,7 +205,7 @@ def round_trip(pages: DataFrame, payload: str = "html") -> DataFrame:
     s = Scratch(pages.sparkSession, "warc")
     folder = f"{s.root}/archive"
     write(pages, folder, s, payload)
-    back = read(pages.sparkSession, folder, payloads=False).drop("payload")
+    back = s.save(read(pages.sparkSession, folder, payloads=False).drop("payload"), "back")
     # a revisit's payload is as long as that of the record it names
     named = back.where("record_type = 'response' and payload_bytes >= %d" % REVISIT_BYTES).groupBy(F.col("page_id").alias("named"), F.col("payload_digest").alias("named_digest")).agg(F.max("payload_bytes").alias("named_bytes"))
     out = back.join(named, (F.col("refers_to") == F.col("named")) & (F.col("payload_digest") == F.col("named_digest")), "left")
