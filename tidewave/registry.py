@@ -354,7 +354,7 @@ def cluster_phase(t):
     return tidy(dynamics.cluster_phase(wave(t).select("series_id", F.col("i").alias("t"), (F.col("x") / 20).alias("phi"))))
 
 
-@query(f"""{WAVE}, s AS (SELECT *, count(*) OVER w - 1 AS n, sum(x) OVER w - x AS s, sum(x * x) OVER w - x * x AS q FROM wave WINDOW w AS (PARTITION BY series_id)), d AS (SELECT *, sqrt(greatest((q - s * s / n) / (n - 1), 0)) AS sd FROM s WHERE n > 1) SELECT series_id, i, round(exp(-((x - s / n) / sd) ** 2 / 8), 5) AS fit FROM d WHERE sd > 1e-6""")
+@query(f"""{WAVE}, s AS (SELECT *, count(*) OVER w - 1 AS n, sum(x) OVER w - x AS s, sum(x * x) OVER w - x * x AS q FROM wave WINDOW w AS (PARTITION BY series_id)), d AS (SELECT *, sqrt(greatest((q - s * s / n) / (n - 1), 0)) AS sd FROM s WHERE n > 1) SELECT series_id, i, round(exp(-(pow((x - s / n) / sd, 2) / 8)), 5) AS fit FROM d WHERE sd > 1e-6""")
 def peer_fit(t):
     return biosignals.peer_fit(wave(t).withColumn("_c", F.count("*").over(signal.whole())).where("_c > 2").drop("_c"), "x").select("series_id", "i", F.round("fit", 5).alias("fit"))
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-IBI = struct.Struct("<IH")
+#: Fixed value: a time stamp of 4 bytes and an interval of 2, little-endian.
+IBI = "<IH"
 
 VITALS = T.StructType([T.StructField(n, t, True) for n, t in (("red", T.LongType()), ("ir", T.LongType()), ("bpm", T.DoubleType()), ("heart_rate", T.DoubleType()), ("bpm_avg", T.DoubleType()), ("spo2", T.DoubleType()), ("resp", T.DoubleType()), ("respiration", T.DoubleType()), ("ts", T.LongType()), ("sid", T.StringType()), ("patient_id", T.StringType()), ("source", T.StringType()), ("timestamp", T.StringType()))])
 
@@ -53,7 +54,7 @@ def ibi(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                rows = list(IBI.iter_unpack(content[: len(content) // IBI.size * IBI.size]))
+                rows = list(struct.iter_unpack(IBI, content[: len(content) // 6 * 6]))
                 yield pa.RecordBatch.from_pydict({"path": pa.array([name] * len(rows), pa.string()), "k": pa.array(range(len(rows)), pa.int64()), "timestamp": pa.array([r[0] for r in rows], pa.int64()), "rr_ms": pa.array([r[1] for r in rows], pa.int32())})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, k long, timestamp long, rr_ms int")
