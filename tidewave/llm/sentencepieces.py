@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewave.llm._shared import chunks, mix, small_batches, value_hashes
 from tidewave.llm.vocabulary import MARK, PIECES, pieces
@@ -329,7 +330,8 @@ def encoded(docs: DataFrame, keep: list[str], text: str = "text", path: str = PI
     """
     v = small_batches(docs.sparkSession).sparkContext.broadcast(tuple(pieces(path)))
     source = docs.select(*keep, F.col(text).alias("tokens"))
-    schema = docs.select(*keep, F.lit(0).cast("long").alias("n_tokens"), F.array(F.lit(0)).alias("tokens"), F.lit(True).alias("round_trip")).schema
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
+    schema = T.StructType([*docs.select(*keep).schema.fields, *added])
 
     def run(batches):
         vocabulary = _vocabulary(v.value)
