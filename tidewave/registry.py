@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewave.functions import special
-from tidewave.operators import biosignals, classification, dynamics, load, series, signal, spatial, statistics
+from tidewave.operators import biosignals, classification, dynamics, explore, load, models, series, signal, spatial, statistics
 from tidewave.plans import joins
 from tidewave.streaming import vitals
 
@@ -597,3 +597,70 @@ def space_actions(t):
     d = _tracks(t)
     agents = d.select("agent_id").distinct().select("agent_id", (F.col("agent_id") % 2).alias("grp"), F.lit(1.0).alias("att_x"), F.lit(0.0).alias("att_y"))
     return spatial.classify_actions(d, d.groupBy("series_id", "t").agg(F.avg("x").alias("fx"), F.avg("y").alias("fy")), agents)
+
+
+@query(f"""{WAVE} SELECT series_id, i, round(avg(x) OVER w, 6) AS average, round(quantile_cont(x, 0.5) OVER w, 6) AS median FROM wave WINDOW w AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
+def smoothing_filters(t):
+    return tidy(explore.median_filter(explore.moving_average(wave(t), 2, "average"), 2, "median").drop("x"))
+
+
+@query(f"""{WAVE}, a AS (SELECT *, coalesce(x - lag(x) OVER (PARTITION BY series_id ORDER BY i), 0) AS d1, x - avg(x) OVER (PARTITION BY series_id) AS y FROM wave) SELECT series_id, i, round(d1, 6) AS d1, round(coalesce(d1 - lag(d1) OVER (PARTITION BY series_id ORDER BY i), 0), 6) AS d2, round(y, 6) AS y FROM a""")
+def derivatives(t):
+    return tidy(explore.detrend_mean(explore.derivatives(wave(t))).drop("x"))
+
+
+@query(f"""{WAVE} SELECT series_id, count(*) AS n, round(avg(x), 6) AS mean, round(arg_max(x, i), 6) AS last FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY i DESC) AS k FROM wave) WHERE k <= 30 GROUP BY series_id""")
+def ring_statistics(t):
+    return tidy(explore.ring_statistics(wave(t), 30))
+
+
+@query("""SELECT * FROM (SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'orders', count(*) FROM orders)""")
+def catalog_counts(t):
+    return explore.counts({k: t(k) for k in ("orders", "customer", "events")})
+
+
+@query("""WITH k AS (SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) % 2 AS foot, epoch_us(ts) / 1e6 AS t, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER w AS step, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6, 2) OVER w AS stride FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT series_id, avg(stride) AS m, stddev_pop(stride) AS s, avg(step) FILTER (WHERE foot = 1) AS l, avg(step) FILTER (WHERE foot = 0) AS r FROM k GROUP BY series_id) SELECT series_id, round(m, 3) AS mean_stride, round(s / m, 5) AS cv_stride, round(120 / m, 6) AS cadence, round(2 * abs(l - r) / (l + r), 5) AS symmetry FROM g""")
+def gait_measures(t):
+    d = biosignals.gait_measures(beats(t))
+    return d.select("series_id", *[F.round(c, k).alias(c) for c, k in (("mean_stride", 3), ("cv_stride", 5), ("cadence", 6), ("symmetry", 5))])
+
+
+@query(f"""{TRACK}, v AS (SELECT *, x - lag(x) OVER w AS vx, y - lag(y) OVER w AS vy FROM tr WINDOW w AS (PARTITION BY series_id, agent_id ORDER BY t)), s AS (SELECT *, sqrt(vx * vx + vy * vy) AS s FROM v), p AS (SELECT *, lag(vx) OVER w AS lx, lag(vy) OVER w AS ly, lag(s) OVER w AS ls, max(s) OVER (PARTITION BY series_id, agent_id) AS top FROM s WINDOW w AS (PARTITION BY series_id, agent_id ORDER BY t)) SELECT series_id, agent_id, t, round(((vx - lx) * lx + (vy - ly) * ly) / nullif(ls, 0), 5) AS along_accel, round(coalesce(s / nullif(top, 0), 0), 6) AS relative FROM p""")
+def along_track_and_pace(t):
+    d = _tracks(t)
+    a = spatial.along_track(d).select("series_id", "agent_id", "t", F.round("along_accel", 5).alias("along_accel"))
+    p = spatial.peak_pace(d).select("series_id", "agent_id", "t", F.round("relative", 6).alias("relative"))
+    return a.join(p, ["series_id", "agent_id", "t"])
+
+
+@query(f"""{TRACK}, d AS (SELECT a.series_id, a.t, a.agent_id AS a, b.agent_id AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM tr a JOIN tr b ON a.series_id = b.series_id AND a.t = b.t AND a.agent_id < b.agent_id), c AS (SELECT *, (lag(d) OVER w - d) / (t - lag(t) OVER w) AS c FROM d WINDOW w AS (PARTITION BY series_id, a, b ORDER BY t)) SELECT series_id, a, b, round(avg(c), 6) AS closing FROM c GROUP BY 1, 2, 3""")
+def pairwise_closing(t):
+    return tidy(spatial.closing(_tracks(t)))
+
+
+@query(f"""{TRACK}, v AS (SELECT *, x - lag(x) OVER w AS vx, y - lag(y) OVER w AS vy FROM tr WINDOW w AS (PARTITION BY series_id, agent_id ORDER BY t)), h AS (SELECT series_id, t, agent_id, atan2(vy, vx) AS h FROM v WHERE vx * vx + vy * vy > 0), g AS (SELECT a.series_id, a.agent_id AS a, b.agent_id AS b, avg(cos(a.h - b.h)) AS c, avg(sin(a.h - b.h)) AS s FROM h a JOIN h b ON a.series_id = b.series_id AND a.t = b.t AND a.agent_id < b.agent_id GROUP BY 1, 2, 3) SELECT series_id, a, b, round(sqrt(c * c + s * s), 6) AS r, CASE WHEN sqrt(c * c + s * s) < 0.5 THEN 'mix' WHEN abs(atan2(s, c)) <= pi() / 4 THEN 'in' WHEN abs(atan2(s, c)) >= 3 * pi() / 4 THEN 'opp' ELSE 'out' END AS relation FROM g""")
+def directional_phase(t):
+    return tidy(spatial.directional_phase(_tracks(t)).drop("mean_angle"))
+
+
+@query(f"""{TRACK}, v AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS s FROM tr WINDOW w AS (PARTITION BY series_id, agent_id ORDER BY t)), a AS (SELECT series_id, t, agent_id, s - lag(s) OVER (PARTITION BY series_id, agent_id ORDER BY t) AS a FROM v), f AS (SELECT * FROM a WHERE a IS NOT NULL) SELECT u.series_id, u.agent_id AS a, v.agent_id AS b, round(avg((u.a * v.a > 0)::INT), 6) AS together, round(avg((u.a * v.a < 0)::INT), 6) AS against FROM f u JOIN f v ON u.series_id = v.series_id AND u.t = v.t AND u.agent_id < v.agent_id GROUP BY 1, 2, 3""")
+def effort_phase(t):
+    return tidy(spatial.effort_phase(_tracks(t)).drop("t"))
+
+
+@query()
+def mixed_model(t):
+    d = t("orders").select((F.col("o_custkey") % 50).alias("grp"), (F.dayofyear("o_orderdate") / 365.0).alias("t"), (F.col("o_totalprice") / 1e5).alias("y"))
+    fit = models.lmer(d, "grp", ["t"], [], "y")
+    return d.sparkSession.createDataFrame([(float(fit["beta"][0]), float(fit["beta"][1]), float(fit["sigma2"]), float(fit["covariance"][0, 0]))], "intercept double, slope double, sigma2 double, between double")
+
+
+@query()
+def polynomial_degrees(t):
+    fits = models.polynomial_search(t("part").withColumn("s", F.col("p_size").cast("double")), "s", "p_retailprice", 3)
+    return t("part").sparkSession.createDataFrame([(f["degree"], float(f["rss"]), float(f["aic"]), float(f["bic"])) for f in fits], "degree int, rss double, aic double, bic double")
+
+
+@query()
+def train_test_split(t):
+    return models.train_test_split(t("orders").select("o_orderkey"), ["o_orderkey"], 0.2, folds=5).groupBy("part", "fold").agg(F.count("*").alias("n"))
