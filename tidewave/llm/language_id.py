@@ -20,7 +20,7 @@ from tidewave.llm._shared import chunks, small_batches, value_hashes
 from tidewave.llm.vocabulary import MARK, PIECES, Trie, pieces
 
 #: About so many training documents of each language are drawn by a hash of their text; fewer: all.
-DOCS_PER_LANGUAGE = 1500
+DOCS_PER_LANGUAGE = 800
 ROUNDS = 4
 #: Each piece counts as if seen so often in all of a language, by its share over all languages.
 PRIOR = 50.0
@@ -29,16 +29,20 @@ UNKNOWN = 1e-7
 GROWTH = 12.0
 #: Runs of more letters are scored in parts of this length.
 MAX_LETTERS = 200
-CELLS = 6_000_000
+WORDS_AT_ONCE = 8_000
+CELLS = 300_000
 
 
 class Alphabet:
     """Codes of letters: 0 for what is no letter, 1 for a letter that no piece has, 2 for the start of a word."""
 
     def __init__(self, texts: list[str]):
-        letters = sorted({c for p in texts for c in p if c != MARK})
+        joined = {c for p in texts if len(p) > 1 for c in p}
+        letters = sorted({c for p in texts for c in p if c != MARK}, key=lambda c: (c not in joined, c))
         self.codes = {MARK: 2} | {c: i + 3 for i, c in enumerate(letters)}
         self.size = len(letters) + 3
+        #: Letters that occur in longer pieces have codes below this.
+        self.joined = 3 + len(joined - {MARK})
 
     @functools.cached_property
     def table(self) -> np.ndarray:
@@ -105,7 +109,7 @@ class Scorer:
 
     @functools.cached_property
     def trie(self) -> Trie:
-        return Trie.of([[self.alphabet.codes[c] for c in p] for p in self.vocabulary], self.alphabet.size)
+        return Trie.of([[self.alphabet.codes[c] for c in p] for p in self.vocabulary], self.alphabet.joined, self.alphabet.size)
 
     @functools.cached_property
     def _values(self) -> np.ndarray:
@@ -204,14 +208,17 @@ def train(labelled: DataFrame, path: str = PIECES, docs_per_language: int = DOCS
 
     def fit(key_, pdf: pd.DataFrame) -> pd.DataFrame:
         s = _scorer(key)
-        size = np.array([len(w) // 2 for w in pdf.word])
-        x = Lattice(s.trie, np.frombuffer(b"".join(pdf.word), np.uint16), size)
-        seen = pdf.n.to_numpy().astype(float)
-        p = np.full((len(key) + 1, 1), UNKNOWN)
-        uses = np.bincount(x.piece[x.piece >= 0], weights=seen[x.word][x.piece >= 0], minlength=len(key))
-        for _ in range(ROUNDS):
-            p[:-1, 0] = (uses + 1e-3) / (uses.sum() + 1e-3 * len(key))
-            uses = x.expected(p, seen)
+        seen, p, uses = pdf.n.to_numpy().astype(float), np.full((len(key) + 1, 1), UNKNOWN), None
+        for k in range(ROUNDS + 1):
+            if k:
+                p[:-1, 0] = (uses + 1e-3) / (uses.sum() + 1e-3 * len(key))
+            uses = np.zeros(len(key))
+            for at in range(0, len(pdf), WORDS_AT_ONCE):
+                part = pdf.word.iloc[at : at + WORDS_AT_ONCE]
+                x = Lattice(s.trie, np.frombuffer(b"".join(part), np.uint16), np.array([len(w) // 2 for w in part]))
+                n = seen[at : at + WORDS_AT_ONCE]
+                known = x.piece >= 0
+                uses += x.expected(p, n) if k else np.bincount(x.piece[known], weights=n[x.word][known], minlength=len(key))
         some = np.flatnonzero(uses > 1e-6)
         return pd.DataFrame({"lang": key_[0], "piece": some, "uses": uses[some]})
 

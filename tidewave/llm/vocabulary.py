@@ -20,18 +20,26 @@ def pieces(path: str = PIECES) -> list[tuple[str, float]]:
 
 @dataclass
 class Trie:
-    """next[node * alphabet + code] is the node after a code, 0 if there is none; ids[node] is the piece that ends there or -1."""
+    """next[node * alphabet + code] is the node after a code, 0 if there is none; ids[node] is the piece that ends there or -1.
+
+    Codes from alphabet on take no part but as pieces of their own: single[code] is the piece or -1.
+    """
 
     alphabet: int
     next: np.ndarray
     ids: np.ndarray
+    single: np.ndarray
 
     @classmethod
-    def of(cls, coded: list[list[int]], alphabet: int) -> Trie:
-        table, ids = [np.zeros(alphabet, np.int32)], [-1]
-        for i, codes in enumerate(coded):
+    def of(cls, coded: list[list[int]], alphabet: int, codes: int) -> Trie:
+        table, ids, single = [np.zeros(alphabet, np.int32)], [-1], np.full(codes, -1, np.int32)
+        for i, piece in enumerate(coded):
+            if len(piece) == 1:
+                single[piece[0]] = i
+                if piece[0] >= alphabet:
+                    continue
             node = 0
-            for c in codes:
+            for c in piece:
                 to = table[node][c]
                 if not to:
                     to = len(table)
@@ -40,12 +48,14 @@ class Trie:
                     ids.append(-1)
                 node = to
             ids[node] = i
-        return cls(alphabet, np.concatenate(table), np.array(ids, np.int32))
+        return cls(alphabet, np.concatenate(table), np.array(ids, np.int32), single)
 
     def edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, piece) of every occurrence of a piece; left is how many codes remain in the word at each place."""
-        at, node, out = np.arange(len(codes)), np.zeros(len(codes), np.int64), []
-        depth = 0
+        alone = np.flatnonzero((codes >= self.alphabet) & (self.single[codes] >= 0))
+        out = [(alone, np.ones(len(alone), np.int64), self.single[codes[alone]])]
+        at = np.flatnonzero(codes < self.alphabet)
+        node, depth = np.zeros(len(at), np.int64), 0
         while len(at):
             node = self.next[node * self.alphabet + codes[at + depth]].astype(np.int64)
             depth += 1
@@ -56,4 +66,6 @@ class Trie:
             out.append((at[hit], np.full(int(hit.sum()), depth), piece[hit]))
             ok = left[at] > depth
             at, node = at[ok], node[ok]
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+            ok = codes[at + depth] < self.alphabet
+            at, node = at[ok], node[ok]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
