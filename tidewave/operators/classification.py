@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewave.functions.compat import ratio
 from tidewave.operators.statistics import distances
+from tidewave.plans.prefix import running_sums
 
 
 def standard_scaler(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -63,20 +64,25 @@ def overall(df: DataFrame, y: str, p: str) -> DataFrame:
 def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     """(threshold, fpr, tpr), scores descending, equal ones as one point, from (infinity, 0, 0).
 
-    Scores are grouped first; the running sums go through as many rows as there are different scores.
+    Scores are grouped first; the running sums go through as many rows as there are different scores, range by range.
     """
-    g = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("n"))
-    w, all_ = Window.orderBy(F.desc("threshold")), Window.partitionBy()
-    c = g.select("threshold", ratio(F.sum("n").over(w), F.sum("n").over(all_), 0.0).alias("fpr"), ratio(F.sum("p").over(w), F.sum("p").over(all_), 0.0).alias("tpr"))
-    return c.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)], "threshold double, fpr double, tpr double").union(c.withColumn("threshold", F.col("threshold").cast("double")))
+    g = _by_score(df, y, score)
+    total = g.agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
+    c = running_sums(g.withColumn("low", -F.col("s")), "low", ["p", "n"]).join(F.broadcast(total))
+    c = c.select(F.col("s").alias("threshold"), ratio(F.col("run_n"), F.col("tn"), 0.0).alias("fpr"), ratio(F.col("run_p"), F.col("tp"), 0.0).alias("tpr"))
+    return c.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)], "threshold double, fpr double, tpr double").union(c)
+
+
+def _by_score(df: DataFrame, y: str, score: str) -> DataFrame:
+    """(s, p, n): how many rows of class 1 and of others have each score."""
+    d = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(score).cast("double").alias("s"))
+    return d.agg(F.sum(F.when(F.col(y) == 1, 1.0).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(y) == 1, 0.0).otherwise(1.0)).alias("n"))
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """One row, auc: the trapezoidal area under the curve, from running counts of grouped scores; null without both classes."""
-    g = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(y) == 1, 1.0).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(y) == 1, 0.0).otherwise(1.0)).alias("n"))
-    before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.select("p", "n", F.coalesce(F.sum("n").over(before), F.lit(0.0)).alias("below"))
-    return g.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
+    g = running_sums(_by_score(df, y, score), "s", ["n"], before=True)
+    return g.agg(F.try_divide(F.sum(F.col("p") * (F.col("run_n") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def gaussian_nb(df: DataFrame, columns: list[str], label: str, smoothing: float = 1e-9) -> DataFrame:
@@ -207,28 +213,31 @@ def logistic(df: DataFrame, columns: list[str], y: str, rate: float = 0.1, most:
 def decision_stump(df: DataFrame, columns: list[str], label: str) -> dict:
     """The split of one column at a midpoint between neighbouring values with the least weighted Gini impurity.
 
-    Values are grouped first; running class counts go through each column's different values. The first column and the
-    smallest threshold win ties.
+    Values are grouped first; running class counts go through each column's different values, range by range. The first
+    column and the smallest threshold win ties.
     """
     classes = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
-    rows = None
-    for k, c in enumerate(columns):
-        g = df.groupBy(F.col(c).cast("double").alias("v")).agg(*[F.sum(F.when(F.col(label) == y, 1.0).otherwise(0.0)).alias(f"c{i}") for i, y in enumerate(classes)])
-        g = g.where(F.col("v").isNotNull()).withColumn("k", F.lit(k))
-        rows = g if rows is None else rows.unionByName(g)
-    up, all_ = Window.partitionBy("k").orderBy("v"), Window.partitionBy("k")
-    left = [F.sum(f"c{i}").over(up) for i in range(len(classes))]
-    total = [F.sum(f"c{i}").over(all_) for i in range(len(classes))]
-    s = rows.select("k", "v", F.lead("v").over(up).alias("next"), *[x.alias(f"l{i}") for i, x in enumerate(left)], *[t.alias(f"t{i}") for i, t in enumerate(total)])
-    nl, n = sum((F.col(f"l{i}") for i in range(len(classes))), F.lit(0.0)), sum((F.col(f"t{i}") for i in range(len(classes))), F.lit(0.0))
+    names = [f"c{i}" for i in range(len(classes))]
     gini = lambda part, size: size - ratio(sum((p * p for p in part), F.lit(0.0)), size, 0.0)
-    cost = (gini([F.col(f"l{i}") for i in range(len(classes))], nl) + gini([F.col(f"t{i}") - F.col(f"l{i}") for i in range(len(classes))], n - nl)) / n
-    best = s.where("next is not null").withColumn("cost", F.round(cost, 15)).orderBy("cost", "k", "v").first()
+    best = None
+    for k, c in enumerate(columns):
+        g = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("v")).agg(*[F.sum(F.when(F.col(label) == y, 1.0).otherwise(0.0)).alias(n) for n, y in zip(names, classes, strict=True)]).persist()
+        total = g.agg(*[F.sum(n) for n in names]).first()
+        if total[0] is not None:
+            left = [F.col(f"run_{n}") for n in names]
+            right = [F.lit(t) - x for t, x in zip(total, left, strict=True)]
+            nl, nr = sum(left, F.lit(0.0)), sum(right, F.lit(0.0))
+            cost = F.round((gini(left, nl) + gini(right, nr)) / sum(total), 15)
+            r = running_sums(g, "v", names).where(nr > 0).select(cost.alias("cost"), "v", *left).orderBy("cost", "v").first()
+            if r is not None and (best is None or r.cost < best[0]):
+                after = g.where(F.col("v") > r.v).agg(F.min("v")).first()[0]
+                part = np.array([r[f"run_{n}"] for n in names])
+                best = (r.cost, c, (r.v + after) / 2, part, np.array(total, float) - part)
+        g.unpersist()
     if best is None:
         return {}
-    most = lambda part: classes[int(np.argmax(part))]
-    l, t = np.array([best[f"l{i}"] for i in range(len(classes))]), np.array([best[f"t{i}"] for i in range(len(classes))])
-    return {"column": columns[best.k], "threshold": (best.v + best.next) / 2, "left": most(l), "right": most(t - l), "impurity": best.cost}
+    cost, column, threshold, left, right = best
+    return {"column": column, "threshold": threshold, "left": classes[int(left.argmax())], "right": classes[int(right.argmax())], "impurity": cost}
 
 
 def rule_list(df: DataFrame, rules: list[tuple[list[tuple[str, str, float]], object]], default, name: str = "predicted") -> DataFrame:
