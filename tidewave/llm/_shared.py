@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import tempfile
 import uuid
@@ -66,6 +67,19 @@ class Scratch:
             fs.delete(p, True)
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):
+    _trim = None
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task, next to those of other tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], col: str, most: int = MAX_CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most so many bytes of text; a longer text stands alone. No row is left out."""
     for b in batches:
@@ -79,7 +93,7 @@ def chunks(batches: Iterator[pa.RecordBatch], col: str, most: int = MAX_CHUNK_BY
                 at, total = i, 0
             total += n
         yield b.slice(at)
-        pa.default_memory_pool().release_unused()
+        release()
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from tidewave.llm.vocabulary import MARK, PIECES, pieces
 LONGEST = 16
 CACHE = 1 << 21
 #: Bytes of text that are indexed at once; more of them hold fewer distinct stretches each.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 2 << 20
 
 
 @dataclass
