@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm._shared import chunks, small_batches, value_hashes
+from tidewave.llm._shared import chunks, release, small_batches, value_hashes
 from tidewave.llm.vocabulary import MARK, PIECES, Trie, pieces
 
 #: About so many training documents of each language are drawn by a hash of their text; fewer: all.
@@ -252,6 +252,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
         for b in chunks(batches, "lang_pred"):
             best, score = m.value.predict(b.column("lang_pred"))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*keep, *PREDICTED.names])
+        # the worker lives on; the tables are built anew by the next task
+        _scorer.cache_clear()
+        release()
 
     return source.mapInArrow(run, schema)
 

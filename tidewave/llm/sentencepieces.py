@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewave.llm._shared import chunks, mix, small_batches, value_hashes
+from tidewave.llm._shared import chunks, mix, release, small_batches, value_hashes
 from tidewave.llm.vocabulary import MARK, PIECES, pieces
 
 #: The suffix array tells suffixes apart by so many characters; no piece may be longer.
 LONGEST = 16
 CACHE = 1 << 21
 #: Bytes of text that are indexed at once; more of them hold fewer distinct stretches each.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 @dataclass
@@ -345,5 +345,9 @@ def encoded(docs: DataFrame, keep: list[str], text: str = "text", path: str = PI
             tokens = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()), mask=mask if not all(there) else None)
             counts = pa.array(np.diff(bounds), pa.int64(), mask=~np.array(there))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], counts, tokens, pa.array(same)], names=[*keep, *ENCODED.names])
+        # the worker lives on; the tables are built anew by the next task
+        _vocabulary.cache_clear()
+        del vocabulary
+        release()
 
     return source.mapInArrow(run, schema)
