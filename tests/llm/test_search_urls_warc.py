@@ -60,6 +60,21 @@ def test_templates_are_rejected_by_purity(spark):
     assert got[20] == ("block", "/shop/*") and got[30][0] == "allow" and got[31][0] == "allow"
 
 
+def test_branches_are_merged_up_to_the_host(spark):
+    rows = [f"http://bad.com/{a}/item{k}" for a in ("shop", "sale") for k in range(10)] + ["http://bad.com/news/a", "http://bad.com/", "http://bad.com/x/y/z/w", "http://good.com/shop/item1"]
+    rows += [f"http://mix.com/a/{b}/p{k}" for b in ("spam", "spam/r", "ham", "ham/r") for k in range(20)] + ["http://mix.com/a/spam/q/r", "http://mix.com/a/new", "http://mix.com/b"]
+    d = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    rules = [("block", "bad.com/shop/item"), ("block", "bad.com/sale/item"), ("block", "mix.com/a/spam/p"), ("block", "mix.com/a/spam/r/p"), ("allow", "mix.com/a/ham/")]
+    got = {rows[r.page_id]: r for r in url_filters.judge_tree(d, rules).collect()}
+    assert len(got) == len(rows)
+    for u in ("http://bad.com/news/a", "http://bad.com/", "http://bad.com/x/y/z/w"):
+        assert (got[u].rule, got[u].verdict, got[u].purity) == (None, "block", round(20.8 / 24, 9))
+    assert got["http://mix.com/a/spam/q/r"].verdict == "block" and got["http://mix.com/a/spam/q/r"].purity == round(40.8 / 44, 9)
+    assert got["http://mix.com/a/new"].purity == 0.2 == got["http://mix.com/b"].purity and got["http://good.com/shop/item1"].verdict == "allow"
+    only = {rows[r.page_id]: r for r in url_filters.judge_tree(d, rules[:1]).collect()}
+    assert only["http://bad.com/news/a"].verdict == "allow" and only["http://bad.com/shop/item3"].purity == round(10.8 / 14, 9)
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 

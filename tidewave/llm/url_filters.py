@@ -84,6 +84,68 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, url: str
     return out.select("page_id", "host", "path", F.col("j.rule").alias("rule"), verdict.alias("verdict"), "template", F.round("purity", 9).alias("purity"))
 
 
+def _prefixes(paths: DataFrame, segments: str, first: int) -> DataFrame:
+    """paths with one row for each prefix of the segments, of `first` or more: depth, node, parent (null for the host)."""
+    cut = lambda d: F.array_join(F.slice(segments, 1, d), "/")
+    depths = F.filter(F.sequence(F.lit(0), F.size(segments)), lambda d: d >= first)
+    x = paths.withColumn("at", F.explode(F.transform(depths, lambda d: F.struct(d.alias("depth"), cut(d).alias("node"), F.when(d > 0, cut(F.greatest(d - 1, F.lit(0)))).alias("parent")))))
+    return x.select(*paths.columns, "at.*")
+
+
+def _nodes(paths: DataFrame, segments: str) -> DataFrame:
+    """host, node, n, pn (pages of the node's subtree and of its parent's) and apart of all nodes below their host.
+
+    A node stands apart if its share of blocked differs from that of the rest of its parent's subtree, by a test of two
+    proportions, or from PRIOR where the rest has pages but none labelled: one labelled branch says nothing of the others,
+    several alike do.
+    """
+    x = _prefixes(paths, segments, 0).groupBy("host", "node", "parent").agg(F.sum("n").alias("n"), F.sum("labelled").alias("m"), F.sum("blocked").alias("k"))
+    above = x.select("host", F.col("node").alias("parent"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("k").alias("pk"))
+    x = x.join(above, ["host", "parent"])
+    m, rest = F.greatest("m", F.lit(1)), F.greatest(F.col("pm") - F.col("m"), F.lit(1))
+    p = F.col("pk") / F.greatest("pm", F.lit(1))
+    differs = F.abs(F.col("k") / m - (F.col("pk") - F.col("k")) / rest) > Z * F.sqrt(p * (1 - p) * (1 / m + 1 / rest))
+    unlike = F.abs(F.col("k") / m - PRIOR) > Z * F.sqrt(PRIOR * (1 - PRIOR) / m)
+    apart = (F.col("m") > 0) & F.when(F.col("pm") > F.col("m"), differs).otherwise(unlike & (F.col("pn") > F.col("n")))
+    return x.select("host", "node", "n", "pn", apart.alias("apart"))
+
+
+def pooled(paths: DataFrame) -> DataFrame:
+    """paths (host, key, template as segments, n, labelled, blocked) -> host, key, purity.
+
+    At every level up to the host, a branch that does not stand apart is merged into its parent's; a path's purity is the
+    smoothed share of blocked in all that was merged into the nearest branch above it that stands apart, or into the host.
+    """
+    apart = _nodes(paths, "template").where("apart").select("host", "node")
+    near = _prefixes(paths.select("host", "key", "template"), "template", 1).join(apart, ["host", "node"])
+    near = near.groupBy("host", "key").agg(F.max_by("node", "depth").alias("branch"))
+    t = paths.join(near, ["host", "key"], "left").withColumn("branch", F.coalesce("branch", F.lit("")))
+    merged = t.groupBy("host", "branch").agg(((F.sum("blocked") + WEIGHT * PRIOR) / (F.sum("labelled") + WEIGHT)).alias("purity"))
+    return t.join(merged, ["host", "branch"]).select("host", "key", "purity")
+
+
+def judge_tree(pages: DataFrame, rules: list[tuple[str, str]] | None = None, url: str = "url", page_id: str = "page_id") -> DataFrame:
+    """The columns of `judge`, by a tree that is merged at every level up to the host (`pooled`).
+
+    All segments of a path are walked (a path of d segments makes d rows, once for each different path of a host); empty
+    ones are left out.
+    """
+    rules = RULES if rules is None else rules
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    host, path = parts(F.col(url))
+    p = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
+    p = p.withColumn("j", _judged(F.col("host"), F.col("path"), rules))
+    segments = F.transform(F.filter(F.split("path", "/", -1), lambda s: s != ""), lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > LONG_SEGMENT), "*").otherwise(s))
+    p = p.withColumn("key", F.array_join(segments, "/"))
+    counts = p.groupBy("host", "key").agg(F.count("*").alias("n"), F.count("j.rule").alias("labelled"), F.count(F.when(F.col("j.verdict") == "block", 1)).alias("blocked"))
+    counts = counts.withColumn("template", F.when(F.col("key") == "", F.array().cast("array<string>")).otherwise(F.split("key", "/", -1)))
+    found = counts.select("host", "key", "template").join(pooled(counts), ["host", "key"])
+    out = p.join(found.withColumn("template", F.concat_ws("", F.transform("template", lambda s: F.concat(F.lit("/"), s)))), ["host", "key"])
+    verdict = F.coalesce(F.col("j.verdict"), F.when(F.col("purity") >= CUT, "block").otherwise("allow"))
+    return out.select("page_id", "host", "path", F.col("j.rule").alias("rule"), verdict.alias("verdict"), "template", F.round("purity", 9).alias("purity"))
+
+
 def sql(rules: list[tuple[str, str]] | None = None) -> str:
     """The same in SQL over pages(page_id, url)."""
     longest = sorted(rules or RULES, key=lambda r: (-len(r[1]), r[1]), reverse=False)
