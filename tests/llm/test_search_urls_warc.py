@@ -75,6 +75,21 @@ def test_branches_are_merged_up_to_the_host(spark):
     assert only["http://bad.com/news/a"].verdict == "allow" and only["http://bad.com/shop/item3"].purity == round(10.8 / 14, 9)
 
 
+def test_deep_and_wide_paths_keep_their_verdicts(spark):
+    names = [chr(97 + k // 26) + chr(97 + k % 26) for k in range(40)]
+    deep = [f"http://d.com/a/b/c/{x}/{y}/p{k}" for x in ("spam", "news") for y in ("u", "v") for k in range(10)] + [f"http://d.com/a/b/c/{x}/w" for x in ("spam", "news")]
+    wide = [f"http://w.com/{x}/{y}/p{k}" for x in names for y in ("u", "v") for k in range(5)] + ["http://w.com/ab/w", "http://w.com/ac/w"] + [f"http://w.com/{x}z" for x in names]
+    rows = deep + wide
+    d = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    rules = [(v, f"d.com/a/b/c/{x}/{y}/") for v, x in (("block", "spam"), ("allow", "news")) for y in ("u", "v")]
+    rules += [("block" if x == "ab" else "allow", f"w.com/{x}/{y}/") for x in names for y in ("u", "v")]
+    got = {rows[r.page_id]: r for r in url_filters.judge_tree(d, rules).collect()}
+    assert len(got) == len(rows)
+    assert got["http://d.com/a/b/c/spam/w"].verdict == "block" and got["http://d.com/a/b/c/news/w"].verdict == "allow"
+    assert got["http://w.com/ab/w"].verdict == "block" and got["http://w.com/ac/w"].verdict == "allow"
+    assert got["http://w.com/ab/u/p1"].template == "/ab/u/*" and got["http://w.com/abz"].template == "/*"
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 

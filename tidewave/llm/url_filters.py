@@ -124,8 +124,21 @@ def pooled(paths: DataFrame) -> DataFrame:
     return t.join(merged, ["host", "branch"]).select("host", "key", "purity")
 
 
+def generalised(paths: DataFrame) -> DataFrame:
+    """paths (host, key, segments, n, labelled, blocked) with template: segments of little support become wildcards.
+
+    A name stays if the square of its pages reaches the pages of the node it lies under, or if it stands apart by its
+    share of blocked; so many rows or many names don't turn a node's well-supported sections into one.
+    """
+    keep = _nodes(paths, "segments").select("host", "node", ((F.col("n") * F.col("n") >= F.col("pn")) | F.col("apart")).alias("keep"))
+    steps = _prefixes(paths.select("host", "key", "segments"), "segments", 1).join(keep, ["host", "node"])
+    step = F.struct("depth", F.when(F.col("keep"), F.get("segments", F.col("depth") - 1)).otherwise("*").alias("s"))
+    steps = steps.groupBy("host", "key").agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["s"]).alias("template"))
+    return paths.join(steps, ["host", "key"], "left").withColumn("template", F.coalesce("template", F.array().cast("array<string>")))
+
+
 def judge_tree(pages: DataFrame, rules: list[tuple[str, str]] | None = None, url: str = "url", page_id: str = "page_id") -> DataFrame:
-    """The columns of `judge`, by a tree that is merged at every level up to the host (`pooled`).
+    """The columns of `judge`, by a tree of `generalised` templates that is merged at every level up to the host (`pooled`).
 
     All segments of a path are walked (a path of d segments makes d rows, once for each different path of a host); empty
     ones are left out.
@@ -139,7 +152,7 @@ def judge_tree(pages: DataFrame, rules: list[tuple[str, str]] | None = None, url
     segments = F.transform(F.filter(F.split("path", "/", -1), lambda s: s != ""), lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > LONG_SEGMENT), "*").otherwise(s))
     p = p.withColumn("key", F.array_join(segments, "/"))
     counts = p.groupBy("host", "key").agg(F.count("*").alias("n"), F.count("j.rule").alias("labelled"), F.count(F.when(F.col("j.verdict") == "block", 1)).alias("blocked"))
-    counts = counts.withColumn("template", F.when(F.col("key") == "", F.array().cast("array<string>")).otherwise(F.split("key", "/", -1)))
+    counts = generalised(counts.withColumn("segments", F.when(F.col("key") == "", F.array().cast("array<string>")).otherwise(F.split("key", "/", -1))))
     found = counts.select("host", "key", "template").join(pooled(counts), ["host", "key"])
     out = p.join(found.withColumn("template", F.concat_ws("", F.transform("template", lambda s: F.concat(F.lit("/"), s)))), ["host", "key"])
     verdict = F.coalesce(F.col("j.verdict"), F.when(F.col("purity") >= CUT, "block").otherwise("allow"))
