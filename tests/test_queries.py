@@ -1,5 +1,7 @@
 """Every registered query of the library runs, and equals its SQL where it has one."""
 
+import datetime
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -45,3 +47,17 @@ def test_query(name, spark, data, duck):
         for c in got.columns:
             if got[c].dtype.kind == "f":
                 assert np.isfinite(got[c].dropna()).any() or got[c].isna().all()
+
+
+def test_space_actions_take_all_events(spark, data):
+    e = spark.read.parquet(f"{data}/events.parquet")
+    got = registry.QUERIES["space_actions"](spark, data)
+    assert got.count() == e.count() - e.select("user_id").distinct().count()
+    assert got.agg({"agent_id": "max"}).first() == e.agg({"user_id": "max"}).first()
+
+
+def test_space_actions_take_users_and_frames_without_bound(spark):
+    rows = [(100 * u + k, u, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=k), float((7 * u + 3 * k) % 11)) for u in (3, 59, 60, 61, 200) for k in range(60)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double")
+    got = registry.space_actions(lambda name: {"events": e}[name]).collect()
+    assert sorted((r.agent_id, r.t) for r in got) == [(u, float(k)) for u in (3, 59, 60, 61, 200) for k in range(59)]

@@ -499,6 +499,13 @@ def _tracks(t) -> DataFrame:
     return e.where("y is not null and t < 40")
 
 
+def _all_tracks(t) -> DataFrame:
+    """Tracks of all events: 15 users of neighbouring ids make a series, so that a frame's pairs don't grow with the table."""
+    w = series.over(id_="user_id", at=["ts", "event_id"])
+    e = t("events").select(F.floor(F.col("user_id") / 15).alias("series_id"), (F.row_number().over(w) - 1).cast("double").alias("t"), F.col("user_id").alias("agent_id"), F.col("value").alias("x"), F.lead("value").over(w).alias("y"))
+    return e.where("y is not null")
+
+
 @query(f"""{TRACK}, v AS (SELECT *, x - lag(x) OVER w AS vx, y - lag(y) OVER w AS vy FROM tr WINDOW w AS (PARTITION BY series_id, agent_id ORDER BY t)) SELECT series_id, agent_id, t, round(sqrt(vx * vx + vy * vy), 5) AS speed, round(atan2(vy, vx), 5) AS heading FROM v""")
 def derive_speeds(t):
     return tidy(spatial.velocities(_tracks(t)).select("series_id", "agent_id", "t", "speed", "heading"), 5)
@@ -594,7 +601,7 @@ def event_windows(t):
 
 @query()
 def space_actions(t):
-    d = _tracks(t)
+    d = _all_tracks(t)
     agents = d.select("agent_id").distinct().select("agent_id", (F.col("agent_id") % 2).alias("grp"), F.lit(1.0).alias("att_x"), F.lit(0.0).alias("att_y"))
     return spatial.classify_actions(d, d.groupBy("series_id", "t").agg(F.avg("x").alias("fx"), F.avg("y").alias("fy")), agents)
 
