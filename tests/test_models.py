@@ -20,6 +20,17 @@ def test_splits(spark):
     assert {r.n for r in g} == {1}
 
 
+def test_splits_of_many_rows_follow_the_generator(spark):
+    n = 1_000_010
+    d = models.train_test_split(spark.range(n).withColumn("same", F.lit(1)), ["id"], 0.2, folds=3)
+    sizes = {(r.part, r.fold): r["count"] for r in d.groupBy("part", "fold").count().collect()}
+    assert sizes == {("test", None): 200_002, ("train", 0): 266_670, ("train", 1): 266_669, ("train", 2): 266_669}
+    tested = d.where("part = 'test'").agg(F.sum("id")).first()[0]
+    assert tested == sum(models.shuffled(n, 42)[800_008:])
+    tied = models.train_test_split(spark.range(n).withColumn("same", F.lit(1)), ["same"], 0.2)
+    assert tied.where("part = 'test'").count() == 200_002
+
+
 def test_polynomials(spark):
     x = np.linspace(3, 9, 80)
     d = spark.createDataFrame(pd.DataFrame({"x": x, "y": 2 - x + 0.5 * x**2 + np.random.default_rng(0).normal(0, 0.1, 80)}))
