@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from tidewave import registry
+from tidewave.operators import classification
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -61,3 +62,28 @@ def test_space_actions_take_users_and_frames_without_bound(spark):
     e = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double")
     got = registry.space_actions(lambda name: {"events": e}[name]).collect()
     assert sorted((r.agent_id, r.t) for r in got) == [(u, float(k)) for u in (3, 59, 60, 61, 200) for k in range(59)]
+
+
+def test_logistic_regression_goes_on_to_the_tolerance(spark):
+    # x = 2 or -2 after scaling, so the optimum is known; at step 20 a fifth of the way is left
+    labels = spark.createDataFrame([(k, int(k % 10 < (6 if k < 10 else 4))) for k in range(20)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(k, 6000 if k < 10 else -2000) for k in range(20)], "doc_id long, n_chars int")
+    a, b = registry.logistic_regression(lambda name: {"labels": labels, "documents": docs}[name]).first()
+    assert abs(a) < 1e-9 and b == pytest.approx(np.log(1.5) / 2, abs=2e-5)
+
+
+def test_kmeans_clusters_go_on_to_the_tolerance(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (900, 4))
+    d = spark.createDataFrame([(v.tolist(),) for v in x], "embedding array<double>")
+    c, sizes = classification.kmeans(d, "embedding", 4, most=0), []
+    while len(sizes) < 100:
+        at = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        sizes.append(sorted(np.bincount(at, minlength=4).tolist()))
+        new = np.stack([x[at == k].mean(0) for k in range(4)])
+        if np.sqrt(((new - c) ** 2).sum(1)).max() < 1e-6:
+            break
+        c = new
+    assert 11 < len(sizes) < 100 and sizes[10] != sizes[-1]
+    got = registry.kmeans_clusters(lambda name: {"embeddings": d}[name]).collect()
+    assert sorted(r.n for r in got) == sizes[-1]

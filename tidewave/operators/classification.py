@@ -265,7 +265,7 @@ def hash_split(df: DataFrame, key: str, test_share: float, folds: int = 0, seed:
     return out.withColumn("fold", F.when(F.col("part") == "train", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(folds)).cast("int"))) if folds else out
 
 
-def kmeans(df: DataFrame, vec: str, k: int, most: int = 50, tol: float = 1e-6, seed: int = 0) -> np.ndarray:
+def kmeans(df: DataFrame, vec: str, k: int, most: int = 100, tol: float = 1e-6, seed: int = 0) -> np.ndarray:
     """Centroids by Lloyd steps from k hashed rows: each step sends k centroids out and takes k sums back."""
     rows = df.select(F.transform(vec, lambda v: v.cast("double")).alias("v"))
     c = np.array([r.v for r in rows.distinct().orderBy(F.xxhash64(F.lit(seed), "v")).limit(k).collect()])

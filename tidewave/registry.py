@@ -258,14 +258,14 @@ def decision_stump(t):
 @query()
 def logistic_regression(t):
     d = classification.standardize(t("labels").join(t("documents"), "doc_id").withColumn("n", F.col("n_chars").cast("double")), {"n": (2000.0, 2000.0)})
-    w = classification.logistic(d, ["n"], "toxic", most=20)
+    w = classification.logistic(d, ["n"], "toxic")
     return d.sparkSession.createDataFrame([tuple(float(v) for v in w)], "intercept double, slope double")
 
 
 @query()
 def kmeans_clusters(t):
     e = t("embeddings")
-    c = classification.kmeans(e, "embedding", 4, most=10)
+    c = classification.kmeans(e, "embedding", 4)
     return classification.kmeans_predict(e, c, "embedding").groupBy("cluster").agg(F.count("*").alias("n"))
 
 
