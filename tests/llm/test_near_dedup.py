@@ -1,5 +1,6 @@
 """SetSketch near-dedup against all pairs by brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -88,3 +89,17 @@ def test_components(spark, scratch):
             root[b] = a
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), scratch, "t").collect()}
     assert got == {i: find(i) for i in list(root)}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_estimating_loses_no_more_pairs_than_banding(percent):
+    n, p = near_dedup.REGISTERS, percent / 100
+    few = math.ceil(near_dedup._least(percent) * n)
+    lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(few))
+    assert lost <= (1 - p**near_dedup.ROWS) ** near_dedup.BANDS
+    a = np.full((1, n), 100, np.uint16)
+    b = a.copy()
+    b[0, : (n - few) // 2 - 1] += 1
+    b[0, -((n - few) // 2 - 1) :] -= 1
+    sizes = np.array([1000])
+    assert near_dedup._near(a, b, sizes, sizes, percent).all()
