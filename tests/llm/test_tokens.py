@@ -58,3 +58,29 @@ def test_histogram(documents):
         assert (r.docs_over, r.tokens_kept) == (sum(x > r.context for x in n), sum(min(x, r.context) for x in n))
     assert {r.share: r.n_tokens for r in token_counts.at_quantiles(h, [0.5, 1.0]).collect()} == {0.5: sorted(n)[(len(n) + 1) // 2 - 1], 1.0: max(n)}
     assert token_counts.length_histogram(token_counts.token_lengths(documents([]))).count() == 0
+
+
+def test_tables_are_made_once_a_worker(spark):
+    v = spark.sparkContext.broadcast(sentencepieces.vocabulary())
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+
+        for b in batches:
+            sentencepieces.encode(v.value, ["some words"] * b.num_rows)
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "made": [sentencepieces.made]})
+
+    def made():
+        got = spark.range(40).repartition(20).mapInArrow(run, "pid long, made long").groupBy("pid").agg({"made": "max"}).collect()
+        return {r[0]: r[1] for r in got}
+
+    first, then = made(), made()
+    assert all(then[pid] == n for pid, n in first.items() if pid in then)
+
+
+def test_clashing_names_and_repeats(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, "x"), (1, "a b", 7, "x")], "doc_id long, text string, n_tokens int, Tokens string")
+    got = sentencepieces.encoded(docs, docs.columns).collect()
+    assert [(r.doc_id, r.text, r.n_tokens, r.round_trip) for r in got] == [(1, "a b", 2, True)] * 2

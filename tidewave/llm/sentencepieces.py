@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import functools
 import sys
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,74 +18,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewave.llm._shared import chunks, mix, release, small_batches, value_hashes
+from tidewave.llm._shared import chunks, mix, small_batches, value_hashes
 from tidewave.llm.vocabulary import MARK, PIECES, pieces
 
 #: The suffix array tells suffixes apart by so many characters; no piece may be longer.
 LONGEST = 16
-CACHE = 1 << 21
+#: Pairs of pieces that a worker remembers.
+CACHE = 1 << 20
 #: Bytes of text that are indexed at once; more of them hold fewer distinct stretches each.
 BATCH_BYTES = 1 << 20
 
 
-@dataclass
+#: How often the tables of a vocabulary were made in this process.
+made = 0
+
+
 class Vocabulary:
-    """pieces: (text, score) by id. bytes_: the ids of the 256 byte pieces."""
+    """Tables of a vocabulary's pieces (text, score), made once on the driver and sent to all tasks.
 
-    pieces: list[tuple[str, float]]
+    What is small or slow to make is kept as arrays and pickled; the tables that follow from them at once are made on first
+    use and stay with the object, which a Python worker keeps from task to task as long as its broadcast is in use.
+    """
 
-    def __post_init__(self):
-        self.byte_ids = np.array([i for i, (p, _) in enumerate(self.pieces) if len(p) == 6 and p.startswith("<0x")], np.int64)
-        special = {i for i, (p, _) in enumerate(self.pieces) if p in ("<unk>", "<s>", "</s>")} | set(self.byte_ids.tolist())
-        self.plain = [i for i in range(len(self.pieces)) if i not in special]
-        text = [self.pieces[i][0] for i in self.plain]
+    def __init__(self, pieces: list[tuple[str, float]]):
+        self.byte_ids = np.array([i for i, (p, _) in enumerate(pieces) if len(p) == 6 and p.startswith("<0x")], np.int64)
+        special = {i for i, (p, _) in enumerate(pieces) if p in ("<unk>", "<s>", "</s>")} | set(self.byte_ids.tolist())
+        self.ids = np.array([i for i in range(len(pieces)) if i not in special], np.int32)
+        text = [pieces[i][0] for i in self.ids.tolist()]
         if max(map(len, text)) > LONGEST or len(self.byte_ids) != 256:
             raise ValueError(f"a vocabulary with byte pieces and no piece of over {LONGEST} characters is needed")
-        chars = sorted({c for p in text for c in p})
-        self.code = {c: i + 2 for i, c in enumerate(chars)}
-        self.n_codes = len(chars) + 2
-        self.coded = [np.array([self.code[c] for c in p], np.int64) for p in text]
+        #: Code k + 2 stands for the k-th of these; 0 for none, 1 for a character that is no piece.
+        self.chars = np.array(sorted({ord(c) for p in text for c in p}), np.int64)
         self.length = np.array([len(p) for p in text])
-        self.of_text = {p: k for k, p in enumerate(text)}
-        self.order = np.argsort(np.argsort([-self.pieces[i][1] for i in self.plain], kind="stable"))
-        self.single = np.full(self.n_codes, -1)
-        for k, p in enumerate(text):
-            if len(p) == 1:
-                self.single[self.code[p]] = k
+        points = np.frombuffer("".join(p.ljust(LONGEST, "\0") for p in text).encode("utf-32-le"), np.uint32).reshape(-1, LONGEST)
+        self.key = np.where(np.arange(LONGEST) < self.length[:, None], np.searchsorted(self.chars, points) + 2, 0).astype(np.uint16)
+        self.order = np.argsort(np.argsort([-pieces[i][1] for i in self.ids.tolist()], kind="stable"))
+        self.single = np.full(len(self.chars) + 2, -1)
+        one = np.flatnonzero(self.length == 1)
+        self.single[self.key[one, 0]] = one
         if (self.single[2:] < 0).any():
             raise ValueError("each character of a piece must be a piece itself")
-        joins = [(self.of_text[p[:j]], self.of_text[p[j:]], k) for k, p in enumerate(text) for j in range(1, len(p)) if p[:j] in self.of_text and p[j:] in self.of_text]
+        of_text = {p: k for k, p in enumerate(text)}
+        joins = [(of_text[p[:j]], of_text[p[j:]], k) for k, p in enumerate(text) for j in range(1, len(p)) if p[:j] in of_text and p[j:] in of_text]
         left, right, whole = (np.array(x) for x in zip(*joins, strict=True))
         key = left * len(text) + right
         at = np.argsort(key)
         self.join_key, self.join_to = key[at], whole[at]
-        self.key = np.zeros((len(text), LONGEST), np.uint16)
-        for k, c in enumerate(self.coded):
-            self.key[k, : len(c)] = c
-        self.ids = np.array(self.plain)
-        spelled = [p.replace(MARK, " ").encode() for p, _ in self.pieces]
+        spelled = [p.replace(MARK, " ").encode() for p, _ in pieces]
         for b, i in enumerate(self.byte_ids.tolist()):
             spelled[i] = bytes([b])
-        for i, (p, _) in enumerate(self.pieces):
+        for i, (p, _) in enumerate(pieces):
             if p in ("<s>", "</s>"):
                 spelled[i] = b""
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         self.spelled_at = np.r_[0, np.cumsum([len(s) for s in spelled])]
+        #: Whether merging a piece's own text gives the piece; one that can't come about is no edge.
+        self.alone = np.concatenate([self._whole(np.arange(a, min(a + 4000, len(text)))) for a in range(0, len(text), 4000)])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "touching", "known", "bounds")}
 
     @functools.cached_property
     def table(self) -> np.ndarray:
         """The code of each code point; 1 for a character that is no piece."""
+        global made
+        made += 1
         out = np.ones(sys.maxunicode + 1, np.uint16)
-        for c, k in self.code.items():
-            out[ord(c)] = k
+        out[self.chars] = np.arange(len(self.chars)) + 2
         return out
 
     @functools.cached_property
     def touching(self) -> np.ndarray:
         """Whether a code may be followed by another within a piece."""
-        out = np.zeros((self.n_codes, self.n_codes), bool)
-        for c in self.coded:
-            out[c[:-1], c[1:]] = True
+        out = np.zeros((len(self.chars) + 2,) * 2, bool)
+        inner = self.key[:, 1:] > 0
+        out[self.key[:, :-1][inner], self.key[:, 1:][inner]] = True
         return out
 
     @functools.cached_property
@@ -98,17 +104,9 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.join_key, key), len(self.join_key) - 1)
         return np.where(self.join_key[at] == key, self.join_to[at], -1)
 
-    def stable(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether merging the text of left and right, from single characters, ends with just these two."""
-        n, width = len(left), 2 * LONGEST
-        sizes = self.length[left] + self.length[right]
-        tokens = np.full((n, width + 1), -1)
-        for k in range(LONGEST):
-            at = np.flatnonzero(self.length[left] > k)
-            tokens[at, k] = self.single[self.key[left[at], k]]
-            at = np.flatnonzero(self.length[right] > k)
-            tokens[at, self.length[left[at]] + k] = self.single[self.key[right[at], k]]
-        live, size = np.arange(n), sizes.copy()
+    def settle(self, tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge each row's first size tokens until no two of them merge; tokens has a column of -1 behind them."""
+        live, size = np.arange(len(tokens)), size.copy()
         none = len(self.ids) + 1
         while len(live):
             w = int(size[live].max())
@@ -128,8 +126,26 @@ class Vocabulary:
                 tokens[live, best] = new
                 tokens[live, w] = -1
                 size[live] -= 1
+        return tokens, size
+
+    def stable(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether merging the text of left and right, from single characters, ends with just these two."""
+        tokens = np.full((len(left), 2 * LONGEST + 1), -1)
+        for k in range(LONGEST):
+            at = np.flatnonzero(self.length[left] > k)
+            tokens[at, k] = self.single[self.key[left[at], k]]
+            at = np.flatnonzero(self.length[right] > k)
+            tokens[at, self.length[left[at]] + k] = self.single[self.key[right[at], k]]
+        tokens, size = self.settle(tokens, self.length[left] + self.length[right])
         return (size == 2) & (tokens[:, 0] == left)
 
+    def _whole(self, piece: np.ndarray) -> np.ndarray:
+        tokens = np.full((len(piece), LONGEST + 1), -1)
+        there = np.arange(LONGEST) < self.length[piece][:, None]
+        tokens[:, :LONGEST][there] = self.single[self.key[piece][there]]
+        tokens, size = self.settle(tokens, self.length[piece])
+        return (size == 1) & (tokens[:, 0] == piece)
+
     def may_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """stable() with a memory of fixed size."""
         keys, values = self.known
@@ -145,27 +161,6 @@ class Vocabulary:
             keys[slot[miss]] = key[miss]
         return out
 
-    @functools.cached_property
-    def alone(self) -> np.ndarray:
-        """Whether merging a piece's own text gives the piece; one that can't come about is no edge."""
-        out = self.length == 1
-        for n in range(2, LONGEST + 1):
-            at = np.flatnonzero(self.length == n)
-            for k in at.tolist():
-                out[k] = self._whole(k)
-        return out
-
-    def _whole(self, k: int) -> bool:
-        tokens = [int(self.single[c]) for c in self.coded[k]]
-        while len(tokens) > 1:
-            to = self.merged(np.array(tokens[:-1]), np.array(tokens[1:]))
-            rank = np.where(to >= 0, self.order[to], len(self.ids) + 1)
-            i = int(rank.argmin())
-            if to[i] < 0:
-                return False
-            tokens[i : i + 2] = [int(to[i])]
-        return tokens == [k]
-
     @functools.cached_property
     def bounds(self) -> tuple[np.ndarray, np.ndarray]:
         """For each piece the least and the greatest packed text that begins with it."""
@@ -314,8 +309,9 @@ def decode(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
 
 
 @functools.lru_cache(maxsize=2)
-def _vocabulary(key: tuple[tuple[str, float], ...]) -> Vocabulary:
-    return Vocabulary(list(key))
+def vocabulary(path: str = PIECES) -> Vocabulary:
+    """The tables of the vocabulary at path, made once in the driver."""
+    return Vocabulary(pieces(path))
 
 
 ENCODED = pa.schema([("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
@@ -326,28 +322,25 @@ def encoded(docs: DataFrame, keep: list[str], text: str = "text", path: str = PI
 
     tokens are ids of the vocabulary at path. round_trip: whether decoding gives the text again, byte by byte; a text that
     holds the mark itself comes back with spaces. Null has null tokens and no round trip, an empty text has none of either
-    kind but is decoded rightly. Only text is looked at.
+    kind but is decoded rightly. Repeated rows come back as often. Only text is looked at; other columns stay out, and one
+    of keep that bears a name of the three results gives way to it.
     """
-    v = small_batches(docs.sparkSession).sparkContext.broadcast(tuple(pieces(path)))
+    v = small_batches(docs.sparkSession).sparkContext.broadcast(vocabulary(path))
+    keep = [c for c in keep if c.lower() not in ENCODED.names]
     source = docs.select(*keep, F.col(text).alias("tokens"))
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
     schema = T.StructType([*docs.select(*keep).schema.fields, *added])
 
     def run(batches):
-        vocabulary = _vocabulary(v.value)
         for b in chunks(batches, "tokens", BATCH_BYTES):
             texts = b.column("tokens").to_pylist()
             there = [t is not None for t in texts]
-            ids, bounds = encode(vocabulary, [t or "" for t in texts])
-            back = decode(vocabulary, ids, bounds)
+            ids, bounds = encode(v.value, [t or "" for t in texts])
+            back = decode(v.value, ids, bounds)
             same = [ok and t.encode() == d for ok, t, d in zip(there, texts, back, strict=True)]
             mask = pa.array([not x for x in there])
             tokens = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()), mask=mask if not all(there) else None)
             counts = pa.array(np.diff(bounds), pa.int64(), mask=~np.array(there))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], counts, tokens, pa.array(same)], names=[*keep, *ENCODED.names])
-        # the worker lives on; the tables are built anew by the next task
-        _vocabulary.cache_clear()
-        del vocabulary
-        release()
 
     return source.mapInArrow(run, schema)
