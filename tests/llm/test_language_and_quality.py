@@ -83,3 +83,57 @@ def test_features_of_short_texts(n):
     import pyarrow as pa
 
     assert [len(f) for f in quality.features(pa.array(["x" * n, None]))][1] == 0
+
+
+def test_long_words_are_summed_whole():
+    import pyarrow as pa
+
+    s = language_id.Scorer(["a", "ab", "b", "ba", "bab", "▁", "▁a", "▁ab"])
+    p = np.random.default_rng(1).random((9, 3)) / 10
+    word = "".join(np.random.default_rng(2).choice(list("abc"), 10_000))
+    codes, size, _, _ = s.words(pa.array([word]))
+    assert size.tolist() == [10_001]
+    index, text = {v: i for i, v in enumerate(s.vocabulary)}, "▁" + word
+    logs = np.full((len(text) + 1, 3), -np.inf)
+    logs[0] = 0
+    for e in range(1, len(text) + 1):
+        ways = [logs[e - n] + np.log(p[index[text[e - n : e]]]) for n in (1, 2, 3) if e >= n and text[e - n : e] in index]
+        ways += [logs[e - 1] + np.log(p[-1])] if text[e - 1] == "c" else []
+        logs[e] = np.logaddexp.reduce(ways, axis=0)
+    assert np.allclose(s.logs(codes, size, p)[0], logs[-1], rtol=1e-9)
+    # the same words, short enough for both ways
+    codes, size, _, _ = s.words(pa.array(["abcab" * 20]))
+    assert np.allclose(s.logs(codes, size, p)[0], s.long_logs(codes, p))
+
+
+def test_expected_uses_equal_enumeration():
+    import pyarrow as pa
+
+    s = language_id.Scorer(["a", "ab", "b", "ba", "▁", "▁a", "▁ab"])
+    p = np.random.default_rng(0).random((8, 1)) / 10
+    codes, size, _, _ = s.words(pa.array(["abab ba"]))
+    got = language_id.Lattice(s.trie, codes, size).expected(p, np.array([3.0, 5.0]))
+    index, want = {v: i for i, v in enumerate(s.vocabulary)}, np.zeros(7)
+    order = ["abab", "ba"] if size.tolist() == [5, 3] else ["ba", "abab"]
+    for word, n in zip(order, (3.0, 5.0), strict=True):
+        w, ways = "▁" + word, []
+        for cuts in itertools.product([0, 1], repeat=len(w) - 1):
+            at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(w)]
+            parts = [w[a:b] for a, b in itertools.pairwise(at)]
+            if all(q in index for q in parts):
+                ways.append(([index[q] for q in parts], float(np.prod([p[index[q], 0] for q in parts]))))
+        for parts, x in ways:
+            for q in parts:
+                want[q] += n * x / sum(y for _, y in ways)
+    assert np.allclose(got, want)
+
+
+def test_copies_count_once_and_names_clash(spark):
+    train = spark.createDataFrame([("the cat sat on the mat", "en")] * 300 + [(f"der hund {k} ist in dem haus", "de") for k in range(3)], "text string, lang string")
+    m = language_id.train(train, docs_per_language=2)
+    assert m.languages == ["de", "en"]
+    d = spark.createDataFrame([(1, "the cat", "mine", "own")] * 2, "doc_id long, text string, lang_pred string, Lang_Score string")
+    got = language_id.predict(d, m)
+    assert got.columns == ["doc_id", "text", "lang_pred", "lang_score"] and [r.lang_pred for r in got.collect()] == ["en", "en"]
+    both = language_id.predict(d, m, names=("p", "s"))
+    assert [(r.lang_pred, r.Lang_Score, r.p) for r in both.collect()] == [("mine", "own", "en")] * 2

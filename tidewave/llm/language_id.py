@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm._shared import chunks, release, small_batches, value_hashes
+from tidewave.llm._shared import chunks, small_batches, value_hashes
 from tidewave.llm.vocabulary import MARK, PIECES, Trie, pieces
 
-#: About so many training documents of each language are drawn by a hash of their text; fewer: all.
+#: About so many different texts of each language are drawn by their hash for training; fewer: all.
 DOCS_PER_LANGUAGE = 800
 ROUNDS = 4
 #: Each piece counts as if seen so often in all of a language, by its share over all languages.
@@ -27,8 +27,10 @@ PRIOR = 50.0
 UNKNOWN = 1e-7
 #: A constant factor for each letter keeps the sums of long words within a double's range.
 GROWTH = 12.0
-#: Runs of more letters are scored in parts of this length.
-MAX_LETTERS = 200
+#: Words of more letters are summed by themselves, with the sums scaled anew on the way; in training, such a word is cut.
+LONG = 200
+#: No piece is longer; the sums of so many places are carried on.
+REACH = 64
 WORDS_AT_ONCE = 8_000
 CELLS = 300_000
 
@@ -103,10 +105,15 @@ class Lattice:
 
 
 class Scorer:
+    """The tables of a vocabulary. The trie is made on first use and not sent along."""
+
     def __init__(self, vocabulary: list[str]):
         self.alphabet = Alphabet(vocabulary)
         self.vocabulary = vocabulary
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "trie"}
+
     @functools.cached_property
     def trie(self) -> Trie:
         return Trie.of([[self.alphabet.codes[c] for c in p] for p in self.vocabulary], self.alphabet.joined, self.alphabet.size)
@@ -115,19 +122,22 @@ class Scorer:
     def _values(self) -> np.ndarray:
         return np.random.default_rng(5).integers(0, 2**63, self.alphabet.size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(codes of the distinct words with marks, their lengths, which distinct word each word is, text of each word)."""
+    def words(self, texts: pa.Array, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(codes of the distinct words with marks, their lengths, which distinct word each word is, text of each word).
+
+        most: cut longer words into parts of so many letters.
+        """
         joined = "\n".join(t or "" for t in texts.to_pylist())
         code = self.alphabet.table[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
         n = len(code)
         letter = code > 0
         start = np.flatnonzero(letter & np.r_[True, ~letter[:-1]][:n])
         end = np.flatnonzero(letter & np.r_[~letter[1:], True][:n]) + 1
-        parts = -(-(end - start) // MAX_LETTERS)
-        if (parts > 1).any():
+        if most and (end - start > most).any():
+            parts = -(-(end - start) // most)
             of = np.repeat(np.arange(len(start)), parts)
             k = np.arange(len(of)) - (np.cumsum(parts) - parts)[of]
-            start, end = start[of] + k * MAX_LETTERS, np.minimum(start[of] + (k + 1) * MAX_LETTERS, end[of])
+            start, end = start[of] + k * most, np.minimum(start[of] + (k + 1) * most, end[of])
         lengths = np.array([len(t or "") + 1 for t in texts.to_pylist()], np.int64)
         doc = np.searchsorted(np.cumsum(lengths), start, side="right")
         h = value_hashes(self._values[code], start, end)
@@ -145,6 +155,12 @@ class Scorer:
         """(words, languages): the log of the summed probability of each word."""
         out = np.zeros((len(size), p.shape[1]))
         first = np.cumsum(size) - size
+        long = size > LONG + 1
+        for k in np.flatnonzero(long).tolist():
+            out[k] = self.long_logs(codes[first[k] : first[k] + size[k]], p)
+        if long.any():
+            out[~long] = self.logs(codes[np.repeat(~long, size)], size[~long], p)
+            return out
         block = (first * p.shape[1]) // CELLS
         cuts = np.r_[np.flatnonzero(np.r_[True, block[1:] != block[:-1]]), len(size)] if len(size) else [0]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -152,6 +168,27 @@ class Scorer:
             out[a:b] = np.log(np.maximum(x.forward(p)[x.final], 1e-300)) - size[a:b, None] * np.log(GROWTH)
         return out
 
+    def long_logs(self, codes: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The same of one word of any length, place by place."""
+        start, size, piece = self.trie.edges(codes, len(codes) - np.arange(len(codes)))
+        lone = np.flatnonzero(codes == 1)
+        start, size, piece = np.r_[start, lone], np.r_[size, np.ones(len(lone), np.int64)], np.r_[piece, np.full(len(lone), -1)]
+        order = np.argsort(start + size, kind="stable")
+        start, size, piece = start[order], size[order], piece[order]
+        cuts = np.searchsorted(start + size, np.arange(1, len(codes) + 2)).tolist()
+        alpha, scale = np.zeros((len(codes) + 1, p.shape[1])), np.zeros(p.shape[1])
+        alpha[0] = 1
+        for end in range(1, len(codes) + 1):
+            a, b = cuts[end - 1], cuts[end]
+            if b > a:
+                alpha[end] = (alpha[start[a:b]] * p[piece[a:b]] * GROWTH ** size[a:b, None]).sum(axis=0)
+            if end % REACH == 0:
+                last = alpha[max(0, end - REACH) : end + 1]
+                top = np.maximum(last.max(axis=0), 1e-300)
+                last /= top
+                scale += np.log(top)
+        return np.log(np.maximum(alpha[-1], 1e-300)) + scale - len(codes) * np.log(GROWTH)
+
 
 def letter_pieces(path: str) -> list[str]:
     """The vocabulary's pieces of letters, with or without the mark of a word's start, lower-cased; the mark and all letters alone."""
@@ -160,16 +197,24 @@ def letter_pieces(path: str) -> list[str]:
 
 
 @functools.lru_cache(maxsize=2)
-def _scorer(vocabulary: tuple[str, ...]) -> Scorer:
-    return Scorer(list(vocabulary))
+def scorer(path: str) -> Scorer:
+    """The tables of the vocabulary at path, made once in the driver."""
+    out = Scorer(letter_pieces(path))
+    out.alphabet.table  # noqa: B018
+    return out
 
 
 class Model:
-    def __init__(self, vocabulary: list[str], languages: list[str], p: np.ndarray):
-        self.vocabulary, self.languages, self.p = tuple(vocabulary), languages, p
+    """scorer, the languages, and a probability for each piece and language.
+
+    A Python worker keeps the object, and so the trie, from task to task as long as its broadcast is in use.
+    """
+
+    def __init__(self, scorer_: Scorer, languages: list[str], p: np.ndarray):
+        self.scorer, self.languages, self.p = scorer_, languages, p
 
     def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
-        s = _scorer(self.vocabulary)
+        s = self.scorer
         codes, size, which, doc = s.words(texts)
         n, k = len(texts), len(self.languages)
         if not k:
@@ -183,23 +228,26 @@ class Model:
 
 
 def train(labelled: DataFrame, path: str = PIECES, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
-    """labelled (text, lang), nulls left out. The model holds one number for each piece and language."""
-    small_batches(labelled.sparkSession)
-    labelled = labelled.where("text is not null and lang is not null")
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    vocabulary = letter_pieces(path)
-    languages = sorted(sizes)
+    """labelled (text, lang), nulls left out. The model holds one number for each piece and language.
+
+    Of each language about docs_per_language different texts are drawn by their hash, all if there are fewer; copies of a
+    text count once. Other columns are ignored. No labelled text: a model of no language.
+    """
+    spark = small_batches(labelled.sparkSession)
+    labelled = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}
+    tables = scorer(path)
+    n_pieces, languages = len(tables.vocabulary), sorted(sizes)
     if not languages:
-        return Model(vocabulary, [], np.zeros((len(vocabulary) + 1, 0)))
+        return Model(tables, [], np.zeros((n_pieces + 1, 0)))
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, docs_per_language / sizes[k]))])
-    drawn = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
-    key = tuple(vocabulary)
+    drawn = labelled.where(F.pmod("h", F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003).dropDuplicates(["lang", "h"])
+    shared = spark.sparkContext.broadcast(tables)
 
     def count(batches):
-        s = _scorer(key)
         for b in chunks(batches, "text"):
             langs = b.column("lang").to_pylist()
-            codes, size, which, doc = s.words(b.column("text"))
+            codes, size, which, doc = shared.value.words(b.column("text"), LONG)
             first = np.cumsum(size) - size
             lang = np.array([languages.index(x) for x in langs])
             pair, n = np.unique(which * len(languages) + lang[doc], return_counts=True)
@@ -207,54 +255,50 @@ def train(labelled: DataFrame, path: str = PIECES, docs_per_language: int = DOCS
             yield pa.RecordBatch.from_pydict({"lang": [languages[x] for x in (pair % len(languages)).tolist()], "word": [codes[first[w] : first[w] + size[w]].tobytes() for w in word.tolist()], "n": n})
 
     def fit(key_, pdf: pd.DataFrame) -> pd.DataFrame:
-        s = _scorer(key)
-        seen, p, uses = pdf.n.to_numpy().astype(float), np.full((len(key) + 1, 1), UNKNOWN), None
+        trie = shared.value.trie
+        seen, p, uses = pdf.n.to_numpy().astype(float), np.full((n_pieces + 1, 1), UNKNOWN), None
         for k in range(ROUNDS + 1):
             if k:
-                p[:-1, 0] = (uses + 1e-3) / (uses.sum() + 1e-3 * len(key))
-            uses = np.zeros(len(key))
+                p[:-1, 0] = (uses + 1e-3) / (uses.sum() + 1e-3 * n_pieces)
+            uses = np.zeros(n_pieces)
             for at in range(0, len(pdf), WORDS_AT_ONCE):
                 part = pdf.word.iloc[at : at + WORDS_AT_ONCE]
-                x = Lattice(s.trie, np.frombuffer(b"".join(part), np.uint16), np.array([len(w) // 2 for w in part]))
+                x = Lattice(trie, np.frombuffer(b"".join(part), np.uint16), np.array([len(w) // 2 for w in part]))
                 n = seen[at : at + WORDS_AT_ONCE]
                 known = x.piece >= 0
-                uses += x.expected(p, n) if k else np.bincount(x.piece[known], weights=n[x.word][known], minlength=len(key))
+                uses += x.expected(p, n) if k else np.bincount(x.piece[known], weights=n[x.word][known], minlength=n_pieces)
         some = np.flatnonzero(uses > 1e-6)
         return pd.DataFrame({"lang": key_[0], "piece": some, "uses": uses[some]})
 
     counted = drawn.select("text", "lang").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     fitted = counted.groupBy("lang").applyInPandas(fit, "lang string, piece long, uses double").toPandas()
-    uses = np.zeros((len(vocabulary), len(languages)))
+    uses = np.zeros((n_pieces, len(languages)))
     uses[fitted.piece.to_numpy(np.int64), [languages.index(x) for x in fitted.lang]] = fitted.uses
     total = np.maximum(uses.sum(axis=0), 1e-9)
     common = (uses / total).mean(axis=1) + 1e-9
     common /= common.sum()
     p = (uses + PRIOR * common[:, None]) / (total + PRIOR)
-    return Model(vocabulary, languages, np.concatenate([p, np.full((1, len(languages)), UNKNOWN)]))
-
-
-PREDICTED = pa.schema([("lang_pred", pa.string()), ("lang_score", pa.float64())])
+    return Model(tables, languages, np.concatenate([p, np.full((1, len(languages)), UNKNOWN)]))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep of docs, and lang_pred and lang_score of the whole text.
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """The columns keep of docs (all by default), and lang_pred and lang_score, or names, of the whole text.
 
     `und` and 0 if the text is null or has no letter, or if no language was learned; equal scores go to the first name.
-    Only text is looked at. Every row comes back once, repeated rows as often as they are there.
+    Only text is looked at. Every row comes back once, repeated rows as often as they are there. A column of keep that
+    bears one of the names gives way to the result; choose other names to have both.
     """
     small_batches(docs.sparkSession)
-    keep = keep or [c for c in docs.columns if c not in PREDICTED.names]
+    taken = {n.lower() for n in names}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
     m = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col(text).alias("lang_pred"))
-    schema = source.select(*keep, "lang_pred", F.lit(0.0).alias("lang_score")).schema
+    source = docs.select(*keep, F.col(text).alias(names[0]))
+    schema = source.select(*keep, names[0], F.lit(0.0).alias(names[1])).schema
 
     def run(batches):
-        for b in chunks(batches, "lang_pred"):
-            best, score = m.value.predict(b.column("lang_pred"))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*keep, *PREDICTED.names])
-        # the worker lives on; the tables are built anew by the next task
-        _scorer.cache_clear()
-        release()
+        for b in chunks(batches, names[0]):
+            best, score = m.value.predict(b.column(names[0]))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*keep, *names])
 
     return source.mapInArrow(run, schema)
 
