@@ -47,7 +47,7 @@ def test_equals_brute_force(documents, seed):
 def test_strip_keeps_columns_and_clean_texts(spark):
     texts = corpus(3)
     words, kept = brute(texts)
-    d = spark.createDataFrame([(i, t, "s", "clash", i) for i, t in enumerate(texts)] + [(None, texts[0], "s", "c", 1)], "doc_id long, text string, source string, wins string, sha long")
+    d = spark.createDataFrame([(i, t, "s", "clash", i) for i, t in enumerate(texts)] + [(None, texts[0], "s", "c", 1)], "doc_id long, text string, source string, spans string, h long")
     got = {r.doc_id: r for r in substring_dedup.strip_repeats(d).collect()}
     assert got[None].text == texts[0]
     for i, t in enumerate(texts):
@@ -57,7 +57,7 @@ def test_strip_keeps_columns_and_clean_texts(spark):
             assert got[i].text == t
         else:
             assert got[i].text == " ".join(kept[i])
-        assert i not in got or (got[i].wins, got[i].sha) == ("clash", i)
+        assert i not in got or (got[i].spans, got[i].h) == ("clash", i)
 
 
 def test_empty_and_repeated_rows(spark, documents):
@@ -65,3 +65,34 @@ def test_empty_and_repeated_rows(spark, documents):
     w = " ".join("abcdefghijklmno")
     d = spark.createDataFrame([(4, w), (4, w), (None, w)], "doc_id long, text string")
     assert [r.n_removed for r in substring_dedup.repeat_digests(d).collect()] == [0, 0, 0]
+
+
+def test_maximal_repeats_are_matches_that_do_not_go_on(documents, scratch):
+    from pyspark.sql import functions as F
+
+    texts = [t or "" for t in corpus(4)]
+    source = documents(texts).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    got = substring_dedup.maximal_repeats(source, scratch).collect()
+    w = [t.split() for t in texts]
+    assert got and len({(r.doc_id, r.start, r.n, r.source, r.source_start) for r in got}) == len(got)
+    for r in got:
+        assert r.n >= 13 and r.source < r.doc_id
+        assert w[r.doc_id][r.start : r.start + r.n] == w[r.source][r.source_start : r.source_start + r.n]
+
+
+def test_seeds_of_one_hash_but_other_words_are_told_apart():
+    import pyarrow as pa
+
+    a, b = " ".join(f"a{i}" for i in range(13)), " ".join(f"b{i}" for i in range(13))
+    cols = {"doc_id": [5, 5, 5], "h": [1, 1, 1], "place": [3, 3, 3], "left": [3, 3, 2], "ws": [b, a, a.replace("a12", "x")], "source": [2, 2, 2], "source_place": [3, 3, 3], "source_left": [3, 3, 3], "source_ws": [a] * 3}
+    (got,) = substring_dedup._matches([pa.RecordBatch.from_pydict(cols)])
+    assert got.column("source").to_pylist() == [None, 2, None]
+    assert got.column("ws").to_pylist() == [b, None, a.replace("a12", "x")]
+
+
+def test_a_very_common_passage_and_a_very_long_text(documents):
+    common = " ".join(f"c{i}" for i in range(20))
+    texts = [f"{common} own{i}" for i in range(400)] + [" ".join(f"w{i % 5000}" for i in range(60_000)), f"x{'y' * 200_000} {common}"]
+    words, kept = brute(texts)
+    got = {r.doc_id: r.n_removed for r in substring_dedup.repeat_digests(documents(texts)).collect()}
+    assert got == {d: len(words[d]) - len(kept[d]) for d in range(len(texts))}

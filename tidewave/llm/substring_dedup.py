@@ -1,9 +1,11 @@
 """Substring dedup by seed and extend.
 
-A window of LENGTH words holds LENGTH - SEED + 1 seeds of SEED words; the least of their hashes is its anchor, as in
-winnowing, so equal windows have equal anchors. Anchors are joined across documents first. Around each anchor that two
-documents share, the match is extended both ways to every window that has this anchor; windows that occur in an earlier
-document are repeats, and neighbouring ones make up the maximal repeats, none of them shorter than LENGTH words.
+A window of LENGTH words holds LENGTH - SEED + 1 seeds of SEED words; the first of those with the least hash is its anchor,
+as in winnowing, so equal windows have equal anchors at the same place. Documents are joined on their anchors: each
+occurrence meets the first document that has the anchor, and the match is extended both ways, word by word, as far as the
+windows of this anchor reach. Windows that the first document doesn't have meet, by their words, the first document that
+does. Matches of a document that lie on one diagonal with another one run together to maximal repeats of LENGTH words or
+more.
 """
 
 from __future__ import annotations
@@ -13,33 +15,51 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.llm._shared import Scratch, Words, chunks, record, signed, windows, words
-from tidewave.llm.marks import in_map, marked, marks
+from tidewave.llm.marks import marked, marks
+from tidewave.llm.skew import spread_join
 
 LENGTH, SEED = 13, 7
-ANCHOR_BITS = 26
+AROUND = LENGTH - SEED
+#: Occurrences whose words are laid out at once.
+AT_ONCE = 10_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 OUTLINE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())])
-ANCHORS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
-WINDOWS = pa.schema([("win", pa.int64()), ("doc_id", pa.int64())])
+ANCHORS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
+#: An anchor at place, and the words of all windows with it, left of them before the anchor. h is a hash of the text.
+AROUNDS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("place", pa.int64()), ("left", pa.int64()), ("ws", pa.string())])
+#: A match of n words with source, or, where source is null, the words of a window yet to be looked for.
+MATCHES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64()), ("ws", pa.string())])
 STRIPPED = pa.schema([("doc_id", pa.int64()), ("sha_before", pa.string()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
-def anchored(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, anchor, first word) of every window."""
-    h, at = windows(w, LENGTH)
+def _ddl(s: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in s)
+
+
+def anchored(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first word, first and last word that a window with it starts at) of every anchor.
+
+    The windows of an anchor start at neighbouring words.
+    """
     seeds, where = windows(w, SEED)
+    n = len(w.hash) - AROUND
+    _, start = windows(w, LENGTH)
+    if not len(start):
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     all_seeds = np.zeros(len(w.hash), np.uint64)
     all_seeds[where] = seeds
-    n = len(w.hash) - (LENGTH - SEED)
-    low = all_seeds[: max(n, 0)].copy()
-    for j in range(1, LENGTH - SEED + 1):
-        np.minimum(low, all_seeds[j : n + j], out=low)
-    return h, low[at], at
+    low, at = all_seeds[:n].copy(), np.arange(n)
+    for j in range(1, AROUND + 1):
+        less = np.flatnonzero(all_seeds[j : n + j] < low)
+        low[less], at[less] = all_seeds[less + j], less + j
+    low, at = low[start], at[start]
+    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return low[new], at[new], start[new], start[np.r_[new[1:], len(start)] - 1]
 
 
 def _joined(w: Words) -> tuple[bytes, np.ndarray]:
@@ -65,67 +85,136 @@ def _outline(batches):
         yield record(OUTLINE, b.column("doc_id"), w.count(), _shas(w))
 
 
-def _distinct(values: np.ndarray, at: np.ndarray, b: pa.RecordBatch, w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct values, with its doc_id."""
-    ids, got, whose = np.asarray(b.column("doc_id")), [], []
-    for i, (lo, hi) in enumerate(itertools.pairwise(np.searchsorted(at, w.first).tolist())):
-        if hi > lo:
-            got.append(np.unique(values[lo:hi]))
-            whose.append(np.full(len(got[-1]), ids[i]))
-    return (np.concatenate(got), np.concatenate(whose)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def _anchors(batches):
+    for b in chunks(batches, "text"):
+        w = words(b.column("text"))
+        anchor, at, _, _ = anchored(w)
+        yield record(ANCHORS, signed(anchor), np.asarray(b.column("doc_id"))[w.doc[at]], at - w.first[w.doc[at]])
 
 
-def _anchors(batches):
+def _arounds(batches):
+    """The anchors whose places are in `places`, with their words."""
     for b in chunks(batches, "text"):
         w = words(b.column("text"))
-        _, low, at = anchored(w)
-        values, ids = _distinct(low, at, b, w)
-        yield record(ANCHORS, signed(values), ids)
+        anchor, at, low, high = anchored(w)
+        if not len(at):
+            continue
+        doc = w.doc[at]
+        place = at - w.first[doc]
+        lists = b.column("places")
+        whose = np.repeat(np.arange(b.num_rows), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)))
+        some = np.flatnonzero(np.isin(doc << 40 | place, whose << 40 | np.asarray(lists.flatten(), np.int64)))
+        text, begin = _joined(w)
+        text, ids, hs = np.frombuffer(text, np.uint8), np.asarray(b.column("doc_id")), np.asarray(b.column("h"))
+        for k in range(0, len(some), AT_ONCE):
+            i = some[k : k + AT_ONCE]
+            lo, hi = begin[low[i]], begin[high[i] + LENGTH] - 1
+            size = hi - lo
+            off = np.r_[0, np.cumsum(size)]
+            laid = text[np.arange(off[-1]) - np.repeat(off[:-1] - lo, size)]
+            ws = pa.LargeStringArray.from_buffers(len(i), pa.py_buffer(off.astype(np.int64)), pa.py_buffer(laid)).cast(pa.string())
+            yield record(AROUNDS, signed(anchor[i]), ids[doc[i]], hs[doc[i]], place[i], at[i] - low[i], ws)
+
+
+def extend(ws: list[str], left: int, other: list[str], other_left: int) -> tuple[int, int] | None:
+    """How many words before and after the seed are equal too; None if the seeds' words differ."""
+    if ws[left : left + SEED] != other[other_left : other_left + SEED]:
+        return None
+    a = 0
+    while a < min(left, other_left) and ws[left - a - 1] == other[other_left - a - 1]:
+        a += 1
+    z, i, j = 0, left + SEED, other_left + SEED
+    while i + z < len(ws) and j + z < len(other) and ws[i + z] == other[j + z]:
+        z += 1
+    return a, z
+
+
+def _matches(batches):
+    """Each anchor against the first document's: one match, and the windows that don't match."""
+    for b in batches:
+        out = []
+        for doc, h, place, left, ws, source, source_place, source_left, source_ws in zip(*(b.column(c).to_pylist() for c in ("doc_id", "h", "place", "left", "ws", "source", "source_place", "source_left", "source_ws")), strict=True):
+            if ws == source_ws and left == source_left:
+                if doc > source:
+                    out.append((doc, h, place - left, ws.count(" ") + 1, source, source_place - left, None))
+                continue
+            own = ws.split(" ")
+            got = extend(own, left, source_ws.split(" "), source_left)
+            # windows start by their distance before the anchor
+            first, last = left - (len(own) - LENGTH), left
+            lo, hi = (max(first, AROUND - got[1]), min(last, got[0])) if got else (0, -1)
+            if lo > hi:
+                lo, hi = last + 1, last
+            elif doc > source:
+                out.append((doc, h, place - hi, hi - lo + LENGTH, source, source_place - hi, None))
+            out += [(doc, h, place - i, LENGTH, None, None, " ".join(own[left - i : left - i + LENGTH])) for i in (*range(first, lo), *range(hi + 1, last + 1))]
+        yield record(MATCHES, *(zip(*out, strict=True) if out else [[]] * len(MATCHES)))
+
+
+def _originals(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, n_words, sha and original, the smallest doc_id with the same words, of every row."""
+    outline = scratch.save(docs.mapInArrow(_outline, _ddl(OUTLINE)), "outline")
+    several = outline.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    out = spread_join(outline, several, ["sha"], F.col("doc_id"), "left").withColumn("original", F.coalesce("first", "doc_id"))
+    return scratch.save(out.select("doc_id", "n_words", "sha", "original"), "outlined")
+
+
+def maximal_repeats(source: DataFrame, scratch: Scratch) -> DataFrame:
+    """source (doc_id, h, text) -> doc_id, h, start, n, source, source_start: what an earlier document has too, in words.
+
+    Every window of LENGTH words that also starts in a document of smaller doc_id lies in one of them. An anchor's group is
+    never gathered: it is joined with the row of its first document, and what differs from that, by its words, with the
+    first document that has the same window.
+    """
+    anchors = source.mapInArrow(_anchors, _ddl(ANCHORS))
+    shared = scratch.save(anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n"), "shared")
+    wanted = spread_join(anchors, shared, ["anchor"], F.struct("doc_id", "place")).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    wanted = scratch.save(wanted, "wanted")
+    near = marked(source, "doc_id", marks(wanted.select("doc_id")))
+    around = scratch.save(near.join(wanted, "doc_id").select("doc_id", "h", "text", "places").mapInArrow(_arounds, _ddl(AROUNDS)), "around")
+    scratch.drop("wanted")
+    first = around.groupBy("anchor").agg(F.min(F.struct("doc_id", "place", "left", "ws")).alias("f"), F.count("*").alias("n"))
+    first = scratch.save(first.select("anchor", "n", *[F.col(f"f.{c}").alias(n) for c, n in (("doc_id", "source"), ("place", "source_place"), ("left", "source_left"), ("ws", "source_ws"))]), "first")
+    matches = scratch.save(spread_join(around, first, ["anchor"], F.struct("doc_id", "h", "place")).mapInArrow(_matches, _ddl(MATCHES)), "matches")
+    scratch.drop("around", "first", "shared")
+    rest = matches.where("source is null").select("doc_id", "h", "start", "n", "ws")
+    again = rest.groupBy("ws").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("f.doc_id < high")
+    again = scratch.save(again.select("ws", "n", F.col("f.doc_id").alias("source"), F.col("f.start").alias("source_start")), "again")
+    later = spread_join(rest.withColumnRenamed("n", "size"), again, ["ws"], F.struct("doc_id", "h", "start")).where("doc_id > source").withColumnRenamed("size", "n")
+    columns = ["doc_id", "h", "start", "n", "source", "source_start"]
+    found = matches.where("source is not null").select(*columns).union(later.select(*columns))
+    line = Window.partitionBy("doc_id", "h", "source", F.col("source_start") - F.col("start")).orderBy("start", "n")
+    reach = F.max(F.col("start") + F.col("n")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.withColumn("fresh", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("run", F.sum("fresh").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("doc_id", "h", "source", (F.col("source_start") - F.col("start")).alias("shift"), "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"))
+    return runs.select("doc_id", "h", "start", (F.col("end") - F.col("start")).alias("n"), "source", (F.col("start") + F.col("shift")).alias("source_start"))
 
 
 def repeats(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """docs (doc_id long, text) -> the outline (doc_id, n_words, sha, original) and the repeats (doc_id, wins).
+    """docs (doc_id long, text) -> the outline (doc_id, n_words, sha, original) and the repeats (doc_id, spans of h, start, n).
 
-    original is the smallest doc_id with the same words; wins are the windows of a document that an earlier one has too.
-    Of equal texts only the first is searched. All steps are group-bys on hashes with partial aggregation, or joins that
-    adaptive execution may split. The bit maps only spare the sending of rows that nothing will match.
+    Of equal texts only the first is searched: of the others every word is a repeat. The bit maps only spare the sending
+    of rows that nothing will match.
     """
-    outline = scratch.save(docs.mapInArrow(_outline, "doc_id long, n_words long, sha string"), "outline")
-    outline = scratch.save(outline.join(outline.groupBy("sha").agg(F.min("doc_id").alias("original")), "sha"), "outlined")
-    scratch.drop("outline")
+    outline = _originals(docs, scratch)
     first = outline.where(f"doc_id = original and n_words >= {LENGTH}").select("doc_id")
-    source = marked(docs.where(F.col("doc_id").isNotNull()), "doc_id", marks(first))
-    anchors = source.mapInArrow(_anchors, "anchor long, doc_id long")
-    shared = scratch.save(anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "anchors")
-    bits = docs.sparkSession.sparkContext.broadcast(marks(shared, ANCHOR_BITS, hashed=True))
-
-    def extended(batches):
-        for b in chunks(batches, "text"):
-            w = words(b.column("text"))
-            h, low, at = anchored(w)
-            ok = in_map(low, bits.value, ANCHOR_BITS)
-            values, ids = _distinct(h[ok], at[ok], b, w)
-            yield record(WINDOWS, signed(values), ids)
-
-    spans = source.mapInArrow(extended, "win long, doc_id long")
-    seen = scratch.save(spans.groupBy("win").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("win", "low"), "windows")
-    later = spans.join(seen, "win").where("doc_id > low")
-    return outline, scratch.save(later.groupBy("doc_id").agg(F.collect_set("win").alias("wins")), "repeats")
-
-
-def _kept(b: pa.RecordBatch, col: str, wins: pa.Array) -> tuple[list[str], list[int], list[str]]:
+    source = marked(docs.where(F.col("doc_id").isNotNull()), "doc_id", marks(first)).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    found = maximal_repeats(source, scratch).groupBy("doc_id").agg(F.collect_set(F.struct("h", "start", "n")).alias("spans"))
+    return outline, scratch.save(found, "repeats")
+
+
+def _kept(b: pa.RecordBatch, col: str, spans: pa.Array, hashes: pa.Array) -> tuple[list[str], list[int], list[str]]:
     """For each text the sha of its words, how many words its repeats cover, and the others, joined by one space."""
     w = words(b.column(col))
-    h, at = windows(w, LENGTH)
-    cut, (text, begin) = np.searchsorted(at, w.first).tolist(), _joined(w)
+    text, begin = _joined(w)
     whole, removed, kept = np.frombuffer(text, np.uint8), [], []
-    for i, (lo, hi) in enumerate(itertools.pairwise(w.first.tolist())):
-        own = np.sort(np.asarray(wins[i].values).view(np.uint64)) if wins[i].is_valid else np.zeros(0, np.uint64)
-        mine = h[cut[i] : cut[i + 1]]
-        hit = np.flatnonzero(own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine) if len(own) else np.zeros(0, np.int64)
-        edge = np.zeros(hi - lo + LENGTH + 1, np.int64)
-        edge[hit] += 1
-        edge[hit + LENGTH] -= 1
+    for (lo, hi), own, h in zip(itertools.pairwise(w.first.tolist()), spans, hashes.to_pylist(), strict=True):
+        edge = np.zeros(hi - lo + 1, np.int64)
+        if own.is_valid:
+            at, start, n = (np.asarray(own.values.field(c)) for c in ("h", "start", "n"))
+            mine = at == h
+            np.add.at(edge, start[mine], 1)
+            np.add.at(edge, start[mine] + n[mine], -1)
         stays = np.cumsum(edge)[: hi - lo] == 0
         removed.append(int(len(stays) - stays.sum()))
         kept.append(whole[begin[lo] : begin[hi]][np.repeat(stays, np.diff(begin[lo : hi + 1]))].tobytes()[:-1].decode())
@@ -134,13 +223,13 @@ def _kept(b: pa.RecordBatch, col: str, wins: pa.Array) -> tuple[list[str], list[
 
 def _strip(batches):
     for b in chunks(batches, "text"):
-        yield record(STRIPPED, b.column("doc_id"), *_kept(b, "text", b.column("wins")))
+        yield record(STRIPPED, b.column("doc_id"), *_kept(b, "text", b.column("spans"), b.column("h")))
 
 
 def _stripped(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, sha_before, n_removed and kept for each document that has a repeat."""
     near = marked(docs.where(F.col("doc_id").isNotNull()), "doc_id", marks(found.select("doc_id")))
-    return near.join(found, "doc_id").select("doc_id", "text", "wins").mapInArrow(_strip, "doc_id long, sha_before string, n_removed long, kept string").dropDuplicates(["doc_id", "sha_before"])
+    return near.join(found, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("h"), "spans").mapInArrow(_strip, _ddl(STRIPPED)).groupBy("doc_id", "sha_before").agg(F.max(F.struct("n_removed", "kept")).alias("r")).select("doc_id", "sha_before", "r.*")
 
 
 def repeat_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -148,7 +237,7 @@ def repeat_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     Every word under a window of 13 words that also starts in a document of smaller doc_id is removed, as judged on the
     input. Null texts have no words. Rows of one doc_id don't remove each other's words. A row without doc_id takes no
-    part and keeps all its words. Other columns are ignored.
+    part and keeps all its words. Other columns are ignored. Windows are compared word by word.
     """
     s = Scratch(docs.sparkSession, "repeats")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -174,8 +263,8 @@ def strip_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     outline, found = repeats(short, s)
     copies = outline.where(f"doc_id > original and n_words >= {LENGTH}").groupBy("doc_id").agg(F.collect_set("sha").alias("shas"))
     info = s.save(found.join(copies, "doc_id", "full"), "info")
-    key, wins, shas = (f"_{c}_{len(docs.columns)}_{s.root[-12:]}" for c in ("key", "wins", "shas"))
-    info = info.select(F.col("doc_id").alias(key), F.col("wins").alias(wins), F.col("shas").alias(shas))
+    key, spans, shas, h = (f"_{c}_{len(docs.columns)}_{s.root[-12:]}" for c in ("key", "spans", "shas", "h"))
+    info = info.select(F.col("doc_id").alias(key), F.col("spans").alias(spans), F.col("shas").alias(shas))
     names, schema = docs.columns, docs.schema
 
     def run(batches):
@@ -186,7 +275,7 @@ def strip_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
                 yield out
                 continue
             part = b.take(pa.array(some))
-            own, removed, kept = _kept(part, text, part.column(wins))
+            own, removed, kept = _kept(part, text, part.column(spans), part.column(h))
             texts, stays = out.column(text).to_pylist(), np.ones(b.num_rows, bool)
             for i, sha, n, t, gone in zip(some.tolist(), own, removed, kept, part.column(shas).to_pylist(), strict=True):
                 if gone and sha in gone:
@@ -196,4 +285,4 @@ def strip_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
             at = out.schema.get_field_index(text)
             yield out.set_column(at, out.schema.field(at), pa.array(texts, out.schema.field(at).type)).filter(pa.array(stays))
 
-    return docs.join(info, F.col(doc_id).cast("long") == F.col(key), "left").mapInArrow(run, schema)
+    return docs.join(info, docs[doc_id].cast("long") == info[key], "left").withColumn(h, F.xxhash64(docs[text])).mapInArrow(run, schema)
