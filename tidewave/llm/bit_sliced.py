@@ -19,16 +19,22 @@ from tidewave.llm._shared import Scratch
 #: Rows of an index block (a slice of one is 2 KB) and queries of a query block.
 ROWS, QUERIES = 16384, 256
 SCALE = 256
+#: Components must be smaller: beyond it, 256 times a double no longer tells whole numbers apart.
+MOST = float(1 << 44)
 
 BLOCK = "block int, ids binary, low binary, slices binary, n_slices int, dims int"
 RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def quantised(vectors: DataFrame, vec: str, vec_id: str) -> DataFrame:
-    """(id, x array<long>): floor(256 * x) for vectors that are there and whose components are there and finite."""
+    """(id, x array<long>): floor(256 * x) for vectors that are there and whose components are there and finite.
+
+    A component of MOST or more either way is an error: no score with it could be told from others of its size.
+    """
     x = F.transform(F.col(vec), lambda v: v.cast("double"))
-    fine = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & (F.size(vec) > 0)
-    return vectors.where(F.col(vec_id).isNotNull() & fine).select(F.col(vec_id).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * SCALE).cast("long")).alias("x"))
+    fine = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
+    whole = lambda v: F.when(F.abs(v) < MOST, F.floor(v * SCALE).cast("long")).otherwise(F.raise_error(F.concat(F.lit("a component is too large to be quantised: "), v.cast("string"))).cast("long"))
+    return vectors.where(F.col(vec_id).isNotNull() & fine).select(F.col(vec_id).cast("long").alias("id"), F.transform(x, whole).alias("x"))
 
 
 def build(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,11 +43,11 @@ def build(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     m = np.stack(pdf.x.to_list()).astype(np.int64)
     low = m.min(axis=0)
     m -= low
-    n_slices = max(int(m.max()).bit_length(), 1)
+    n_slices = max(int(m.max(initial=0)).bit_length(), 1)
     pad = -len(m) % 64
     m = np.concatenate([m, np.zeros((pad, m.shape[1]), np.int64)])
     bits = [np.ascontiguousarray(np.packbits((m.T >> b & 1).astype(np.uint8), axis=1, bitorder="little")).view(np.uint64) for b in range(n_slices)]
-    return pdf.id.to_numpy(np.int64), low, np.stack(bits, axis=1)
+    return pdf.id.to_numpy(np.int64), low, np.stack(bits, axis=1).reshape(m.shape[1], n_slices, -(-len(m) // 64))
 
 
 def _digits(w: int) -> list[tuple[int, int]]:
@@ -124,18 +130,21 @@ def search(ids: np.ndarray, low: np.ndarray, slices: np.ndarray, query_ids: np.n
             own = np.zeros(words * 64, np.uint8)
             own[a:b] = 1
             there = all_there & ~np.packbits(own, bitorder="little").view(np.uint64)
-        base = shift + int(w @ low)
+        base = shift + sum(int(a) * int(b) for a, b in zip(w, low, strict=True))
         for r in top(total, there, k).tolist():
-            score = sum(((int(s[r >> 6]) >> (r & 63)) & 1) << i for i, s in enumerate(total))
-            out.append((q, int(ids[r]), score + base))
+            score = base + sum(((int(s[r >> 6]) >> (r & 63)) & 1) << i for i, s in enumerate(total))
+            if not -(1 << 63) <= score < 1 << 63:
+                raise OverflowError(f"the score of {q} and {int(ids[r])}, {score}, is no long")
+            out.append((q, int(ids[r]), score))
     return out
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
     """query_id, rank from 1, vec_id and score: for each row whose id is divisible by every, its k best other rows.
 
-    The score is the inner product of floor(256 * x). Vectors that are null, empty, or hold null or non-finite components take no part.
-    Vectors are compared with those of the same length. Equal scores go to the smaller id; repeated ids are candidates as
+    The score is the inner product of floor(256 * x), exact for whatever size: components of 2 ** 44 or more and scores that
+    are no long are errors. Vectors that are null or hold null or non-finite components take no part. Vectors are compared
+    with those of the same length, empty ones with score 0. Other columns are ignored. Equal scores go to the smaller id; repeated ids are candidates as
     often as they are there, but never for a query of that id; a query row that is repeated is answered once. Rows and
     queries are dealt to blocks by a hash of their ids, so equal vectors are no skew; blocks of queries meet every block
     of rows once, and only k rows of each meeting go on.
@@ -166,8 +175,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec: str = "embedding
             for r in range(b.num_rows):
                 row = b.slice(r, 1).to_pylist()[0]
                 ids, low = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["low"], np.int64)
-                slices = np.frombuffer(row["slices"], np.uint64).reshape(row["dims"], row["n_slices"], -1)
-                found = search(ids, low, slices, np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_x"], np.int64).reshape(-1, row["dims"]), k)
+                slices = np.frombuffer(row["slices"], np.uint64).reshape(row["dims"], row["n_slices"], -(-len(ids) // 64))
+                found = search(ids, low, slices, np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_x"], np.int64).reshape(len(row["q_ids"]) // 8, row["dims"]), k)
                 cols = zip(*found, strict=True) if found else [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=RESULT)
 
