@@ -137,3 +137,88 @@ def test_copies_count_once_and_names_clash(spark):
     assert got.columns == ["doc_id", "text", "lang_pred", "lang_score"] and [r.lang_pred for r in got.collect()] == ["en", "en"]
     both = language_id.predict(d, m, names=("p", "s"))
     assert [(r.lang_pred, r.Lang_Score, r.p) for r in both.collect()] == [("mine", "own", "en")] * 2
+
+
+def plain_features(text):
+    """The hashed n-grams of bytes and word shapes, one by one."""
+    import re
+
+    data = (text or "").encode()
+    mask = 2**64 - 1
+
+    def mix(h):
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 & mask
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    out = set()
+    for n in (1, 2, 3):
+        for i in range(len(data) - n + 1):
+            h = n
+            for b in data[i : i + n]:
+                h = (h << 8 | b) & mask
+            out.add(mix(h) >> 46)
+    kind = lambda b: 1 if 97 <= b < 123 else 2 if 65 <= b < 91 else 4 if 48 <= b < 58 else 8 if b >= 128 else 16 if 33 <= b < 127 else 0
+    shapes, last = [], None
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", data):
+        seen = 0
+        for b in w:
+            seen |= kind(b)
+        shapes.append(seen | kind(w[0]) << 8 | kind(w[-1]) << 16 | min(len(w) // 3, 4) << 24 | (w == last) << 32)
+        last = w
+    for n in (1, 2, 3, 4):
+        for i in range(len(shapes) - n + 1):
+            h = 1000 + n
+            for x in shapes[i : i + n]:
+                h = mix((h + x) & mask)
+            out.add(h >> 46)
+    return sorted(out)
+
+
+def test_features_equal_plain_ones():
+    import pyarrow as pa
+
+    texts = ["", None, "a", "The the the\tCat-5 é!", "x1 X1 x1\x01 ~~ 漢字 ab", " " * 5, "q" * 30]
+    assert [f.tolist() for f in quality.features(pa.array(texts))] == [plain_features(t) for t in texts]
+
+
+def test_log_ratios_and_hinge_optimum_equal_plain_solvers():
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 60)
+    x = [np.unique(np.r_[rng.choice(12, 3), rng.choice(4, 2) + (12 if label else 16)]) for label in y]
+    ratio = quality.log_ratios(x, y)
+    counts = np.ones((2, quality.SIZE))
+    for f, label in zip(x, y, strict=True):
+        for j in f:
+            counts[label, j] += 1
+    assert np.allclose(ratio, np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum())))
+    w, bias = quality.fit_hinge(x, y, ratio, epochs=3000)
+    # the dual problem by projected gradient steps on a dense matrix
+    dense = np.zeros((60, 21))
+    for i, f in enumerate(x):
+        dense[i, f] = ratio[f] / np.sqrt(ratio[f] @ ratio[f])
+    dense[:, 20] = 1
+    z = dense * np.where(y == 1, 1.0, -1.0)[:, None]
+    q, alpha = z @ z.T, np.zeros(60)
+    step = 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(200_000):
+        alpha = np.clip(alpha - step * (q @ alpha - 1), 0, quality.COST)
+    want = z.T @ alpha
+    loss = lambda v: v @ v / 2 + quality.COST * np.maximum(0, 1 - z @ v).sum()
+    got = np.r_[w[:20], bias]
+    assert loss(got) <= loss(want) * 1.001
+    assert np.allclose(z @ got, z @ want, atol=0.02)
+
+
+def test_conflicting_labels_go_by_majority(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["good text here", "bad!! 111"] * 4)], "doc_id long, text string")
+    labels = [(i, 1 - i % 2) for i in range(8)]
+    noise = [(0, 1), (0, 0), (1, 0), (1, 0), (1, 1), (2, 0)]
+    train = lambda rows: quality.train(docs, spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, quality int, text string"))
+    a, b = train(labels), train(labels + noise)
+    assert np.array_equal(a[0], b[0]) and a[1:] == b[1:]
+    docs2 = spark.createDataFrame([(0, "good text here", 5, "p")] * 2, "doc_id long, text string, score int, predicted string")
+    got = quality.scored(docs2, a, docs2.columns)
+    assert got.columns == ["doc_id", "text", "score", "predicted"] and got.count() == 2

@@ -85,12 +85,12 @@ def margin(f: np.ndarray, ratio: np.ndarray, w: np.ndarray, bias: float) -> floa
     return float(w[f] @ r / max(np.sqrt(r @ r), 1e-12) + bias) if len(f) else bias
 
 
-def fit_hinge(x: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
+def fit_hinge(x: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, seed: int = 0, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights and bias of the hinge-loss model over unit-length scaled vectors, by dual coordinate descent."""
     rows = [(f, (r := ratio[f]) / max(np.sqrt(r @ r), 1e-12)) for f in x]
     w, bias, alpha, sign = np.zeros(SIZE), 0.0, np.zeros(len(x)), np.where(y == 1, 1.0, -1.0)
     rng = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         for i in rng.permutation(len(x)).tolist():
             f, v = rows[i]
             new = min(max(alpha[i] - (sign[i] * (w[f] @ v + bias) - 1) / 2.0, 0.0), COST)  # vector and bias have length 1 each
@@ -139,12 +139,13 @@ def fit(x: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float, float, f
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id", most: int = MAX_TRAIN):
     """The model from documents with a label of 0 or 1, joined by id; labels are drawn before the join, most of them or so.
 
-    The draw of at most a few thousand ids is what is sent to all tasks; one task fits the model to their features.
+    Of several labels of one id the more frequent counts, of as many 0 as 1 the 1. Documents that share an id are examples
+    each. Rows without id or label take no part; without any example every score is 0.5. Other columns are ignored. The draw of at most a few thousand ids is what is sent to all tasks; one task fits the model to their features.
     """
     small_batches(documents.sparkSession)
-    there = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
+    there = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("id")).agg((2 * F.sum(F.col(label).cast("int")) >= F.count("*")).cast("int").alias("y"))
     n = there.count()
-    drawn = there.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < min(1.0, most / max(n, 1)) * 1_000_003).dropDuplicates(["id"])
+    drawn = there.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < min(1.0, most / max(n, 1)) * 1_000_003)
     source = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id")
 
     def extract(batches):
@@ -163,7 +164,11 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", text:
 
 
 def scored(docs: DataFrame, model, keep: list[str], text: str = "text", cut: float = 0.3) -> DataFrame:
-    """The columns keep of docs, score (0 to 1) and predicted (score >= cut) of each whole text; null counts as empty."""
+    """The columns keep of docs, score (0 to 1) and predicted (score >= cut) of each whole text; null counts as empty.
+
+    Every row comes back once, repeated rows as often. A column of keep that is named like a result gives way to it.
+    """
+    keep = [c for c in keep if c.lower() not in ("score", "predicted")]
     m = small_batches(docs.sparkSession).sparkContext.broadcast(model)
     source = docs.select(*keep, F.col(text).alias("score"))
     schema = docs.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
