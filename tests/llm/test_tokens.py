@@ -84,3 +84,9 @@ def test_clashing_names_and_repeats(spark):
     docs = spark.createDataFrame([(1, "a b", 7, "x"), (1, "a b", 7, "x")], "doc_id long, text string, n_tokens int, Tokens string")
     got = sentencepieces.encoded(docs, docs.columns).collect()
     assert [(r.doc_id, r.text, r.n_tokens, r.round_trip) for r in got] == [(1, "a b", 2, True)] * 2
+
+
+def test_lengths_of_long_texts_and_clashing_names(spark):
+    d = spark.createDataFrame([(1, "word " * 100_000, 4, "x")] * 2 + [(2, None, 4, "x")], "doc_id long, text string, n_tokens int, docs string")
+    got = token_counts.length_histogram(token_counts.token_lengths(d)).orderBy("n_tokens").collect()
+    assert [(r.n_tokens, r.docs) for r in got] == [(0, 1), (100_001, 2)] and got[1].tokens_ge == 200_002

@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.llm._shared import chunks, small_batches
+from tidewave.llm._shared import Scratch, chunks, small_batches
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the public tokenizer cuts a text before it merges bytes (a fixed value of the vocabulary).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPAN = 1024
+#: Lengths whose sums are taken together.
+SPAN = 128
 
 
 @functools.lru_cache(maxsize=2)
@@ -27,7 +28,10 @@ def _encoding(lines: bytes, pattern: str):
 
 
 def token_lengths(docs: DataFrame, text: str = "text", path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """(n_tokens, docs): how many rows of docs have how many tokens in each task's share. A null text has none."""
+    """(n_tokens, docs): how many rows of docs have how many tokens in each task's share.
+
+    A null text has none, like an empty one. Every row counts, repeated or not. Only text is looked at.
+    """
     small_batches(docs.sparkSession)
     with open(path, "rb") as f:
         lines = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -47,9 +51,11 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
     docs; docs_ge and tokens_ge of documents with so many tokens or more; total_docs and total_tokens; truncated_tokens:
     what is left if every document is cut to this length; quantile: the share of documents of this length or less.
-    No rows for no documents. Sums are taken within spans of lengths first, so only one row a span meets in one task.
+    No rows for no documents. Lengths are counted once and kept as a table; sums are taken within spans of lengths first,
+    so only one row a span meets in one task.
     """
-    h = lengths.groupBy("n_tokens").agg(F.sum("docs").alias("docs")).withColumn("span", F.expr(f"n_tokens div {SPAN}"))
+    counted = Scratch(lengths.sparkSession, "lengths").save(lengths.groupBy("n_tokens").agg(F.sum("docs").alias("docs")), "histogram")
+    h = counted.withColumn("span", F.expr(f"n_tokens div {SPAN}"))
     spans = h.groupBy("span").agg(F.sum("docs").alias("d"), F.sum(F.col("docs") * F.col("n_tokens")).alias("t"))
     above = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy()
