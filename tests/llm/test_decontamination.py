@@ -49,3 +49,15 @@ def test_empty(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contaminated(documents(["a b c d e f"]), none).count() == 0
     assert decontamination.contaminated(documents([]), none).count() == 0
+
+
+def test_long_texts_repeats_and_clashing_names(spark):
+    item = " ".join(f"i{j}" for j in range(30))
+    long = " ".join(f"w{j}" for j in range(200_000))
+    rows = [(1, f"{long} {item} {long}"), (1, "other"), (2, long), (2, long), (3, item), (3, item), (None, item)]
+    d = spark.createDataFrame([(*r, "x", "y", 5) for r in rows], "doc_id long, text string, _found string, item_id string, n_item int")
+    b = spark.createDataFrame([(7, item, "z"), (7, item, "z"), (8, f"{item} tail", "z")], "item_id long, text string, doc_id string")
+    got = sorted(map(tuple, decontamination.contaminated(d, b).collect()))
+    assert got == [(1, 7, 26, 26), (1, 8, 26, 27), (3, 7, 26, 26), (3, 8, 26, 27)]
+    left = decontamination.clean(d, b)
+    assert left.columns == d.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == [(False, 2), (False, 2), (True, 0)]

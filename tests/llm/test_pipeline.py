@@ -38,3 +38,20 @@ def test_nulls_empties_and_repeats(spark, data):
         d = spark.createDataFrame(out.collect(), d.schema)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in d.collect()) == [(False, 1), (True, 0)]
     assert corpus_pipeline.tokens(spark, d.limit(0), data).count() == 0
+
+
+def test_clashing_names_and_very_long_texts(spark, data):
+    names = ["_gone", "_twice", "_found", "lang_pred", "lang_score", "_place", "Spans", "_salt", "h", "n", "tokens", "round_trip", "kept", "component_id"]
+    long = " ".join(f"the cat {k} sat on the mat" for k in range(20_000))
+    texts = ["the cat sat on the mat and ran off", long, long + " again", "der hund ist hier und da im haus", "the cat sat on the mat and ran off"]
+    rows = [(k, t, "de" if "hund" in t else "en", "s", 1, *(f"{c}{k}" for c in names)) for k, t in enumerate(texts)]
+    rows.append((0, "zz " + rows[0][1], *rows[0][2:]))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, data)
+        assert out.columns == d.columns
+        d = spark.createDataFrame(out.collect(), d.schema)
+        assert all(r[c] == f"{c}{r.doc_id}" for r in d.collect() for c in names), name
+    assert sorted(r.doc_id for r in d.collect()) == [0, 1, 3]
+    assert {r.text for r in d.where("doc_id = 0").collect()} == {texts[0]}
+    assert corpus_pipeline.tokens(spark, d, data).columns == ["doc_id", "n_tokens", "tokens", "round_trip"]

@@ -29,15 +29,27 @@ def small_batches(spark: SparkSession, most: int = 1000) -> SparkSession:
     return spark
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, with as many underscores as it takes to be no column of the frames, whatever the case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables written for a query in the folder that spark.checkpoint.dir names; lineage is cut by reading them back.
 
-    Where the setting is absent (tests on one machine), a temporary folder is used. What a query's lazy result still
-    reads is deleted when the driver's JVM ends, the rest by drop().
+    Where the setting is absent, a temporary folder is used if Spark runs on this machine alone, and an error raised if
+    not. What a query's lazy result still reads is deleted when the driver's JVM ends, the rest by drop().
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewave-")
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="tidewave-")
         self.spark, self.root = small_batches(spark), f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._path(self.root)[0].deleteOnExit(self._path(self.root)[1])
 

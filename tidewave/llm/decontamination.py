@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm._shared import chunks, mix, record, shingle_sets, small_batches, windows, words
+from tidewave.llm._shared import chunks, fresh, mix, record, shingle_sets, small_batches, windows, words
 
 WORDS = 5
 #: Benchmark text that one pass over the documents looks for; more is looked for in more passes.
@@ -123,6 +123,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, text:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 80, doc_id: str = "doc_id") -> DataFrame:
-    """docs without the documents that contaminated() finds; all others and all columns stay."""
-    found = contaminated(docs, benchmark, percent, doc_id=doc_id).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col(doc_id).cast("long") == F.col("_found"), "left_anti")
+    """docs without the documents that contaminated() finds; all others and all columns stay, whatever their names.
+
+    Of repeated rows of a doc_id all go if one holds an item. Rows without doc_id, and null or wordless texts, stay.
+    """
+    key = fresh("_found", docs)
+    found = contaminated(docs, benchmark, percent, doc_id=doc_id).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(found, docs[doc_id].cast("long") == found[key], "left_anti")

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewave.llm._shared import fresh
+
 BITS = 24
 
 
@@ -18,24 +20,19 @@ def _place(key: str, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << bits))
 
 
-def marks(keys: DataFrame, bits: int = BITS, hashed: bool = False) -> np.ndarray:
-    """The bit map of the only column of keys; hashed: the keys are hashes, and their low bits are the place.
+def marks(keys: DataFrame, bits: int = BITS) -> np.ndarray:
+    """The bit map of the only column of keys.
 
     At most 2 ** bits / 62 rows come to the driver (4 MB at 24 bits), from partial maps of each task.
     """
     key = keys.columns[0]
-    at = keys.select((F.col(key).bitwiseAND((1 << bits) - 1) if hashed else _place(key, bits)).alias("p"))
+    at = keys.select(_place(key, bits).alias("p"))
     got = at.groupBy(F.expr("p div 62").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 62 as int)))").alias("b")).toArrow()
     out = np.zeros((1 << bits) // 62 + 1, np.int64)
     out[np.asarray(got.column("w"))] = np.asarray(got.column("b"))
     return out
 
 
-def in_map(hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
-    p = (hashes & np.uint64((1 << bits) - 1)).astype(np.int64)
-    return (bitmap[p // 62] >> (p % 62)) & 1 == 1
-
-
 def marked(df: DataFrame, key: str, bitmap: np.ndarray, bits: int = BITS) -> DataFrame:
     """The rows of df whose key may be in the map, all columns kept."""
     b = df.sparkSession.sparkContext.broadcast(bitmap)
@@ -47,4 +44,4 @@ def marked(df: DataFrame, key: str, bitmap: np.ndarray, bits: int = BITS) -> Dat
             if ok.any():
                 yield batch.select(batch.schema.names[:-1]).filter(pa.array(ok))
 
-    return df.withColumn("_place", _place(key, bits)).mapInArrow(run, df.schema)
+    return df.select("*", _place(key, bits).alias(fresh("_place", df))).mapInArrow(run, df.schema)
