@@ -1,57 +1,64 @@
 """Deterministic sharded WARC writer, and its reader.
 
-Records are sorted by range of page id and rolled into files by compressed size; every record is a gzip member of its
-own. Spark's writer writes the files under temporary names on whatever file system the folder lies; then the driver
-gives them their final names and writes a manifest, without which a folder counts as not written. A file's name and bytes
-hang on the rows alone, not on how they were dealt to tasks.
+Records are put in order by page id and rolled into files by compressed size; every record is a gzip member of its own.
+The order and the files are found on ids, digests and sizes alone; a record's bytes are sent once, to its file. Spark's
+writer writes the files under temporary names on whatever file system the folder lies; then the driver gives them their
+final names and writes a manifest, without which a folder counts as not written. A file's name and bytes hang on the rows
+alone, not on how they were dealt to tasks.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import json
 import uuid
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewave.llm._shared import Scratch
+from tidewave.llm._shared import Scratch, chunks, record
+from tidewave.llm.skew import spread_join
 
 #: Payloads of so many bytes are written once; equal ones revisit that record.
 REVISIT_BYTES = 1000
 #: A file ends with the record that takes it to so many compressed bytes.
 ROLL_BYTES = 16 << 20
-#: Ids of a range whose records are made together.
-SPAN = 1024
+#: With more files than this, files are larger; so many first records go to all tasks.
+MOST_FILES = 200_000
+#: Rows of ids, digests and sizes that one task puts in order.
+ORDERED = 1_000_000
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 4
 MANIFEST = "manifest.json"
 
 
-def record_bytes(page_id: int, url: str | None, payload: bytes, kind: str, refers_to: int | None, date: str = DATE) -> bytes:
-    """One WARC record, uncompressed. Headers are made anew; ids hang on page and payload."""
-    sha = hashlib.sha1(payload)
-    name = lambda page: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{sha.hexdigest()}')}>"
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if kind == "revisit" else http + payload
+def record_bytes(page_id: int, url: str | None, payload: bytes | None, sha: bytes, n: int, refers_to: int | None = None, date: str = DATE) -> bytes:
+    """One WARC record, uncompressed: of payload, or a revisit of refers_to with a payload of this SHA-1 and n bytes.
+
+    Headers are made anew; ids hang on page and payload.
+    """
+    name = lambda page: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{sha.hex()}')}>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n
+    block = http if payload is None else http + payload
     head = [
         "WARC/1.1",
-        f"WARC-Type: {kind}",
+        f"WARC-Type: {'revisit' if payload is None else 'response'}",
         f"WARC-Record-ID: {name(page_id)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {''.join(c for c in url or '' if c > ' ' and c != chr(127))}",
-        f"WARC-Payload-Digest: sha1:{base64.b32encode(sha.digest()).decode()}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(sha).decode()}",
         f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
         f"X-Page-Id: {page_id}",
     ]
-    if kind == "revisit":
+    if payload is None:
         head += [f"WARC-Refers-To: {name(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -91,51 +98,112 @@ def records(data: bytes | memoryview, step: int = 1 << 16):
         yield fields, block
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, refers_to) of the records whose large payload a larger page_id has too.
+#: k numbers the rows, in no order that counts; tie tells records of one page apart; n counts the payload's bytes.
+MEMBERS = pa.schema([("k", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("n", pa.int64()), ("size", pa.int64()), ("gz", pa.binary())])
+PLACED = pa.schema([("page_id", pa.int64()), ("tie", pa.int64()), ("k", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("part", pa.int64())])
 
-    Only ids and digests are moved. Digests are grouped before they are joined; a payload of very many pages is a skewed
-    join key.
-    """
-    light = pages.where(F.octet_length("payload") >= REVISIT_BYTES).select("page_id", F.sha1("payload").alias("digest"))
-    last = light.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return light.join(last, "digest").where("page_id < refers_to").distinct()
+
+def _ddl(s: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {({pa.int64(): 'long', pa.string(): 'string', pa.binary(): 'binary'})[f.type]}" for f in s)
+
+
+def _responses(batches):
+    """Each row's record, as if it were a response."""
+    for b in chunks(batches, "payload"):
+        out = []
+        for k, page, url, payload in zip(*(b.column(c).to_pylist() for c in ("k", "page_id", "url", "payload")), strict=True):
+            sha = hashlib.sha1(payload)
+            gz = member(record_bytes(page, url, payload, sha.digest(), len(payload)))
+            out.append((k, page, url, sha.hexdigest(), len(payload), len(gz), gz))
+        yield record(MEMBERS, *zip(*out, strict=True))
+
+
+def _revisit_records(batches):
+    for b in batches:
+        cols = [b.column(c).to_pylist() for c in ("k", "page_id", "url", "digest", "n", "refers_to")]
+        gz = [member(record_bytes(page, url, None, bytes.fromhex(digest), n, refers_to)) for _, page, url, digest, n, refers_to in zip(*cols, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("k"), b.column("page_id"), b.column("tie"), pa.array([len(x) for x in gz], pa.int64()), pa.array(gz, pa.binary())], ["k", "page_id", "tie", "size", "gz"])
+
+
+def revisits(light: DataFrame) -> DataFrame:
+    """light (page_id, digest, n) -> (page_id, digest, refers_to, n of rows) where a larger page_id has the same large payload."""
+    large = light.where(F.col("n") >= REVISIT_BYTES).groupBy("page_id", "digest").agg(F.count("*").alias("rows"))
+    last = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    return spread_join(large, last, ["digest"], F.col("page_id")).where("page_id < refers_to").select("page_id", "digest", "refers_to", F.col("rows").alias("n"))
+
+
+def _starts(batches):
+    """Where each record begins if those of this task, in order, lay one after another."""
+    part, at = TaskContext.get().partitionId(), 0
+    for b in batches:
+        size = np.asarray(b.column("size"))
+        ends = at + np.cumsum(size)
+        yield record(PLACED, b.column("page_id"), b.column("tie"), b.column("k"), ends - size, size, np.full(len(size), part))
+        at = int(ends[-1]) if len(ends) else at
+
+
+def _without_superseded(batches):
+    """The records of a file in order; a revisit, which comes first, takes the place of the response of the same k."""
+    before = None
+    for b in batches:
+        k = np.asarray(b.column("k"))
+        if len(k):
+            keep = np.r_[before is None or k[0] != before, k[1:] != k[:-1]]
+            before = k[-1]
+            yield b.select(["gz", "file"]).filter(pa.array(keep))
+
+
+def file_of(bounds: list[tuple[int, int, int]], page: np.ndarray, tie: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The file of each record; bounds are the first records of the files, in order."""
+    first = np.array([x[0] for x in bounds], np.int64)
+    lo, hi = np.searchsorted(first, page), np.searchsorted(first, page, "right")
+    out = hi - 1
+    # files that begin within a page's records
+    for i in np.flatnonzero(hi > lo).tolist():
+        out[i] = bisect.bisect_right(bounds, (int(page[i]), int(tie[i]), int(k[i]))) - 1
+    return out
 
 
 def write(pages: DataFrame, folder: str, scratch: Scratch, payload: str = "html", roll: int = ROLL_BYTES) -> DataFrame:
     """Write one record for each row of pages (page_id, url, payload as text) with an id; the manifest as a DataFrame.
 
     A null payload is an empty one, a null url an empty target. Of repeated rows of one id each gets its record, all of them
-    of the largest id's kind. Ties have no order but their bytes'. Other columns are ignored.
+    of the largest id's kind. Ties of an id are ordered by hashes of payload and url. Rows without page_id have no record.
+    Other columns are ignored. A task holds a file's records at most, and payloads are compressed before anything is sent.
     """
     spark = pages.sparkSession
-    p = pages.where(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b"")).alias("payload"))
-
-    span = F.expr(f"floor(page_id / {SPAN})").alias("span")
-
-    def make(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Records of one range of ids, in order, with where each begins if they lie one after another."""
-        known = {(a, d): r for a, d, r in zip(right.r_page.tolist(), right.digest, right.refers_to.tolist(), strict=True)}
-        out = []
-        for page, url, html in zip(left.page_id.tolist(), left.url, left.payload, strict=True):
-            refers_to = known.get((page, hashlib.sha1(html).hexdigest())) if known else None
-            out.append((page, member(record_bytes(page, url, bytes(html), "response" if refers_to is None else "revisit", refers_to))))
-        out.sort()
-        sizes = [len(gz) for _, gz in out]
-        return pd.DataFrame({"span": left.span.iloc[0] if len(left) else [], "start": np.cumsum([0, *sizes])[:-1], "size": sizes, "gz": [gz for _, gz in out]})
-
-    spans_of = p.select(span, "*").groupBy("span").cogroup(revisits(p).select(F.expr(f"floor(page_id / {SPAN})").alias("r_span"), F.col("page_id").alias("r_page"), "digest", "refers_to").groupBy("r_span"))
-    made = scratch.save(spans_of.applyInPandas(make, "span long, start long, size long, gz binary"), "members")
-    # where each range of ids would begin if all records lay one after another; one row a range meets in one task
-    spans = made.groupBy("span").agg(F.sum("size").alias("total"))
-    spans = scratch.save(spans.select("span", "total", F.coalesce(F.sum("total").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")), "spans")
-    files = -(-(spans.agg(F.sum("total")).first()[0] or 0) // roll)
-    placed = made.join(spans.select("span", "base"), "span").select("span", "start", "gz", F.floor((F.col("base") + F.col("start")) / roll).alias("file"))
-    sorted_ = placed.repartitionByRange(max(1, files), "file").sortWithinPartitions("file", "span", "start")
-    # the writer ends each value with the separator: a zero, which every member ends with
-    lines = sorted_.select(F.expr("substring(gz, 1, length(gz) - 1)").cast("string").alias("value"), "file")
-    lines.write.mode("overwrite").partitionBy("file").option("lineSep", "\x00").text(f"{folder}/_parts")
-    scratch.drop("members", "spans")
+    p = pages.where(F.col("page_id").isNotNull()).select(F.monotonically_increasing_id().alias("k"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b"")).alias("payload"))
+    made = scratch.save(p.mapInArrow(_responses, _ddl(MEMBERS)), "members").withColumn("tie", F.xxhash64("digest", "url"))
+    kinds = spread_join(made.select("k", "page_id", "tie", "url", "digest", F.col("n").alias("bytes")), scratch.save(revisits(made), "kinds"), ["page_id", "digest"], F.col("k"))
+    again = scratch.save(kinds.withColumnRenamed("bytes", "n").mapInArrow(_revisit_records, "k long, page_id long, tie long, size long, gz binary"), "revisits")
+    key = ["page_id", "tie", "k"]
+    sizes = made.select(*key, "size").join(again.select("k", F.col("size").alias("own")), "k", "left").select(*key, F.coalesce("own", "size").alias("size"))
+    rows = made.count()
+    placed = scratch.save(sizes.repartitionByRange(max(1, -(-rows // ORDERED)), *key).sortWithinPartitions(*key).mapInArrow(_starts, _ddl(PLACED)), "placed")
+    # one row for ORDERED records meets in one task
+    parts = placed.groupBy("part").agg(F.sum("size").alias("total"))
+    base = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")
+    total = parts.agg(F.sum("total")).first()[0] or 0
+    each = max(roll, -(-total // MOST_FILES))
+    files = placed.join(parts.select("part", base), "part").groupBy(F.floor((F.col("base") + F.col("start")) / each).alias("file")).agg(F.min(F.struct(*key)).alias("first"))
+    bounds = [tuple(r) for r in files.orderBy("file").select("first.*").collect()]
+    if bounds:
+        sent = spark.sparkContext.broadcast(bounds)
+
+        def deal(batches):
+            for b in batches:
+                at = file_of(sent.value, *(np.asarray(b.column(c)) for c in key))
+                yield b.append_column("file", pa.array(at, pa.int64()))
+
+        both = again.select(*key, F.lit(0).alias("kind"), "gz").union(made.select(*key, F.lit(1).alias("kind"), "gz"))
+        dealt = both.mapInArrow(deal, "page_id long, tie long, k long, kind int, gz binary, file long")
+        dealt = dealt.repartitionById(len(bounds), F.col("file").cast("int")).sortWithinPartitions("file", *key, "kind").mapInArrow(_without_superseded, "gz binary, file long")
+        # the writer ends each value with the separator: a zero, which every member ends with
+        lines = dealt.select(F.expr("substring(gz, 1, length(gz) - 1)").cast("string").alias("value"), "file")
+        lines.write.mode("overwrite").partitionBy("file").option("lineSep", "\x00").text(f"{folder}/_parts")
+    else:
+        spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_parts").getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_parts"))
+    scratch.drop("members", "kinds", "revisits", "placed")
     return commit(spark, folder)
 
 
@@ -169,7 +237,10 @@ READ = "page_id long, payload_bytes long, payload_digest string, record_type str
 
 
 def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """One row per record of the files that the manifest names. A revisit has no payload, and null payload_bytes."""
+    """One row per record of the files that the manifest names. A revisit has no payload, and null payload_bytes.
+
+    A folder without records gives no rows; a damaged record or one that is cut off is an error.
+    """
     manifest = json.loads("".join(r.value for r in spark.read.text(f"{folder}/{MANIFEST}").collect()))
     if not manifest["files"]:
         return spark.createDataFrame([], READ)
@@ -201,7 +272,10 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def round_trip(pages: DataFrame, payload: str = "html") -> DataFrame:
-    """Write pages as WARC and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
+    """Write pages as WARC and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
+
+    Rows without page_id are not written and so don't come back; repeated rows come back as often.
+    """
     s = Scratch(pages.sparkSession, "warc")
     folder = f"{s.root}/archive"
     write(pages, folder, s, payload)
