@@ -84,10 +84,17 @@ def test_seeds_of_one_hash_but_other_words_are_told_apart():
     import pyarrow as pa
 
     a, b = " ".join(f"a{i}" for i in range(13)), " ".join(f"b{i}" for i in range(13))
-    cols = {"doc_id": [5, 5, 5], "h": [1, 1, 1], "place": [3, 3, 3], "left": [3, 3, 2], "ws": [b, a, a.replace("a12", "x")], "source": [2, 2, 2], "source_place": [3, 3, 3], "source_left": [3, 3, 3], "source_ws": [a] * 3}
+    cols = {"anchor": [9, 9, 9], "doc_id": [5, 5, 5], "h": [1, 1, 1], "place": [3, 3, 3], "left": [3, 3, 2], "ws": [b, a, a.replace("a12", "x")], "source": [2, 2, 2], "source_place": [3, 3, 3], "source_left": [3, 3, 3], "source_ws": [a] * 3}
     (got,) = substring_dedup._matches([pa.RecordBatch.from_pydict(cols)])
     assert got.column("source").to_pylist() == [None, 2, None]
     assert got.column("ws").to_pylist() == [b, None, a.replace("a12", "x")]
+    wide = "p q r s t u " + a + " v w x y z"  # 12 windows; the source has those from r to z
+    cols = {k: v[:1] for k, v in cols.items()} | {"place": [9], "left": [9], "ws": [wide], "source_left": [7], "source_ws": ["r s t u " + a + " v w other"]}
+    (got,) = substring_dedup._matches([pa.RecordBatch.from_pydict(cols)])
+    assert got.num_rows and set(got.column("source").to_pylist()) == {None, 2}
+    for r in got.to_pylist():
+        if r["source"] is None:
+            assert wide.split()[9 - r["left"] :][: len(r["ws"].split())] == r["ws"].split()
 
 
 def test_a_very_common_passage_and_a_very_long_text(documents):

@@ -3,13 +3,14 @@
 A window of LENGTH words holds LENGTH - SEED + 1 seeds of SEED words; the first of those with the least hash is its anchor,
 as in winnowing, so equal windows have equal anchors at the same place. Documents are joined on their anchors: each
 occurrence meets the first document that has the anchor, and the match is extended both ways, word by word, as far as the
-windows of this anchor reach. Windows that the first document doesn't have meet, by their words, the first document that
-does. Matches of a document that lie on one diagonal with another one run together to maximal repeats of LENGTH words or
-more.
+windows of this anchor reach. What the first document doesn't have meets the first of the others, ROUNDS times; windows
+that are left then meet, by their words, the first document that has them. Matches of a document that lie on one diagonal
+with another one run together to maximal repeats of LENGTH words or more.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 
@@ -26,14 +27,16 @@ LENGTH, SEED = 13, 7
 AROUND = LENGTH - SEED
 #: Occurrences whose words are laid out at once.
 AT_ONCE = 10_000
+ROUNDS = 3
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 OUTLINE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())])
 ANCHORS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
 #: An anchor at place, and the words of all windows with it, left of them before the anchor. h is a hash of the text.
 AROUNDS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("place", pa.int64()), ("left", pa.int64()), ("ws", pa.string())])
-#: A match of n words with source, or, where source is null, the words of a window yet to be looked for.
-MATCHES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64()), ("ws", pa.string())])
+#: A match of n words with source, or, where source is null, an occurrence of which windows are yet to be looked for.
+MATCHES = pa.schema([*AROUNDS, ("start", pa.int64()), ("n", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())])
+WINDOWS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("ws", pa.string())])
 STRIPPED = pa.schema([("doc_id", pa.int64()), ("sha_before", pa.string()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
@@ -130,27 +133,40 @@ def extend(ws: list[str], left: int, other: list[str], other_left: int) -> tuple
 
 
 def _matches(batches):
-    """Each anchor against the first document's: one match, and the windows that don't match."""
+    """Each occurrence against the first document's: a match, and the windows before and after it that don't match."""
     for b in batches:
         out = []
-        for doc, h, place, left, ws, source, source_place, source_left, source_ws in zip(*(b.column(c).to_pylist() for c in ("doc_id", "h", "place", "left", "ws", "source", "source_place", "source_left", "source_ws")), strict=True):
+        columns = ("anchor", "doc_id", "h", "place", "left", "ws", "source", "source_place", "source_left", "source_ws")
+        for anchor, doc, h, place, left, ws, source, source_place, source_left, source_ws in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+            match = lambda i, n: out.append((None, doc, h, None, None, None, place - i, n, source, source_place - i))  # noqa: B023, E731
             if ws == source_ws and left == source_left:
                 if doc > source:
-                    out.append((doc, h, place - left, ws.count(" ") + 1, source, source_place - left, None))
+                    match(left, ws.count(" ") + 1)
                 continue
             own = ws.split(" ")
             got = extend(own, left, source_ws.split(" "), source_left)
-            # windows start by their distance before the anchor
+            # windows are named by how far before the anchor they start
             first, last = left - (len(own) - LENGTH), left
             lo, hi = (max(first, AROUND - got[1]), min(last, got[0])) if got else (0, -1)
             if lo > hi:
                 lo, hi = last + 1, last
             elif doc > source:
-                out.append((doc, h, place - hi, hi - lo + LENGTH, source, source_place - hi, None))
-            out += [(doc, h, place - i, LENGTH, None, None, " ".join(own[left - i : left - i + LENGTH])) for i in (*range(first, lo), *range(hi + 1, last + 1))]
+                match(hi, hi - lo + LENGTH)
+            for a, z in ((first, lo - 1), (hi + 1, last)):
+                if a <= z:
+                    out.append((anchor, doc, h, place, z, " ".join(own[left - z : left - a + LENGTH]), None, None, None, None))
         yield record(MATCHES, *(zip(*out, strict=True) if out else [[]] * len(MATCHES)))
 
 
+def _windows(batches):
+    for b in batches:
+        out = []
+        for doc, h, place, left, ws in zip(*(b.column(c).to_pylist() for c in ("doc_id", "h", "place", "left", "ws")), strict=True):
+            own = ws.split(" ")
+            out += [(doc, h, place - left + k, " ".join(own[k : k + LENGTH])) for k in range(len(own) - LENGTH + 1)]
+        yield record(WINDOWS, *(zip(*out, strict=True) if out else [[]] * len(WINDOWS)))
+
+
 def _originals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_words, sha and original, the smallest doc_id with the same words, of every row."""
     outline = scratch.save(docs.mapInArrow(_outline, _ddl(OUTLINE)), "outline")
@@ -163,8 +179,7 @@ def maximal_repeats(source: DataFrame, scratch: Scratch) -> DataFrame:
     """source (doc_id, h, text) -> doc_id, h, start, n, source, source_start: what an earlier document has too, in words.
 
     Every window of LENGTH words that also starts in a document of smaller doc_id lies in one of them. An anchor's group is
-    never gathered: it is joined with the row of its first document, and what differs from that, by its words, with the
-    first document that has the same window.
+    never gathered: it is joined with the row of its first document, and what differs from that with the next one's.
     """
     anchors = source.mapInArrow(_anchors, _ddl(ANCHORS))
     shared = scratch.save(anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n"), "shared")
@@ -172,17 +187,20 @@ def maximal_repeats(source: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = scratch.save(wanted, "wanted")
     near = marked(source, "doc_id", marks(wanted.select("doc_id")))
     around = scratch.save(near.join(wanted, "doc_id").select("doc_id", "h", "text", "places").mapInArrow(_arounds, _ddl(AROUNDS)), "around")
-    scratch.drop("wanted")
-    first = around.groupBy("anchor").agg(F.min(F.struct("doc_id", "place", "left", "ws")).alias("f"), F.count("*").alias("n"))
-    first = scratch.save(first.select("anchor", "n", *[F.col(f"f.{c}").alias(n) for c, n in (("doc_id", "source"), ("place", "source_place"), ("left", "source_left"), ("ws", "source_ws"))]), "first")
-    matches = scratch.save(spread_join(around, first, ["anchor"], F.struct("doc_id", "h", "place")).mapInArrow(_matches, _ddl(MATCHES)), "matches")
-    scratch.drop("around", "first", "shared")
-    rest = matches.where("source is null").select("doc_id", "h", "start", "n", "ws")
+    scratch.drop("wanted", "shared")
+    columns, found = ["doc_id", "h", "start", "n", "source", "source_start"], []
+    for k in range(ROUNDS):
+        first = around.groupBy("anchor").agg(F.min(F.struct("doc_id", "place", "left", "ws")).alias("f"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("f.doc_id < high")
+        first = scratch.save(first.select("anchor", "n", *[F.col(f"f.{c}").alias(n) for c, n in (("doc_id", "source"), ("place", "source_place"), ("left", "source_left"), ("ws", "source_ws"))]), f"first-{k}")
+        matches = scratch.save(spread_join(around, first, ["anchor"], F.struct("doc_id", "h", "place", "left")).mapInArrow(_matches, _ddl(MATCHES)), f"matches-{k}")
+        scratch.drop("around", f"first-{k}")
+        found.append(matches.where("source is not null").select(*columns))
+        around = matches.where("source is null").select(*AROUNDS.names)
+    rest = scratch.save(around.mapInArrow(_windows, _ddl(WINDOWS)), "rest")
     again = rest.groupBy("ws").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("f.doc_id < high")
     again = scratch.save(again.select("ws", "n", F.col("f.doc_id").alias("source"), F.col("f.start").alias("source_start")), "again")
-    later = spread_join(rest.withColumnRenamed("n", "size"), again, ["ws"], F.struct("doc_id", "h", "start")).where("doc_id > source").withColumnRenamed("size", "n")
-    columns = ["doc_id", "h", "start", "n", "source", "source_start"]
-    found = matches.where("source is not null").select(*columns).union(later.select(*columns))
+    later = spread_join(rest, again, ["ws"], F.struct("doc_id", "h", "start")).where("doc_id > source").withColumn("n", F.lit(LENGTH).cast("long"))
+    found = functools.reduce(DataFrame.union, found).union(later.select(*columns))
     line = Window.partitionBy("doc_id", "h", "source", F.col("source_start") - F.col("start")).orderBy("start", "n")
     reach = F.max(F.col("start") + F.col("n")).over(line.rowsBetween(Window.unboundedPreceding, -1))
     runs = found.withColumn("fresh", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("run", F.sum("fresh").over(line.rowsBetween(Window.unboundedPreceding, 0)))
