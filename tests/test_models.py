@@ -20,15 +20,18 @@ def test_splits(spark):
     assert {r.n for r in g} == {1}
 
 
-def test_splits_of_many_rows_follow_the_generator(spark):
-    n = 1_000_010
-    d = models.train_test_split(spark.range(n).withColumn("same", F.lit(1)), ["id"], 0.2, folds=3)
-    sizes = {(r.part, r.fold): r["count"] for r in d.groupBy("part", "fold").count().collect()}
-    assert sizes == {("test", None): 200_002, ("train", 0): 266_670, ("train", 1): 266_669, ("train", 2): 266_669}
-    tested = d.where("part = 'test'").agg(F.sum("id")).first()[0]
-    assert tested == sum(models.shuffled(n, 42)[800_008:])
-    tied = models.train_test_split(spark.range(n).withColumn("same", F.lit(1)), ["same"], 0.2)
-    assert tied.where("part = 'test'").count() == 200_002
+def test_splits_of_many_rows_are_exact_and_hang_on_the_seed(spark):
+    n = 250_010
+    rows = spark.range(n).withColumn("same", F.lit(1))
+    split = lambda seed, parts: models.train_test_split(rows.repartition(parts), ["id"], 0.2, seed, folds=3)
+    sizes = {(r.part, r.fold): r["count"] for r in split(42, 3).groupBy("part", "fold").count().collect()}
+    assert sizes == {("test", None): 50_002, ("train", 0): 66_670, ("train", 1): 66_669, ("train", 2): 66_669}
+    tested = lambda seed, parts: split(seed, parts).where("part = 'test'").agg(F.sum("id")).first()[0]
+    assert tested(42, 3) == tested(42, 5) != tested(43, 3)
+    tied = models.train_test_split(rows.limit(100), ["same"], 0.2)
+    assert sorted(r["count"] for r in tied.groupBy("part").count().collect()) == [20, 80]
+    twice = models.repeated_train_test_split(rows.limit(100), ["id"], 0.2, 2).groupBy("repeat", "part").count().collect()
+    assert sorted(r["count"] for r in twice) == [20, 20, 80, 80]
 
 
 def test_polynomials(spark):

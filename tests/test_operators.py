@@ -133,7 +133,7 @@ def test_peaks():
     x = np.zeros(20)
     x[[5, 7, 12]] = 3, 2, 2.5
     assert signal.find_peaks(x, distance=5)[0].tolist() == [5, 12]
-    assert signal.find_peaks(np.array([0, 1, 1, 0.0]))[0].tolist() == [1]
+    assert signal.find_peaks(np.array([0, 1, 1, 0.0]))[0].tolist() == []
     assert signal.find_peaks(np.zeros(0))[0].tolist() == []
 
 
@@ -179,11 +179,72 @@ def test_load_rules(spark):
     assert [r.monotony for r in load.monotony_strain(days).collect()] == [1, 1, 1]
     assert load.simulate([42.0])["fitness"][0] == pytest.approx(1)
     assert load.recovery_days((0.0, 0.0), 5.0, 0.0, 3) is None
-    p = load.plan([50.0] * 28, "maintenance", 3)
-    assert len(p["loads"]) == 3 and load.plan([50.0] * 28, "recovery", 7)["cost"] >= 0
     steps = load.weight_loss(90, 80, 1.8, 40, True, "moderate", "moderate")
     assert steps.weight.iloc[-1] <= 80 and len(steps) <= 79
-    assert load.suggest_goal(-40.0, 120.0, 1.6) == "recovery"
+
+
+def demo_loads(days, base, variation):
+    return [max(base + np.sin(k * 0.5) * variation, 50.0) for k in range(days)]
+
+
+def test_plans_keep_to_their_goals():
+    recovery = load.plan([120.0 if k >= 21 else w for k, w in enumerate(demo_loads(28, 60.0, 15.0))], "recovery", 3)
+    assert recovery["success"] and 0.20 <= recovery["load_share"] <= 0.55 and max(recovery["loads"]) > 1.0 and recovery["acwr"] is not None
+    keep = load.plan(demo_loads(28, 70.0, 10.0), "maintenance", 3)
+    c = keep["chronic"]
+    assert keep["success"] and 0.85 <= keep["load_share"] <= 1.15 and np.ptp(keep["loads"]) > 0.05 * c
+    assert all(0.15 * c - 1 <= w <= 1.5 * c + 1 for w in keep["loads"])
+    more = load.plan(demo_loads(28, 55.0, 8.0), "overload", 3)
+    assert more["success"] and more["mean_load"] > more["chronic"] and more["load_share"] >= 1.15 and np.ptp(more["loads"]) > 1.0
+    assert load.plan(demo_loads(23, 80.0, 5.0) + [150.0] * 7, "recovery", 3)["success"]
+    assert all(len(load.plan(demo_loads(28, 60.0, 10.0), g, 10)["loads"]) == 10 and load.plan(demo_loads(28, 60.0, 10.0), g, 10)["success"] for g in load.GOALS)
+    for bad in (lambda: load.plan([10.0, 20.0], "maintenance"), lambda: load.plan([50.0] * 28, "recovery", 11), lambda: load.plan([50.0] * 28, "recovery", 0)):
+        with pytest.raises(ValueError):
+            bad()
+    days = np.array([[70.0, 84.0, 98.0], [84.0, 84.0, 84.0]])
+    ok, cost = load.rate_plans(days, "overload", 70.0, (60.0, 60.0))
+    assert ok.tolist() == [True, True] and cost[1] == pytest.approx(1.1 * 0.05 + 0.45 * 3.5 / 87.5 + 0.2 * 1)
+
+
+def test_goals_are_suggested_from_readiness(spark):
+    rows = [("recovery", 80.0, 115.0, 1.40), ("overload", 70.0, 50.0, 0.90), ("maintenance", 75.0, 80.0, 1.00), ("not overload", 90.0, 70.0, 1.50), ("recovery", 60.0, 95.0, None)]
+    d = spark.createDataFrame(rows, "want string, fitness double, fatigue double, acwr double").withColumn("form", F.col("fitness") - F.col("fatigue"))
+    for r in load.suggest_goals(d).collect():
+        assert r.goal == r.want or (r.want == "not overload" and r.goal != "overload")
+        assert 0.15 <= r.confidence <= 1 and min(r.recovery, r.maintenance, r.overload) >= 0
+
+
+def test_false_neighbors():
+    assert np.isnan(dynamics.fnn(np.arange(3.0), 3, 1))
+    t = np.arange(400) * 0.2
+    assert dynamics.fnn(np.sin(t), 2, 8, 10.0, 1.0, 8) < dynamics.fnn(np.sin(t), 1, 8, 10.0, 1.0, 8)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=80)
+    for m, tau, theiler in ((1, 1, 0), (2, 2, 3), (3, 1, 1)):
+        e, bad = dynamics.embed(x, m + 1, tau), 0
+        for i in range(len(e)):
+            d = [np.linalg.norm(e[i, :m] - e[j, :m]) if abs(i - j) > theiler else np.inf for j in range(len(e))]
+            j = int(np.argmin(d))
+            bad += abs(np.linalg.norm(e[i] - e[j]) - d[j]) / d[j] > 1.5 or abs(e[i, m] - e[j, m]) > 1.2
+        assert dynamics.fnn(x, m, tau, 1.5, 1.2, theiler) == pytest.approx(bad / len(e))
+
+
+def test_sparse_measures_equal_dense_ones():
+    rng = np.random.default_rng(2)
+    for n, theiler in ((0, 0), (1, 1), (2, 0), (60, 0), (60, 1), (90, 3)):
+        x = np.round(np.cumsum(rng.normal(size=n)), 1)
+        e = dynamics.embed(x, 2, 1)
+        if len(e):
+            dense = dynamics.rqa(dynamics.recurrence(e, radius=0.9, theiler=theiler))
+            assert dynamics.rqa_sparse(e, 0.9, theiler) == pytest.approx(dense)
+    x, y = rng.normal(size=120).round(2), rng.normal(size=100).round(2)
+    for m, r in ((1, 0.3), (2, 0.5), (3, 1.0)):
+        u, v = dynamics.embed(x, m + 1, 1), dynamics.embed(y, m + 1, 1)
+        near = lambda a, b, w: (np.abs(a[:, None, :w] - b[None, :, :w]).max(2) <= r)
+        pairs = lambda w: np.triu(near(u, u, w), 1).sum()
+        assert dynamics.sample_entropy(x, m, r) == pytest.approx(-np.log(pairs(m + 1) / pairs(m)))
+        u = u[: len(v)]
+        assert dynamics.cross_sample_entropy(x, y, m, r) == pytest.approx(-np.log(near(u, v, m + 1).sum() / near(u, v, m).sum()))
 
 
 def test_highest_rolling(spark):

@@ -105,29 +105,42 @@ def nb_predict(df: DataFrame, model: DataFrame, columns: list[str], keep: list[s
     return df.select(*keep, F.array_max(scored)["label"].alias("predicted"))
 
 
-def knn(train: DataFrame, queries: DataFrame, k: int, vec: str, label: str, train_id: str, query_id: str, metric: str = "euclidean", weighted: bool = False, blocks: int = 8) -> DataFrame:
+#: Training rows and queries that one task compares: with 64 components, 8 MB and 0.5 MB.
+KNN_ROWS, KNN_QUERIES = 16_384, 1024
+
+
+def knn(train: DataFrame, queries: DataFrame, k: int, vec: str, label: str, train_id: str, query_id: str, metric: str = "euclidean", weighted: bool = False, others: bool = False) -> DataFrame:
     """(query_id, predicted): the label of most of the k nearest training rows, ties to the smaller label.
 
-    Training rows are dealt to blocks; each query meets each block once, keeps k of it, and then k of all. Equal
-    distances go to the smaller training id.
+    Training rows and queries are dealt to blocks of bounded size; each block of queries meets each block of rows once, as
+    many tasks as there are such meetings, keeps k of it, and then k of all. Equal distances go to the smaller training id.
+    others: a training row of the query's own id doesn't count.
     """
-    t = train.select(F.pmod(F.xxhash64(train_id), F.lit(blocks)).alias("_b"), F.col(train_id).alias("_t"), F.col(vec).alias("_v"), F.col(label).alias("_y"))
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vec).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    n_t, n_q = max(1, -(-train.count() // KNN_ROWS)), max(1, -(-queries.count() // KNN_QUERIES))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    t = train.select(deal(train_id, n_t).alias("_b"), every(n_q).alias("_a"), F.col(train_id).alias("_t"), F.col(vec).alias("_v"), F.col(label).alias("_y"))
+    q = queries.select(deal(query_id, n_q).alias("_a"), every(n_t).alias("_b"), F.col(query_id).alias("query_id"), F.col(vec).alias("_q"))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            x, y = np.stack(right._v.to_list()).astype(float), right._y.to_numpy()
-            ids = right._t.to_numpy()
+            right = right.sort_values("_t", kind="stable")
+            x, y, ids = np.stack(right._v.to_list()).astype(float), right._y.to_numpy(), right._t.to_numpy()
             for q_id, v in zip(left.query_id, left._q, strict=True):
-                d = x - np.asarray(v, float)
-                dist = {"euclidean": lambda d: np.sqrt((d * d).sum(1)), "manhattan": lambda d: np.abs(d).sum(1), "chebyshev": lambda d: np.abs(d).max(1)}[metric](d)
-                at = np.lexsort((ids, dist))[:k]
-                out += [(q_id, dist[i], ids[i], y[i]) for i in at]
+                d = np.abs(x - np.asarray(v, float))
+                dist = {"euclidean": lambda d: np.sqrt((d * d).sum(1)), "manhattan": lambda d: d.sum(1), "chebyshev": lambda d: d.max(1)}[metric](d)
+                if others:
+                    dist[ids == q_id] = np.inf
+                # rows are in order of id: of equal distances the first count
+                bound = np.partition(dist, k - 1)[k - 1] if len(dist) > k else np.inf
+                at = np.flatnonzero(dist <= bound)
+                at = at[np.argsort(dist[at], kind="stable")][:k]
+                out += [(q_id, dist[i], ids[i], y[i]) for i in at if dist[i] < np.inf]
         return pd.DataFrame(out, columns=["query_id", "d", "t", "y"])
 
     types = dict(train.dtypes)
-    near = q.groupBy("_b").cogroup(t.groupBy("_b")).applyInPandas(run, f"query_id {dict(queries.dtypes)[query_id]}, d double, t {types[train_id]}, y {types[label]}")
+    near = q.groupBy("_a", "_b").cogroup(t.groupBy("_a", "_b")).applyInPandas(run, f"query_id {dict(queries.dtypes)[query_id]}, d double, t {types[train_id]}, y {types[label]}")
     w = Window.partitionBy("query_id").orderBy("d", "t")
     best = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     votes = best.groupBy("query_id", "y").agg(F.sum(1 / (F.col("d") + 1e-12) if weighted else F.lit(1.0)).alias("v"))

@@ -21,50 +21,73 @@ def embed(x: np.ndarray, dim: int, tau: int) -> np.ndarray:
     return np.stack([x[j * tau : j * tau + n] for j in range(dim)], axis=1) if n > 0 else np.zeros((0, dim))
 
 
-def fnn(x: np.ndarray, tau: int, max_dim: int, ratio: float = 10.0, size: float = 2.0) -> np.ndarray:
-    """Share of false nearest neighbours at each dimension from 1."""
-    sd, out = x.std(), []
-    for d in range(1, max_dim + 1):
-        e = embed(x, d, tau)[: max(len(x) - d * tau, 0)]
-        if len(e) < 2:
-            out.append(0.0)
-            continue
-        bad = 0
-        for k in range(len(e)):
-            r = np.sqrt(((e - e[k]) ** 2).sum(1))
-            r[k] = np.inf
-            j = int(r.argmin())
-            step = abs(x[k + d * tau] - x[j + d * tau])
-            bad += (step > ratio * r[j]) if r[j] > 0 else step > 0
-            bad += 0 if (r[j] > 0 and step > ratio * r[j]) or (r[j] == 0 and step > 0) else np.hypot(r[j], step) > size * sd
-        out.append(bad / len(e))
-    return np.array(out)
-
-
-def _chebyshev_counts(a: np.ndarray, b: np.ndarray, r: float, same: bool) -> int:
-    total = 0
-    for k in range(len(a)):
-        rest = b[k + 1 :] if same else b
-        total += int((np.abs(rest - a[k]).max(axis=1) <= r).sum()) if len(rest) else 0
-    return total
+def fnn(x: np.ndarray, m: int, tau: int, rtol: float = 10.0, atol: float = 2.0, theiler: int = 0) -> float:
+    """Share of points whose nearest neighbour in m dimensions is false in m + 1.
+
+    False: the distance grows by over rtol times itself, or the new coordinates lie over atol apart. Neighbours within
+    theiler samples don't count. NaN if the series is too short for a point, or no point has a neighbour.
+    """
+    wide = embed(np.asarray(x, float), m + 1, tau)
+    n = len(wide)
+    if n > MAX_SQUARE:
+        raise ValueError(f"neighbours among over {MAX_SQUARE} points aren't sought")
+    false = some = 0
+    for k in range(0, n, 256):
+        i = np.arange(k, min(k + 256, n))
+        d = np.sqrt(((wide[i, None, :m] - wide[None, :, :m]) ** 2).sum(2))
+        d[np.abs(i[:, None] - np.arange(n)[None]) <= theiler] = np.inf
+        j = d.argmin(axis=1)
+        near = d[np.arange(len(i)), j]
+        there = np.isfinite(near)
+        step = np.abs(np.sqrt(((wide[i] - wide[j]) ** 2).sum(1)) - near)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bad = (step / near > rtol) | (np.abs(wide[i, m] - wide[j, m]) > atol)
+        false, some = false + int((bad & there).sum()), some + int(there.sum())
+    return false / n if some else float("nan")
+
+
+def close_pairs(a: np.ndarray, r: float, most: int = 1 << 18):
+    """Blocks of (i, j), each pair of rows once, whose first coordinates lie within r; a float's breadth more may come."""
+    order = np.argsort(a[:, 0], kind="stable")
+    s = a[order, 0]
+    hi = np.searchsorted(s, s + r * (1 + 1e-12) + 1e-300, side="right")
+    n = np.maximum(hi - np.arange(len(s)) - 1, 0)
+    done = np.r_[0, np.cumsum(n)]
+    at = 0
+    while at < len(s):
+        to = max(int(np.searchsorted(done, done[at] + most, side="right")) - 1, at + 1)
+        i = np.repeat(np.arange(at, to), n[at:to])
+        j = np.arange(len(i)) - np.repeat(done[at:to] - done[at], n[at:to]) + i + 1
+        yield order[i], order[j]
+        at = to
 
 
 def sample_entropy(x: np.ndarray, m: int, r: float) -> float:
     """-ln(A / B) of matches within r of templates of m + 1 and m samples; 0 for degenerate series. r is absolute."""
-    n = len(x)
-    if n <= m + 1 or x.std() < 1e-12 or r < 1e-10:
+    x = np.asarray(x, float)
+    if len(x) <= m + 1 or x.std() < 1e-12 or r < 1e-10:
         return 0.0
-    b = _chebyshev_counts(embed(x, m, 1)[: n - m], embed(x, m, 1)[: n - m], r, True)
-    a = _chebyshev_counts(embed(x, m + 1, 1), embed(x, m + 1, 1), r, True)
+    wide = embed(x, m + 1, 1)
+    b = a = 0
+    for i, j in close_pairs(wide, r):
+        near = np.abs(wide[i] - wide[j]) <= r
+        short = near[:, :m].all(axis=1)
+        b, a = b + int(short.sum()), a + int((short & near[:, m]).sum())
     return float(-np.log(a / b)) if a and b else 0.0
 
 
 def cross_sample_entropy(x: np.ndarray, y: np.ndarray, m: int, r: float) -> float:
+    """The same of templates of x against those of y, of as many samples as the shorter has."""
     n = min(len(x), len(y))
     if n <= m + 1 or r < 1e-10:
         return 0.0
-    b = _chebyshev_counts(embed(x[:n], m, 1)[: n - m], embed(y[:n], m, 1)[: n - m], r, False)
-    a = _chebyshev_counts(embed(x[:n], m + 1, 1), embed(y[:n], m + 1, 1), r, False)
+    wide = np.concatenate([embed(np.asarray(s[:n], float), m + 1, 1) for s in (x, y)])
+    half, b, a = len(wide) // 2, 0, 0
+    for i, j in close_pairs(wide, r):
+        across = (i < half) != (j < half)
+        near = np.abs(wide[i[across]] - wide[j[across]]) <= r
+        short = near[:, :m].all(axis=1)
+        b, a = b + int(short.sum()), a + int((short & near[:, m]).sum())
     return float(-np.log(a / b)) if a and b else 0.0
 
 
@@ -203,6 +226,36 @@ def rqa(m: np.ndarray, lmin: int = 2, vmin: int = 2) -> dict:
     }
 
 
+def rqa_sparse(a: np.ndarray, radius: float, theiler: int = 0, lmin: int = 2, vmin: int = 2) -> dict:
+    """rqa(recurrence(a, None, radius, theiler)) from the recurrent pairs alone, without the matrix."""
+    n = len(a)
+    found = [np.zeros((2, 0), np.int64)]
+    for i, j in close_pairs(a, radius):
+        near = np.sqrt(((a[i] - a[j]) ** 2).sum(1)) <= radius
+        found.append(np.stack([np.minimum(i, j)[near], np.maximum(i, j)[near]]))
+    i, j = np.concatenate(found, axis=1)
+    if theiler > 1:
+        far = j - i >= theiler
+        i, j = i[far], j[far]
+    diag = np.repeat(_line_lengths((j - i) * n + i, i), 2)  # both triangles
+    row, col = np.r_[i, j], np.r_[j, i]
+    if theiler == 0:
+        row, col = np.r_[row, np.arange(n)], np.r_[col, np.arange(n)]
+    vert, total = _line_lengths(col * n + row, row), len(row)
+    d, v = diag[diag >= lmin], vert[vert >= vmin]
+    share = lambda s: float(s.sum() / total) if total else 0.0
+    mean, most = (lambda s: float(s.mean()) if len(s) else 0.0), (lambda s: int(s.max()) if len(s) else 0)
+    return {"rr": total / (n * n) if n else 0.0, "det": share(d), "lam": share(v), "lmean": mean(d), "lmax": most(d), "tt": mean(v), "vmax": most(v), "entropy": line_length_entropy(d)}
+
+
+def _line_lengths(key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Lengths of runs of neighbouring keys; a run ends where place begins anew."""
+    order = np.argsort(key)
+    k, p = key[order], place[order]
+    cut = np.flatnonzero(np.r_[True, (np.diff(k) != 1) | (np.diff(p) != 1), True]) if len(k) else np.zeros(1, int)
+    return np.diff(cut)
+
+
 def recurrence_pairs(df: DataFrame, radius: float, theiler: int = 1, x: str = "x", at: str = "i") -> DataFrame:
     """(series_id, i, j): sparse recurrences i < j of scalar series, as a range join on cells of width radius."""
     cell = F.floor(F.col(x) / radius)

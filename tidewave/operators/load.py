@@ -111,43 +111,139 @@ def simulate_continuous(load_at, t0: float, t1: float, dt: float, p: dict = PMC,
     return rk4(f, t0, t1, np.asarray(state, float), dt)
 
 
-def suggest_goal(form: float, fatigue: float, ratio_: float | None) -> str:
-    """recovery, maintenance or overload, the one with the highest score of form, fatigue and workload ratio."""
-    scores = {
-        "recovery": max(0.0, -form / 10) + max(0.0, (fatigue - 80) / 40) + (2.0 if ratio_ is not None and ratio_ > 1.5 else 1.0 if ratio_ is not None and ratio_ > 1.3 else 0.0),
-        "maintenance": 1.0 - min(abs(form) / 20, 1.0) + (0.5 if ratio_ is not None and 0.8 <= ratio_ <= 1.3 else 0.0),
-        "overload": max(0.0, form / 10) + (1.0 if ratio_ is not None and ratio_ < 0.8 else 0.0),
-    }
-    return max(scores, key=scores.get)
+#: Form under which recovery and over which overload is suggested, half the width of the band around 0 for
+#: maintenance, ratios of fatigue to fitness and of acute to chronic load that speak for recovery (high) or overload (low).
+SUGGEST = {"form_recovery": -20.0, "form_overload": 10.0, "form_half": 12.0, "fatigue_high": 1.15, "fatigue_low": 0.95, "acwr_high": 1.30, "acwr_low": 0.80}
+GOALS = ("recovery", "maintenance", "overload")
+
+
+def goal_scores(fitness: Column, fatigue: Column, form: Column, acwr_: Column, p: dict = SUGGEST) -> dict[str, Column]:
+    """The score of each goal, from form, fatigue relative to fitness, and the workload ratio where it is known."""
+    one = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    share, r = F.greatest(fatigue, F.lit(0.0)) / F.greatest(fitness, F.lit(1e-6)), acwr_
+    off = F.abs(form) / p["form_half"]
+    rec = F.when(form <= p["form_recovery"], 1.0 + 0.5 * F.least(p["form_recovery"] - form, F.lit(40.0)) / 40.0).when(form < 0, 0.55 * one(form / p["form_recovery"])).otherwise(0.15 * one(F.exp(-form / 30.0)))
+    keep = F.when(off <= 1.0, 1.0 - 0.35 * off).when(off <= 2.5, 0.65 - 0.25 * (off - 1.0)).otherwise(0.15)
+    more = F.when(form >= p["form_overload"], 1.0 + 0.35 * F.least((form - p["form_overload"]) / 25.0, F.lit(1.0))).when(form > 0, form / max(p["form_overload"], 1.0) * 0.70).otherwise(0.08 * one(1.0 + form / 40.0))
+    tired, fresh = F.least(share - p["fatigue_high"], F.lit(0.5)), F.least(p["fatigue_low"] - share, F.lit(0.4))
+    is_tired, is_fresh = share >= p["fatigue_high"], share <= p["fatigue_low"]
+    known = r.isNotNull() & ~F.isnan(r)
+    spiked, light = F.least(r - p["acwr_high"], F.lit(0.8)), F.least(p["acwr_low"] - r, F.lit(0.5))
+    is_spiked, is_light = known & (r >= p["acwr_high"]), known & (r <= p["acwr_low"])
+    pick = lambda *cases: F.when(cases[0][0], cases[0][1]).when(cases[1][0], cases[1][1]).otherwise(0.0)
+    rec = rec + pick((is_tired, 0.35 + 0.5 * tired), (is_fresh, F.lit(-0.15))) + pick((is_spiked, 0.55 + 0.6 * spiked), (is_light, F.lit(-0.10)))
+    keep = keep + pick((is_tired, F.lit(-0.05)), (is_fresh, F.lit(0.0))) + pick((is_spiked, 0.25 + 0.2 * spiked), (is_light, F.lit(0.0)))
+    more = more + pick((is_tired, -(0.40 + 0.6 * tired)), (is_fresh, 0.20 + 0.4 * fresh)) + pick((is_spiked, -(1.10 + 0.9 * spiked)), (is_light, 0.25 + 0.35 * light))
+    return {g: F.greatest(c, F.lit(0.0)) for g, c in zip(GOALS, (rec, keep, more), strict=True)}
+
+
+def suggest_goals(df: DataFrame, p: dict = SUGGEST) -> DataFrame:
+    """df (fitness, fatigue, form, acwr) with goal, confidence and the scores recovery, maintenance and overload.
+
+    The goal of the highest score, the first on ties; confidence grows with the distance to the second, from 0.15 to 1.
+    """
+    d = df.withColumns(goal_scores(*(F.col(c) for c in ("fitness", "fatigue", "form", "acwr")), p))
+    ordered = F.sort_array(F.array(*GOALS), asc=False)
+    goal = F.when((F.col("recovery") >= F.col("maintenance")) & (F.col("recovery") >= F.col("overload")), "recovery").when(F.col("maintenance") >= F.col("overload"), "maintenance").otherwise("overload")
+    return d.withColumns({"goal": goal, "confidence": F.greatest(F.lit(0.15), F.least(F.lit(1.0), (ordered[0] - ordered[1]) / 1.2))})
+
 
+#: A day's load as shares of the chronic load, and for each goal the least, greatest and desired mean share.
+SHARES = (0.0, 0.25, 0.45, 0.70, 1.0, 1.20, 1.40)
+BANDS = {"recovery": (0.20, 0.55, 0.38), "maintenance": (0.85, 1.15, 1.0), "overload": (1.15, 1.40, 1.25)}
+#: Up to so many candidates are all tried, else so many are kept each day.
+MOST_PLANS, BEAM = 20_000, 64
 
-def plan(history: list[float], goal: str, horizon: int = 7, p: dict = PMC, factors=(0.0, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5), most: int = 20_000, beam: int = 64, max_acwr: float = 1.5) -> dict:
-    """Daily loads for the next days, out of shares of the chronic load, that suit the goal best.
 
-    All candidates are tried if there are at most so many, else the best beam of them is kept each day. The search is over one
-    person's few days; persons are spread by pulse_response-like grouped calls.
+def _advance(fitness, fatigue, w, p: dict):
+    if p["rule"] == "ewma":
+        return fitness + (w - fitness) / p["tau_fitness"], fatigue + (w - fatigue) / p["tau_fatigue"]
+    return fitness * math.exp(-1 / p["tau_fitness"]) + w, fatigue * math.exp(-1 / p["tau_fatigue"]) + w
+
+
+def _form_after(start: tuple[float, float], days: np.ndarray, p: dict) -> np.ndarray:
+    """Form after the loads in each row of days."""
+    a, b = np.full(len(days), start[0]), np.full(len(days), start[1])
+    for w in days.T:
+        a, b = _advance(a, b, w, p)
+    return p["gain_fitness"] * a - p["gain_fatigue"] * b
+
+
+def rate_plans(days: np.ndarray, goal: str, chronic: float, start: tuple[float, float], p: dict = PMC) -> tuple[np.ndarray, np.ndarray]:
+    """(whether its mean load lies in the goal's band, cost) of each row of daily loads."""
+    c = max(chronic, 1.0)
+    lo, hi, aim = BANDS[goal]
+    mean, n = days.mean(axis=1), days.shape[1]
+    share = mean / c
+    ok = (share >= lo - 1e-12) & (share <= hi + 1e-12)
+    off = (np.abs(days - max(aim * c, 1.0)) / max(aim * c, 1.0)).mean(axis=1)
+    before = p["gain_fitness"] * start[0] - p["gain_fatigue"] * start[1]
+    gain = _form_after(start, days, p) - before
+    if goal == "recovery":
+        cost = 1.2 * np.abs(share - aim) + 0.8 * off
+        rests = (days < 1.0).mean(axis=1)
+        cost += np.where(rests > 0.67, 0.4 * rests, 0.0)
+        most = max(float(_form_after(start, np.zeros((1, n)), p)[0]) - before, 0.0)
+        return ok, cost - np.where(gain > 0, 0.03 * np.minimum(gain / most if most > 1e-6 else 1.0, 1.0), 0.0)
+    if goal == "maintenance":
+        spread = days.std(axis=1) / np.where(mean < 1e-9, 1.0, mean) * ((mean >= 1e-9) & (n > 1))
+        flat = (np.ptp(days, axis=1) / np.maximum(mean, 1.0) < 0.08) | (n < 2)
+        extreme = (np.maximum(0.30 - days / c, 0.0) + np.maximum(days / c - 1.35, 0.0)).sum(axis=1)
+        return ok, 0.5 * np.abs(share - 1.0) + 0.55 * np.abs(spread - 0.28) + 0.45 * flat + 0.4 * extreme
+    hard, run, longest = days + 1e-9 >= 1.20 * c, np.zeros(len(days), int), np.zeros(len(days), int)
+    for day in hard.T:
+        run = (run + 1) * day
+        longest = np.maximum(longest, run)
+    return ok & (mean > c), 1.1 * np.abs(share - aim) + 0.45 * off + 0.20 * np.maximum(longest - 2, 0) + 0.1 * (gain > 1.0)
+
+
+def plan(history: list[float], goal: str, horizon: int = 4, p: dict = PMC, least_history: int = 7, max_factor: float = 1.5) -> dict:
+    """The best daily loads for the next 1 to 10 days for a goal, after daily loads from the oldest to the newest.
+
+    A day is a share of the chronic load, the mean of the last 28 days. Plans whose mean lies in the goal's band come first,
+    then those of the least cost in millionths, then those whose first days are lighter. All plans are tried if there are at
+    most MOST_PLANS, else the best BEAM of the days so far are carried on. The workload ratio is given for information.
     """
     if not 1 <= horizon <= 10:
         raise ValueError("a horizon of 1 to 10 days is needed")
-    base = float(np.mean(history[-28:])) if history else 50.0
+    if len(history) < max(least_history, 1):
+        raise ValueError(f"{max(least_history, 1)} days of history are needed")
     start = (0.0, 0.0)
     for w in history:
         start = step(start, w, p)
-    target = {"recovery": 10.0, "maintenance": 0.0, "overload": -15.0}[goal]
+    chronic = float(np.mean(history[-28:]))
+    chronic = chronic if math.isfinite(chronic) and chronic > 1.0 else 50.0
+    most = max(max(max(history), chronic) * max_factor, 1.0)
+    loads = np.clip(np.array(SHARES) * chronic, 0.0, most)
+
+    def ranked(days: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ok, cost = rate_plans(days, goal, chronic, start, p)
+        return np.lexsort((np.trunc(cost * 1e6), ~ok)), ok, cost
+
+    if len(loads) ** horizon <= MOST_PLANS:
+        days = loads[np.stack([(np.arange(len(loads) ** horizon) // len(loads) ** d) % len(loads) for d in range(horizon)], axis=1)]
+    else:
+        days = np.zeros((1, 0))
+        for _ in range(horizon):
+            days = np.concatenate([np.repeat(days, len(loads), axis=0), np.tile(loads, len(days))[:, None]], axis=1)
+            days = days[ranked(days)[0][:BEAM]]
+    order, ok, cost = ranked(days)
+    best, recent = days[order[0]], [*history, *days[order[0]].tolist()][-28:]
+    form = p["gain_fitness"] * start[0] - p["gain_fatigue"] * start[1]
+    workload = (float(np.mean(recent[-7:]) / np.mean(recent)) if np.mean(recent) > 0 else 0.0) if len(history) + horizon >= 28 else None
+    return {"loads": best.tolist(), "success": bool(ok[order[0]]), "score": float(cost[order[0]]), "form_start": form, "form_end": float(_form_after(start, best[None], p)[0]), "chronic": chronic, "mean_load": float(best.mean()), "load_share": float(best.mean() / max(chronic, 1.0)), "acwr": workload}
+
+
+def plans(df: DataFrame, goals: tuple[str, ...] = GOALS, horizon: int = 4, p: dict = PMC, day: str = "day", load: str = "load") -> DataFrame:
+    """One row for each series of at least a week and each goal: loads, success, score, form_start, form_end, chronic and load_share."""
+    names = ("success", "score", "form_start", "form_end", "chronic", "load_share")
 
-    def cost(loads, state):
-        form = p["gain_fitness"] * state[0] - p["gain_fatigue"] * state[1]
-        recent = (list(history) + list(loads))[-28:]
-        r = np.mean(recent[-7:]) / np.mean(recent) if np.mean(recent) > 0 else 0.0
-        return abs(form - target) + 10 * max(0.0, r - max_acwr) - 0.05 * state[0]
-
-    kept = [((), start)]
-    for day in range(horizon):
-        kept = [(loads + (base * f,), step(state, base * f, p)) for loads, state in kept for f in factors]
-        if len(factors) ** horizon > most:
-            kept = sorted(kept, key=lambda c: (cost(*c), c[0]))[:beam]
-    loads, state = min(kept, key=lambda c: (cost(*c), c[0]))
-    return {"loads": list(loads), "state": state, "cost": cost(loads, state)}
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        history = pdf.sort_values(day)[load].astype(float).tolist()
+        rows = [(g, plan(history, g, horizon, p)) for g in goals] if len(history) >= 7 else []
+        return pd.DataFrame([(pdf[ID].iloc[0], g, got["loads"], *(got[c] for c in names)) for g, got in rows], columns=[ID, "goal", "loads", *names])
+
+    return df.groupBy(ID).applyInPandas(run, f"{ID} {dict(df.dtypes)[ID]}, goal string, loads array<double>, success boolean, score double, form_start double, form_end double, chronic double, load_share double")
 
 
 def ride_metrics(df: DataFrame, ftp: Column | float, at: str = "t_s", power: str = "power_w") -> DataFrame:

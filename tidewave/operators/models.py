@@ -10,7 +10,6 @@ from array import array
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,19 +44,33 @@ def split_sizes(n: int, test_share: float) -> tuple[int, int]:
     return n - test, test
 
 
+#: Rows that one task numbers.
+NUMBERED = 100_000
+
+
+def _placed(df: DataFrame, order: list[str], n: int, seed: int) -> DataFrame:
+    """df with _at, 0 to n - 1: places in the order of a seeded hash of the columns order, then of these themselves.
+
+    Rows are dealt to ranges of the hash; only the ranges' sizes meet in one task.
+    """
+    parts = max(1, -(-n // NUMBERED))
+    d = df.withColumn("_h", F.xxhash64(F.lit(seed), *order).bitwiseAND((1 << 62) - 1))
+    d = d.withColumn("_b", F.floor(F.col("_h") / ((1 << 62) / parts)))
+    sizes = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    base = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *order)) - 1
+    return d.join(sizes.select("_b", base.alias("_base")), "_b").withColumn("_at", F.col("_base") + own).drop("_b", "_h", "_base")
+
+
 def train_test_split(df: DataFrame, order: list[str], test_share: float, seed: int = 42, folds: int = 0) -> DataFrame:
-    """df with part and fold. Rows in the stated order are shuffled by the generator, the first go to training.
+    """df with part and fold. Rows are shuffled by a seeded hash of the columns order, the first go to training.
 
-    Folds of training rows are contiguous in the shuffled order and differ by one row at most. The generator's permutation
-    can't be spread: the driver makes it with 8 bytes a row and sends 16, and one task numbers the rows.
+    Parts have exactly the sizes of split_sizes; folds of training rows are contiguous in the shuffled order and differ by
+    one row at most. Rows alike in all columns of order are told apart by chance.
     """
     n = df.count()
     train, _ = split_sizes(n, test_share)
-    at = np.empty(n, np.int64)
-    at[np.asarray(shuffled(n, seed))] = np.arange(n)
-    places = df.sparkSession.createDataFrame(pa.table({"_row": np.arange(n), "_at": at}))
-    d = df.withColumn("_row", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")).join(places, "_row").drop("_row")
-    d = d.withColumn("part", F.when(F.col("_at") < train, "train").otherwise("test"))
+    d = _placed(df, order, n, seed).withColumn("part", F.when(F.col("_at") < train, "train").otherwise("test"))
     if folds:
         base, extra = divmod(train, folds)
         first = extra * (base + 1)
@@ -65,13 +78,24 @@ def train_test_split(df: DataFrame, order: list[str], test_share: float, seed: i
     return d.drop("_at")
 
 
+def repeated_train_test_split(df: DataFrame, order: list[str], test_share: float, repeats: int, seed: int = 42) -> DataFrame:
+    """df once for each repeat, with repeat and part; each repeat has a seed of its own."""
+    n = df.count()
+    train, _ = split_sizes(n, test_share)
+    parts = [_placed(df, order, n, seed + k).withColumns({"repeat": F.lit(k), "part": F.when(F.col("_at") < train, "train").otherwise("test")}).drop("_at") for k in range(repeats)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def grouped_split(df: DataFrame, group: str, test_share: float, seed: int = 42) -> DataFrame:
-    """df with part, every group whole in one of them: groups by name are shuffled and the last share of them tested."""
-    names = [r[0] for r in df.select(group).distinct().orderBy(group).collect()]
-    order = shuffled(len(names), seed)
-    test = max(1, min(len(names) - 1, math.floor(test_share * len(names) + 0.5)))
-    chosen = df.sparkSession.createDataFrame([(names[k],) for k in order[len(names) - test :]], df.select(group).schema)
-    return df.join(F.broadcast(chosen.withColumn("_t", F.lit(True))), group, "left").withColumn("part", F.when(F.col("_t"), "test").otherwise("train")).drop("_t")
+    """df with part, every group whole in one of them: groups are shuffled like rows and the last share of them tested."""
+    groups = df.select(group).distinct()
+    n = groups.count()
+    test = max(1, min(n - 1, math.floor(test_share * n + 0.5)))
+    chosen = _placed(groups, [group], n, seed).where(F.col("_at") >= n - test).select(group, F.lit(True).alias("_t"))
+    return df.join(chosen, group, "left").withColumn("part", F.when(F.col("_t"), "test").otherwise("train")).drop("_t")
 
 
 def fit_scores(n: int, rss: float, tss: float, k: int) -> dict:

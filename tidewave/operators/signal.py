@@ -68,42 +68,32 @@ def local_maxima(df: DataFrame, height: float | None = None) -> DataFrame:
 
 
 def find_peaks(x: np.ndarray, height: float | None = None, prominence: float | None = None, distance: int = 0, threshold: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(places, prominences) of local maxima, flat tops at their middle.
+    """(places, prominences) of samples above both neighbours; a flat top is no peak.
 
-    height: the least value; threshold: the least drop to both neighbours; prominence: the least height over the lower of
-    the two bases, a base being the least value up to the next higher sample; distance: of peaks nearer than this the
-    higher stays, chosen from the highest down, the earlier on ties.
+    height: the least value; threshold: the least drop to the higher neighbour; prominence: the least height over the lower
+    of the two bases, a base being the least value up to the next higher sample; distance: from left to right, a peak nearer
+    than this to the last one kept is left out.
     """
-    n, at, k = len(x), [], 1
-    while k < n - 1:
-        if x[k] > x[k - 1]:
-            j = k
-            while j < n - 1 and x[j + 1] == x[k]:
-                j += 1
-            if j < n - 1 and x[j + 1] < x[k]:
-                at.append((k + j) // 2)
-            k = j
-        k += 1
-    at = np.array(at, int)
+    x = np.asarray(x, float)
+    at = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] > x[2:])) + 1 if len(x) > 2 else np.zeros(0, int)
     if height is not None:
         at = at[x[at] >= height]
-    if threshold is not None and len(at):
-        at = at[np.minimum(x[at] - x[at - 1], x[at] - x[np.minimum(at + 1, n - 1)]) >= threshold]
+    if threshold is not None:
+        at = at[x[at] - np.maximum(x[at - 1], x[at + 1]) >= threshold]
     prom = np.empty(len(at))
-    for i, p in enumerate(at):
+    for i, p in enumerate(at.tolist()):
         higher = np.flatnonzero(x[:p] > x[p])
         left = x[(higher[-1] + 1 if len(higher) else 0) : p + 1].min()
         higher = np.flatnonzero(x[p + 1 :] > x[p])
-        right = x[p : (p + 1 + higher[0] if len(higher) else n)].min()
+        right = x[p : (p + 1 + higher[0] if len(higher) else len(x))].min()
         prom[i] = x[p] - min(left, right)
     if prominence is not None:
         at, prom = at[prom >= prominence], prom[prom >= prominence]
     if distance > 1 and len(at):
-        stays = np.ones(len(at), bool)
-        for i in np.lexsort((at, -x[at])):
-            if stays[i]:
-                near = (np.abs(at - at[i]) < distance) & (np.arange(len(at)) != i)
-                stays[near] = False
+        stays, last = np.zeros(len(at), bool), None
+        for i, p in enumerate(at.tolist()):
+            if last is None or p >= last + distance:
+                stays[i], last = True, p
         at, prom = at[stays], prom[stays]
     return at, prom
 

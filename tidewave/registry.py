@@ -100,7 +100,7 @@ def median_deviation(t):
 _COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round({'1.0' if a == b else f'corr({min(a, b)}, {max(a, b)})'}, 6) AS r FROM lineitem" + (" LIMIT 1" if False else "") + ("" if a != b else " HAVING count(*) > 0") for a in _COLS for b in _COLS) + ")")
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round({'1.0' if a == b else f'corr({min(a, b)}, {max(a, b)})'}, 6) AS r FROM lineitem" + ("" if a != b else " HAVING count(*) > 0") for a in _COLS for b in _COLS) + ")")
 def correlation_matrix(t):
     return tidy(statistics.correlation_matrix(t("lineitem"), _COLS))
 
@@ -222,10 +222,10 @@ def nb_predict(t):
     return classification.nb_predict(d, classification.gaussian_nb(d, ["l_quantity", "l_tax"], "l_linestatus"), ["l_quantity", "l_tax"], ["l_orderkey", "l_linenumber"])
 
 
-@query("""WITH d AS (SELECT q.vec_id AS query_id, t.vec_id AS t, t.label AS y, sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE) ** 2))) AS d FROM embeddings q JOIN embeddings t ON q.vec_id % 20 = 0 AND t.vec_id % 20 <> 0), b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, t) <= 5), v AS (SELECT query_id, y, count(*) AS v FROM b GROUP BY 1, 2) SELECT query_id, y AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY v DESC, y) = 1""")
+@query("""WITH d AS (SELECT q.vec_id AS query_id, t.vec_id AS t, t.label AS y, sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE) ** 2))) AS d FROM embeddings q JOIN embeddings t ON q.vec_id % 20 = 0 AND t.vec_id <> q.vec_id), b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, t) <= 5), v AS (SELECT query_id, y, count(*) AS v FROM b GROUP BY 1, 2) SELECT query_id, y AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY v DESC, y) = 1""")
 def knn_predict(t):
     e = t("embeddings")
-    return tidy(classification.knn(e.where("vec_id % 20 <> 0"), e.where("vec_id % 20 = 0"), 5, "embedding", "label", "vec_id", "vec_id"))
+    return tidy(classification.knn(e, e.where("vec_id % 20 = 0"), 5, "embedding", "label", "vec_id", "vec_id", others=True))
 
 
 @query("""SELECT round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem""")
@@ -248,11 +248,11 @@ def lasso(t):
     return d.sparkSession.createDataFrame([(round(float(a), 5), round(float(b), 6))], "intercept double, slope double")
 
 
-@query()
+@query(f"""WITH c AS (SELECT l_returnflag AS y, 'l_quantity' AS c, 1 AS k, l_quantity::DOUBLE AS v FROM lineitem UNION ALL SELECT l_returnflag, 'l_discount', 2, l_discount::DOUBLE FROM lineitem), y AS (SELECT DISTINCT y FROM c), g AS (SELECT c, k, v, y, count(*) AS n FROM c GROUP BY ALL), full_ AS (SELECT a.c, a.k, a.v, y.y, coalesce(n, 0) AS n FROM (SELECT DISTINCT c, k, v FROM c) a CROSS JOIN y LEFT JOIN g ON g.c = a.c AND g.v = a.v AND g.y = y.y), r AS (SELECT *, sum(n) OVER (PARTITION BY c, y ORDER BY v) AS l, sum(n) OVER (PARTITION BY c, y) AS t FROM full_), s AS (SELECT c, k, v, sum(l)::DOUBLE AS nl, sum(t - l)::DOUBLE AS nr, sum(l * l)::DOUBLE AS ll, sum((t - l) * (t - l))::DOUBLE AS rr FROM r GROUP BY c, k, v), b AS (SELECT c, k, v, round((nl - ll / nl + nr - rr / nr) / (nl + nr), 15) AS cost FROM s WHERE nr > 0 ORDER BY cost, k, v LIMIT 1), o AS (SELECT r.y, r.l, r.t - r.l AS right_ FROM r JOIN b ON r.c = b.c AND r.v = b.v) SELECT c AS "column", round((v + (SELECT min(x.v) FROM c x WHERE x.c = b.c AND x.v > b.v)) / 2, 9) AS threshold, (SELECT y FROM o ORDER BY l DESC, y LIMIT 1) AS "left", (SELECT y FROM o ORDER BY right_ DESC, y LIMIT 1) AS "right" FROM b""")
 def decision_stump(t):
     d = t("lineitem")
     s = classification.decision_stump(d, ["l_quantity", "l_discount"], "l_returnflag")
-    return d.sparkSession.createDataFrame([(s["column"], float(s["threshold"]), str(s["left"]), str(s["right"]))], "column string, threshold double, left string, right string")
+    return d.sparkSession.createDataFrame([(s["column"], round(float(s["threshold"]), 9), str(s["left"]), str(s["right"]))], "column string, threshold double, left string, right string")
 
 
 @query()
@@ -438,18 +438,18 @@ def nutrition(t):
     return tidy(p.withColumn("deficit", load.deficit(F.col("bmr"), F.col("tdee"), F.lit("moderate"))))
 
 
-@query("""WITH h AS (SELECT o_orderstatus AS sport, date_trunc('month', o_orderdate)::DATE AS since, max(o_totalprice) AS v FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1, 2) SELECT o.o_orderkey, round(h.v, 2) AS v FROM orders o ASOF LEFT JOIN h ON o.o_orderstatus = h.sport AND o.o_orderdate::DATE >= h.since""")
+@query("""WITH h AS (SELECT o_orderstatus AS sport, date_trunc('month', o_orderdate)::DATE AS since, max(o_totalprice) AS v FROM orders GROUP BY 1, 2) SELECT o.o_orderkey, round(h.v, 2) AS v FROM orders o ASOF LEFT JOIN h ON o.o_orderstatus = h.sport AND o.o_orderdate::DATE >= h.since""")
 def asof_join(t):
     o = t("orders").withColumn("d", F.col("o_orderdate").cast("date"))
-    h = o.where("o_orderkey % 7 = 0").groupBy("o_orderstatus", F.date_trunc("month", "d").cast("date").alias("since")).agg(F.round(F.max("o_totalprice"), 2).alias("v"))
+    h = o.groupBy("o_orderstatus", F.date_trunc("month", "d").cast("date").alias("since")).agg(F.round(F.max("o_totalprice"), 2).alias("v"))
     return joins.asof(o.select("o_orderkey", "o_orderstatus", "d"), h, "o_orderstatus", "d", "since", ["v"]).select("o_orderkey", "v")
 
 
-@query("""WITH h AS (SELECT o_orderstatus AS sport, date_trunc('month', o_orderdate)::DATE AS s, CASE WHEN month(o_orderdate) % 2 = 0 THEN (date_trunc('month', o_orderdate) + INTERVAL 10 DAY)::DATE END AS e, max(o_totalprice) AS v FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1, 2, 3), j AS (SELECT o.o_orderkey, o.o_orderdate::DATE AS d, h.e, h.v FROM orders o ASOF LEFT JOIN h ON o.o_orderstatus = h.sport AND o.o_orderdate::DATE >= h.s) SELECT o_orderkey, round(CASE WHEN v IS NOT NULL AND (e IS NULL OR e > d) THEN v ELSE 50 END, 2) AS ftp, CASE WHEN v IS NOT NULL AND (e IS NULL OR e > d) THEN 'history' ELSE 'fallback' END AS origin FROM j""")
+@query("""WITH h AS (SELECT o_orderstatus AS sport, date_trunc('month', o_orderdate)::DATE AS s, CASE WHEN month(o_orderdate) % 2 = 0 THEN (date_trunc('month', o_orderdate) + INTERVAL 10 DAY)::DATE END AS e, max(o_totalprice) AS v FROM orders GROUP BY 1, 2, 3), j AS (SELECT o.o_orderkey, o.o_orderdate::DATE AS d, h.e, h.v FROM orders o ASOF LEFT JOIN h ON o.o_orderstatus = h.sport AND o.o_orderdate::DATE >= h.s) SELECT o_orderkey, round(CASE WHEN v IS NOT NULL AND (e IS NULL OR e > d) THEN v ELSE 50 END, 2) AS ftp, CASE WHEN v IS NOT NULL AND (e IS NULL OR e > d) THEN 'history' ELSE 'fallback' END AS origin FROM j""")
 def asof_ftp_resolution(t):
     o = t("orders").select("o_orderkey", F.col("o_orderstatus").alias("sport"), F.col("o_orderdate").cast("date").alias("d"), "o_totalprice")
     m = F.date_trunc("month", "d").cast("date")
-    h = o.where("o_orderkey % 7 = 0").groupBy("sport", m.alias("s"), F.when(F.month("d") % 2 == 0, F.date_add(m, 10)).alias("e")).agg(F.max("o_totalprice").alias("w"))
+    h = o.groupBy("sport", m.alias("s"), F.when(F.month("d") % 2 == 0, F.date_add(m, 10)).alias("e")).agg(F.max("o_totalprice").alias("w"))
     out = joins.valid_at(o.select("o_orderkey", "sport", "d"), h, "sport", "d", "s", "e", "w", 50.0, "ftp")
     return out.select("o_orderkey", F.round("ftp", 2).alias("ftp"), "origin")
 
@@ -490,16 +490,10 @@ def catalog_upsert(t):
     return joins.upsert(c, n.unionByName(s), ["c_custkey"], keep_old=["c_acctbal"])
 
 
-TRACK = "WITH k AS (SELECT user_id % 4 AS series_id, user_id AS agent_id, row_number() OVER w - 1 AS f, value AS x, lead(value) OVER w AS y FROM events WHERE user_id < 60 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), tr AS (SELECT series_id, f::DOUBLE AS t, agent_id, x, y FROM k WHERE y IS NOT NULL AND f < 40)"
+TRACK = "WITH k AS (SELECT user_id // 15 AS series_id, user_id AS agent_id, row_number() OVER w - 1 AS f, value AS x, lead(value) OVER w AS y FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), tr AS (SELECT series_id, f::DOUBLE AS t, agent_id, x, y FROM k WHERE y IS NOT NULL)"
 
 
 def _tracks(t) -> DataFrame:
-    w = series.over(id_="user_id", at=["ts", "event_id"])
-    e = t("events").where("user_id < 60").select((F.col("user_id") % 4).alias("series_id"), (F.row_number().over(w) - 1).cast("double").alias("t"), F.col("user_id").alias("agent_id"), F.col("value").alias("x"), F.lead("value").over(w).alias("y"))
-    return e.where("y is not null and t < 40")
-
-
-def _all_tracks(t) -> DataFrame:
     """Tracks of all events: 15 users of neighbouring ids make a series, so that a frame's pairs don't grow with the table."""
     w = series.over(id_="user_id", at=["ts", "event_id"])
     e = t("events").select(F.floor(F.col("user_id") / 15).alias("series_id"), (F.row_number().over(w) - 1).cast("double").alias("t"), F.col("user_id").alias("agent_id"), F.col("value").alias("x"), F.lead("value").over(w).alias("y"))
@@ -561,47 +555,48 @@ def power_spectrum(t):
     return table(wave(t), lambda x: dict(zip(("f", "density"), signal.welch(x, 1.0, 32), strict=True)), "f double, density double")
 
 
-@query()
+@query(f"""{WAVE}, w AS (SELECT series_id, i, x AS x0, lead(x) OVER o AS x1, lead(x, 2) OVER o AS x2 FROM wave WINDOW o AS (PARTITION BY series_id ORDER BY i)), r AS (SELECT series_id, count(*) AS n, stddev_pop(x) AS sd, 0.2 * stddev_pop(x) AS r FROM wave GROUP BY series_id), c AS (SELECT a.series_id, count(*) AS b, count(*) FILTER (WHERE abs(a.x2 - d.x2) <= r) AS a FROM w a JOIN r USING (series_id) JOIN w d ON d.series_id = a.series_id AND d.i > a.i AND a.x2 IS NOT NULL AND d.x2 IS NOT NULL AND abs(a.x0 - d.x0) <= r AND abs(a.x1 - d.x1) <= r GROUP BY a.series_id) SELECT series_id, round(CASE WHEN n > 3 AND sd >= 1e-12 AND a > 0 AND b > 0 THEN -ln(a / b) ELSE 0 END, 6) AS sampen FROM r LEFT JOIN c USING (series_id)""")
 def sample_entropy(t):
     from tidewave.operators.grouped import summary
 
-    return summary(wave(t), lambda x: {"sampen": dynamics.sample_entropy(x, 2, 0.2 * x.std())}, "sampen double")
+    return tidy(summary(wave(t), lambda x: {"sampen": dynamics.sample_entropy(x, 2, 0.2 * x.std())}, "sampen double"))
 
 
-@query()
+@query(f"""{WAVE}, e AS (SELECT series_id, i, x AS a, lead(x) OVER o AS b, lead(x, 2) OVER o AS c FROM wave WINDOW o AS (PARTITION BY series_id ORDER BY i)), p AS (SELECT u.series_id, u.i, v.i AS j FROM e u JOIN e v ON u.series_id = v.series_id AND v.i > u.i AND u.c IS NOT NULL AND v.c IS NOT NULL AND sqrt((u.a - v.a) ** 2 + (u.b - v.b) ** 2 + (u.c - v.c) ** 2) <= 20), n AS (SELECT series_id, greatest(count(*) - 2, 0)::DOUBLE AS n FROM wave GROUP BY series_id), dl AS (SELECT series_id, count(*) AS len FROM (SELECT series_id, j - i AS d, i - row_number() OVER (PARTITION BY series_id, j - i ORDER BY i) AS g FROM p) GROUP BY series_id, d, g), both_ AS (SELECT series_id, i AS r, j AS c FROM p UNION ALL SELECT series_id, j, i FROM p), vl AS (SELECT series_id, count(*) AS len FROM (SELECT series_id, c, r - row_number() OVER (PARTITION BY series_id, c ORDER BY r) AS g FROM both_) GROUP BY series_id, c, g), t AS (SELECT series_id, 2.0 * count(*) AS total FROM p GROUP BY series_id), d AS (SELECT series_id, 2.0 * sum(len) AS s, avg(len) AS m, max(len) AS x FROM dl WHERE len >= 2 GROUP BY series_id), v AS (SELECT series_id, sum(len)::DOUBLE AS s, avg(len) AS m, max(len) AS x FROM vl WHERE len >= 2 GROUP BY series_id), h AS (SELECT series_id, -sum(q * log2(q)) AS h FROM (SELECT series_id, count(*) / sum(count(*)) OVER (PARTITION BY series_id) AS q FROM dl WHERE len >= 2 GROUP BY series_id, len) GROUP BY series_id) SELECT series_id, round(CASE WHEN n > 0 THEN coalesce(total, 0) / (n * n) ELSE 0 END, 6) AS rr, round(coalesce(d.s / total, 0), 6) AS det, round(coalesce(v.s / total, 0), 6) AS lam, round(coalesce(d.m, 0), 6) AS lmean, coalesce(d.x, 0)::BIGINT AS lmax, round(coalesce(v.m, 0), 6) AS tt, coalesce(v.x, 0)::BIGINT AS vmax, round(coalesce(h, 0), 6) AS entropy FROM n LEFT JOIN t USING (series_id) LEFT JOIN d USING (series_id) LEFT JOIN v USING (series_id) LEFT JOIN h USING (series_id)""")
 def recurrence_quantification(t):
     from tidewave.operators.grouped import summary
 
-    return summary(wave(t), lambda x: dynamics.rqa(dynamics.recurrence(dynamics.embed(x, 3, 1), radius=20.0, theiler=1)), "rr double, det double, lam double, lmean double, lmax long, tt double, vmax long, entropy double")
+    return tidy(summary(wave(t), lambda x: dynamics.rqa_sparse(dynamics.embed(x, 3, 1), radius=20.0, theiler=1), "rr double, det double, lam double, lmean double, lmax long, tt double, vmax long, entropy double"))
 
 
-@query()
+@query(f"""WITH RECURSIVE n AS (SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value AS x FROM events), k AS (SELECT series_id, i, x, x AS s, 2.0e0 - 2.0e0 * 2.0e0 / 12.0e0 AS p FROM n WHERE i = 0 UNION ALL SELECT n.series_id, n.i, n.x, s + (p + 1) / (p + 11) * (n.x - s), (1 - (p + 1) / (p + 11)) * (p + 1) FROM k JOIN n ON n.series_id = k.series_id AND n.i = k.i + 1) SELECT series_id, i, round(x, 6) AS x, round(s, 6) AS smooth FROM k""")
 def kalman_smoothing(t):
     from tidewave.operators.grouped import per_series
 
-    return per_series(wave(t), lambda x: signal.random_walk(x, 1.0, 10.0), "smooth")
+    return tidy(per_series(wave(t), lambda x: signal.random_walk(x, 1.0, 10.0), "smooth"))
 
 
-@query()
+@query(f"""{WAVE}, c AS (SELECT *, lag(x) OVER w AS p, lead(x) OVER w AS n FROM wave WINDOW w AS (PARTITION BY series_id ORDER BY i)), m AS (SELECT series_id, i, x FROM c WHERE x > p AND x > n), e AS (SELECT m.series_id, m.i, m.x, coalesce(max(h.i) FILTER (WHERE h.i < m.i), -1) AS l, coalesce(min(h.i) FILTER (WHERE h.i > m.i), 1000000000) AS r FROM m LEFT JOIN wave h ON h.series_id = m.series_id AND h.x > m.x GROUP BY ALL), b AS (SELECT e.series_id, e.i, e.x - min(v.x) AS prominence FROM e JOIN wave v ON v.series_id = e.series_id AND v.i > e.l AND v.i < e.r GROUP BY e.series_id, e.i, e.x), k AS (SELECT series_id, list_reduce(list([i] ORDER BY i), lambda a, y: CASE WHEN y[1] >= a[len(a)] + 3 THEN list_concat(a, y) ELSE a END) AS kept FROM b WHERE prominence >= 10 GROUP BY series_id) SELECT b.series_id, b.i, round(prominence, 6) AS prominence FROM b JOIN k ON k.series_id = b.series_id AND list_contains(kept, b.i)""")
 def peaks(t):
     from tidewave.operators.grouped import table
 
-    return table(wave(t), lambda x: dict(zip(("i", "prominence"), signal.find_peaks(x, prominence=10.0, distance=3), strict=True)), "i long, prominence double")
+    return tidy(table(wave(t), lambda x: dict(zip(("i", "prominence"), signal.find_peaks(x, prominence=10.0, distance=3), strict=True)), "i long, prominence double"))
 
 
-@query()
+@query(f"""{WAVE}, s AS (SELECT series_id, count(*) AS n, list(x ORDER BY x) AS v, stddev_pop(x) AS sd, min(x) AS lo, max(x) AS hi FROM wave GROUP BY series_id), q AS (SELECT *, (v[1 + round_even(0.75 * (n - 1), 0)::INT] - v[1 + round_even(0.25 * (n - 1), 0)::INT]) / 1.34 AS iqr FROM s), b AS (SELECT *, CASE WHEN n < 2 THEN 1.0 ELSE greatest(1.06 * coalesce(least(nullif(sd, 0), nullif(iqr, 0)), 0) * n ** -0.2, (hi - lo) * 0.001) END AS h0 FROM q), c AS (SELECT *, CASE WHEN h0 = 0 THEN 1.0 ELSE h0 END AS h, lo - 0.05 * CASE WHEN hi > lo THEN hi - lo ELSE 1 END AS a, hi + 0.05 * CASE WHEN hi > lo THEN hi - lo ELSE 1 END AS z FROM b), g AS (SELECT *, a + unnest(range(0, 40)) * (z - a) / 39 AS "at" FROM c) SELECT series_id, round("at", 6) AS "at", round(list_sum(list_transform(v, lambda y: exp(-0.5 * (("at" - y) / h) ** 2))) / (n * h * sqrt(2 * pi())), 6) AS density FROM g""")
 def density(t):
-    return statistics.kde(wave(t), points=40)
+    return tidy(statistics.kde(wave(t), points=40))
 
 
-@query()
+@query(f"""{GAPS}, d AS (SELECT series_id, t, interval, min(t) OVER (PARTITION BY series_id) AS t0, max(t) OVER (PARTITION BY series_id) AS t1 FROM gaps WHERE k > 0), w AS (SELECT series_id, t0, unnest(range(0, greatest(floor((t1 - t0 - 86400 + 1e-9) / 43200)::BIGINT + 1, 0))) * 43200 AS k FROM (SELECT DISTINCT series_id, t0, t1 FROM d)) SELECT w.series_id, round(w.t0 + 86400 + k, 3) AS "end", count(*) AS n, round(avg(interval), 3) AS mean, CASE WHEN count(*) > 1 THEN round(stddev_pop(interval), 3) END AS std FROM w JOIN d ON d.series_id = w.series_id AND d.t - d.t0 > k - 1e-9 AND d.t - d.t0 <= k + 86400 + 1e-9 GROUP BY w.series_id, w.t0, k""")
 def event_windows(t):
-    return biosignals.rolling_event_grid(biosignals.intervals(beats(t)), length=86400.0, step=43200.0)
+    d = biosignals.rolling_event_grid(biosignals.intervals(beats(t)), length=86400.0, step=43200.0)
+    return tidy(d, 3)
 
 
 @query()
 def space_actions(t):
-    d = _all_tracks(t)
+    d = _tracks(t)
     agents = d.select("agent_id").distinct().select("agent_id", (F.col("agent_id") % 2).alias("grp"), F.lit(1.0).alias("att_x"), F.lit(0.0).alias("att_y"))
     return spatial.classify_actions(d, d.groupBy("series_id", "t").agg(F.avg("x").alias("fx"), F.avg("y").alias("fy")), agents)
 
@@ -668,6 +663,37 @@ def polynomial_degrees(t):
     return t("part").sparkSession.createDataFrame([(f["degree"], float(f["rss"]), float(f["aic"]), float(f["bic"])) for f in fits], "degree int, rss double, aic double, bic double")
 
 
-@query()
+@query(f"""WITH n AS (SELECT count(*) AS n, least(greatest(floor(0.2 * count(*) + 0.5)::BIGINT, 1), count(*) - 1) AS test FROM orders), f AS (SELECT unnest(range(0, 5)) AS fold, n - test AS train FROM n) SELECT 'test' AS part, NULL::BIGINT AS fold, test::BIGINT AS n FROM n UNION ALL SELECT 'train', fold, train // 5 + (fold < train % 5)::BIGINT FROM f""")
 def train_test_split(t):
-    return models.train_test_split(t("orders").select("o_orderkey"), ["o_orderkey"], 0.2, folds=5).groupBy("part", "fold").agg(F.count("*").alias("n"))
+    return tidy(models.train_test_split(t("orders").select("o_orderkey"), ["o_orderkey"], 0.2, folds=5).groupBy("part", "fold").agg(F.count("*").alias("n")))
+
+
+@query(f"""{WAVE}, e AS (SELECT series_id, i, x AS a, lead(x) OVER o AS b, lead(x, 2) OVER o AS c FROM wave WINDOW o AS (PARTITION BY series_id ORDER BY i)), m1 AS (SELECT u.series_id, u.i, arg_min(v.i, (abs(u.a - v.a), v.i)) AS j FROM e u JOIN e v ON u.series_id = v.series_id AND abs(u.i - v.i) > 1 AND u.b IS NOT NULL AND v.b IS NOT NULL GROUP BY u.series_id, u.i), f1 AS (SELECT u.series_id, sum((coalesce(abs(sqrt((u.a - v.a) ** 2 + (u.b - v.b) ** 2) - abs(u.a - v.a)) / nullif(abs(u.a - v.a), 0) > 10, u.b <> v.b) OR abs(u.b - v.b) > 30)::INT) AS bad FROM m1 JOIN e u ON u.series_id = m1.series_id AND u.i = m1.i JOIN e v ON v.series_id = m1.series_id AND v.i = m1.j GROUP BY u.series_id), m2 AS (SELECT u.series_id, u.i, arg_min(v.i, (sqrt((u.a - v.a) ** 2 + (u.b - v.b) ** 2), v.i)) AS j FROM e u JOIN e v ON u.series_id = v.series_id AND abs(u.i - v.i) > 1 AND u.c IS NOT NULL AND v.c IS NOT NULL GROUP BY u.series_id, u.i), f2 AS (SELECT u.series_id, sum((coalesce(abs(sqrt((u.a - v.a) ** 2 + (u.b - v.b) ** 2 + (u.c - v.c) ** 2) - sqrt((u.a - v.a) ** 2 + (u.b - v.b) ** 2)) / nullif(sqrt((u.a - v.a) ** 2 + (u.b - v.b) ** 2), 0) > 10, u.c <> v.c) OR abs(u.c - v.c) > 30)::INT) AS bad FROM m2 JOIN e u ON u.series_id = m2.series_id AND u.i = m2.i JOIN e v ON v.series_id = m2.series_id AND v.i = m2.j GROUP BY u.series_id) SELECT n.series_id, round(f1.bad / (n - 1), 6) AS fnn_1, round(f2.bad / (n - 2), 6) AS fnn_2 FROM (SELECT series_id, count(*) AS n FROM wave GROUP BY series_id) n LEFT JOIN f1 USING (series_id) LEFT JOIN f2 USING (series_id)""")
+def false_neighbors(t):
+    from tidewave.operators.grouped import summary
+
+    return tidy(summary(wave(t), lambda x: {f"fnn_{m}": dynamics.fnn(x, m, 1, 10.0, 30.0, 1) for m in (1, 2)}, "fnn_1 double, fnn_2 double"))
+
+
+_READY = f"""{_RECURSIVE} r AS (SELECT series_id, day, load, k, load / 42 AS f, load / 7 AS a FROM n WHERE k = 1 UNION ALL SELECT n.series_id, n.day, n.load, n.k, f + (n.load - f) / 42, a + (n.load - a) / 7 FROM r JOIN n ON n.series_id = r.series_id AND n.k = r.k + 1)"""
+
+
+@query(f"""{_READY}, w AS (SELECT series_id, day, f, a, f - a AS form, avg(load) OVER (PARTITION BY series_id ORDER BY day ROWS 6 PRECEDING) / avg(load) OVER (PARTITION BY series_id ORDER BY day ROWS 27 PRECEDING) AS q, greatest(a, 0) / greatest(f, 1e-6) AS s FROM r), p AS (SELECT series_id, day,
+    CASE WHEN form <= -20 THEN 1 + 0.5 * least(-20 - form, 40) / 40 WHEN form < 0 THEN 0.55 * least(form / -20, 1) ELSE 0.15 * exp(-form / 30) END + CASE WHEN s >= 1.15 THEN 0.35 + 0.5 * least(s - 1.15, 0.5) WHEN s <= 0.95 THEN -0.15 ELSE 0 END + CASE WHEN q >= 1.3 THEN 0.55 + 0.6 * least(q - 1.3, 0.8) WHEN q <= 0.8 THEN -0.1 ELSE 0 END AS rec,
+    CASE WHEN abs(form) <= 12 THEN 1 - 0.35 * abs(form) / 12 WHEN abs(form) <= 30 THEN 0.65 - 0.25 * (abs(form) / 12 - 1) ELSE 0.15 END + CASE WHEN s >= 1.15 THEN -0.05 ELSE 0 END + CASE WHEN q >= 1.3 THEN 0.25 + 0.2 * least(q - 1.3, 0.8) ELSE 0 END AS keep,
+    CASE WHEN form >= 10 THEN 1 + 0.35 * least((form - 10) / 25, 1) WHEN form > 0 THEN form / 10 * 0.7 ELSE 0.08 * greatest(1 + form / 40, 0) END + CASE WHEN s >= 1.15 THEN -0.4 - 0.6 * least(s - 1.15, 0.5) WHEN s <= 0.95 THEN 0.2 + 0.4 * least(0.95 - s, 0.4) ELSE 0 END + CASE WHEN q >= 1.3 THEN -1.1 - 0.9 * least(q - 1.3, 0.8) WHEN q <= 0.8 THEN 0.25 + 0.35 * least(0.8 - q, 0.5) ELSE 0 END AS more FROM w), g AS (SELECT series_id, day, greatest(rec, 0) AS rec, greatest(keep, 0) AS keep, greatest(more, 0) AS more FROM p)
+    SELECT series_id, day, CASE WHEN rec >= keep AND rec >= more THEN 'recovery' WHEN keep >= more THEN 'maintenance' ELSE 'overload' END AS goal, round(least(greatest((list_sort([rec, keep, more])[3] - list_sort([rec, keep, more])[2]) / 1.2, 0.15), 1), 5) AS confidence, round(rec, 5) AS recovery, round(keep, 5) AS maintenance, round(more, 5) AS overload FROM g""")
+def goal_suggestions(t):
+    d = load.suggest_goals(load.acwr(load.pulse_response(_days(t))))
+    return d.select("series_id", "day", "goal", *[F.round(c, 5).alias(c) for c in ("confidence", *load.GOALS)])
+
+
+@query(f"""{_READY}, e AS (SELECT series_id, arg_max(f, k) AS f, arg_max(a, k) AS a, max(load) AS top, avg(load) FILTER (WHERE k > m - 28) AS c0 FROM r JOIN (SELECT series_id, max(k) AS m FROM r GROUP BY series_id) USING (series_id) GROUP BY series_id), c AS (SELECT *, CASE WHEN c0 > 1 THEN c0 ELSE 50.0 END AS c, greatest(greatest(top, CASE WHEN c0 > 1 THEN c0 ELSE 50.0 END) * 1.5, 1) AS most FROM e), u AS (SELECT unnest([0.0, 0.25, 0.45, 0.70, 1.0, 1.20, 1.40])::DOUBLE AS u, unnest(range(0, 7)) AS ix), x AS (SELECT series_id, f, a, c, u1.ix + 7 * u2.ix + 49 * u3.ix AS ix, least(u1.u * c, most) AS d1, least(u2.u * c, most) AS d2, least(u3.u * c, most) AS d3 FROM c CROSS JOIN u u1 CROSS JOIN u u2 CROSS JOIN u u3),
+    y AS (SELECT *, (d1 + d2 + d3) / 3 AS mean, greatest(c, 1) AS k FROM x), z AS (SELECT *, mean / k AS share, list_aggregate([d1, d2, d3], 'stddev_pop') / CASE WHEN mean < 1e-9 THEN 1 ELSE mean END AS cv, ((f + (d1 - f) / 42) + (d2 - (f + (d1 - f) / 42)) / 42) AS f2, ((a + (d1 - a) / 7) + (d2 - (a + (d1 - a) / 7)) / 7) AS a2 FROM y), v AS (SELECT *, (f2 + (d3 - f2) / 42) - (a2 + (d3 - a2) / 7) AS form_end, f - a AS form_start, f * (41 / 42.0) ** 3 - a * (6 / 7.0) ** 3 - (f - a) AS best FROM z),
+    g AS (SELECT *, 'recovery' AS goal, share BETWEEN 0.2 - 1e-12 AND 0.55 + 1e-12 AS ok, 1.2 * abs(share - 0.38) + 0.8 * list_avg(list_transform([d1, d2, d3], lambda w: abs(w - greatest(0.38 * k, 1)) / greatest(0.38 * k, 1))) + CASE WHEN (d1 < 1)::INT + (d2 < 1)::INT + (d3 < 1)::INT = 3 THEN 0.4 ELSE 0 END - CASE WHEN form_end > form_start THEN 0.03 * least(CASE WHEN best > 1e-6 THEN (form_end - form_start) / best ELSE 1 END, 1) ELSE 0 END AS cost FROM v
+    UNION ALL SELECT *, 'maintenance', share BETWEEN 0.85 - 1e-12 AND 1.15 + 1e-12, 0.5 * abs(share - 1) + 0.55 * abs(CASE WHEN mean >= 1e-9 THEN cv ELSE 0 END - 0.28) + CASE WHEN (greatest(d1, d2, d3) - least(d1, d2, d3)) / greatest(mean, 1) < 0.08 THEN 0.45 ELSE 0 END + 0.4 * list_sum(list_transform([d1, d2, d3], lambda w: greatest(0.3 - w / k, 0) + greatest(w / k - 1.35, 0))) FROM v
+    UNION ALL SELECT *, 'overload', share BETWEEN 1.15 - 1e-12 AND 1.4 + 1e-12 AND mean > k, 1.1 * abs(share - 1.25) + 0.45 * list_avg(list_transform([d1, d2, d3], lambda w: abs(w - greatest(1.25 * k, 1)) / greatest(1.25 * k, 1))) + CASE WHEN least(d1, d2, d3) + 1e-9 >= 1.2 * k THEN 0.2 ELSE 0 END + CASE WHEN form_end > form_start + 1 THEN 0.1 ELSE 0 END FROM v)
+    SELECT series_id, goal, round(d1, 4) AS day_1, round(d2, 4) AS day_2, round(d3, 4) AS day_3, ok AS success, round(cost, 5) AS score, round(form_end, 4) AS form_end, round(share, 5) AS load_share FROM g QUALIFY row_number() OVER (PARTITION BY series_id, goal ORDER BY NOT ok, trunc(cost * 1e6), ix) = 1""")
+def load_plans(t):
+    d = load.plans(_days(t), horizon=3)
+    return d.select("series_id", "goal", *[F.round(F.col("loads")[k], 4).alias(f"day_{k + 1}") for k in range(3)], "success", F.round("score", 5).alias("score"), F.round("form_end", 4).alias("form_end"), F.round("load_share", 5).alias("load_share"))
