@@ -349,3 +349,39 @@ def test_gait(spark):
     d = spark.createDataFrame([("a", float(v)) for v in t], "series_id string, t double")
     r = biosignals.gait_measures(d).first()
     assert r.mean_stride == pytest.approx(1.1) and r.cadence == pytest.approx(120 / 1.1) and r.symmetry == pytest.approx(2 * 0.1 / 1.1)
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_asof_in_ranges_equals_one_window(spark, inclusive):
+    rng = np.random.default_rng(5)
+    left = [(int(k), "a" if k % 3 else "b", None if k == 7 else int(rng.integers(0, 400))) for k in range(300)]
+    right = [("a" if k % 2 else "b", int(rng.integers(0, 400)), int(k)) for k in range(40)] + [("c", 1, 99)]
+    l, r = spark.createDataFrame(left, "id long, key string, t long"), spark.createDataFrame(right, "key string, s long, v long")
+    got = {x.id: x.v for x in joins.asof(l, r, "key", "t", "s", ["v"], inclusive, merged=20).collect()}
+    for i, key, t in left:
+        fits = [(s, v) for k, s, v in right if k == key and t is not None and (s <= t if inclusive else s < t)]
+        assert got[i] == (max(fits)[1] if fits else None)
+
+
+def test_sessions_equal_comparing_all_rows(spark):
+    import datetime
+
+    rng = np.random.default_rng(6)
+    day, rows = datetime.date(2024, 1, 1), []
+    for k in range(250):
+        d = int(rng.integers(0, 12))
+        start = None if d in (3, 4, 9) and rng.random() < 0.3 else float(1704067200 + d * 86400 + rng.integers(0, 86400) // 400 * 400)
+        rows.append(("o" if k % 2 else "p", k, rng.choice(["run", "RUN", "ride"]).item(), start, day + datetime.timedelta(days=d), rng.choice(["x", "y"]).item(), None, float(rng.integers(0, 2)), float(rng.integers(1, 5) * 600)))
+    a = spark.createDataFrame(rows, "owner string, id long, sport string, start double, date date, pipeline string, manufacturer string, power double, duration double")
+    got = {(r.owner, r.id): (r.session, r.is_primary) for r in joins.link_sessions(a).collect()}
+    names = ["owner", "id", "sport", "start", "date", "pipeline", "manufacturer", "power", "duration"]
+    for owner in "op":
+        own = sorted((dict(zip(names, r, strict=True)) for r in rows if r[0] == owner), key=lambda r: (r["start"] or 0, r["date"], r["id"]))
+        taken = set()
+        for i, seed in enumerate(own):
+            if i not in taken:
+                group = [i] + [j for j in range(i + 1, len(own)) if j not in taken and joins.sessions_match(seed, own[j])]
+                taken.update(group)
+                best = max(group, key=lambda j: (joins.primary_score(own[j]), -j))
+                for j in group:
+                    assert got[owner, own[j]["id"]] == (seed["id"], j == best)

@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, on: str | list[str], left_time: str, right_time: str, take: list[str], inclusive: bool = True) -> DataFrame:
+#: Rows of one key that are merged in one task, about.
+MERGED = 200_000
+
+
+def asof(left: DataFrame, right: DataFrame, on: str | list[str], left_time: str, right_time: str, take: list[str], inclusive: bool = True, merged: int = MERGED) -> DataFrame:
     """left with the columns take of the last row of right whose time is not after (or before) left's, null if there is none.
 
-    Both sides go through one sorted window per key and are merged there; no pairs are made. Of right's rows of one time
-    the greatest by take counts.
+    Time is cut into ranges at approximate quantiles of left's, so that a key of very many rows is not one group. Both
+    sides go through one sorted window per key and range and are merged there; no pairs are made. Each range begins with
+    the last row of right before it, found among the ranges' own last rows. Of right's rows of one time the greatest by
+    take counts; rows of left without a time find nothing.
     """
     keys = [on] if isinstance(on, str) else on
     val = F.struct(*[F.col(c) for c in take])
-    l = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1 if inclusive else 0).alias("_o"), F.struct(*left.columns).alias("_l"), F.lit(None).alias("_r"))
-    r = right.groupBy(*keys, F.col(right_time).alias("_t")).agg(F.max(val).alias("_r")).select(*keys, "_t", F.lit(1 - (1 if inclusive else 0)).alias("_o"), F.lit(None).alias("_l"), "_r")
-    w = Window.partitionBy(*keys).orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    u = l.withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).unionByName(r.withColumn("_l", F.lit(None).cast(l.schema["_l"].dataType)))
+    kind = dict(left.dtypes)[left_time]
+    number = {"date": F.unix_date, "timestamp": F.unix_micros}.get(kind, lambda c: c)
+    ranges = -(-left.count() // merged)
+    measured = left.select(number(F.col(left_time)).cast("double").alias("_t")) if ranges > 1 else None
+    bounds = sorted(set(measured.approxQuantile("_t", [k / ranges for k in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
+    cell = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < number(F.col("_t")).cast("double"))), F.lit(0)) if bounds else F.lit(0)
+    l = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1 if inclusive else 0).alias("_o"), F.struct(*left.columns).alias("_l")).withColumn("_c", cell)
+    r = right.where(F.col(right_time).isNotNull()).groupBy(*keys, F.col(right_time).cast(kind).alias("_t")).agg(F.max(val).alias("_r")).withColumn("_c", cell)
+    u = l.withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).unionByName(r.withColumns({"_o": F.lit(0 if inclusive else 1), "_l": F.lit(None).cast(l.schema["_l"].dataType)}))
+    if bounds:
+        own = l.select(*keys, "_c").distinct().withColumn("_v", F.lit(None).cast(r.schema["_r"].dataType)).unionByName(r.groupBy(*keys, "_c").agg(F.max_by("_r", "_t").alias("_v")))
+        before = Window.partitionBy(*keys).orderBy("_c").rangeBetween(Window.unboundedPreceding, -1)
+        carried = own.withColumn("_r", F.last("_v", True).over(before)).where("_r is not null").select(*keys, "_c", "_r").distinct()
+        u = u.unionByName(carried.withColumns({"_t": F.lit(None).cast(kind), "_o": F.lit(2), "_l": F.lit(None).cast(l.schema["_l"].dataType)}))
+    w = Window.partitionBy(*keys, "_c").orderBy(F.asc_nulls_first("_t"), "_o").rowsBetween(Window.unboundedPreceding, 0)
     return u.withColumn("_v", F.last("_r", True).over(w)).where("_l is not null").select("_l.*", *[F.col(f"_v.{c}").alias(c) for c in take])
 
 
@@ -76,20 +95,37 @@ def link_sessions(activities: DataFrame, owner: str = "owner") -> DataFrame:
     """activities (owner, id, sport, start, date, pipeline, manufacturer, power, duration) with session and is_primary.
 
     In order of start, date and id each row not yet taken gathers every later row that matches it; the first of the highest
-    score is primary. One owner's days, split where no match can span, make a group.
+    score is primary. An owner's rows are split wherever no match can span: at gaps of over START_S between starts, and,
+    beside days with a recording that has no start, at two days. Within a group a row is compared only with rows that start
+    within START_S of it or, where a start is missing, with those of its day.
     """
-    w = Window.partitionBy(owner).orderBy("date", "id")
-    cut = activities.withColumn("_n", F.when(F.datediff("date", F.lag("date").over(w)) <= 1, 0).otherwise(1))
-    cut = cut.withColumn("_g", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_n")
+    day = F.unix_timestamp(F.col("date").cast("timestamp")).cast("double")
+    at = F.coalesce(F.col("start").cast("double"), day)
+    flagged = F.max(F.col("start").isNull().cast("int")).over(Window.partitionBy(owner, "date")) == 1
+    w = Window.partitionBy(owner).orderBy("_e", "date", "id")
+    cut = activities.withColumns({"_e": at, "_f": flagged})
+    gap = F.when(F.col("_f") | F.lag("_f").over(w), 172_800.0).otherwise(START_S)
+    cut = cut.withColumn("_n", F.when(F.col("_e") - F.lag("_e").over(w) <= gap, 0).otherwise(1))
+    cut = cut.withColumn("_g", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_n", "_e", "_f")
     fields = ["id", "sport", "start", "date", "pipeline", "manufacturer", "power", "duration"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.assign(_s=pdf["start"].fillna(0)).sort_values(["_s", "date", "id"]).to_dict("records")
+        rows = pdf.assign(_s=pdf["start"].fillna(0)).sort_values(["_s", "date", "id"], kind="stable").to_dict("records")
+        starts = [r["start"] if pd.notna(r["start"]) else None for r in rows]
+        of_day, timed = {}, [i for i, s in enumerate(starts) if s is not None]
+        for i, r in enumerate(rows):
+            of_day.setdefault(r["date"], []).append(i)
+        times = [starts[i] for i in timed]
         taken, out = set(), []
         for i, seed in enumerate(rows):
             if i in taken:
                 continue
-            group = [i] + [j for j in range(i + 1, len(rows)) if j not in taken and sessions_match(seed, rows[j])]
+            if starts[i] is None:
+                near = of_day[seed["date"]]
+            else:
+                until = bisect.bisect_right(times, starts[i] + START_S)
+                near = timed[bisect.bisect_left(times, starts[i]) : until] + [j for j in of_day[seed["date"]] if starts[j] is None]
+            group = [i] + sorted(j for j in set(near) if j > i and j not in taken and sessions_match(seed, rows[j]))
             taken.update(group)
             best = max(group, key=lambda j: (primary_score(rows[j]), -j))
             out += [(rows[j][owner], rows[j]["id"], seed["id"], j == best) for j in group]
