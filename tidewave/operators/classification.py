@@ -109,8 +109,8 @@ def nb_predict(df: DataFrame, model: DataFrame, columns: list[str], keep: list[s
 KNN_ROWS, KNN_QUERIES = 16_384, 1024
 
 
-def knn(train: DataFrame, queries: DataFrame, k: int, vec: str, label: str, train_id: str, query_id: str, metric: str = "euclidean", weighted: bool = False, others: bool = False) -> DataFrame:
-    """(query_id, predicted): the label of most of the k nearest training rows, ties to the smaller label.
+def knn_votes(train: DataFrame, queries: DataFrame, k: int, vec: str, label: str, train_id: str, query_id: str, metric: str = "euclidean", weighted: bool = False, others: bool = False) -> DataFrame:
+    """(query_id, y, v): the votes of the k nearest training rows for each of their labels, 1 or the inverse distance each.
 
     Training rows and queries are dealt to blocks of bounded size; each block of queries meets each block of rows once, as
     many tasks as there are such meetings, keeps k of it, and then k of all. Equal distances go to the smaller training id.
@@ -143,8 +143,14 @@ def knn(train: DataFrame, queries: DataFrame, k: int, vec: str, label: str, trai
     near = q.groupBy("_a", "_b").cogroup(t.groupBy("_a", "_b")).applyInPandas(run, f"query_id {dict(queries.dtypes)[query_id]}, d double, t {types[train_id]}, y {types[label]}")
     w = Window.partitionBy("query_id").orderBy("d", "t")
     best = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    votes = best.groupBy("query_id", "y").agg(F.sum(1 / (F.col("d") + 1e-12) if weighted else F.lit(1.0)).alias("v"))
-    return votes.groupBy("query_id").agg(F.max_by("y", F.struct("v", -F.col("y") if types[label] in ("int", "bigint", "double") else F.lit(0))).alias("predicted"))
+    return best.groupBy("query_id", "y").agg(F.sum(1 / (F.col("d") + 1e-12) if weighted else F.lit(1.0)).alias("v"))
+
+
+def knn(train: DataFrame, queries: DataFrame, k: int, vec: str, label: str, train_id: str, query_id: str, **kw) -> DataFrame:
+    """(query_id, predicted): the label with most votes of the k nearest training rows, ties to the smaller label."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("v"), "y")
+    votes = knn_votes(train, queries, k, vec, label, train_id, query_id, **kw)
+    return votes.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("query_id", F.col("y").alias("predicted"))
 
 
 def gram(df: DataFrame, columns: list[str], y: str) -> tuple[int, np.ndarray, np.ndarray, float]:

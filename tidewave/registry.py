@@ -697,3 +697,6 @@ def goal_suggestions(t):
 def load_plans(t):
     d = load.plans(_days(t), horizon=3)
     return d.select("series_id", "goal", *[F.round(F.col("loads")[k], 4).alias(f"day_{k + 1}") for k in range(3)], "success", F.round("score", 5).alias("score"), F.round("form_end", 4).alias("form_end"), F.round("load_share", 5).alias("load_share"))
+
+
+from tidewave import registry_models  # noqa: E402, F401
