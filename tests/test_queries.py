@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidewave import registry
+from tidewave import registry, registry_spatial
 from tidewave.operators import classification
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -60,7 +60,7 @@ def test_space_actions_take_all_events(spark, data):
 def test_space_actions_take_users_and_frames_without_bound(spark):
     rows = [(100 * u + k, u, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=k), float((7 * u + 3 * k) % 11)) for u in (3, 59, 60, 61, 200) for k in range(60)]
     e = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double")
-    got = registry.space_actions(lambda name: {"events": e}[name]).collect()
+    got = registry_spatial.space_actions(lambda name: {"events": e}[name]).collect()
     assert sorted((r.agent_id, r.t) for r in got) == [(u, float(k)) for u in (3, 59, 60, 61, 200) for k in range(59)]
 
 

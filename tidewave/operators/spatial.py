@@ -66,13 +66,18 @@ def cardinal(angle: Column) -> Column:
 
 
 def window_bearings(df: DataFrame, seconds: float, ahead: bool = False) -> DataFrame:
-    """df with bearing: the direction from where the agent was so many seconds ago (or will be in), by the samples within them."""
-    us = F.round(F.col("t") * 1e6).cast("long")
-    lo, hi = (0, int(seconds * 1e6)) if ahead else (-int(seconds * 1e6), 0)
-    w = Window.partitionBy(*AGENT).orderBy(us).rangeBetween(lo, hi)
-    far = (lambda c: F.last(c).over(w) - F.col(c)) if ahead else (lambda c: F.col(c) - F.first(c).over(w))
-    d = df.withColumns({"_dx": far("x"), "_dy": far("y")})
-    return d.withColumn("bearing", F.when((F.col("_dx") != 0) | (F.col("_dy") != 0), F.atan2("_dy", "_dx"))).drop("_dx", "_dy")
+    """df with bearing: the direction from the last sample at least so many seconds ago, or to the first so many ahead.
+
+    Where there is none, from the first sample or to the last; null for that sample itself and where nothing moved.
+    """
+    us, by = F.round(F.col("t") * 1e6).cast("long"), int(seconds * 1e6)
+    w = Window.partitionBy(*AGENT).orderBy(us)
+    p = F.struct("x", "y")
+    far = F.first(p).over(w.rangeBetween(by, Window.unboundedFollowing)) if ahead else F.last(p).over(w.rangeBetween(Window.unboundedPreceding, -by))
+    edge = F.last(p).over(w.rangeBetween(0, Window.unboundedFollowing)) if ahead else F.first(p).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    d = df.withColumn("_p", F.coalesce(far, edge))
+    dx, dy = ((F.col(f"_p.{c}") - F.col(c)) * (1 if ahead else -1) for c in "xy")
+    return d.withColumn("bearing", F.when(F.hypot(dx, dy) > 1e-9, F.atan2(dy, dx))).drop("_p")
 
 
 def peak_pace(df: DataFrame) -> DataFrame:
@@ -110,12 +115,19 @@ def focal_distances(df: DataFrame, focal: DataFrame) -> DataFrame:
     return df.join(focal, [ID, "t"]).withColumn("distance", F.hypot(F.col("x") - F.col("fx"), F.col("y") - F.col("fy")))
 
 
+def towards_focal(df: DataFrame, focal: DataFrame) -> DataFrame:
+    """velocities() with fx, fy, distance and toward: the part of the velocity that points at the focal point."""
+    d = focal_distances(velocities(df), focal)
+    dot = F.col("vx") * (F.col("fx") - F.col("x")) + F.col("vy") * (F.col("fy") - F.col("y"))
+    return d.withColumn("toward", F.when((F.col("distance") > 1e-6) & (F.col("speed") > 0), dot / F.col("distance")))
+
+
 def carrier(df: DataFrame, focal: DataFrame) -> DataFrame:
-    """(series_id, t, carrier): the agent of the greatest 1 / (d + 0.1) + 0.5 speed within 2 m of the focal point; null if none."""
-    v = velocities(df).select(ID, "t", "agent_id", "x", "y", F.greatest(F.coalesce("speed", F.lit(0.0)), F.lit(0.0)).alias("speed"))
-    d = focal_distances(v, focal)
-    s = F.when(F.col("distance") <= CARRY_M, F.struct((1 / (F.col("distance") + NEAR_M) + SPEED_WEIGHT * F.col("speed")).alias("s"), (-F.col("agent_id")).alias("k")))
-    return d.groupBy(ID, "t").agg((-F.max(s)["k"]).alias("carrier"))
+    """(series_id, t, carrier): the agent of the greatest 1 / (d + 0.1) + 0.5 speed towards the focal point, the smaller id on
+    ties; null if it is over 2 m away."""
+    score = 1 / (F.col("distance") + NEAR_M) + SPEED_WEIGHT * F.greatest(F.coalesce("toward", F.lit(0.0)), F.lit(0.0))
+    best = towards_focal(df, focal).groupBy(ID, "t").agg(F.max(F.struct(score.alias("s"), (-F.col("agent_id")).alias("k"), "distance")).alias("m"))
+    return best.select(ID, "t", F.when(F.col("m.distance") <= CARRY_M, -F.col("m.k")).alias("carrier"))
 
 
 def path(df: DataFrame) -> DataFrame:
@@ -156,12 +168,20 @@ def directional_phase(df: DataFrame) -> DataFrame:
     return g.withColumn("relation", F.when(F.col("r") < 0.5, "mix").when(F.abs("mean_angle") <= math.pi / 4, "in").when(F.abs("mean_angle") >= 3 * math.pi / 4, "opp").otherwise("out"))
 
 
-def closing(df: DataFrame) -> DataFrame:
-    """(series_id, a, b, closing): mean speed at which pairs come nearer."""
+def closing(df: DataFrame, window: float | None = None) -> DataFrame:
+    """(series_id, a, b, closing): mean speed at which pairs come nearer; or, at each t, within window seconds to each side."""
     w = Window.partitionBy(ID, "a", "b").orderBy("t")
     p = pair_distances(df)
     dt = F.col("t") - F.lag("t").over(w)
-    return p.withColumn("_c", F.when(dt > 0, (F.lag("distance").over(w) - F.col("distance")) / dt)).groupBy(ID, "a", "b").agg(F.avg("_c").alias("closing"))
+    c = p.withColumn("_c", F.when(dt > 0, (F.lag("distance").over(w) - F.col("distance")) / dt))
+    if window is None:
+        return c.groupBy(ID, "a", "b").agg(F.avg("_c").alias("closing"))
+    return c.select(ID, "a", "b", "t", F.avg("_c").over(around(window)).alias("closing"))
+
+
+def around(seconds: float):
+    """A pair's samples within so many seconds of each."""
+    return Window.partitionBy(ID, "a", "b").orderBy(F.round(F.col("t") * 1e6).cast("long")).rangeBetween(-int(seconds * 1e6), int(seconds * 1e6))
 
 
 def agent_summary(df: DataFrame, agents: DataFrame | None = None) -> DataFrame:
@@ -180,28 +200,61 @@ def frame_closest(df: DataFrame, at: float) -> DataFrame:
     return df.join(best, [ID, "t"])
 
 
-def classify_actions(df: DataFrame, focal: DataFrame, agents: DataFrame, proximity: float = 12.0, ahead_s: float = 1.0) -> DataFrame:
-    """(series_id, t, agent_id, action) of agents within proximity of the focal point, else Neutral.
+#: The labels of actions.
+ACTIONS = ("Expansion", "Penetration", "Denial", "Pressure", "Neutral", "Creation", "Conversion", "Prevention")
+
 
-    agents: agent_id, grp, att_x, att_y. The carrier Attacks where the space ahead is above its mean, else it Protects; its
-    group's others Support where their heading is along the attack and else Create; the other group Presses where the
-    distance to the focal point falls over the next seconds and else Covers.
+def classify_actions(df: DataFrame, focal: DataFrame, agents: DataFrame, proximity: float = 12.0, ahead_s: float = 1.0, window_s: float = 1.0) -> DataFrame:
+    """(series_id, t, agent_id, action, confidence) of the carrier and of those within proximity of it, else Neutral and 0.
+
+    agents: agent_id, grp, att_x, att_y, and gx, gy of the goal if it is known. What tells: whether an agent has the ball,
+    whose group has it, speed, how far movement over the next window_s points along the attack, the nearest opponent among
+    those near the carrier, and the distance to the goal or else the movement along the attack. An agent that comes within
+    reach of another carrier than before and is pressed is under Pressure. A carrier's advance becomes Neutral if ahead_s
+    later another one has the ball and an opponent within 7 m. Agents meet within a frame only, a few dozen at a time.
     """
-    d = focal_distances(velocities(df), focal).join(F.broadcast(agents), "agent_id")
-    d = d.join(free_space_ahead(df), [ID, "t", "agent_id"], "left").join(carrier(df, focal), [ID, "t"], "left")
-    own = agents.select(F.col("agent_id").alias("carrier"), F.col("grp").alias("own"))
-    d = d.join(F.broadcast(own), "carrier", "left")
-    w = Window.partitionBy(*AGENT).orderBy(F.round(F.col("t") * 1e6).cast("long")).rangeBetween(0, int(ahead_s * 1e6))
-    later = F.last("distance").over(w)
-    along = F.col("vx") * F.col("att_x") + F.col("vy") * F.col("att_y") > 0
-    space = F.avg("ahead").over(Window.partitionBy(ID))
-    action = (
-        F.when((F.col("distance") > proximity) | F.col("carrier").isNull(), "Neutral")
-        .when(F.col("agent_id") == F.col("carrier"), F.when(F.coalesce(F.col("ahead") >= space, F.lit(True)), "Attack").otherwise("Protect"))
-        .when(F.col("grp") == F.col("own"), F.when(along, "Support").otherwise("Create"))
-        .otherwise(F.when(later < F.col("distance"), "Press").otherwise("Cover"))
-    )
-    return d.select(ID, "t", "agent_id", action.alias("action"))
+    goal = [F.col(c).cast("double").alias(c) if c in agents.columns else F.lit(None).cast("double").alias(c) for c in ("gx", "gy")]
+    a = agents.select("agent_id", "grp", "att_x", "att_y", *goal)
+    d = velocities(df)
+    past = window_bearings(df, window_s).select(*AGENT, "t", F.col("bearing").alias("_past"))
+    future = window_bearings(df, window_s, ahead=True).select(*AGENT, "t", F.col("bearing").alias("_future"))
+    d = d.join(past, [*AGENT, "t"]).join(future, [*AGENT, "t"]).join(a, "agent_id").withColumn("speed", F.coalesce("speed", F.lit(0.0)))
+    has = carrier(df, focal)
+    frames = Window.partitionBy(ID).orderBy("t")
+    times = has.withColumns({"_k": F.row_number().over(frames), "_last": F.lag("carrier").over(frames), "_lt": F.lag("t").over(frames)})
+    span = times.groupBy(ID).agg(F.when(F.count("t") > 1, (F.max("t") - F.min("t")) / (F.count("t") - 1)).otherwise(0.04).alias("_dt"), F.count("t").alias("_n"))
+    times = times.join(span, ID).withColumn("_ahead", F.greatest(F.lit(ahead_s) / F.col("_dt"), F.lit(1.0)).cast("long") if ahead_s > 0 else F.lit(1))
+    at = df.select(ID, "t", F.col("agent_id").alias("carrier"), F.col("x").alias("cx"), F.col("y").alias("cy")).join(agents.select(F.col("agent_id").alias("carrier"), F.col("grp").alias("own")), "carrier")
+    here = times.join(at, [ID, "t", "carrier"], "left")
+    before = at.select(ID, F.col("t").alias("_lt"), F.col("carrier").alias("_last"), F.col("cx").alias("_bx"), F.col("cy").alias("_by"))
+    here = here.join(before, [ID, "_lt", "_last"], "left")
+    w = by_agent()
+    d = d.withColumns({"_lx": F.lag("x").over(w), "_ly": F.lag("y").over(w)}).join(here.select(ID, "t", "carrier", "own", "cx", "cy", "_bx", "_by"), [ID, "t"])
+    d = d.withColumns({"on_ball": F.coalesce(F.col("agent_id") == F.col("carrier"), F.lit(False)), "near": F.coalesce((F.col("agent_id") != F.col("carrier")) & (F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) <= proximity), F.lit(False))})
+    other = d.where("near").select(ID, "t", F.col("agent_id").alias("_o"), F.col("grp").alias("_og"), F.col("x").alias("_ox"), F.col("y").alias("_oy"))
+    pressed = d.where("near or on_ball").join(other, [ID, "t"]).where("_o <> agent_id and not (_og <=> grp)")
+    pressed = pressed.groupBy(*AGENT, "t").agg(F.min(F.hypot(F.col("_ox") - F.col("x"), F.col("_oy") - F.col("y"))).alias("_m"))
+    d = d.join(pressed, [*AGENT, "t"], "left").withColumn("gap", F.coalesce("_m", F.lit(float("inf"))))
+    forward = F.when(F.col("_past").isNotNull() & F.col("_future").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.cos("_future") * F.col("att_x") + F.sin("_future") * F.col("att_y")))).otherwise(0.0)
+    d = d.withColumns({"fwd": forward, "to_goal": F.hypot(F.col("gx") - F.col("x"), F.col("gy") - F.col("y"))})
+    fwd, speed, gap = F.col("fwd"), F.col("speed"), F.col("gap")
+    close = lambda share, metres: F.when(F.col("to_goal").isNotNull(), F.col("to_goal") < metres).otherwise(F.greatest(fwd, F.lit(0.0)) > share)
+    came = F.coalesce(F.hypot(F.col("_lx") - F.col("_bx"), F.col("_ly") - F.col("_by")) > proximity * 1.05, F.lit(False))
+    chance = (fwd > 0.72) & (speed > 2.8) & (gap > 3.5) & close(0.55, 12.0)
+    ball = F.when(chance, F.when((fwd > 0.85) & (speed > 4.0) & (gap > 6.0), "Conversion").otherwise("Creation")).when((fwd > 0.6) & (speed > 0.5) & (gap > proximity * 0.5), "Penetration").when((F.abs(fwd) < 0.5) & (speed > 0.25), "Expansion").when((gap < 6.0) & (speed > 0.7), "Pressure").otherwise("Neutral")
+    mate = F.when(close(0.4, 15.0) & (fwd > 0.45) & (speed > 2.2) & (gap > 4.5), "Creation").when((fwd > 0.3) & (speed > 0.3), "Penetration").otherwise("Expansion")
+    foe = F.when(close(0.3, 15.0) & ((fwd < -0.05) | (gap < 7.5)), "Prevention").when(gap < 5.0, "Pressure").when(speed > 0.6, "Denial").otherwise("Neutral")
+    action = F.when(F.col("near") & came & (gap < 7.0) & (speed > 0.6), "Pressure").when(F.col("on_ball"), ball).when(F.col("near"), F.when(F.col("grp").eqNullSafe(F.col("own")), mate).otherwise(foe)).otherwise("Neutral")
+    sure = F.when(F.col("on_ball") | F.col("near"), F.least(0.3 + 0.4 * F.least(speed / 5.0, F.lit(1.0)) + F.when(gap > 10.0, 0.3).otherwise(0.0), F.lit(1.0))).otherwise(0.0)
+    # carriers that gave the ball to one who is pressed when it has it
+    then = times.select(ID, (F.col("_k") - F.col("_ahead")).alias("_k"), F.col("carrier").alias("receiver"), F.col("t").alias("_then"))
+    passed = times.where("_k <= _n - _ahead").join(then, [ID, "_k"]).where("carrier <> receiver").select(ID, "t", "carrier", "receiver", "_then")
+    everyone = df.select(ID, F.col("t").alias("_then"), "agent_id", "x", "y").join(agents.select("agent_id", "grp"), "agent_id")
+    there = everyone.select(ID, "_then", F.col("agent_id").alias("receiver"), F.col("grp").alias("_rg"), F.col("x").alias("_rx"), F.col("y").alias("_ry"))
+    trapped = passed.join(there, [ID, "_then", "receiver"]).join(everyone, [ID, "_then"]).where("agent_id <> receiver and not (grp <=> _rg)")
+    trapped = trapped.where(F.hypot(F.col("x") - F.col("_rx"), F.col("y") - F.col("_ry")) < 7.0).select(ID, "t", F.col("carrier").alias("agent_id"), F.lit(True).alias("_trap")).distinct()
+    d = d.withColumns({"action": action, "confidence": sure}).join(trapped, [ID, "t", "agent_id"], "left")
+    return d.select(ID, "t", "agent_id", F.when(F.col("_trap") & F.col("action").isin("Penetration", "Creation", "Conversion"), "Neutral").otherwise(F.col("action")).alias("action"), "confidence")
 
 
 def agreement(found: DataFrame, planted: DataFrame) -> DataFrame:
@@ -212,6 +265,79 @@ def agreement(found: DataFrame, planted: DataFrame) -> DataFrame:
     return p.join(f, "action", "full").na.fill(0, ["planted", "found", "hits"]).select("action", "planted", "found", "hits", ratio(F.col("hits"), F.col("found"), 0.0).alias("precision"), ratio(F.col("hits"), F.col("planted"), 0.0).alias("recall"))
 
 
+def minus(ax: Column, ay: Column, bx: Column, by: Column) -> tuple[Column, Column]:
+    return ax - bx, ay - by
+
+
+def dot(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    return ax * bx + ay * by
+
+
+def unit(x: Column, y: Column) -> tuple[Column, Column]:
+    """The vector of length 1 in the same direction, 0 for 0."""
+    n = F.hypot(x, y)
+    return tuple(F.when(n > 0, c * (1 / n)).otherwise(0.0) for c in (x, y))
+
+
+def angle_between(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """The angle of two vectors, 0 to pi."""
+    c = dot(ax, ay, bx, by) / (F.hypot(ax, ay) * F.hypot(bx, by) + 1e-12)
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
+
+
+def distance_matrix(df: DataFrame) -> DataFrame:
+    """(series_id, t, agent_id, distances): a map of the distances to all agents of the frame, 0 to itself."""
+    o = df.select(ID, "t", F.col("agent_id").alias("_o"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    j = df.join(o, [ID, "t"])
+    return j.groupBy(ID, "t", "agent_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_o", F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")))))).alias("distances"))
+
+
+def focal_context(df: DataFrame, focal: DataFrame) -> DataFrame:
+    """df with fx, fy, distance and bearing to the focal point, and on_ball: whether no other agent is nearer (the smaller id on ties)."""
+    d = focal_distances(df, focal).withColumn("bearing", F.atan2(F.col("fy") - F.col("y"), F.col("fx") - F.col("x")))
+    w = Window.partitionBy(ID, "t").orderBy("distance", "agent_id")
+    return d.withColumn("on_ball", F.row_number().over(w) == 1)
+
+
+def local_triangles(df: DataFrame, focal: DataFrame, k: int = 5, longest: float = 20.0) -> DataFrame:
+    """(series_id, t, a, b, c, edge): of the k agents nearest the focal point, the four triangles of the shortest longest edge.
+
+    Triangles with an edge over longest, or of an area under 1, are left out.
+    """
+    w = Window.partitionBy(ID, "t").orderBy("distance", "agent_id")
+    near = focal_distances(df, focal).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    corner = lambda n: near.select(ID, "t", F.col("agent_id").alias(n), F.col("_r").alias(f"r{n}"), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    j = corner("a").join(corner("b"), [ID, "t"]).where("ra < rb").join(corner("c"), [ID, "t"]).where("rb < rc")
+    side = lambda p, q: F.hypot(F.col(f"x{p}") - F.col(f"x{q}"), F.col(f"y{p}") - F.col(f"y{q}"))
+    area = F.abs((F.col("xb") - F.col("xa")) * (F.col("yc") - F.col("ya")) - (F.col("yb") - F.col("ya")) * (F.col("xc") - F.col("xa")))
+    j = j.withColumn("edge", F.greatest(side("a", "b"), side("b", "c"), side("c", "a"))).where((F.col("edge") <= longest) & (area >= 2.0))
+    first = Window.partitionBy(ID, "t").orderBy("edge", "ra", "rb", "rc")
+    return j.withColumn("_k", F.row_number().over(first)).where("_k <= 4").select(ID, "t", "a", "b", "c", "edge")
+
+
+def path_windows(df: DataFrame, metres: float) -> DataFrame:
+    """(series_id, agent_id, t, length, net, efficiency, mean_dev, rms_dev) of the path from each sample to the first one at
+    least so many metres of way ahead; samples without one are left out.
+
+    Deviations are from the chord, null where it is under 1e-9. A window holds the samples of that way.
+    """
+    if not (math.isfinite(metres) and metres > 0):
+        raise ValueError("a window above 0 is needed")
+    w = by_agent()
+    step = F.coalesce(F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)), F.lit(0.0))
+    d = df.select(*AGENT, "t", "x", "y", step.alias("_s")).withColumn("_c", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    way, reach = F.round(F.col("_c") * 1e6).cast("long"), int(round(metres * 1e6))
+    on = Window.partitionBy(*AGENT).orderBy(way)
+    here = F.struct("t", "x", "y", F.col("_c").alias("c"))
+    d = d.withColumns({"_e": F.min(here).over(on.rangeBetween(reach, Window.unboundedFollowing)), "_i": F.collect_list(here).over(on.rangeBetween(0, reach - 1))}).where("_e is not null")
+    inner = F.filter("_i", lambda p: (p["t"] >= F.col("t")) & (p["t"] < F.col("_e.t")))
+    d = d.withColumns({"_i": F.concat(inner, F.array("_e")), "length": F.col("_e.c") - F.col("_c"), "net": F.hypot(F.col("_e.x") - F.col("x"), F.col("_e.y") - F.col("y"))})
+    off = F.transform("_i", lambda p: F.abs((p["x"] - F.col("x")) * (F.col("_e.y") - F.col("y")) - (p["y"] - F.col("y")) * (F.col("_e.x") - F.col("x"))) / F.col("net"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size("_i")
+    fine = F.col("net") >= 1e-9
+    return d.select(*AGENT, "t", "length", "net", F.least(F.col("net") / F.col("length"), F.lit(1.0)).alias("efficiency"), F.when(fine, total(off)).alias("mean_dev"), F.when(fine, F.sqrt(total(F.transform(off, lambda v: v * v)))).alias("rms_dev"))
+
+
 def convex_hull(points: np.ndarray) -> np.ndarray:
     """Counter-clockwise hull from the lowest x, without points on its edges."""
     p = sorted(set(map(tuple, np.asarray(points, float).tolist())))

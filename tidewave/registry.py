@@ -527,7 +527,10 @@ def group_summary(t):
     return tidy(spatial.agent_summary(d, agents).drop("mean_speed"), 4)
 
 
-@query(f"""{TRACK}, v AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS speed FROM tr WINDOW w AS (PARTITION BY series_id, agent_id ORDER BY t)), c AS (SELECT series_id, t, avg(x) AS fx, avg(y) AS fy FROM tr GROUP BY 1, 2), s AS (SELECT v.series_id, v.t, agent_id, 1 / (sqrt((x - fx) ** 2 + (y - fy) ** 2) + 0.1) + 0.5 * speed AS s, sqrt((x - fx) ** 2 + (y - fy) ** 2) AS d FROM v JOIN c ON v.series_id = c.series_id AND v.t = c.t) SELECT series_id, t, arg_min(agent_id, (-s, agent_id)) FILTER (WHERE d <= 2) AS carrier FROM s GROUP BY 1, 2""")
+CARRIER = f"""{TRACK}, v AS (SELECT *, x - lag(x) OVER w AS vx, y - lag(y) OVER w AS vy, lag(x) OVER w AS lx, lag(y) OVER w AS ly FROM tr WINDOW w AS (PARTITION BY series_id, agent_id ORDER BY t)), fo AS (SELECT series_id, t, avg(x) AS fx, avg(y) AS fy FROM tr GROUP BY 1, 2), s AS (SELECT v.*, fx, fy, sqrt((x - fx) ** 2 + (y - fy) ** 2) AS d, coalesce(sqrt(vx * vx + vy * vy), 0) AS speed FROM v JOIN fo ON v.series_id = fo.series_id AND v.t = fo.t), ca AS (SELECT series_id, t, CASE WHEN arg_max(d, (q, -agent_id)) <= 2 THEN arg_max(agent_id, (q, -agent_id)) END AS carrier FROM (SELECT *, 1 / (d + 0.1) + 0.5 * greatest(coalesce(CASE WHEN d > 1e-6 AND speed > 0 THEN (vx * (fx - x) + vy * (fy - y)) / d END, 0), 0) AS q FROM s) GROUP BY series_id, t)"""
+
+
+@query(f"""{CARRIER} SELECT * FROM ca""")
 def ball_carrier(t):
     d = _tracks(t)
     return spatial.carrier(d, d.groupBy("series_id", "t").agg(F.avg("x").alias("fx"), F.avg("y").alias("fy")))
@@ -594,13 +597,6 @@ def event_windows(t):
     return tidy(d, 3)
 
 
-@query()
-def space_actions(t):
-    d = _tracks(t)
-    agents = d.select("agent_id").distinct().select("agent_id", (F.col("agent_id") % 2).alias("grp"), F.lit(1.0).alias("att_x"), F.lit(0.0).alias("att_y"))
-    return spatial.classify_actions(d, d.groupBy("series_id", "t").agg(F.avg("x").alias("fx"), F.avg("y").alias("fy")), agents)
-
-
 @query(f"""{WAVE} SELECT series_id, i, round(avg(x) OVER w, 6) AS average, round(quantile_cont(x, 0.5) OVER w, 6) AS median FROM wave WINDOW w AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
 def smoothing_filters(t):
     return tidy(explore.median_filter(explore.moving_average(wave(t), 2, "average"), 2, "median").drop("x"))
@@ -699,4 +695,4 @@ def load_plans(t):
     return d.select("series_id", "goal", *[F.round(F.col("loads")[k], 4).alias(f"day_{k + 1}") for k in range(3)], "success", F.round("score", 5).alias("score"), F.round("form_end", 4).alias("form_end"), F.round("load_share", 5).alias("load_share"))
 
 
-from tidewave import registry_models  # noqa: E402, F401
+from tidewave import registry_models, registry_spatial  # noqa: E402, F401
