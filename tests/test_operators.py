@@ -385,3 +385,22 @@ def test_sessions_equal_comparing_all_rows(spark):
                 best = max(group, key=lambda j: (joins.primary_score(own[j]), -j))
                 for j in group:
                     assert got[owner, own[j]["id"]] == (seed["id"], j == best)
+
+
+def test_physiology():
+    from tidewave.operators import physiology
+
+    t = np.arange(1000) / 100
+    x = np.sin(2 * np.pi * t) + 0.5 * np.sin(4 * np.pi * t)
+    got = physiology.analyze(x, 100.0, "pulse")
+    assert got["duration_s"] == 10 and got["peaks"] == 10 and got["mean_rate"] == pytest.approx(60) and got["sdnn"] == pytest.approx(0, abs=1e-9)
+    assert physiology.analyze(np.sin(2 * np.pi * t), 100.0, "pulse", "high")["mean_rate"] == pytest.approx(60, rel=0.02)
+    up, down = physiology.phase_peaks(np.array([0.0, 1, 0, -1, -0.5, -1, 0]))
+    assert up.tolist() == [1] and down.tolist() == [4]
+    s = physiology.stride_stats([0.0, 1.0, 2.0])
+    assert (s["n_strides"], s["mean_length"], s["mean_step"], s["cadence"]) == (2, 1.3, 0.65, 120)
+    assert np.isnan(physiology.stride_stats([])["mean_stride"]) and physiology.analyze(np.zeros(0), 10.0, "breath")["peaks"] == 0
+    assert physiology.vertical_oscillation(np.array([0.0, 1, 0, 3, 1, 0]), [0.0, 0.3, 0.6], 10.0) == pytest.approx(2.0)
+    assert physiology.infer_fs(np.array([0.0, 0.02]), 50.0) == 50 and physiology.infer_fs(np.array([0.0]), 7.0) == 7
+    with pytest.raises(ValueError):
+        physiology.analyze(x, 4.0, "pulse", "poor")
