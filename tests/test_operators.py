@@ -404,3 +404,35 @@ def test_physiology():
     assert physiology.infer_fs(np.array([0.0, 0.02]), 50.0) == 50 and physiology.infer_fs(np.array([0.0]), 7.0) == 7
     with pytest.raises(ValueError):
         physiology.analyze(x, 4.0, "pulse", "poor")
+
+
+def test_control_and_sensing():
+    from tidewave.operators import control
+
+    rng = np.random.default_rng(3)
+    u = rng.normal(size=(400, 1))
+    x = [np.array([1.0])]
+    for v in u[:-1]:
+        x.append(x[-1] + 0.01 * (-2 * x[-1] + 3 * v + 0.5 * x[-1] * v))
+    x = np.array(x)
+    fit = control.sindyc(x, u, 0.01)
+    assert fit["xi"].ravel() == pytest.approx([0, -2, 0, 3, 0.5, 0], abs=1e-6) and control.sparsity(fit) == 3 and fit["error"] < 1e-9
+    assert control.sindyc_run(fit, x[0], u[:20], 0.01) == pytest.approx(x[:21])
+    a, b, c = control.double_integrator(0.5)
+    assert np.allclose(control.closed_loop(a, b, np.array([[1.0, 2.0]])), a - b @ np.array([[1.0, 2.0]]))
+    t = np.arange(40) * 0.1
+    s = np.stack([np.exp(-t) * np.cos(2 * t), np.exp(-t) * np.sin(2 * t)])
+    d = dynamics.dmd(s)
+    assert control.dmd_error(d, s) < 1e-9 and control.dmd_at(d, 1.0, 0.1) == pytest.approx(s[:, 10], abs=1e-9)
+    with pytest.raises(ValueError):
+        control.snapshots([[1.0], [1.0, 2.0]])
+    z = 3 + 0.5 * np.arange(100)
+    assert control.local_linear_trend(z, 1.0, 1e-6, 1e-6, 0.1)["x"][-1] == pytest.approx([z[-1], 0.5], abs=0.01)
+    f, h, one = np.eye(1), np.eye(1), np.eye(1)
+    moved = control.kalman_with_inputs(np.full(5, np.nan), np.ones(5), f, h, one, one, one, np.zeros(1), one)
+    assert moved.ravel().tolist() == [1, 2, 3, 4, 5]
+    phi = control.gaussian_sensing(20, 40, 7)
+    assert np.linalg.norm(phi, axis=0) == pytest.approx(np.ones(40)) and (phi == control.gaussian_sensing(20, 40, 7)).all()
+    y, m = control.sensed(control.row_selection(4, [2, 0]), np.array([1.0, 2, 3, 4]), signal.dct_basis(4))
+    assert y.tolist() == [3, 1] and m.shape == (2, 4) and control.restored(np.eye(4)[0], signal.dct_basis(4)) == pytest.approx(signal.dct_basis(4)[:, 0])
+    assert control.decibels(np.array([1.0, 10, 0])).tolist() == [0, 20, -120]

@@ -551,13 +551,6 @@ def catalog_page(t):
     return page(j, ["n_name"], 5, 10).select("n_nationkey", "n_name", "r_name")
 
 
-@query()
-def power_spectrum(t):
-    from tidewave.operators.grouped import table
-
-    return table(wave(t), lambda x: dict(zip(("f", "density"), signal.welch(x, 1.0, 32), strict=True)), "f double, density double")
-
-
 @query(f"""{WAVE}, w AS (SELECT series_id, i, x AS x0, lead(x) OVER o AS x1, lead(x, 2) OVER o AS x2 FROM wave WINDOW o AS (PARTITION BY series_id ORDER BY i)), r AS (SELECT series_id, count(*) AS n, stddev_pop(x) AS sd, 0.2 * stddev_pop(x) AS r FROM wave GROUP BY series_id), c AS (SELECT a.series_id, count(*) AS b, count(*) FILTER (WHERE abs(a.x2 - d.x2) <= r) AS a FROM w a JOIN r USING (series_id) JOIN w d ON d.series_id = a.series_id AND d.i > a.i AND a.x2 IS NOT NULL AND d.x2 IS NOT NULL AND abs(a.x0 - d.x0) <= r AND abs(a.x1 - d.x1) <= r GROUP BY a.series_id) SELECT series_id, round(CASE WHEN n > 3 AND sd >= 1e-12 AND a > 0 AND b > 0 THEN -ln(a / b) ELSE 0 END, 6) AS sampen FROM r LEFT JOIN c USING (series_id)""")
 def sample_entropy(t):
     from tidewave.operators.grouped import summary
@@ -695,4 +688,4 @@ def load_plans(t):
     return d.select("series_id", "goal", *[F.round(F.col("loads")[k], 4).alias(f"day_{k + 1}") for k in range(3)], "success", F.round("score", 5).alias("score"), F.round("form_end", 4).alias("form_end"), F.round("load_share", 5).alias("load_share"))
 
 
-from tidewave import registry_catalog, registry_models, registry_physiology, registry_spatial  # noqa: E402, F401
+from tidewave import registry_catalog, registry_control, registry_models, registry_physiology, registry_spatial  # noqa: E402, F401
