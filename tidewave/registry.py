@@ -255,11 +255,11 @@ def decision_stump(t):
     return d.sparkSession.createDataFrame([(s["column"], round(float(s["threshold"]), 9), str(s["left"]), str(s["right"]))], "column string, threshold double, left string, right string")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT (n_chars - 2000) / 2000e0 AS x, toxic AS y FROM labels JOIN documents USING (doc_id) WHERE n_chars IS NOT NULL AND toxic IS NOT NULL), r AS (SELECT 0 AS k, 0.0e0 AS a, 0.0e0 AS b, 1.0e0 AS step UNION ALL SELECT k + 1, a - 0.1 * ga, b - 0.1 * gb, greatest(abs(0.1 * ga), abs(0.1 * gb)) FROM (SELECT k, a, b, avg(1 / (1 + exp(-(a + b * x))) - y) AS ga, avg((1 / (1 + exp(-(a + b * x))) - y) * x) AS gb FROM r, d WHERE k < 1000 AND step >= 1e-6 GROUP BY k, a, b)) SELECT round(a, 6) AS intercept, round(b, 6) AS slope FROM r ORDER BY k DESC LIMIT 1""")
 def logistic_regression(t):
     d = classification.standardize(t("labels").join(t("documents"), "doc_id").withColumn("n", F.col("n_chars").cast("double")), {"n": (2000.0, 2000.0)})
     w = classification.logistic(d, ["n"], "toxic")
-    return d.sparkSession.createDataFrame([tuple(float(v) for v in w)], "intercept double, slope double")
+    return tidy(d.sparkSession.createDataFrame([tuple(float(v) for v in w)], "intercept double, slope double"))
 
 
 @query()
@@ -269,11 +269,12 @@ def kmeans_clusters(t):
     return classification.kmeans_predict(e, c, "embedding").groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT covar_samp(l_quantity, l_quantity) AS c00, covar_samp(l_quantity, l_extendedprice) AS c01, covar_samp(l_quantity, l_discount) AS c02, covar_samp(l_quantity, l_tax) AS c03, covar_samp(l_extendedprice, l_quantity) AS c10, covar_samp(l_extendedprice, l_extendedprice) AS c11, covar_samp(l_extendedprice, l_discount) AS c12, covar_samp(l_extendedprice, l_tax) AS c13, covar_samp(l_discount, l_quantity) AS c20, covar_samp(l_discount, l_extendedprice) AS c21, covar_samp(l_discount, l_discount) AS c22, covar_samp(l_discount, l_tax) AS c23, covar_samp(l_tax, l_quantity) AS c30, covar_samp(l_tax, l_extendedprice) AS c31, covar_samp(l_tax, l_discount) AS c32, covar_samp(l_tax, l_tax) AS c33 FROM lineitem), r AS (SELECT 0 AS k, 0.5e0 AS a, 0.5e0 AS b, 0.5e0 AS c, 0.5e0 AS d UNION ALL SELECT k + 1, x0 / n, x1 / n, x2 / n, x3 / n FROM (SELECT *, sqrt(x0 * x0 + x1 * x1 + x2 * x2 + x3 * x3) AS n FROM (SELECT k, c00 * a + c01 * b + c02 * c + c03 * d AS x0, c10 * a + c11 * b + c12 * c + c13 * d AS x1, c20 * a + c21 * b + c22 * c + c23 * d AS x2, c30 * a + c31 * b + c32 * c + c33 * d AS x3 FROM r, m WHERE k < 60))), v AS (SELECT a, b, c, d, a * (c00 * a + c01 * b + c02 * c + c03 * d) + b * (c10 * a + c11 * b + c12 * c + c13 * d) + c * (c20 * a + c21 * b + c22 * c + c23 * d) + d * (c30 * a + c31 * b + c32 * c + c33 * d) AS l, c00 + c11 + c22 + c33 AS total FROM r, m WHERE k = 60), w AS (SELECT 0 AS k, b AS a, -a AS b, 0.01e0 AS c, 0.01e0 AS d FROM v UNION ALL SELECT k + 1, x0 / n, x1 / n, x2 / n, x3 / n FROM (SELECT *, sqrt(x0 * x0 + x1 * x1 + x2 * x2 + x3 * x3) AS n FROM (SELECT k, y0 - p * va AS x0, y1 - p * vb AS x1, y2 - p * vc AS x2, y3 - p * vd AS x3 FROM (SELECT *, y0 * va + y1 * vb + y2 * vc + y3 * vd AS p FROM (SELECT w.k, c00 * w.a + c01 * w.b + c02 * w.c + c03 * w.d AS y0, c10 * w.a + c11 * w.b + c12 * w.c + c13 * w.d AS y1, c20 * w.a + c21 * w.b + c22 * w.c + c23 * w.d AS y2, c30 * w.a + c31 * w.b + c32 * w.c + c33 * w.d AS y3, v.a AS va, v.b AS vb, v.c AS vc, v.d AS vd FROM w, m, v WHERE w.k < 60))))), u AS (SELECT w.a, w.b, w.c, w.d, w.a * (c00 * w.a + c01 * w.b + c02 * w.c + c03 * w.d) + w.b * (c10 * w.a + c11 * w.b + c12 * w.c + c13 * w.d) + w.c * (c20 * w.a + c21 * w.b + c22 * w.c + c23 * w.d) + w.d * (c30 * w.a + c31 * w.b + c32 * w.c + c33 * w.d) AS l, total FROM w, m, v WHERE w.k = 60) SELECT component, round(l, 2) AS variance, round(l / total, 6) AS ratio, round(abs(a), 4) AS quantity, round(abs(b), 4) AS price FROM (SELECT 0::BIGINT AS component, * FROM v UNION ALL SELECT 1, * FROM u)""")
 def pca_components(t):
     d = t("lineitem")
     p = classification.pca(d, _COLS, 2)
-    return d.sparkSession.createDataFrame([(k, float(v), float(r), [float(x) for x in c]) for k, (v, r, c) in enumerate(zip(p["variance"], p["ratio"], p["components"], strict=True))], "component int, variance double, ratio double, loadings array<double>")
+    rows = [(k, round(float(v), 2), float(r), round(abs(float(c[0])), 4), round(abs(float(c[1])), 4)) for k, (v, r, c) in enumerate(zip(p["variance"], p["ratio"], p["components"], strict=True))]
+    return tidy(d.sparkSession.createDataFrame(rows, "component int, variance double, ratio double, quantity double, price double"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 40 AND l_discount >= 0.05 THEN 'bulk' WHEN l_tax < 0.02 THEN 'light' ELSE 'plain' END AS predicted FROM lineitem""")
@@ -646,10 +647,11 @@ def mixed_model(t):
     return d.sparkSession.createDataFrame([(float(fit["beta"][0]), float(fit["beta"][1]), float(fit["sigma2"]), float(fit["covariance"][0, 0]))], "intercept double, slope double, sigma2 double, between double")
 
 
-@query()
+@query("""WITH d AS (SELECT p_size::DOUBLE AS u, p_retailprice AS y FROM part), z AS (SELECT (u - mid) / half AS u, y - my AS y FROM d, (SELECT (min(u) + max(u)) / 2 AS mid, (max(u) - min(u)) / 2 AS half, avg(y) AS my FROM d)), a AS (SELECT *, u - avg(u) OVER () AS p1, u * u - avg(u * u) OVER () AS q2, u * u * u - avg(u * u * u) OVER () AS q3 FROM z), b AS (SELECT *, q2 - p1 * (sum(q2 * p1) OVER () / sum(p1 * p1) OVER ()) AS p2, q3 - p1 * (sum(q3 * p1) OVER () / sum(p1 * p1) OVER ()) AS r3 FROM a), c AS (SELECT *, r3 - p2 * (sum(r3 * p2) OVER () / sum(p2 * p2) OVER ()) AS p3 FROM b), s AS (SELECT count(*)::DOUBLE AS n, sum(y * y) AS r0, sum(y * p1) ** 2 / sum(p1 * p1) AS c1, sum(y * p2) ** 2 / sum(p2 * p2) AS c2, sum(y * p3) ** 2 / sum(p3 * p3) AS c3 FROM c), e AS (SELECT unnest([0, 1, 2, 3]) AS degree, unnest([r0, r0 - c1, r0 - c1 - c2, r0 - c1 - c2 - c3]) AS rss, n FROM s) SELECT degree::BIGINT AS degree, round(rss, 2) AS rss, round(n * ln(rss / n) + 2 * (degree + 1), 4) AS aic, round(n * ln(rss / n) + ln(n) * (degree + 1), 4) AS bic FROM e""")
 def polynomial_degrees(t):
     fits = models.polynomial_search(t("part").withColumn("s", F.col("p_size").cast("double")), "s", "p_retailprice", 3)
-    return t("part").sparkSession.createDataFrame([(f["degree"], float(f["rss"]), float(f["aic"]), float(f["bic"])) for f in fits], "degree int, rss double, aic double, bic double")
+    d = t("part").sparkSession.createDataFrame([(f["degree"], float(f["rss"]), float(f["aic"]), float(f["bic"])) for f in fits], "degree int, rss double, aic double, bic double")
+    return tidy(d.withColumn("rss", F.round("rss", 2)), 4)
 
 
 @query(f"""WITH n AS (SELECT count(*) AS n, least(greatest(floor(0.2 * count(*) + 0.5)::BIGINT, 1), count(*) - 1) AS test FROM orders), f AS (SELECT unnest(range(0, 5)) AS fold, n - test AS train FROM n) SELECT 'test' AS part, NULL::BIGINT AS fold, test::BIGINT AS n FROM n UNION ALL SELECT 'train', fold, train // 5 + (fold < train % 5)::BIGINT FROM f""")
