@@ -472,7 +472,7 @@ def _activities(t) -> DataFrame:
     return t("events").select(F.col("user_id").alias("owner"), F.col("event_id").alias("id"), F.lit("cycling").alias("sport"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("start"), F.col("ts").cast("date").alias("date"), F.col("event_type").alias("pipeline"), F.lit(None).cast("string").alias("manufacturer"), F.col("value").alias("power"), F.lit(3600.0).alias("duration"))
 
 
-@query()
+@query("""WITH a AS (SELECT user_id AS owner, event_id AS id, floor(epoch_us(ts) / 1e6)::BIGINT AS s, lower(event_type) AS p, value AS w FROM events), q AS (SELECT *, CASE WHEN w > 0 THEN 1e6 + least(w, 2000) ELSE 0 END + CASE WHEN contains(p, 'srm') OR contains(p, 'email') THEN 50000 WHEN contains(p, 'quarq') OR contains(p, 'stages') OR contains(p, 'power2max') OR contains(p, 'favero') OR contains(p, 'wahoo') OR contains(p, 'garmin') THEN 40000 WHEN contains(p, 'polar') THEN 10000 ELSE 0 END AS score FROM a), k AS (SELECT owner, list_reduce(list([s] ORDER BY s), lambda x, y: CASE WHEN y[1] > x[len(x)] + 600 THEN list_concat(x, y) ELSE x END) AS seeds FROM (SELECT DISTINCT owner, s FROM a) GROUP BY owner), g AS (SELECT q.*, list_max(list_filter(seeds, lambda x: x <= s)) AS seed FROM q JOIN k USING (owner)) SELECT owner, id, first_value(id) OVER (PARTITION BY owner, seed ORDER BY s, id) AS session, row_number() OVER (PARTITION BY owner, seed ORDER BY score DESC, s, id) = 1 AS is_primary FROM g""")
 def session_primary(t):
     return joins.link_sessions(_activities(t))
 
