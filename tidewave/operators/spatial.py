@@ -295,7 +295,7 @@ def distance_matrix(df: DataFrame) -> DataFrame:
 def focal_context(df: DataFrame, focal: DataFrame) -> DataFrame:
     """df with fx, fy, distance and bearing to the focal point, and on_ball: whether no other agent is nearer (the smaller id on ties)."""
     d = focal_distances(df, focal).withColumn("bearing", F.atan2(F.col("fy") - F.col("y"), F.col("fx") - F.col("x")))
-    w = Window.partitionBy(ID, "t").orderBy("distance", "agent_id")
+    w = Window.partitionBy(ID, "t").orderBy(F.round("distance", 9), "agent_id")
     return d.withColumn("on_ball", F.row_number().over(w) == 1)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -68,6 +69,8 @@ def islands(df: DataFrame, by: str | list[str], at: str, gap: float, name: str =
 
 #: Seconds that starts and durations of recordings of one session may differ, or a share of the longer one.
 START_S, DURATION_S, DURATION_SHARE = 600.0, 600.0, 0.15
+#: Groups of one owner that are linked in one call.
+AT_ONCE = 64
 
 
 def sessions_match(a, b) -> bool:
@@ -107,10 +110,11 @@ def link_sessions(activities: DataFrame, owner: str = "owner") -> DataFrame:
     gap = F.when(F.col("_f") | F.lag("_f").over(w), 172_800.0).otherwise(START_S)
     cut = cut.withColumn("_n", F.when(F.col("_e") - F.lag("_e").over(w) <= gap, 0).otherwise(1))
     cut = cut.withColumn("_g", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_n", "_e", "_f")
+    cut = cut.withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(owner, "_g")))
+    alone = cut.where("_m = 1").select(owner, "id", F.col("id").alias("session"), F.lit(True).alias("is_primary"))
     fields = ["id", "sport", "start", "date", "pipeline", "manufacturer", "power", "duration"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.assign(_s=pdf["start"].fillna(0)).sort_values(["_s", "date", "id"], kind="stable").to_dict("records")
+    def linked(rows: list[dict]) -> list[tuple]:
         starts = [r["start"] if pd.notna(r["start"]) else None for r in rows]
         of_day, timed = {}, [i for i, s in enumerate(starts) if s is not None]
         for i, r in enumerate(rows):
@@ -129,10 +133,16 @@ def link_sessions(activities: DataFrame, owner: str = "owner") -> DataFrame:
             taken.update(group)
             best = max(group, key=lambda j: (primary_score(rows[j]), -j))
             out += [(rows[j][owner], rows[j]["id"], seed["id"], j == best) for j in group]
+        return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.assign(_s=pdf["start"].fillna(0)).sort_values(["_g", "_s", "date", "id"], kind="stable").to_dict("records")
+        out = [x for _, part in itertools.groupby(rows, key=lambda r: r["_g"]) for x in linked(list(part))]
         return pd.DataFrame(out, columns=[owner, "id", "session", "is_primary"])
 
     types = dict(activities.dtypes)
-    return cut.select(owner, *fields, "_g").groupBy(owner, "_g").applyInPandas(run, f"{owner} {types[owner]}, id {types['id']}, session {types['id']}, is_primary boolean")
+    several = cut.where("_m > 1").select(owner, *fields, "_g").groupBy(owner, F.floor(F.col("_g") / AT_ONCE))
+    return alone.unionByName(several.applyInPandas(run, f"{owner} {types[owner]}, id {types['id']}, session {types['id']}, is_primary boolean"))
 
 
 def upsert(table: DataFrame, new: DataFrame, keys: list[str], keep_old: list[str] | None = None) -> DataFrame:
