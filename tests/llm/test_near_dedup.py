@@ -103,3 +103,18 @@ def test_estimating_loses_no_more_pairs_than_banding(percent):
     b[0, -((n - few) // 2 - 1) :] -= 1
     sizes = np.array([1000])
     assert near_dedup._near(a, b, sizes, sizes, percent).all()
+
+
+def test_a_group_of_documents_that_are_alike_but_not_near(documents):
+    """Many pairs share bands and stay below the threshold, some reach it; all are told apart by brute force."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(80)]
+    texts = []
+    for k in range(90):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 3, 3])):
+            w[rng.randrange(80)] = f"own{k}x{rng.randrange(1000)}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(documents(texts), 80).collect()}
+    roots, _ = brute(texts, 80)
+    assert [got[i] for i in range(len(texts))] == roots and len(set(roots)) > 5

@@ -8,7 +8,11 @@ comes near the threshold is verified on full shingle sets.
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +25,11 @@ BANDS, ROWS = 40, 5
 BASE, RATE = 1.02, 20.0
 REGISTERS = BANDS * ROWS
 BLOCK = 512
-#: Standard deviations below the threshold that the estimate may lie and still be verified: by exact binomial tails, a pair
-#: at the threshold is then lost less often than by banding.
-SIGMAS = 8.0
+#: Bytes of shingle sets in a block of documents whose pairs are verified together.
+SET_BYTES = 16 << 20
+#: The bands of each round: before the last one, in which all that is left is verified, of each document only the best
+#: candidate is. Few bands bring most groups together, with little that is sent.
+ROUNDS = (4, BANDS, BANDS)
 
 _MULT = np.random.default_rng(77).integers(1, 2**63, REGISTERS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(78).integers(0, 2**63, REGISTERS, dtype=np.uint64)[:, None]
@@ -56,9 +62,14 @@ def estimate(above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: np.ndar
     return (lo + hi) / 2
 
 
+@functools.cache
 def _least(percent: int) -> float:
-    s = percent / 100
-    return s - SIGMAS * (s * (1 - s) / REGISTERS) ** 0.5
+    """The least share of equal registers that is verified: a pair at the threshold has fewer of them less often, by exact
+    binomial tails, than it shares no band."""
+    s, tail, k = percent / 100, 0.0, 0
+    while (tail := tail + math.comb(REGISTERS, k) * s**k * (1 - s) ** (REGISTERS - k)) <= (1 - s**ROWS) ** BANDS:
+        k += 1
+    return k / REGISTERS
 
 
 def _near(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
@@ -131,13 +142,15 @@ def _verify(percent: int):
 PAIRS_AT_ONCE = 20_000
 
 
-def _cross(percent: int):
+def _cross(percent: int, best: bool):
     """Pairs of a bucket, or of two of its blocks, that lie in different components and may be near.
 
-    Batches come sorted by bucket, i, j. A run has 2 * BLOCK rows or so, and is carried over the end of a batch.
+    best: of each document only the pair with the most equal registers, with their number. Else all, packed by the blocks
+    (verify_i, verify_j) of documents that they are verified in. Batches come sorted by bucket, i, j. A run has 2 * BLOCK rows or so, and is carried over the end of a batch.
     """
 
     def evaluate(rows: pa.Table, pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        verify = np.asarray(rows.column("verify")).astype(np.int64)
         x, y = (np.concatenate(p) for p in zip(*pairs, strict=True))
         regs, n, ids = _regs(rows.column("regs").to_pylist()), np.asarray(rows.column("n")), np.asarray(rows.column("doc_id"))
         band = np.asarray(rows.column("band"))[x]
@@ -148,9 +161,23 @@ def _cross(percent: int):
             first = (regs[i] == regs[j]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[at : at + PAIRS_AT_ONCE]
             i, j = i[first], j[first]
             ok = _near(regs[i], regs[j], n[i], n[j], percent)
-            found.append((ids[i[ok]], ids[j[ok]]))
-        a, b = (np.concatenate(p) for p in zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            i, j = i[ok], j[ok]
+            found.append((i, j, (regs[i] == regs[j]).sum(axis=1)))
+        a, b, equal = (np.concatenate(p) for p in zip(*found, strict=True))
+        if not best:
+            at = np.stack([np.minimum(verify[a], verify[b]), np.maximum(verify[a], verify[b])])
+            order = np.lexsort(at[::-1])
+            at, both = at[:, order], np.stack([ids[a], ids[b]], axis=1)[order]
+            cuts = np.flatnonzero(np.r_[True, (at[:, 1:] != at[:, :-1]).any(axis=0)]) if len(a) else np.zeros(0, int)
+            packed = [x.astype(np.int64).tobytes() for x in np.split(both, cuts[1:])] if len(a) else []
+            return pa.RecordBatch.from_arrays([pa.array(at[0, cuts]), pa.array(at[1, cuts]), pa.array(packed, pa.binary())], ["verify_i", "verify_j", "pairs"])
+        a, b = ids[a], ids[b]
+        if len(a):
+            who = np.r_[a, b]
+            order = np.lexsort((-np.r_[equal, equal], who))
+            keep = np.unique(order[np.r_[True, who[order][1:] != who[order][:-1]]] % len(a))
+            a, b, equal = a[keep], b[keep], equal[keep]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(equal.astype(np.int64))], ["a", "b", "equal"])
 
     def handle(rows: pa.Table):
         keys = np.stack([np.asarray(rows.column(c)).astype(np.int64) for c in ("bucket", "i", "j")])
@@ -191,6 +218,44 @@ def _cross(percent: int):
     return run
 
 
+def _unpacked(batches):
+    for b in batches:
+        for x in b.column("pairs"):
+            p = np.sort(np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
+
+
+def _verified(crossed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the packed pairs that reach the threshold on full sets; a document's set is sent once for each other block."""
+    met = crossed.select("verify_i", "verify_j").distinct()
+    ends = met.select(F.col("verify_i").cast("int").alias("verify"), F.col("verify_i").alias("i"), F.col("verify_j").alias("j"))
+    ends = ends.union(met.where("verify_i <> verify_j").select(F.col("verify_j").cast("int"), "verify_i", "verify_j"))
+    sets = members.join(ends, "verify").select("i", "j", "doc_id", "shingles")
+
+    def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        of = {d: np.frombuffer(x, np.uint64) for d, x in zip(right.doc_id.tolist(), right.shingles, strict=True)}
+        pairs = np.unique(np.sort(np.frombuffer(b"".join(left.pairs), np.int64).reshape(-1, 2), axis=1), axis=0)
+        ok = []
+        for a, b in pairs.tolist():
+            x, y = sorted((of[a], of[b]), key=len)
+            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            ok.append(100 * both >= percent * (len(x) + len(y) - both))
+        return pd.DataFrame(pairs[np.array(ok, bool)], columns=["a", "b"])
+
+    return crossed.groupBy("verify_i", "verify_j").cogroup(sets.groupBy("i", "j")).applyInPandas(check, "a long, b long")
+
+
+def _joined(comps: DataFrame, links: DataFrame, s: Scratch, k: int) -> DataFrame:
+    """comps (node, component), in which a document without links may be missing, after links (a, b) between documents."""
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    e = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    edges = e.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+    roots = s.save(connected_components(edges, s, f"cc-{k}"), f"roots-{k}").withColumnRenamed("component", "root")
+    known = comps.join(roots.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    alone = roots.join(comps, "node", "left_anti").select("node", F.col("root").alias("component"))
+    return s.save(known.unionByName(alone), f"comps-{k}")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
@@ -198,8 +263,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
     words: the whole sequence). Null or wordless texts have empty sets and stand alone. Ties need no rule. Rows with a
     null doc_id are left out; of repeated rows of one doc_id, which count as copies of one document, one comes back.
     Other columns are ignored. Identical sets are joined first. Then each bucket's members are verified against its
-    smallest member, and after that every pair of a bucket whose members are still in different components, in blocks of
-    bounded size, so that no link between components is lost and large groups don't become all pairs.
+    smallest member. Of buckets whose members are still in different components, each document's best candidate in another
+    component is verified and components are joined, over few bands and then over all; and after that every pair that still lies between
+    components, in blocks of bounded size, so that no link is lost and large groups don't become all pairs.
     """
     spark = docs.sparkSession
     s = Scratch(spark, "near")
@@ -233,18 +299,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
 
     low = confirmed(buckets.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct(), "low", False)
     comps = s.save(connected_components(low, s, "cc-low"), "comps-low")
-
-    own = buckets.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    own = s.save(own, "own")
-    several = own.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").drop("c0", "c1")
-    mixed = own.join(several, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    mixed = mixed.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).join(light, "doc_id")
-    pair = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     key = ["bucket", "i", "j"]
-    pair = pair.select(*key, "band", "block", "doc_id", "n", "component", "regs").repartition(*key).sortWithinPartitions(*key)
-    rest = confirmed(s.save(pair.mapInArrow(_cross(percent), "a long, b long").distinct(), "crossed"), "rest", True)
-    comps = s.save(connected_components(low.union(rest), s, "cc"), "comps")
-    s.drop("buckets", "own", "sets", "low-near", "crossed")
+    for k, bands in enumerate(ROUNDS):
+        last = k == len(ROUNDS) - 1
+        own = buckets.where(F.col("band") < bands).join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        own = s.save(own, f"own-{k}")
+        several = own.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").drop("c0", "c1")
+        mixed = s.save(own.join(several, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), f"mixed-{k}")
+        s.drop(f"own-{k}")
+        if mixed.isEmpty():
+            continue
+        mixed = mixed.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).join(light, "doc_id")
+        pair = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        members = full.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "shingles")
+        blocks = 1
+        if last:
+            size = members.agg(F.count("*").alias("docs"), F.sum("n").alias("n")).first()
+            blocks = max(1, -(-size.docs // BLOCK), -(-8 * (size.n or 0) // SET_BYTES))
+        verify = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("verify")
+        pair = pair.select(*key, "band", "block", "doc_id", "n", "component", "regs", verify).repartition(*key).sortWithinPartitions(*key)
+        if last:
+            crossed = s.save(pair.mapInArrow(_cross(percent, False), "verify_i long, verify_j long, pairs binary"), f"crossed-{k}")
+            # where two blocks have fewer pairs than documents, sending the sets of each pair is less
+            many = crossed.groupBy("verify_i", "verify_j").agg((F.sum(F.octet_length("pairs")) >= 16 * 2 * BLOCK).alias("many"))
+            crossed = s.save(crossed.join(many, ["verify_i", "verify_j"]), "crossed")
+            few = confirmed(crossed.where("not many").select("pairs").mapInArrow(_unpacked, "a long, b long"), f"rest-{k}-few", True)
+            links = few.union(s.save(_verified(crossed.where("many").drop("many"), members.select("doc_id", "shingles", verify), percent), f"rest-{k}-many"))
+        else:
+            crossed = s.save(pair.mapInArrow(_cross(percent, True), "a long, b long, equal long"), f"crossed-{k}")
+            ends = crossed.select(F.col("a").alias("d"), "a", "b", "equal").union(crossed.select("b", "a", "b", "equal"))
+            links = confirmed(ends.groupBy("d").agg(F.max(F.struct("equal", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), f"rest-{k}", True)
+        comps = _joined(comps, links, s, k)
+        s.drop(f"mixed-{k}", f"crossed-{k}", "crossed", *[f"rest-{k}-{x}" for x in ("links", "few-links", "many")])
+    s.drop("buckets", "sets", "low-near")
     of_rep = reps.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*same, F.coalesce("component", "doc_id").alias("component"))
     found = sketches.select("doc_id", *same).join(of_rep, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return found.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
