@@ -1,14 +1,17 @@
-"""The queries op1 to op10 and pipeline: each applies its operator to its whole table and returns the contract's columns."""
+"""The queries op1 to op13 and pipeline: each applies its operator to its whole table and returns the contract's columns."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewave.llm import bit_sliced, decontamination, language_id, near_dedup, quality, sentencepieces, substring_dedup, token_counts, url_filters, warc
+from tidewave.llm import bit_sliced, decontamination, language_id, near_dedup, periodic_runs, quality, sentencepieces, substring_dedup, token_counts, url_filters, warc
+from tidewave.llm._shared import small_batches
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -64,6 +67,35 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeat_digests(_table(spark, sf_dir, "documents"))
 
 
+def _with_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where 10 divides the checksum of doc_id, the words from some place on repeat. Null ids have none."""
+
+    def run(batches):
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for i, doc_id in enumerate(b.column("doc_id").to_pylist()):
+                g, h = divmod(zlib.crc32(str(doc_id).encode()), 10)
+                words = (texts[i] or "").encode().split() if doc_id is not None and h == 0 else []
+                if words:
+                    a = g % len(words)
+                    p = 1 + (len(words) - a) // (3 + g % 8)
+                    tail = words[a : a + p]
+                    texts[i] = b" ".join(words[:a] + (tail * (len(words) // p + 1))[: len(words) - a]).decode()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = periodic_runs.periodic_runs(_with_tails(_table(spark, sf_dir, "documents")), keep=["doc_id"])
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))).alias("best")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    longest = [(-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period")]
+    return out.select("doc_id", "n_runs", *longest, F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def near_sql(source: str, percent: int) -> str:
     """CTEs that end in near_found(doc_id, n_shingles, component_id), over a relation of doc_id and text."""
     return f"""
@@ -131,6 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
