@@ -138,6 +138,37 @@ rep_some AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY po
 rep_kept AS (SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n_kept, 0) AS n_removed, coalesce(kept, '') AS kept FROM rep_words LEFT JOIN rep_some USING (doc_id))"""
 
 
+#: A CTE with the table of the checksum's 256 values, by its rule.
+_CRC_TABLE = """crc_table AS (SELECT list(v ORDER BY i) AS crc FROM (SELECT i,
+    list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM range(256) AS r(i)))"""
+
+
+def _crc32(octets: str) -> str:
+    """The checksum of a list of octets, beside crc_table."""
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {octets}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255)::BIGINT + 1])), 4294967295)"
+
+
+def _digits(number: str) -> str:
+    return f"list_transform(string_split({number}::VARCHAR, ''), lambda d: ascii(d)::UBIGINT)"
+
+
+_RUNS_SQL = f"""
+WITH {_CRC_TABLE},
+base AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS ws, {_crc32(_digits("doc_id"))} AS h FROM documents, crc_table),
+sized AS (SELECT doc_id, ws, len(ws)::BIGINT AS n, h % 10 = 0 AND len(ws) > 0 AS odd, (h // 10)::BIGINT AS g FROM base),
+tail AS (SELECT *, CASE WHEN odd THEN g % n END AS a, CASE WHEN odd THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM sized),
+texts AS (SELECT doc_id, n, CASE WHEN odd THEN list_transform(range(n), lambda i: ws[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END) + 1]) ELSE ws END AS ws FROM tail),
+each AS (SELECT doc_id, n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM texts),
+same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM each x JOIN each y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+isles AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM same) GROUP BY doc_id, q, isle),
+runs AS (SELECT doc_id, s, length, min(q) AS q FROM isles WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, s, length),
+sums AS (SELECT doc_id, count(*) AS n_runs, arg_max({{'s': s, 'l': length, 'q': q}}, (length, -s, -q)) AS best,
+    sha256(string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q)) AS sha FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.q AS period, 1000 * best.l // best.q AS exponent_milli,
+    coalesce(sha, sha256('')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256 FROM texts LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS sha FROM p),
@@ -173,5 +204,6 @@ SQL: dict[str, str] = {
     "op6_minhash_near_dedup": f"WITH RECURSIVE {near_sql('documents', 85)}\nSELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM near_found",
     "op7_warc": _WARC_SQL,
     "op8_benchmark_decontamination": f"WITH {contained_sql('documents', 'benchmark', 80)}\nSELECT doc_id, item_id, n_shared, n_item FROM leaks",
+    "op11_periodic_runs": _RUNS_SQL,
     "op10_substring_dedup": f"WITH {repeats_sql('documents')}\nSELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM rep_kept",
 }
