@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewave.llm import bit_sliced, decontamination, language_id, near_dedup, periodic_runs, quality, sentencepieces, substring_dedup, token_counts, url_filters, warc
+from tidewave.llm import bit_sliced, decontamination, language_id, near_dedup, periodic_runs, quality, sentencepieces, spelling, substring_dedup, token_counts, url_filters, warc
 from tidewave.llm._shared import small_batches
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,6 +96,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_runs", *longest, F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents"), lost_every=199))
+
+
 def near_sql(source: str, percent: int) -> str:
     """CTEs that end in near_found(doc_id, n_shingles, component_id), over a relation of doc_id and text."""
     return f"""
@@ -169,6 +173,23 @@ kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM each ANTI JOIN g
 SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.q AS period, 1000 * best.l // best.q AS exponent_milli,
     coalesce(sha, sha256('')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256 FROM texts LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
+_SPELLING_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+said AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), '{_UPPER}', '{_LOWER}') AS w FROM documents),
+said_in AS (SELECT doc_id, w, count(*) AS k FROM said WHERE length(w) >= 6 GROUP BY doc_id, w),
+octets AS (SELECT *, {_digits("doc_id")} || [58::UBIGINT] || flatten(list_transform(string_split(w, ''), lambda d: CASE WHEN unicode(d) < 128 THEN [unicode(d)::UBIGINT] ELSE [195::UBIGINT, (unicode(d) - 64)::UBIGINT] END)) AS o FROM said_in),
+hashed AS (SELECT w, k, {_crc32("o")} AS h FROM octets, crc_table),
+lost AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, k FROM hashed),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM lost WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+cut AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT DISTINCT x.word AS a, y.word AS b FROM cut x JOIN cut y ON x.d = y.d AND x.i = y.i AND x.word <> y.word
+    UNION SELECT d, cut.word FROM cut JOIN words ON words.word = d UNION SELECT cut.word, d FROM cut JOIN words ON words.word = d),
+best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-n, encode(b))) AS form, max(n) AS form_n FROM pairs JOIN words ON word = b GROUP BY a),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form, CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain(word, here, hop) AS (SELECT word, word, 0 FROM words UNION ALL SELECT chain.word, form, hop + 1 FROM chain JOIN forms ON forms.word = here WHERE form IS NOT NULL),
+roots AS (SELECT word, arg_max(here, hop) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)"""
+
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS sha FROM p),
@@ -195,6 +216,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_spelling_variants": op12_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -204,6 +226,7 @@ SQL: dict[str, str] = {
     "op6_minhash_near_dedup": f"WITH RECURSIVE {near_sql('documents', 85)}\nSELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM near_found",
     "op7_warc": _WARC_SQL,
     "op8_benchmark_decontamination": f"WITH {contained_sql('documents', 'benchmark', 80)}\nSELECT doc_id, item_id, n_shared, n_item FROM leaks",
-    "op11_periodic_runs": _RUNS_SQL,
     "op10_substring_dedup": f"WITH {repeats_sql('documents')}\nSELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM rep_kept",
+    "op11_periodic_runs": _RUNS_SQL,
+    "op12_spelling_variants": _SPELLING_SQL,
 }
