@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewave.llm import bit_sliced, decontamination, language_id, near_dedup, periodic_runs, quality, sentencepieces, spelling, substring_dedup, token_counts, url_filters, warc
+from tidewave.llm import bit_sliced, bpe_lexicon, decontamination, language_id, near_dedup, periodic_runs, quality, sentencepieces, spelling, substring_dedup, token_counts, url_filters, warc
 from tidewave.llm._shared import small_batches
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -100,6 +100,13 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents"), lost_every=199))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe_lexicon.encoded(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    back = bpe_lexicon.decoded(tokens, keep=["doc_id", "tokens"])
+    ids = F.array_join(F.col("tokens").cast("array<string>"), ",")
+    return back.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def near_sql(source: str, percent: int) -> str:
     """CTEs that end in near_found(doc_id, n_shingles, component_id), over a relation of doc_id and text."""
     return f"""
@@ -217,6 +224,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_bpe": op13_bpe,
     "pipeline": corpus_pipeline.run,
 }
 
