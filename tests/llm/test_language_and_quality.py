@@ -222,3 +222,52 @@ def test_conflicting_labels_go_by_majority(spark):
     docs2 = spark.createDataFrame([(0, "good text here", 5, "p")] * 2, "doc_id long, text string, score int, predicted string")
     got = quality.scored(docs2, a, docs2.columns)
     assert got.columns == ["doc_id", "text", "score", "predicted"] and got.count() == 2
+
+
+def plain_uses(s, codes, p):
+    """Expected uses by a lattice of logs, one place after another."""
+    n, edges = len(codes), list(zip(*[x.tolist() for x in s.edges(codes)], strict=True))
+    into, out_of = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
+    for a, size, k in edges:
+        into[a + size].append((a, k))
+        out_of[a].append((a + size, k))
+    ahead, behind = [0.0] + [-np.inf] * n, [-np.inf] * n + [0.0]
+    for i in range(1, n + 1):
+        ahead[i] = np.logaddexp.reduce([ahead[a] + np.log(p[k, 0]) for a, k in into[i]] or [-np.inf])
+    for i in range(n - 1, -1, -1):
+        behind[i] = np.logaddexp.reduce([behind[b] + np.log(p[k, 0]) for b, k in out_of[i]] or [-np.inf])
+    uses = np.zeros(len(p) - 1)
+    for a, size, k in edges:
+        if k >= 0:
+            uses[k] += np.exp(ahead[a] + np.log(p[k, 0]) + behind[a + size] - ahead[n])
+    return uses, ahead[n]
+
+
+@pytest.mark.parametrize("letters", [3, 150, 10_000])
+def test_long_words_are_learned_whole(letters):
+    import pyarrow as pa
+
+    s = language_id.Scorer(["a", "ab", "b", "ba", "▁", "▁a", "▁ab", "abab"])
+    rng = np.random.default_rng(letters)
+    word = "".join(rng.choice(["a", "b", "a", "ß"], letters))
+    p = rng.random((9, 1)) / 20
+    codes = s.words(pa.array([word]))[0]
+    uses, total = plain_uses(s, codes, p)
+    assert np.allclose(s.long_expected(codes, p, 3.0), 3 * uses, rtol=1e-8)
+    assert np.allclose(s.long_logs(codes, p), total)
+    if letters <= language_id.LONG:
+        assert np.allclose(language_id.Lattice(s.trie, codes, np.array([len(codes)])).expected(p, np.array([3.0])), 3 * uses)
+
+
+def test_bounds_of_training(spark, monkeypatch):
+    # a model of one unbroken word of 10 000 letters a language: cut into parts it would learn starts of words
+    train = spark.createDataFrame([("ab" * 5000, "x"), ("cd" * 5000, "y"), ("ab cd", "x")], "text string, lang string")
+    m = language_id.train(train)
+    mark = m.scorer.vocabulary.index("▁")
+    assert m.languages == ["x", "y"] and (m.p[:-1].sum(axis=0) == pytest.approx(1, abs=1e-6))
+    assert m.p[mark, 1] < 0.05
+    with pytest.raises(ValueError):
+        language_id.Scorer(["a" * 65])
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        language_id.train(train)

@@ -27,10 +27,12 @@ PRIOR = 50.0
 UNKNOWN = 1e-7
 #: A constant factor for each letter keeps the sums of long words within a double's range.
 GROWTH = 12.0
-#: Words of more letters are summed by themselves, with the sums scaled anew on the way; in training, such a word is cut.
+#: Words of more letters are summed by themselves, with the sums scaled anew on the way.
 LONG = 200
 #: No piece is longer; the sums of so many places are carried on.
 REACH = 64
+#: Each language is a column of the model and of its tables; more are an error.
+MOST_LANGUAGES = 1000
 WORDS_AT_ONCE = 8_000
 CELLS = 300_000
 
@@ -108,6 +110,8 @@ class Scorer:
     """The tables of a vocabulary. The trie is made on first use and not sent along."""
 
     def __init__(self, vocabulary: list[str]):
+        if max(map(len, vocabulary), default=0) > REACH:
+            raise ValueError(f"pieces of over {REACH} letters aren't summed rightly")
         self.alphabet = Alphabet(vocabulary)
         self.vocabulary = vocabulary
 
@@ -122,22 +126,14 @@ class Scorer:
     def _values(self) -> np.ndarray:
         return np.random.default_rng(5).integers(0, 2**63, self.alphabet.size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def words(self, texts: pa.Array, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(codes of the distinct words with marks, their lengths, which distinct word each word is, text of each word).
-
-        most: cut longer words into parts of so many letters.
-        """
+    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(codes of the distinct words with marks, their lengths, which distinct word each word is, text of each word)."""
         joined = "\n".join(t or "" for t in texts.to_pylist())
         code = self.alphabet.table[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
         n = len(code)
         letter = code > 0
         start = np.flatnonzero(letter & np.r_[True, ~letter[:-1]][:n])
         end = np.flatnonzero(letter & np.r_[~letter[1:], True][:n]) + 1
-        if most and (end - start > most).any():
-            parts = -(-(end - start) // most)
-            of = np.repeat(np.arange(len(start)), parts)
-            k = np.arange(len(of)) - (np.cumsum(parts) - parts)[of]
-            start, end = start[of] + k * most, np.minimum(start[of] + (k + 1) * most, end[of])
         lengths = np.array([len(t or "") + 1 for t in texts.to_pylist()], np.int64)
         doc = np.searchsorted(np.cumsum(lengths), start, side="right")
         h = value_hashes(self._values[code], start, end)
@@ -168,26 +164,51 @@ class Scorer:
             out[a:b] = np.log(np.maximum(x.forward(p)[x.final], 1e-300)) - size[a:b, None] * np.log(GROWTH)
         return out
 
-    def long_logs(self, codes: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """The same of one word of any length, place by place."""
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, piece) of what may stand in one word; -1 is the piece of an unknown letter."""
         start, size, piece = self.trie.edges(codes, len(codes) - np.arange(len(codes)))
         lone = np.flatnonzero(codes == 1)
-        start, size, piece = np.r_[start, lone], np.r_[size, np.ones(len(lone), np.int64)], np.r_[piece, np.full(len(lone), -1)]
-        order = np.argsort(start + size, kind="stable")
-        start, size, piece = start[order], size[order], piece[order]
-        cuts = np.searchsorted(start + size, np.arange(1, len(codes) + 2)).tolist()
-        alpha, scale = np.zeros((len(codes) + 1, p.shape[1])), np.zeros(p.shape[1])
-        alpha[0] = 1
-        for end in range(1, len(codes) + 1):
-            a, b = cuts[end - 1], cuts[end]
-            if b > a:
-                alpha[end] = (alpha[start[a:b]] * p[piece[a:b]] * GROWTH ** size[a:b, None]).sum(axis=0)
-            if end % REACH == 0:
-                last = alpha[max(0, end - REACH) : end + 1]
-                top = np.maximum(last.max(axis=0), 1e-300)
-                last /= top
-                scale += np.log(top)
-        return np.log(np.maximum(alpha[-1], 1e-300)) + scale - len(codes) * np.log(GROWTH)
+        return np.r_[start, lone], np.r_[size, np.ones(len(lone), np.int64)], np.r_[piece, np.full(len(lone), -1)]
+
+    def long_logs(self, codes: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The same of one word of any length, place by place."""
+        start, size, piece = self.edges(codes)
+        return _long_sums(start, start + size, p[piece] * GROWTH ** size[:, None], len(codes))[-1] - len(codes) * np.log(GROWTH)
+
+    def long_expected(self, codes: np.ndarray, p: np.ndarray, count: float) -> np.ndarray:
+        """Expected uses of each piece over all segmentations of one word of any length, seen so many times."""
+        start, size, piece = self.edges(codes)
+        n, gain = len(codes), p[piece] * GROWTH ** size[:, None]
+        ahead = _long_sums(start, start + size, gain, n)
+        behind = _long_sums(n - start - size, n - start, gain, n)[::-1]
+        with np.errstate(under="ignore"):
+            use = count * np.exp(ahead[start] + np.log(gain) + behind[start + size] - ahead[-1])[:, 0]
+        known = piece >= 0
+        return np.bincount(piece[known], use[known], len(p) - 1)
+
+
+def _long_sums(start: np.ndarray, end: np.ndarray, gain: np.ndarray, n: int) -> np.ndarray:
+    """(n + 1, languages): the log of the sum over all ways from place 0 to each place of the product of gains on the way.
+
+    After each REACH places the last ones, which is as far as a piece goes, are divided by the largest sum among them.
+    """
+    order = np.argsort(end, kind="stable")
+    start, gain = start[order], gain[order]
+    cuts = np.searchsorted(end[order], np.arange(1, n + 2)).tolist()
+    alpha, scale, at = np.zeros((n + 1, gain.shape[1])), np.zeros(gain.shape[1]), np.zeros((n + 1, gain.shape[1]))
+    alpha[0] = 1
+    for to in range(1, n + 1):
+        a, b = cuts[to - 1], cuts[to]
+        if b > a:
+            alpha[to] = (alpha[start[a:b]] * gain[a:b]).sum(axis=0)
+        at[to] = scale
+        if to % REACH == 0:
+            last = slice(max(0, to - REACH), to + 1)
+            top = np.maximum(alpha[last].max(axis=0), 1e-300)
+            alpha[last] /= top
+            scale = scale + np.log(top)
+            at[last] = scale
+    return np.log(np.maximum(alpha, 1e-300)) + at
 
 
 def letter_pieces(path: str) -> list[str]:
@@ -231,13 +252,16 @@ def train(labelled: DataFrame, path: str = PIECES, docs_per_language: int = DOCS
     """labelled (text, lang), nulls left out. The model holds one number for each piece and language.
 
     Of each language about docs_per_language different texts are drawn by their hash, all if there are fewer; copies of a
-    text count once. Other columns are ignored. No labelled text: a model of no language.
+    text count once. Words of any length are learned from whole. Other columns are ignored. No labelled text: a model of no
+    language; over MOST_LANGUAGES values of lang: an error.
     """
     spark = small_batches(labelled.sparkSession)
     labelled = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("h"))
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}
     tables = scorer(path)
     n_pieces, languages = len(tables.vocabulary), sorted(sizes)
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"{len(languages)} languages; at most {MOST_LANGUAGES} are learned at once")
     if not languages:
         return Model(tables, [], np.zeros((n_pieces + 1, 0)))
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, docs_per_language / sizes[k]))])
@@ -247,7 +271,7 @@ def train(labelled: DataFrame, path: str = PIECES, docs_per_language: int = DOCS
     def count(batches):
         for b in chunks(batches, "text"):
             langs = b.column("lang").to_pylist()
-            codes, size, which, doc = shared.value.words(b.column("text"), LONG)
+            codes, size, which, doc = shared.value.words(b.column("text"))
             first = np.cumsum(size) - size
             lang = np.array([languages.index(x) for x in langs])
             pair, n = np.unique(which * len(languages) + lang[doc], return_counts=True)
@@ -256,11 +280,20 @@ def train(labelled: DataFrame, path: str = PIECES, docs_per_language: int = DOCS
 
     def fit(key_, pdf: pd.DataFrame) -> pd.DataFrame:
         trie = shared.value.trie
+        too_long = pdf.word.str.len() > 2 * (LONG + 1)
+        long, long_seen = [np.frombuffer(w, np.uint16) for w in pdf.word[too_long]], pdf.n[too_long].tolist()
+        pdf = pdf[~too_long]
         seen, p, uses = pdf.n.to_numpy().astype(float), np.full((n_pieces + 1, 1), UNKNOWN), None
         for k in range(ROUNDS + 1):
             if k:
                 p[:-1, 0] = (uses + 1e-3) / (uses.sum() + 1e-3 * n_pieces)
             uses = np.zeros(n_pieces)
+            for w, n in zip(long, long_seen, strict=True):
+                if k:
+                    uses += shared.value.long_expected(w, p, n)
+                else:
+                    piece = shared.value.edges(w)[2]
+                    uses += np.bincount(piece[piece >= 0], minlength=n_pieces) * n
             for at in range(0, len(pdf), WORDS_AT_ONCE):
                 part = pdf.word.iloc[at : at + WORDS_AT_ONCE]
                 x = Lattice(trie, np.frombuffer(b"".join(part), np.uint16), np.array([len(w) // 2 for w in part]))
