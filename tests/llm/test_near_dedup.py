@@ -64,6 +64,40 @@ def test_degenerate(spark, documents):
     assert [r.component_id for r in near_dedup.near_duplicates(long).orderBy("doc_id").collect()] == [0, 1, 0]
 
 
+def several_rows(rows, percent):
+    """Components of ids whose rows may differ, by brute force over rows."""
+    roots, sizes = brute([t for _, t in rows], percent)
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for k, (i, _) in enumerate(rows):
+        a, b = sorted((find(i), find(rows[roots[k]][0])))
+        root[b] = a
+    out = {}
+    for k, (i, _) in enumerate(rows):
+        out[i] = (max(out.get(i, (0,))[0], sizes[k]), find(i))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_rows_of_one_id_may_differ_and_come_in_any_order(spark, seed):
+    a, c = " ".join(f"a{i}" for i in range(40)), " ".join(f"c{i}" for i in range(40))
+    rows = [(1, a), (5, a + " x"), (5, c), (9, c + " y"), (7, ""), (7, None), (7, "one"), (3, c), (3, "one")]
+    rng = random.Random(seed)
+    texts = corpus(seed)
+    rows += [(rng.randrange(100, 160), t) for t in texts] + [(200, f"u{k} v w x y z") for k in range(30)]
+    want = several_rows(rows, 85)
+    assert {want[i][1] for i in (1, 3, 5, 7, 9)} == {1} and len({x for _, x in want.values()}) > 3
+    for _ in range(2):
+        rng.shuffle(rows)
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len(got) == len(want)
+
+
 def test_estimate_and_merge():
     rng = np.random.default_rng(0)
     both, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (700, 150, 150))

@@ -85,17 +85,23 @@ def _near(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percen
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("regs", pa.binary())])
 BUCKETS = pa.schema([("bucket", pa.int64()), ("band", pa.int32()), ("doc_id", pa.int64())])
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("regs", pa.binary()), ("shingles", pa.binary())])
+SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("regs", pa.binary()), ("shingles", pa.binary())])
+SAME = ["n", "sig1", "sig2"]
 
 
 def _ddl(s: pa.Schema) -> str:
     return ", ".join(f"{f.name} {({pa.int64(): 'long', pa.int32(): 'int', pa.binary(): 'binary'})[f.type]}" for f in s)
 
 
+def _sums(s: np.ndarray) -> tuple[int, int]:
+    """Two sums of a set of hashes, that tell sets of one size apart."""
+    return (int(signed(mix(s ^ np.uint64(1)).sum(keepdims=True))[0]), int(signed(np.bitwise_xor.reduce(mix(s ^ np.uint64(2)), keepdims=True))[0])) if len(s) else (0, 0)
+
+
 def _sketch(batches):
     for b in chunks(batches, "text"):
         sets = shingle_sets(words(b.column("text"), fold=True))
-        sums = [(int(signed(mix(s ^ np.uint64(1)).sum(keepdims=True))[0]), int(signed(np.bitwise_xor.reduce(mix(s ^ np.uint64(2)), keepdims=True))[0])) if len(s) else (0, 0) for s in sets]
+        sums = [_sums(s) for s in sets]
         yield record(SKETCH, b.column("doc_id"), [len(s) for s in sets], [x for x, _ in sums], [y for _, y in sums], [registers(s).tobytes() if len(s) else b"" for s in sets])
 
 
@@ -256,13 +262,32 @@ def _joined(comps: DataFrame, links: DataFrame, s: Scratch, k: int) -> DataFrame
     return s.save(known.unionByName(alone), f"comps-{k}")
 
 
+#: Numbers beyond the largest doc_id that further sets of an id may need.
+ROOM = 1 << 60
+
+
+def _further_sets(sketches: DataFrame, s: Scratch) -> DataFrame | None:
+    """(doc_id, n, sig1, sig2, own) of all but the first set of the ids that have several: own is a number that no id has."""
+    some = sketches.where("n > 0")
+    ends = some.groupBy("doc_id").agg(F.min(F.struct(*SAME)).alias("first"), F.max(F.struct(*SAME)).alias("last"))
+    several = s.save(ends.where("first <> last").select("doc_id", "first"), "several")
+    if several.isEmpty():
+        return None
+    top = sketches.agg(F.max("doc_id")).first()[0]
+    if top > 2**63 - 1 - ROOM:
+        raise ValueError(f"doc_id {top} is too large, as some ids have several texts")
+    further = some.join(several, "doc_id").where(F.struct(*SAME) != F.col("first")).select("doc_id", *SAME).distinct()
+    return s.save(further.withColumn("own", F.lit(top + 1) + F.monotonically_increasing_id()), "further")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B| of their sets of lower-cased 5-word shingles (fewer
     words: the whole sequence). Null or wordless texts have empty sets and stand alone. Ties need no rule. Rows with a
-    null doc_id are left out; of repeated rows of one doc_id, which count as copies of one document, one comes back.
-    Other columns are ignored. Identical sets are joined first. Then each bucket's members are verified against its
+    null doc_id are left out. Rows that share a doc_id are one document: each set of theirs has its links, all these reach
+    one another in whatever order the rows come, and one row comes back, with the largest n_shingles. Other columns are
+    ignored. Identical sets are joined first. Then each bucket's members are verified against its
     smallest member. Of buckets whose members are still in different components, each document's best candidate in another
     component is verified and components are joined, over few bands and then over all; and after that every pair that still lies between
     components, in blocks of bounded size, so that no link is lost and large groups don't become all pairs.
@@ -271,23 +296,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
     s = Scratch(spark, "near")
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketches = s.save(source.mapInArrow(_sketch, _ddl(SKETCH)), "sketch")
-    some = sketches.where("n > 0")
-    same = ["n", "sig1", "sig2"]
-    reps = s.save(some.groupBy(*same).agg(F.min_by(F.struct("doc_id", "regs"), "doc_id").alias("r")).select(*same, "r.doc_id", "r.regs"), "reps")
+    further = _further_sets(sketches, s)
+
+    def told_apart(df: DataFrame) -> DataFrame:
+        """df with the number that a set goes by in place of doc_id, which is kept as id."""
+        if further is None:
+            return df.withColumn("id", F.col("doc_id"))
+        return df.join(further, ["doc_id", *SAME], "left").withColumns({"id": F.col("doc_id"), "doc_id": F.coalesce("own", "doc_id")}).drop("own")
+
+    sketches = told_apart(sketches)
+    reps = s.save(sketches.where("n > 0").groupBy(*SAME).agg(F.min_by(F.struct("doc_id", "regs"), "doc_id").alias("r")).select(*SAME, "r.doc_id", "r.regs"), "reps")
     exploded = s.save(reps.select("doc_id", "regs").mapInArrow(_buckets, _ddl(BUCKETS)), "exploded")
     shared = exploded.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
     buckets = s.save(exploded.join(shared, "bucket"), "buckets")
     s.drop("exploded")
-    bits = marks(buckets.select("doc_id"))
+    of_marks = buckets.select("doc_id")
+    if further is not None:
+        of_marks = of_marks.union(further.select("doc_id"))
+    bits = marks(of_marks)
     wanted = marked(source, "doc_id", bits)
 
     def sets(batches):
         for b in chunks(batches, "text"):
             got = shingle_sets(words(b.column("text"), fold=True))
             at = [i for i, x in enumerate(got) if len(x)]
-            yield record(SETS, b.column("doc_id").take(pa.array(at, pa.int64())), [len(got[i]) for i in at], [registers(got[i]).tobytes() for i in at], [got[i].tobytes() for i in at])
+            yield record(SETS, b.column("doc_id").take(pa.array(at, pa.int64())), [len(got[i]) for i in at], *zip(*[_sums(got[i]) for i in at], strict=True) if at else ([], []), [registers(got[i]).tobytes() for i in at], [got[i].tobytes() for i in at])
 
-    full = s.save(wanted.mapInArrow(sets, _ddl(SETS)).dropDuplicates(["doc_id"]), "sets")
+    full = s.save(told_apart(wanted.mapInArrow(sets, _ddl(SETS))).dropDuplicates(["doc_id"]).select("doc_id", "n", "regs", "shingles"), "sets")
     light = full.select("doc_id", "n", "regs")
 
     def confirmed(pairs: DataFrame, name: str, filtered: bool) -> DataFrame:
@@ -298,6 +333,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
         return s.save(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(percent), "a long, b long"), f"{name}-links")
 
     low = confirmed(buckets.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct(), "low", False)
+    if further is not None:  # the sets of an id belong together, each with the first document that has the same
+        sets_of = sketches.join(further.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi").where("n > 0").select("id", *SAME).distinct()
+        own = sets_of.join(reps.select(*SAME, F.col("doc_id").alias("b")), SAME)
+        low = low.union(own.join(own.groupBy("id").agg(F.min("b").alias("a")), "id").select("a", "b"))
     comps = s.save(connected_components(low, s, "cc-low"), "comps-low")
     key = ["bucket", "i", "j"]
     for k, bands in enumerate(ROUNDS):
@@ -332,6 +371,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
         comps = _joined(comps, links, s, k)
         s.drop(f"mixed-{k}", f"crossed-{k}", "crossed", *[f"rest-{k}-{x}" for x in ("links", "few-links", "many")])
     s.drop("buckets", "sets", "low-near")
-    of_rep = reps.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*same, F.coalesce("component", "doc_id").alias("component"))
-    found = sketches.select("doc_id", *same).join(of_rep, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    of_rep = reps.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*SAME, F.coalesce("component", "doc_id").alias("component"))
+    # a component's smallest number is an id: a further set is joined with the first of its id, which has a smaller one
+    found = sketches.select("id", *SAME).join(of_rep, SAME, "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return found.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
