@@ -66,7 +66,7 @@ def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
 
     Scores are grouped first; the running sums go through as many rows as there are different scores, range by range.
     """
-    g = _by_score(df, y, score)
+    g = _by_score(df, y, score).persist()
     total = g.agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
     c = running_sums(g.withColumn("low", -F.col("s")), "low", ["p", "n"]).join(F.broadcast(total))
     c = c.select(F.col("s").alias("threshold"), ratio(F.col("run_n"), F.col("tn"), 0.0).alias("fpr"), ratio(F.col("run_p"), F.col("tp"), 0.0).alias("tpr"))
@@ -74,14 +74,15 @@ def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
 
 
 def _by_score(df: DataFrame, y: str, score: str) -> DataFrame:
-    """(s, p, n): how many rows of class 1 and of others have each score."""
+    """(s, p, n): how many rows of class 1 and of others have each score. Its callers read it several times and keep it, a
+    row for each different score, until the session's cache is cleared."""
     d = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(score).cast("double").alias("s"))
     return d.agg(F.sum(F.when(F.col(y) == 1, 1.0).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(y) == 1, 0.0).otherwise(1.0)).alias("n"))
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """One row, auc: the trapezoidal area under the curve, from running counts of grouped scores; null without both classes."""
-    g = running_sums(_by_score(df, y, score), "s", ["n"], before=True)
+    g = running_sums(_by_score(df, y, score).persist(), "s", ["n"], before=True)
     return g.agg(F.try_divide(F.sum(F.col("p") * (F.col("run_n") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
 
 

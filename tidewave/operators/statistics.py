@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidewave.functions.compat import NAN, finite, nan_unless, ratio
 from tidewave.operators.grouped import summary, table
 from tidewave.operators.series import ID, X, over
+from tidewave.plans.selection import percentiles
 
 
 def mean(x: Column) -> Column:
@@ -34,18 +35,20 @@ def cv(x: Column) -> Column:
 
 
 def median(x: Column) -> Column:
+    """The median as an aggregate; a task holds a group's different values. For few large groups: percentiles()."""
     return F.coalesce(F.percentile(x, 0.5), F.lit(NAN))
 
 
 def percentile(x: Column, p: float) -> Column:
-    """Percentile p (0 to 100) by linear interpolation."""
+    """Percentile p (0 to 100) by linear interpolation, as an aggregate like median()."""
     return F.coalesce(F.percentile(x, p / 100), F.lit(NAN))
 
 
 def mad(df: DataFrame, by: str = ID, x: str = X) -> DataFrame:
-    """Median of the distances from the median, by group; two aggregations, the first one's result joined back."""
-    mid = df.groupBy(by).agg(F.percentile(x, 0.5).alias("_m"))
-    return df.join(mid, by).groupBy(by).agg(F.percentile(F.abs(F.col(x) - F.col("_m")), 0.5).alias("mad"))
+    """Median of the distances from the median, by group, for groups of any size; the medians are joined back in between."""
+    mid = percentiles(df, [by], x, {"_m": 0.5})
+    away = df.join(mid, by).select(by, F.abs(F.col(x) - F.col("_m")).alias("_d"))
+    return percentiles(away, [by], "_d", {"mad": 0.5})
 
 
 def pearson(x: Column, y: Column) -> Column:

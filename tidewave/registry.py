@@ -88,8 +88,9 @@ def circular_stats(t):
 
 @query("""SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(stddev_samp(value), 6) AS std_sample, round(stddev_pop(value) / abs(avg(value)), 6) AS cv, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type""")
 def descriptive(t):
-    x, s = F.col("value"), statistics
-    return tidy(t("events").groupBy("event_type").agg(s.mean(x).alias("mean"), s.std(x).alias("std"), s.std_sample(x).alias("std_sample"), s.cv(x).alias("cv"), s.median(x).alias("median"), s.percentile(x, 25).alias("p25"), s.percentile(x, 90).alias("p90")))
+    x, s, e = F.col("value"), statistics, t("events").select("event_type", "value")
+    sums = e.groupBy("event_type").agg(s.mean(x).alias("mean"), s.std(x).alias("std"), s.std_sample(x).alias("std_sample"), s.cv(x).alias("cv"))
+    return tidy(sums.join(s.percentiles(e, ["event_type"], "value", {"median": 0.5, "p25": 0.25, "p90": 0.9}), "event_type"))
 
 
 @query(f"""{WAVE}, m AS (SELECT series_id, median(x) AS m FROM wave GROUP BY series_id) SELECT series_id, round(median(abs(x - m)), 6) AS mad FROM wave JOIN m USING (series_id) GROUP BY series_id""")
@@ -483,10 +484,10 @@ def daily_loads(t):
     return tidy(joins.daily_loads(a), 4)
 
 
-@query("""SELECT c.c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, round(c_acctbal, 2) AS c_acctbal FROM customer c UNION ALL SELECT 10000000 + s_suppkey, 'SUPPLIER', NULL FROM supplier""")
+@query("""SELECT c.c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey) THEN 'BUYER' ELSE c_mktsegment END AS c_mktsegment, round(c_acctbal, 2) AS c_acctbal FROM customer c UNION ALL SELECT 10000000 + s_suppkey, 'SUPPLIER', NULL FROM supplier""")
 def catalog_upsert(t):
     c = t("customer").select("c_custkey", "c_mktsegment", F.round("c_acctbal", 2).alias("c_acctbal"))
-    n = c.where("c_custkey % 3 = 0").select("c_custkey", F.lit("NEW").alias("c_mktsegment"), F.lit(None).cast("double").alias("c_acctbal"))
+    n = t("orders").select(F.col("o_custkey").alias("c_custkey")).distinct().select("c_custkey", F.lit("BUYER").alias("c_mktsegment"), F.lit(None).cast("double").alias("c_acctbal"))
     s = t("supplier").select((F.col("s_suppkey") + 10_000_000).alias("c_custkey"), F.lit("SUPPLIER").alias("c_mktsegment"), F.lit(None).cast("double").alias("c_acctbal"))
     return joins.upsert(c, n.unionByName(s), ["c_custkey"], keep_old=["c_acctbal"])
 

@@ -16,9 +16,9 @@ def _daily(t):
     return _days(t).select(F.col("series_id").alias("owner"), F.col("day").alias("date"), F.col("load").alias("total_tss"), F.lit(1).alias("ride_count"), F.lit("all").alias("primary_sport"))
 
 
-def _rides(t):
+def _rides(t, owner="c_mktsegment"):
     o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return o.select(F.col("c_mktsegment").alias("owner"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("ride_date"), F.concat(F.lit("ride"), F.col("o_orderkey").cast("string")).alias("source_file"), F.when(F.col("o_orderkey") % 3 > 0, F.round("o_totalprice", 2)).alias("tss"), F.lit(None).cast("double").alias("duration_s"), F.round(F.col("o_totalprice") / 100, 4).alias("np_w"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderstatus") == "F").alias("is_primary"), (F.col("o_orderkey") % 2 == 0).alias("counts_for_load"))
+    return o.select(F.col(owner).alias("owner"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("ride_date"), F.concat(F.lit("ride"), F.col("o_orderkey").cast("string")).alias("source_file"), F.when(F.col("o_orderkey") % 3 > 0, F.round("o_totalprice", 2)).alias("tss"), F.lit(None).cast("double").alias("duration_s"), F.round(F.col("o_totalprice") / 100, 4).alias("np_w"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderstatus") == "F").alias("is_primary"), (F.col("o_orderkey") % 2 == 0).alias("counts_for_load"))
 
 
 @query(f"{_METRICS} SELECT owner, date, round(total_tss, 6) AS total_tss, round(acute_load, 6) AS acute_load, round(chronic_load, 6) AS chronic_load, round(acwr, 6) AS acwr, risk_level, round(ctl, 6) AS ctl, round(atl, 6) AS atl, round(tsb, 6) AS tsb, round(monotony, 5) AS monotony, round(strain, 4) AS strain FROM lm")
@@ -27,10 +27,11 @@ def load_metrics(t):
     return tidy(m.withColumns({"monotony": F.round("monotony", 5), "strain": F.round("strain", 4)}))
 
 
-@query(f"{_METRICS} SELECT owner, date, round(total_tss, 6) AS total_tss, 1::BIGINT AS ride_count, 'all' AS primary_sport, round(acwr, 6) AS acwr, risk_level, round(monotony, 5) AS monotony, round(strain, 4) AS strain, round(acute_load, 6) AS acute_load, round(chronic_load, 6) AS chronic_load FROM lm WHERE day(date) % 2 = 0 UNION ALL SELECT owner, date, round(total_tss, 6), 1, 'all', NULL, NULL, NULL, NULL, NULL, NULL FROM lm WHERE day(date) % 2 = 1")
+@query(f"{_METRICS} SELECT owner, date, round(total_tss, 6) AS total_tss, 1::BIGINT AS ride_count, 'all' AS primary_sport, round(acwr, 6) AS acwr, risk_level, round(monotony, 5) AS monotony, round(strain, 4) AS strain, round(acute_load, 6) AS acute_load, round(chronic_load, 6) AS chronic_load FROM lm UNION ALL SELECT event_type, ts::DATE, round(sum(value), 6), count(*), 'event', NULL, NULL, NULL, NULL, NULL, NULL FROM events GROUP BY 1, 2")
 def daily_snapshots(t):
     d = _daily(t)
-    s = catalog.daily_snapshots(d, catalog.load_metrics(d).where("day(date) % 2 = 0"))
+    e = t("events").groupBy(F.col("event_type").alias("owner"), F.col("ts").cast("date").alias("date")).agg(F.sum("value").alias("total_tss"), F.count("*").alias("ride_count")).withColumn("primary_sport", F.lit("event"))
+    s = catalog.daily_snapshots(d.unionByName(e), catalog.load_metrics(d))
     return tidy(s.withColumns({"monotony": F.round("monotony", 5), "strain": F.round("strain", 4)}))
 
 
@@ -40,9 +41,9 @@ def recent_load(t):
     return tidy(catalog.recent_load(d, catalog.load_metrics(d), _rides(t)))
 
 
-@query("""WITH a AS (SELECT c_mktsegment AS owner, o_orderkey AS id, o_orderdate::DATE AS ride_date, 'ride' || o_orderkey AS source_file, coalesce(CASE WHEN o_orderkey % 3 > 0 THEN round(o_totalprice, 2) END, 0) AS tss, coalesce(CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus = 'F' END, true) AS is_primary, o_orderkey % 2 = 0 AS counts_for_load FROM orders JOIN customer ON o_custkey = c_custkey) SELECT owner, id, tss, is_primary, counts_for_load, row_number() OVER (PARTITION BY owner ORDER BY ride_date, is_primary DESC, counts_for_load DESC, source_file) AS place FROM a""")
+@query("""WITH a AS (SELECT c_custkey AS owner, o_orderkey AS id, o_orderdate::DATE AS ride_date, 'ride' || o_orderkey AS source_file, coalesce(CASE WHEN o_orderkey % 3 > 0 THEN round(o_totalprice, 2) END, 0) AS tss, coalesce(CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus = 'F' END, true) AS is_primary, o_orderkey % 2 = 0 AS counts_for_load FROM orders JOIN customer ON o_custkey = c_custkey) SELECT owner, id, tss, is_primary, counts_for_load, row_number() OVER (PARTITION BY owner ORDER BY ride_date, is_primary DESC, counts_for_load DESC, source_file) AS place FROM a""")
 def ride_summaries(t):
-    return tidy(catalog.ride_summaries(_rides(t)).select("owner", "id", "tss", "is_primary", "counts_for_load", "place"))
+    return tidy(catalog.ride_summaries(_rides(t, "c_custkey")).select("owner", "id", "tss", "is_primary", "counts_for_load", "place"))
 
 
 _PATHS = """WITH p AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN '/data/raw/polar/polar_' || o_orderkey || '.fit' WHEN 1 THEN '/data/raw/inbox/' || o_orderdate::DATE || '-ride.fit' WHEN 2 THEN 'C:\\raw\\manual\\' || replace((o_orderdate::DATE)::VARCHAR, '-', '_') || '.csv' WHEN 3 THEN '/data/raw/1234-01-01/run.csv' ELSE 'polar_.fit' END AS path, o_orderdate::DATE AS d FROM orders), q AS (SELECT *, CASE id % 5 WHEN 0 THEN 'polar_' || id || '.fit' WHEN 1 THEN d || '-ride.fit' WHEN 2 THEN replace(d::VARCHAR, '-', '_') || '.csv' WHEN 3 THEN 'run.csv' ELSE 'polar_.fit' END AS name FROM p)"""
