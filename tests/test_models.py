@@ -52,16 +52,6 @@ def test_nonlinear_and_svd():
     assert models.svd(a)["rank"] == 1
 
 
-def test_mixed_model(spark):
-    pdf = models.growth_data(60, 8, seed=3)
-    d = spark.createDataFrame(pdf)
-    fit = models.lmer(d, "grp", ["t"], ["t"], "y")
-    assert fit["beta"] == pytest.approx([1, 0.5], abs=0.35)
-    assert fit["sigma2"] == pytest.approx(0.25, rel=0.25) and fit["covariance"][0, 0] == pytest.approx(1, rel=0.5)
-    e = models.lmer_predict(d, fit, "grp", ["t"], ["t"]).select(F.avg(F.pow(F.col("y") - F.col("predicted"), 2)).alias("m")).first().m
-    assert e < 0.3
-
-
 def test_policies(spark):
     d = spark.createDataFrame([(1.0, 5, 0.9), (3.0, 5, 0.9), (9.0, 5, 0.9), (9.0, 2, 0.9), (9.0, 5, None), (None, 5, 1.0)], "score double, n int, q double")
     p = {"warning": 2.0, "critical": 5.0, "mean": 1.0, "sd": 1.0, "window_n": 3, "min_quality": 0.5}

@@ -1,4 +1,4 @@
-"""Fits beyond one aggregation: polynomial search, nonlinear and mixed models, splits, evaluation policies, discretising.
+"""Fits beyond one aggregation: polynomial search, nonlinear models, splits, evaluation policies, discretising.
 
 Sums by group or by term are gathered by Spark; what is solved on the driver or in a group has the size of the model.
 """
@@ -162,74 +162,6 @@ def svd(a: np.ndarray, rank: int | None = None) -> dict:
     return {"u": u[:, :r], "s": s[:r], "vt": vt[:r], "ratio": share[:r], "rank": int((s > (s[0] if len(s) else 0) * max(a.shape) * 2.2e-16).sum())}
 
 
-def group_sums(df: DataFrame, group: str, x: list[str], z: list[str], y: str) -> pd.DataFrame:
-    """For each group the cross products of (1, x..., z..., y), as one aggregation; a row a group comes to the driver."""
-    cols = {"_1": F.lit(1.0), **{c: F.col(c).cast("double") for c in dict.fromkeys([*x, *z, y])}}
-    names = list(cols)
-    sums = [F.sum(cols[a] * cols[b]).alias(f"{a}|{b}") for i, a in enumerate(names) for b in names[i:]]
-    return df.dropna(subset=[*x, *z, y, group]).groupBy(group).agg(*sums).orderBy(group).toPandas()
-
-
-def lmer(df: DataFrame, group: str, x: list[str], z: list[str], y: str, reml: bool = True, most: int = 400) -> dict:
-    """A Gaussian linear mixed model with one grouping factor: fixed intercept and x, random intercept and z by group.
-
-    The profiled deviance needs only each group's cross products; it is minimised over the Cholesky factor of the relative
-    covariance by a pattern search. Gives beta, sigma2, the covariance of the random effects, and their predictions.
-    """
-    s = group_sums(df, group, x, z, y)
-    get = lambda r, a, b: r[f"{a}|{b}"] if f"{a}|{b}" in r else r[f"{b}|{a}"]
-    xs, zs = ["_1", *x], ["_1", *z]
-    rows = s.to_dict("records")
-    block = lambda r, a, b: np.array([[get(r, i, j) for j in b] for i in a])
-    g = [(block(r, xs, xs), block(r, zs, zs), block(r, xs, zs), block(r, xs, [y])[:, 0], block(r, zs, [y])[:, 0], get(r, y, y), get(r, "_1", "_1")) for r in rows]
-    n, p, q = sum(v[6] for v in g), len(xs), len(zs)
-    low = np.tril_indices(q)
-
-    def solve(theta):
-        l = np.zeros((q, q))
-        l[low] = theta
-        a, b, c, logdet = np.zeros((p, p)), np.zeros(p), 0.0, 0.0
-        for xx, zz, xz, xy, zy, yy, _ in g:
-            m = np.eye(q) + l.T @ zz @ l
-            inv = l @ np.linalg.solve(m, l.T)
-            a += xx - xz @ inv @ xz.T
-            b += xy - xz @ inv @ zy
-            c += yy - zy @ inv @ zy
-            logdet += np.linalg.slogdet(m)[1]
-        beta = np.linalg.lstsq(a, b, rcond=None)[0]
-        rss, df_ = max(c - b @ beta, 1e-300), n - p if reml else n
-        return logdet + df_ * math.log(rss / df_) + (np.linalg.slogdet(a)[1] if reml else 0.0), beta, rss / df_, l
-
-    theta, step = np.eye(q)[low].astype(float), 0.5
-    best = solve(theta)[0]
-    for _ in range(most):
-        moved = False
-        for k in range(len(theta)):
-            for sign in (1, -1):
-                t = theta.copy()
-                t[k] += sign * step
-                v = solve(t)[0]
-                if v < best - 1e-12:
-                    theta, best, moved = t, v, True
-        if not moved:
-            step /= 2
-            if step < 1e-7:
-                break
-    deviance, beta, sigma2, l = solve(theta)
-    ranef = {}
-    for r, (_, zz, xz, _, zy, _, _) in zip(rows, g, strict=True):
-        ranef[r[group]] = l @ np.linalg.solve(np.eye(q) + l.T @ zz @ l, l.T @ (zy - xz.T @ beta))
-    return {"beta": beta, "sigma2": sigma2, "covariance": sigma2 * l @ l.T, "ranef": ranef, "deviance": deviance}
-
-
-def lmer_predict(df: DataFrame, fit: dict, group: str, x: list[str], z: list[str], name: str = "predicted") -> DataFrame:
-    """Fixed effects plus the group's random ones; groups that weren't fitted have none."""
-    fixed = sum((F.col(c) * float(b) for c, b in zip(x, fit["beta"][1:], strict=True)), F.lit(float(fit["beta"][0])))
-    u = df.sparkSession.createDataFrame([(k, [float(e) for e in v]) for k, v in fit["ranef"].items()], f"{group} {dict(df.dtypes)[group]}, _u array<double>")
-    own = sum((F.col(c) * F.get("_u", F.lit(i)) for i, c in enumerate(z, 1)), F.get("_u", F.lit(0)))
-    return df.join(u, group, "left").withColumn(name, fixed + F.coalesce(own, F.lit(0.0))).drop("_u")
-
-
 def flag(score: Column, warning: float, critical: float) -> Column:
     """normal, warning or critical; null for no score."""
     return F.when(score >= critical, "critical").when(score >= warning, "warning").when(score.isNotNull(), "normal")

@@ -641,13 +641,6 @@ def effort_phase(t):
     return tidy(spatial.effort_phase(_tracks(t)).drop("t"))
 
 
-@query()
-def mixed_model(t):
-    d = t("orders").select((F.col("o_custkey") % 50).alias("grp"), (F.dayofyear("o_orderdate") / 365.0).alias("t"), (F.col("o_totalprice") / 1e5).alias("y"))
-    fit = models.lmer(d, "grp", ["t"], [], "y")
-    return d.sparkSession.createDataFrame([(float(fit["beta"][0]), float(fit["beta"][1]), float(fit["sigma2"]), float(fit["covariance"][0, 0]))], "intercept double, slope double, sigma2 double, between double")
-
-
 @query("""WITH d AS (SELECT p_size::DOUBLE AS u, p_retailprice AS y FROM part), z AS (SELECT (u - mid) / half AS u, y - my AS y FROM d, (SELECT (min(u) + max(u)) / 2 AS mid, (max(u) - min(u)) / 2 AS half, avg(y) AS my FROM d)), a AS (SELECT *, u - avg(u) OVER () AS p1, u * u - avg(u * u) OVER () AS q2, u * u * u - avg(u * u * u) OVER () AS q3 FROM z), b AS (SELECT *, q2 - p1 * (sum(q2 * p1) OVER () / sum(p1 * p1) OVER ()) AS p2, q3 - p1 * (sum(q3 * p1) OVER () / sum(p1 * p1) OVER ()) AS r3 FROM a), c AS (SELECT *, r3 - p2 * (sum(r3 * p2) OVER () / sum(p2 * p2) OVER ()) AS p3 FROM b), s AS (SELECT count(*)::DOUBLE AS n, sum(y * y) AS r0, sum(y * p1) ** 2 / sum(p1 * p1) AS c1, sum(y * p2) ** 2 / sum(p2 * p2) AS c2, sum(y * p3) ** 2 / sum(p3 * p3) AS c3 FROM c), e AS (SELECT unnest([0, 1, 2, 3]) AS degree, unnest([r0, r0 - c1, r0 - c1 - c2, r0 - c1 - c2 - c3]) AS rss, n FROM s) SELECT degree::BIGINT AS degree, round(rss, 2) AS rss, round(n * ln(rss / n) + 2 * (degree + 1), 4) AS aic, round(n * ln(rss / n) + ln(n) * (degree + 1), 4) AS bic FROM e""")
 def polynomial_degrees(t):
     fits = models.polynomial_search(t("part").withColumn("s", F.col("p_size").cast("double")), "s", "p_retailprice", 3)
@@ -691,4 +684,4 @@ def load_plans(t):
     return d.select("series_id", "goal", *[F.round(F.col("loads")[k], 4).alias(f"day_{k + 1}") for k in range(3)], "success", F.round("score", 5).alias("score"), F.round("form_end", 4).alias("form_end"), F.round("load_share", 5).alias("load_share"))
 
 
-from tidewave import registry_catalog, registry_control, registry_models, registry_physiology, registry_spatial  # noqa: E402, F401
+from tidewave import registry_catalog, registry_control, registry_mixed, registry_models, registry_physiology, registry_spatial  # noqa: E402, F401
