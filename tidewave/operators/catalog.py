@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewave.operators import load
+from tidewave.plans import joins
 
 #: Calorie split of a deficit into eating less and moving more; tss-like figures by name.
 STRATEGIES = {"restriction": (0.75, 0.25), "activity": (0.25, 0.75), "balanced": (0.5, 0.5)}
@@ -75,6 +76,72 @@ def not_yet_there(files: DataFrame, activities: DataFrame) -> DataFrame:
     return fresh.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def platform(manufacturer: Column) -> Column:
+    """The family of a device by its maker's name."""
+    m = F.lower(manufacturer)
+    out = F.when(m.contains("garmin"), "garmin").when(m.contains("srm"), "srm").when(m.contains("polar"), "polar").when(m.contains("wahoo"), "wahoo")
+    return out.otherwise(m)
+
+
+#: Columns of a row that is there already which new files never change, and those in which only a null is filled.
+KEPT = ["sport", "external_id", "avg_hr_bpm", "max_hr_bpm", "avg_cadence", "max_cadence", "avg_speed_kmh", "max_speed_kmh", "counts_for_load", "is_primary"]
+FILLED = ["ingest_pipeline", "external_id"]
+
+
+def ingest(files: DataFrame, samples: DataFrame, activities: DataFrame, history: DataFrame, fallback_ftp: float, root: str | None = None, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(the catalogue after files were taken in, what became of each file), as plans; nothing is written.
+
+    files: (owner, path, bytes, file_hash, manufacturer, product, sport, start, modified, error), samples: (path, t_s, power_w,
+    heart_rate_bpm, cadence, speed_mps), history: (sport, since, until, ftp_w). outcomes: (path, source_key, outcome, reason):
+    inserted, skipped (the hash is there already, unless forced, or an earlier path has it too, or there are no samples) or
+    failed (with the file's error). A row is found again by its source_key and scored anew; of several files of one key the
+    last by path counts. The ride's threshold power is that of its sport (cycling if none) on its day. Taking in the same
+    files again changes nothing.
+    """
+    by_path = Window.partitionBy("file_hash").orderBy("path")
+    known = activities.where("file_hash is not null").select("file_hash").distinct().withColumn("_known", F.lit(True))
+    some = samples.groupBy(F.col("path").alias("_path")).agg(F.count(F.lit(1)).alias("_n"))
+    seen = files.join(known, "file_hash", "left").join(some, files["path"] == some["_path"], "left").drop("_path")
+    seen = seen.withColumns({"source_key": source_key(F.col("path"), root), "_twin": F.row_number().over(by_path) > 1, "_known": F.coalesce("_known", F.lit(False))})
+    last = F.row_number().over(Window.partitionBy("source_key").orderBy(F.desc("path"))) == 1
+    reason = F.when(F.col("error").isNotNull(), F.col("error"))
+    if not force:
+        reason = reason.when(F.col("_known") | F.col("_twin"), "file_hash already present")
+    reason = reason.when(F.col("_n").isNull(), "no samples")
+    told = seen.withColumn("reason", reason).withColumn("outcome", F.when(F.col("error").isNotNull(), "failed").when(F.col("reason").isNotNull(), "skipped").otherwise("inserted"))
+    outcomes = told.select("path", "source_key", "outcome", "reason")
+    new = told.where("outcome = 'inserted'").withColumn("_last", last).where("_last")
+    day = F.to_date(ride_date(F.col("path"), F.col("start"), F.col("modified")))
+    pipe = pipeline(F.col("path"), platform(F.col("manufacturer")))
+    new = new.withColumns({"ride_date": day, "ingest_pipeline": pipe, "_sport": F.coalesce(F.when(F.trim("sport") != "", F.trim("sport")), F.lit("cycling"))})
+    new = new.withColumn("external_id", external_id(F.col("path"), F.col("ingest_pipeline")))
+    h = history.select(F.col("sport").alias("_sport"), F.col("since"), F.col("until"), F.col("ftp_w"))
+    rated = joins.valid_at(new.select("path", "_sport", "ride_date"), h, "_sport", "ride_date", "since", "until", "ftp_w", max(fallback_ftp, 50.0), "ftp_used_w").select(F.col("path").alias("_p"), "ftp_used_w")
+    own = samples.withColumnRenamed("path", "series_id")
+    power = load.ride_metrics(own, 1.0)
+    finite = lambda c, f: f(F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c)))
+    others = own.groupBy("series_id").agg(*[finite(c, f).alias(f"{n}_{k}") for c, k in (("heart_rate_bpm", "hr_bpm"), ("cadence", "cadence"), ("speed_mps", "speed_mps")) for n, f in (("avg", F.avg), ("max", F.max))], F.greatest(F.max("t_s"), F.lit(0.0)).alias("_last_s"))
+    m = new.join(rated, new["path"] == rated["_p"]).drop("_p")
+    m = m.join(power.withColumnsRenamed({"duration_s": "_duration"}), m["path"] == power["series_id"]).drop("series_id")
+    m = m.join(others, m["path"] == others["series_id"]).drop("series_id")
+    intensity = F.col("np") / F.col("ftp_used_w")
+    rows = m.select(
+        "owner",
+        F.col("source_key").alias("source_file"),
+        *["file_hash", "ride_date", "start", F.col("_last_s").alias("duration_s"), "sport", "manufacturer", "product", "ingest_pipeline", "external_id"],
+        *[F.col("avg_power").alias("avg_power_w"), F.col("max_power").alias("max_power_w"), F.col("np").alias("np_w"), (F.col("_duration") * F.col("np") * intensity / (F.col("ftp_used_w") * 36)).alias("tss")],
+        *[intensity.alias("intensity_factor"), "ftp_used_w", F.col("work_kj").alias("total_work_kj"), "avg_hr_bpm", "max_hr_bpm", "avg_cadence", "max_cadence"],
+        *[(F.col(f"{n}_speed_mps") * 3.6).alias(f"{n}_speed_kmh") for n in ("avg", "max")],
+        *[F.lit(True).alias("counts_for_load"), F.lit(True).alias("is_primary"), F.col("bytes").alias("file_size")],
+    )
+    rows = rows.select(*[F.col(c).cast(activities.schema[c].dataType) for c in activities.columns if c in rows.columns])
+    return joins.upsert(activities, rows, ["source_file"], keep_old=FILLED, untouched=[c for c in KEPT if c in rows.columns and c not in FILLED]), outcomes
+
+
+#: The columns of a catalogue of activities.
+ACTIVITIES = "owner string, source_file string, file_hash string, ride_date date, start timestamp, duration_s double, sport string, manufacturer string, product string, ingest_pipeline string, external_id string, avg_power_w double, max_power_w double, np_w double, tss double, intensity_factor double, ftp_used_w double, total_work_kj double, avg_hr_bpm double, max_hr_bpm double, avg_cadence double, max_cadence double, avg_speed_kmh double, max_speed_kmh double, counts_for_load boolean, is_primary boolean, file_size long"
+
+
 def load_metrics(daily: DataFrame) -> DataFrame:
     """daily (owner, date, total_tss, ...) with acute and chronic loads, acwr, risk, ctl, atl, tsb, monotony and strain.
 

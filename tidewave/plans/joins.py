@@ -156,12 +156,21 @@ def link_sessions(activities: DataFrame, owner: str = "owner") -> DataFrame:
     return alone.unionByName(several.applyInPandas(run, f"{owner} {types[owner]}, id {types['id']}, session {types['id']}, is_primary boolean"))
 
 
-def upsert(table: DataFrame, new: DataFrame, keys: list[str], keep_old: list[str] | None = None) -> DataFrame:
-    """table with the rows of new put in or over those of the same keys; columns keep_old keep what is not null."""
-    keep = set(keep_old or [])
+def upsert(table: DataFrame, new: DataFrame, keys: list[str], keep_old: list[str] | None = None, untouched: list[str] | None = None) -> DataFrame:
+    """table with the rows of new put in or over those of the same keys.
+
+    Of a row that is there already, columns keep_old keep what is not null, and columns untouched stay as they are.
+    """
+    keep, same = set(keep_old or []), set(untouched or [])
     n = new.select(*[F.col(c).alias(f"_n_{c}") for c in new.columns], F.lit(True).alias("_new"))
     j = table.withColumn("_old", F.lit(True)).join(n, [F.col(k).eqNullSafe(F.col(f"_n_{k}")) for k in keys], "full")
-    pick = lambda c: F.coalesce(c, f"_n_{c}") if c in keep else F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(c))
+
+    def pick(c: str) -> Column:
+        if c in keep:
+            return F.coalesce(c, f"_n_{c}")
+        taken = F.col("_old").isNull() if c in same else F.col("_new")
+        return F.when(taken, F.col(f"_n_{c}")).otherwise(F.col(c))
+
     return j.select(*[pick(c).alias(c) if c in new.columns else F.col(c) for c in table.columns])
 
 

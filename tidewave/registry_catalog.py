@@ -77,3 +77,35 @@ def calorie_targets(t):
     d = t("customer").select("c_custkey", b.alias("b")).withColumn("t", load.tdee(F.col("b"), F.lit("moderate")))
     pairs = {n: catalog.calorie_targets(F.col("t"), F.col("b"), F.lit(600.0), s) for s, n in (("restriction", "less"), ("activity", "more"), ("balanced", "half"))}
     return tidy(d.select("c_custkey", *[c.alias(f"{what}_{n}") for n, both in pairs.items() for what, c in zip(("eat", "move"), both, strict=True)]))
+
+
+@query("""WITH f AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate::DATE AS d, o_totalprice, CASE WHEN o_orderstatus = 'F' THEN 'hash-' || o_orderkey END AS there FROM orders),
+s AS (SELECT l_orderkey, l_quantity AS p, l_linenumber AS t, l_discount AS hr FROM lineitem),
+h AS (SELECT o_orderstatus AS sport, date_trunc('month', o_orderdate)::DATE AS since, max(o_totalprice) / 1e3 AS w FROM orders GROUP BY 1, 2),
+m AS (SELECT l_orderkey, avg(p) AS ap, max(p) AS mp, avg(p ** 4) ** 0.25 AS np, max(t)::DOUBLE AS last, greatest(max(t), 1)::DOUBLE AS dur, avg(hr) AS ahr FROM s GROUP BY l_orderkey),
+j AS (SELECT f.*, coalesce(h.w, 200) AS ftp FROM f ASOF LEFT JOIN h ON f.o_orderstatus = h.sport AND f.d >= h.since),
+r AS (SELECT * FROM j JOIN m ON l_orderkey = o_orderkey)
+SELECT 'ride-' || o_orderkey || '.fit' AS source_file, 'c' || o_custkey AS owner, d AS ride_date, round(CASE WHEN there IS NULL THEN last END, 6) AS duration_s, round(CASE WHEN there IS NULL THEN ap END, 6) AS avg_power_w, round(CASE WHEN there IS NULL THEN np END, 6) AS np_w, round(CASE WHEN there IS NULL THEN dur * np * np / ftp / (ftp * 36) ELSE 1 END, 6) AS tss, round(CASE WHEN there IS NULL THEN ahr END, 6) AS avg_hr_bpm, CASE WHEN there IS NULL THEN 'manual' ELSE 'email' END AS ingest_pipeline FROM r
+UNION ALL SELECT 'ride-' || o_orderkey || '.fit', 'c' || o_custkey, d, NULL, NULL, NULL, 1, NULL, 'email' FROM f WHERE there IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""")
+def catalog_ingest(t):
+    new, _ = _ingested(t)
+    return tidy(new.select("source_file", "owner", "ride_date", "duration_s", "avg_power_w", "np_w", "tss", "avg_hr_bpm", "ingest_pipeline"))
+
+
+@query("""SELECT CASE WHEN o_orderstatus = 'F' THEN 'file_hash already present' WHEN NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) THEN 'no samples' END AS reason, CASE WHEN o_orderstatus = 'F' OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) THEN 'skipped' ELSE 'inserted' END AS outcome, count(*) AS n FROM orders GROUP BY 1, 2""")
+def catalog_outcomes(t):
+    return _ingested(t)[1].groupBy("reason", "outcome").agg(F.count("*").alias("n"))
+
+
+def _ingested(t):
+    """Orders as files whose samples are their items; those of status F are in the catalogue already."""
+    k = F.col("o_orderkey").cast("string")
+    o = t("orders").withColumns({"owner": F.concat(F.lit("c"), F.col("o_custkey").cast("string")), "name": F.concat(F.lit("ride-"), k, F.lit(".fit")), "h": F.concat(F.lit("hash-"), k), "d": F.col("o_orderdate").cast("date")})
+    none = F.lit(None).cast("string")
+    files = o.select("owner", F.concat(F.lit("/data/raw/"), "name").alias("path"), F.lit(1).cast("long").alias("bytes"), F.col("h").alias("file_hash"), none.alias("manufacturer"), none.alias("product"), F.col("o_orderstatus").alias("sport"), F.col("d").cast("timestamp").alias("start"), F.lit(None).cast("timestamp").alias("modified"), none.alias("error"))
+    samples = t("lineitem").select(F.concat(F.lit("/data/raw/ride-"), F.col("l_orderkey").cast("string"), F.lit(".fit")).alias("path"), F.col("l_linenumber").cast("double").alias("t_s"), F.col("l_quantity").cast("double").alias("power_w"), F.col("l_discount").cast("double").alias("heart_rate_bpm"), F.lit(None).cast("double").alias("cadence"), F.lit(None).cast("double").alias("speed_mps"))
+    have = {"owner": F.col("owner"), "source_file": F.col("name"), "file_hash": F.col("h"), "ride_date": F.col("d"), "tss": F.lit(1.0), "ingest_pipeline": F.lit("email")}
+    there = o.where("o_orderstatus = 'F'").select(*[have.get(c.split()[0], F.lit(None)).cast(c.split()[1]).alias(c.split()[0]) for c in catalog.ACTIVITIES.split(", ")])
+    month = F.date_trunc("month", "d").cast("date")
+    history = o.groupBy(F.col("o_orderstatus").alias("sport"), month.alias("since")).agg((F.max("o_totalprice") / 1e3).alias("ftp_w")).withColumn("until", F.lit(None).cast("date"))
+    return catalog.ingest(files, samples, there, history, 200.0, "/data/raw")
