@@ -29,21 +29,62 @@ def fnn(x: np.ndarray, m: int, tau: int, rtol: float = 10.0, atol: float = 2.0,
     """
     wide = embed(np.asarray(x, float), m + 1, tau)
     n = len(wide)
-    if n > MAX_SQUARE:
-        raise ValueError(f"neighbours among over {MAX_SQUARE} points aren't sought")
-    false = some = 0
-    for k in range(0, n, 256):
-        i = np.arange(k, min(k + 256, n))
-        d = np.sqrt(((wide[i, None, :m] - wide[None, :, :m]) ** 2).sum(2))
-        d[np.abs(i[:, None] - np.arange(n)[None]) <= theiler] = np.inf
-        j = d.argmin(axis=1)
-        near = d[np.arange(len(i)), j]
-        there = np.isfinite(near)
-        step = np.abs(np.sqrt(((wide[i] - wide[j]) ** 2).sum(1)) - near)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            bad = (step / near > rtol) | (np.abs(wide[i, m] - wide[j, m]) > atol)
-        false, some = false + int((bad & there).sum()), some + int(there.sum())
-    return false / n if some else float("nan")
+    j = nearest(wide[:, :m], theiler)
+    i = np.flatnonzero(j >= 0)
+    j = j[i]
+    near = np.sqrt(((wide[i, :m] - wide[j, :m]) ** 2).sum(1))
+    step = np.abs(np.sqrt(((wide[i] - wide[j]) ** 2).sum(1)) - near)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bad = (step / near > rtol) | (np.abs(wide[i, m] - wide[j, m]) > atol)
+    return float(bad.sum() / n) if len(i) else float("nan")
+
+
+def nearest(a: np.ndarray, theiler: int = 0) -> np.ndarray:
+    """The nearest other row of each row, by Euclidean distance and then by place; -1 if all lie within theiler rows.
+
+    Equal rows are one point with several places. Points are swept outwards in the order of their first coordinate, all at
+    once, each until that coordinate alone is farther away than the nearest found. Memory grows with the rows.
+    """
+    n = len(a)
+    if not n:
+        return np.zeros(0, np.int64)
+    points, group = np.unique(a, axis=0, return_inverse=True)  # sorted by the first coordinate
+    group = group.ravel()
+    places = np.argsort(group, kind="stable")
+    first, end = np.searchsorted(group[places], np.arange(len(points))), np.searchsorted(group[places], np.arange(len(points)), side="right")
+    best, found = np.full(n, np.inf), np.full(n, -1)
+
+    def look(rows: np.ndarray, at: np.ndarray) -> None:
+        """Take the first place of the points at that is far enough in time, where it is nearer than what was found."""
+        d = np.sqrt(((a[rows] - points[at]) ** 2).sum(1))
+        ok = d <= best[rows]
+        rows, at, d = rows[ok], at[ok], d[ok]
+        k = first[at].copy()
+        # places ascend: those within theiler of a row are at most 2 * theiler + 1 in a row
+        for _ in range(2 * theiler + 2):
+            close = (k < end[at]) & (np.abs(places[np.minimum(k, n - 1)] - rows) <= theiler)
+            if not close.any():
+                break
+            k[close] += 1
+        ok = k < end[at]
+        rows, d, j = rows[ok], d[ok], places[k[ok]]
+        ok = (d < best[rows]) | (d == best[rows]) & (j < found[rows])
+        best[rows[ok]], found[rows[ok]] = d[ok], j[ok]
+
+    for c in range(0, n, 1 << 15):
+        rows = np.arange(c, min(c + (1 << 15), n))
+        look(rows, group[rows])
+        for side in (1, -1):
+            live, step = rows, 1
+            while len(live):
+                at = group[live] + side * step
+                ok = (at >= 0) & (at < len(points))
+                live, at = live[ok], at[ok]
+                ok = np.abs(points[at, 0] - a[live, 0]) <= best[live]
+                live, at = live[ok], at[ok]
+                look(live, at)
+                step += 1
+    return found
 
 
 def close_pairs(a: np.ndarray, r: float, most: int = 1 << 18):
@@ -256,6 +297,66 @@ def _line_lengths(key: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.diff(cut)
 
 
+def embedded(df: DataFrame, dim: int, tau: int, x: str = "x", at: str = "i", id_: str = ID) -> DataFrame:
+    """(series_id, i, v): rows of delayed samples as arrays; the last (dim - 1) * tau samples of a series begin none."""
+    w = over(id_=id_, at=at)
+    d = df.select(F.col(id_).alias(ID), F.col(at).alias("i"), F.array(*[F.lead(x, j * tau).over(w) if j else F.col(x) for j in range(dim)]).alias("v"))
+    return d.where(F.col("v")[dim - 1].isNotNull()) if dim > 1 else d
+
+
+def near_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    """(series_id, i, j): the rows of two trajectories (series_id, i, v) of a series within radius (Euclidean) of each other.
+
+    A join on cells of that width in the first two coordinates, each row of b in the cells around its own: rows that share
+    no cell never meet, and a long series is dealt to many tasks.
+    """
+    two = F.size("v") > 1
+    cell = lambda k: F.floor(F.when(F.lit(k == 0) | two, F.get("v", F.lit(k))).otherwise(0.0) / radius)
+    around = lambda k: F.explode(F.array(*[F.col(f"_c{k}") + d for d in (-1, 0, 1)]))
+    left = a.select(ID, "i", F.col("v").alias("_a"), cell(0).alias("_c0"), cell(1).alias("_c1"))
+    right = b.select(ID, F.col("i").alias("j"), F.col("v").alias("_b"), cell(0).alias("_c0"), cell(1).alias("_c1"))
+    right = right.withColumn("_c0", around(0)).withColumn("_c1", around(1))
+    apart = F.aggregate(F.zip_with("_a", "_b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d)
+    return left.join(right, [ID, "_c0", "_c1"]).where(F.sqrt(apart) <= radius).select(ID, "i", "j")
+
+
+def line_lengths(pairs: DataFrame, along: str) -> DataFrame:
+    """(series_id, length) of the lines of pairs (series_id, i, j): diagonal ones, or vertical ones of one j. Each line
+    that pairs may lie on is sorted by itself."""
+    line = F.col("j") - F.col("i") if along == "diagonal" else F.col("j")
+    d = pairs.select(ID, "i", line.alias("_l"))
+    d = d.withColumn("_g", F.col("i") - F.row_number().over(Window.partitionBy(ID, "_l").orderBy("i")))
+    return d.groupBy(ID, "_l", "_g").agg(F.count(F.lit(1)).alias("length")).select(ID, "length")
+
+
+def crqa(a: DataFrame, b: DataFrame, radius: float, lmin: int = 2, vmin: int = 2) -> DataFrame:
+    """Cross recurrence of two trajectories of each series, as rqa(recurrence(a, b, radius)) gives it, from near pairs alone.
+
+    a and b: (series_id, i, v), i counting from 0 without gaps. One row for each series that both have: rr, det, lam, lmean,
+    lmax, tt, vmax, entropy (in bits, of the lengths of diagonal lines). All lines of equal-sized trajectories but the main
+    diagonal count; of others all do. No matrix and no series is in one place.
+    """
+    count = lambda f, n: f.groupBy(ID).agg(F.count(F.lit(1)).alias(n))
+    sizes = count(a, "_n").join(count(b, "_k"), ID)
+    pairs = near_pairs(a, b, radius)
+    total = count(pairs, "_total")
+    off = pairs.join(sizes, ID).where("i <> j or _n <> _k").select(ID, "i", "j")
+    lines = line_lengths(off, "diagonal").where(F.col("length") >= lmin).groupBy(ID, "length").agg(F.count(F.lit(1)).alias("_c"))
+    diag = lines.groupBy(ID).agg(F.sum(F.col("length") * F.col("_c")).alias("_ds"), F.sum("_c").alias("_dn"), F.max("length").alias("lmax"), F.sum(F.col("_c") * F.log2("_c")).alias("_h"))
+    vert = line_lengths(pairs, "vertical").where(F.col("length") >= vmin).groupBy(ID).agg(F.sum("length").alias("_vs"), F.count(F.lit(1)).alias("_vn"), F.max("length").alias("vmax"))
+    m = sizes.join(total, ID, "left").join(diag, ID, "left").join(vert, ID, "left")
+    part = lambda x, y: F.coalesce(F.try_divide(F.col(x), F.col(y)), F.lit(0.0))
+    return m.select(
+        ID,
+        F.coalesce(F.col("_total") / (F.col("_n") * F.col("_k")), F.lit(0.0)).alias("rr"),
+        *[part(x, y).alias(n) for x, y, n in (("_ds", "_total", "det"), ("_vs", "_total", "lam"), ("_ds", "_dn", "lmean"))],
+        F.coalesce("lmax", F.lit(0)).alias("lmax"),
+        part("_vs", "_vn").alias("tt"),
+        F.coalesce("vmax", F.lit(0)).alias("vmax"),
+        F.coalesce(F.log2("_dn") - F.col("_h") / F.col("_dn"), F.lit(0.0)).alias("entropy"),
+    )
+
+
 def recurrence_pairs(df: DataFrame, radius: float, theiler: int = 1, x: str = "x", at: str = "i") -> DataFrame:
     """(series_id, i, j): sparse recurrences i < j of scalar series, as a range join on cells of width radius."""
     cell = F.floor(F.col(x) / radius)

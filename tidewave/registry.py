@@ -567,6 +567,22 @@ def recurrence_quantification(t):
     return tidy(summary(wave(t), lambda x: dynamics.rqa_sparse(dynamics.embed(x, 3, 1), radius=20.0, theiler=1), "rr double, det double, lam double, lmean double, lmax long, tt double, vmax long, entropy double"))
 
 
+_EVEN = "SELECT user_id AS series_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS i, value AS x FROM events"
+
+
+@query(f"""WITH w AS ({_EVEN}), e AS (SELECT series_id, event_type, i, x AS a, lead(x) OVER (PARTITION BY series_id, event_type ORDER BY i) AS b FROM w), a AS (SELECT * FROM e WHERE event_type = 'click' AND b IS NOT NULL), b AS (SELECT * FROM e WHERE event_type = 'view' AND b IS NOT NULL), n AS (SELECT series_id, n, k FROM (SELECT series_id, count(*)::DOUBLE AS n FROM a GROUP BY 1) JOIN (SELECT series_id, count(*)::DOUBLE AS k FROM b GROUP BY 1) USING (series_id)),
+p AS (SELECT a.series_id, a.i, b.i AS j FROM a JOIN b ON a.series_id = b.series_id AND sqrt((a.a - b.a) ** 2 + (a.b - b.b) ** 2) <= 30), t AS (SELECT series_id, count(*)::DOUBLE AS total FROM p GROUP BY 1),
+dl AS (SELECT series_id, count(*) AS len FROM (SELECT p.series_id, j - i AS l, i - row_number() OVER (PARTITION BY p.series_id, j - i ORDER BY i) AS g FROM p JOIN n ON n.series_id = p.series_id AND (i <> j OR n.n <> n.k)) GROUP BY series_id, l, g), d AS (SELECT series_id, sum(len)::DOUBLE AS s, avg(len) AS m, max(len) AS x FROM dl WHERE len >= 2 GROUP BY 1),
+vl AS (SELECT series_id, count(*) AS len FROM (SELECT series_id, j, i - row_number() OVER (PARTITION BY series_id, j ORDER BY i) AS g FROM p) GROUP BY series_id, j, g), v AS (SELECT series_id, sum(len)::DOUBLE AS s, avg(len) AS m, max(len) AS x FROM vl WHERE len >= 2 GROUP BY 1),
+h AS (SELECT series_id, -sum(q * log2(q)) AS h FROM (SELECT series_id, count(*) / sum(count(*)) OVER (PARTITION BY series_id) AS q FROM dl WHERE len >= 2 GROUP BY series_id, len) GROUP BY 1)
+SELECT series_id, round(coalesce(total / (n * k), 0), 6) AS rr, round(coalesce(d.s / total, 0), 6) AS det, round(coalesce(v.s / total, 0), 6) AS lam, round(coalesce(d.m, 0), 6) AS lmean, coalesce(d.x, 0)::BIGINT AS lmax, round(coalesce(v.m, 0), 6) AS tt, coalesce(v.x, 0)::BIGINT AS vmax, round(coalesce(h, 0), 6) AS entropy FROM n LEFT JOIN t USING (series_id) LEFT JOIN d USING (series_id) LEFT JOIN v USING (series_id) LEFT JOIN h USING (series_id)""")
+def cross_recurrence(t):
+    w = F.row_number().over(series.over(id_=["user_id", "event_type"], at=["ts", "event_id"])) - 1
+    e = t("events").where(F.col("event_type").isin("click", "view")).select(F.col("user_id").alias("series_id"), "event_type", w.alias("i"), F.col("value").alias("x"))
+    one = lambda kind: dynamics.embedded(e.where(F.col("event_type") == kind), 2, 1)
+    return tidy(dynamics.crqa(one("click"), one("view"), 30.0))
+
+
 @query(f"""WITH RECURSIVE n AS (SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value AS x FROM events), k AS (SELECT series_id, i, x, x AS s, 2.0e0 - 2.0e0 * 2.0e0 / 12.0e0 AS p FROM n WHERE i = 0 UNION ALL SELECT n.series_id, n.i, n.x, s + (p + 1) / (p + 11) * (n.x - s), (1 - (p + 1) / (p + 11)) * (p + 1) FROM k JOIN n ON n.series_id = k.series_id AND n.i = k.i + 1) SELECT series_id, i, round(x, 6) AS x, round(s, 6) AS smooth FROM k""")
 def kalman_smoothing(t):
     from tidewave.operators.grouped import per_series
