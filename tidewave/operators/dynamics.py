@@ -120,7 +120,7 @@ def sample_entropy(x: np.ndarray, m: int, r: float) -> float:
 def cross_sample_entropy(x: np.ndarray, y: np.ndarray, m: int, r: float) -> float:
     """The same of templates of x against those of y, of as many samples as the shorter has."""
     n = min(len(x), len(y))
-    if n <= m + 1 or r < 1e-10:
+    if n <= m or r < 1e-10:
         return 0.0
     wide = np.concatenate([embed(np.asarray(s[:n], float), m + 1, 1) for s in (x, y)])
     half, b, a = len(wide) // 2, 0, 0
