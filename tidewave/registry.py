@@ -700,4 +700,4 @@ def load_plans(t):
     return d.select("series_id", "goal", *[F.round(F.col("loads")[k], 4).alias(f"day_{k + 1}") for k in range(3)], "success", F.round("score", 5).alias("score"), F.round("form_end", 4).alias("form_end"), F.round("load_share", 5).alias("load_share"))
 
 
-from tidewave import registry_catalog, registry_control, registry_events, registry_folds, registry_mixed, registry_models, registry_physiology, registry_spatial  # noqa: E402, F401
+from tidewave import registry_catalog, registry_control, registry_events, registry_folds, registry_mixed, registry_models, registry_physiology, registry_spatial, registry_store  # noqa: E402, F401
