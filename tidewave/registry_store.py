@@ -1,4 +1,4 @@
-"""Queries of the work log and of catalogue versions, and the SQL that says the same."""
+"""Queries of the work log, of catalogue versions and of measures on a grid of time, and the SQL that says the same."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewave.operators import catalog_versions, worklog
 from tidewave.registry import query, tidy
+from tidewave.streaming import cadence
 
 _LOG = """WITH RECURSIVE c AS (SELECT 'q' || c_custkey AS id, CASE WHEN c_custkey >= 10 THEN 'q' || (c_custkey // 10) END AS parent, c_acctbal >= -900 AS fine FROM customer),
 q(id) AS (SELECT id FROM c WHERE fine AND parent IS NULL UNION ALL SELECT c.id FROM q JOIN c ON c.parent = q.id WHERE fine),
@@ -54,3 +55,11 @@ def catalog_migrated(t):
     a = t("orders").select(F.concat(F.when(status == "F", "email/").when(status == "O", "x/polar/").otherwise("z/"), F.col("o_orderkey").cast("string")).alias("source_file"), F.when(F.lower("o_orderpriority").contains("high"), "Polar Electro").alias("manufacturer"), F.when(F.col("o_totalprice") < 1000, F.lit(False)).alias("counts_for_load"))
     out = catalog_versions.upgraded(t("orders").sparkSession, {"activities": a}, 1)["activities"]
     return tidy(out.select("source_file", "ingest_pipeline", "counts_for_load", "is_primary", "ftp_history_id"))
+
+
+@query("""WITH e AS (SELECT user_id::VARCHAR AS sid, epoch_us(ts) AS us, value AS b, ceil(epoch_us(ts) / 86400e6)::BIGINT AS k FROM events WHERE value IS NOT NULL), x AS (SELECT sid, us, b, k + unnest(range(0, 7)) AS k FROM e), g AS (SELECT sid, k, count(*) AS n, avg(b) AS mean, stddev_pop(b) AS sd, list(b ORDER BY us, b) AS v FROM x GROUP BY 1, 2)
+SELECT sid, epoch_ms(k * 86400000)::DATE AS day, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(v[len(v)], 6) AS last, round(list_reduce(v, lambda s, y: 0.2 * y + 0.8 * s), 6) AS smoothed FROM g""")
+def cadence_measures(t):
+    samples = t("events").select(F.col("user_id").cast("string").alias("sid"), F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("bpm"))
+    d = cadence.measured(samples, 86_400, 7 * 86_400)
+    return tidy(d.select("sid", F.col("end").cast("date").alias("day"), "n", "mean", "sd", "last", "smoothed"))
