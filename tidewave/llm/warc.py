@@ -280,7 +280,11 @@ def round_trip(pages: DataFrame, payload: str = "html") -> DataFrame:
     folder = f"{s.root}/archive"
     write(pages, folder, s, payload)
     back = s.save(read(pages.sparkSession, folder, payloads=False).drop("payload"), "back")
-    # a revisit's payload is as long as that of the record it names
-    named = back.where("record_type = 'response' and payload_bytes >= %d" % REVISIT_BYTES).groupBy(F.col("page_id").alias("named"), F.col("payload_digest").alias("named_digest")).agg(F.max("payload_bytes").alias("named_bytes"))
-    out = back.join(named, (F.col("refers_to") == F.col("named")) & (F.col("payload_digest") == F.col("named_digest")), "left")
-    return out.select("page_id", F.coalesce("payload_bytes", "named_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url")
+    # a revisit's payload is as long as that of the record it names; very many may name one
+    key = ["refers_to", "payload_digest"]
+    visits = back.where("record_type = 'revisit'")
+    named = back.where("record_type = 'response' and payload_bytes >= %d" % REVISIT_BYTES).groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    asked = s.save(visits.groupBy(*key).agg(F.count("*").alias("n")).join(named, key, "left"), "asked")
+    out = spread_join(visits.drop("payload_bytes"), asked, key, F.col("page_id"))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
+    return back.where("record_type <> 'revisit'").select(*columns).union(out.select(*columns))
