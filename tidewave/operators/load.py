@@ -117,24 +117,47 @@ SUGGEST = {"form_recovery": -20.0, "form_overload": 10.0, "form_half": 12.0, "fa
 GOALS = ("recovery", "maintenance", "overload")
 
 
+# What form gives each goal. Of recovery: at its threshold, by how much more at so far below it, before it and
+# with fresh form falling off over so many points. Of maintenance: at no form, less by so much at half the band and then by
+# each band, up to so many bands, and beyond. Of overload: at its threshold, by how much more so far above it, before it, and
+# with no fresh form, which falls off over so many points.
+FORM_RECOVERY = {"at": 1.0, "more": 0.5, "over": 40.0, "before": 0.55, "fresh": 0.15, "fall": 30.0}
+FORM_MAINTENANCE = {"at": 1.0, "within": 0.35, "beyond": 0.65, "step": 0.25, "bands": 2.5, "far": 0.15}
+FORM_OVERLOAD = {"at": 1.0, "more": 0.35, "over": 25.0, "before": 0.70, "tired": 0.08, "fall": 40.0}
+# What is added to (recovery, maintenance, overload) if fatigue is high or low for the fitness, or the workload ratio
+# is high or low: a constant, and a factor of how far it lies beyond its threshold, which counts up to so far.
+ADDED = {
+    "tired": ((0.35, 0.5), (-0.05, 0.0), (-0.40, -0.6), 0.5),
+    "fresh": ((-0.15, 0.0), (0.0, 0.0), (0.20, 0.4), 0.4),
+    "spiked": ((0.55, 0.6), (0.25, 0.2), (-1.10, -0.9), 0.8),
+    "light": ((-0.10, 0.0), (0.0, 0.0), (0.25, 0.35), 0.5),
+}
+
+
 def goal_scores(fitness: Column, fatigue: Column, form: Column, acwr_: Column, p: dict = SUGGEST) -> dict[str, Column]:
-    """The score of each goal, from form, fatigue relative to fitness, and the workload ratio where it is known."""
+    """The score of each goal, from form, fatigue relative to fitness, and the workload ratio where it is known.
+
+    All weights stand in the tables above; suggestions hang on them.
+    """
     one = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    share, r = F.greatest(fatigue, F.lit(0.0)) / F.greatest(fitness, F.lit(1e-6)), acwr_
-    off = F.abs(form) / p["form_half"]
-    rec = F.when(form <= p["form_recovery"], 1.0 + 0.5 * F.least(p["form_recovery"] - form, F.lit(40.0)) / 40.0).when(form < 0, 0.55 * one(form / p["form_recovery"])).otherwise(0.15 * one(F.exp(-form / 30.0)))
-    keep = F.when(off <= 1.0, 1.0 - 0.35 * off).when(off <= 2.5, 0.65 - 0.25 * (off - 1.0)).otherwise(0.15)
-    more = F.when(form >= p["form_overload"], 1.0 + 0.35 * F.least((form - p["form_overload"]) / 25.0, F.lit(1.0))).when(form > 0, form / max(p["form_overload"], 1.0) * 0.70).otherwise(0.08 * one(1.0 + form / 40.0))
-    tired, fresh = F.least(share - p["fatigue_high"], F.lit(0.5)), F.least(p["fatigue_low"] - share, F.lit(0.4))
-    is_tired, is_fresh = share >= p["fatigue_high"], share <= p["fatigue_low"]
-    known = r.isNotNull() & ~F.isnan(r)
-    spiked, light = F.least(r - p["acwr_high"], F.lit(0.8)), F.least(p["acwr_low"] - r, F.lit(0.5))
-    is_spiked, is_light = known & (r >= p["acwr_high"]), known & (r <= p["acwr_low"])
-    pick = lambda *cases: F.when(cases[0][0], cases[0][1]).when(cases[1][0], cases[1][1]).otherwise(0.0)
-    rec = rec + pick((is_tired, 0.35 + 0.5 * tired), (is_fresh, F.lit(-0.15))) + pick((is_spiked, 0.55 + 0.6 * spiked), (is_light, F.lit(-0.10)))
-    keep = keep + pick((is_tired, F.lit(-0.05)), (is_fresh, F.lit(0.0))) + pick((is_spiked, 0.25 + 0.2 * spiked), (is_light, F.lit(0.0)))
-    more = more + pick((is_tired, -(0.40 + 0.6 * tired)), (is_fresh, 0.20 + 0.4 * fresh)) + pick((is_spiked, -(1.10 + 0.9 * spiked)), (is_light, 0.25 + 0.35 * light))
-    return {g: F.greatest(c, F.lit(0.0)) for g, c in zip(GOALS, (rec, keep, more), strict=True)}
+    deep, wide, high = FORM_RECOVERY, FORM_MAINTENANCE, FORM_OVERLOAD
+    low, top, off = p["form_recovery"], p["form_overload"], F.abs(form) / p["form_half"]
+    base = (
+        F.when(form <= low, deep["at"] + deep["more"] * F.least(low - form, F.lit(deep["over"])) / deep["over"]).when(form < 0, deep["before"] * one(form / low)).otherwise(deep["fresh"] * one(F.exp(-form / deep["fall"]))),
+        F.when(off <= 1.0, wide["at"] - wide["within"] * off).when(off <= wide["bands"], wide["beyond"] - wide["step"] * (off - 1.0)).otherwise(wide["far"]),
+        F.when(form >= top, high["at"] + high["more"] * F.least((form - top) / high["over"], F.lit(1.0))).when(form > 0, form / max(top, 1.0) * high["before"]).otherwise(high["tired"] * one(1.0 + form / high["fall"])),
+    )
+    share = F.greatest(fatigue, F.lit(0.0)) / F.greatest(fitness, F.lit(1e-6))
+    known = acwr_.isNotNull() & ~F.isnan(acwr_)
+    beyond = {"tired": share - p["fatigue_high"], "fresh": p["fatigue_low"] - share, "spiked": acwr_ - p["acwr_high"], "light": p["acwr_low"] - acwr_}
+    holds = {"tired": share >= p["fatigue_high"], "fresh": share <= p["fatigue_low"], "spiked": known & (acwr_ >= p["acwr_high"]), "light": known & (acwr_ <= p["acwr_low"])}
+
+    def added(case: str, goal: int) -> Column:
+        constant, factor = ADDED[case][goal]
+        return F.lit(constant) + factor * F.least(beyond[case], F.lit(ADDED[case][3]))
+
+    either = lambda a, b, goal: F.when(holds[a], added(a, goal)).when(holds[b], added(b, goal)).otherwise(0.0)
+    return {name: F.greatest(base[k] + either("tired", "fresh", k) + either("spiked", "light", k), F.lit(0.0)) for k, name in enumerate(GOALS)}
 
 
 def suggest_goals(df: DataFrame, p: dict = SUGGEST) -> DataFrame:

@@ -204,6 +204,29 @@ def frame_closest(df: DataFrame, at: float) -> DataFrame:
 ACTIONS = ("Expansion", "Penetration", "Denial", "Pressure", "Neutral", "Creation", "Conversion", "Prevention")
 
 
+# Limits of the actions. forward, back, across: movement along the attack over, under, or either way under; speed in
+# m/s over; gap and pressed: metres to the nearest opponent over and under, free as a share of the proximity; goal: the share of
+# movement along the attack, or metres to the goal if it is known.
+LIMITS = {
+    "chance": {"forward": 0.72, "speed": 2.8, "gap": 3.5, "goal": (0.55, 12.0)},
+    "sure chance": {"forward": 0.85, "speed": 4.0, "gap": 6.0},
+    "advance": {"forward": 0.6, "speed": 0.5, "free": 0.5},
+    "spread": {"across": 0.5, "speed": 0.25},
+    "pressed on the ball": {"pressed": 6.0, "speed": 0.7},
+    "chance beside": {"goal": (0.4, 15.0), "forward": 0.45, "speed": 2.2, "gap": 4.5},
+    "advance beside": {"forward": 0.3, "speed": 0.3},
+    "before the goal": {"goal": (0.3, 15.0)},
+    "going back": {"back": -0.05},
+    "within reach": {"pressed": 7.5},
+    "pressing": {"pressed": 5.0},
+    "moving": {"speed": 0.6},
+    "pressed on coming": {"pressed": 7.0, "speed": 0.6},
+}
+# How far, as a share of the proximity, an agent was from the last carrier if it came; metres within which a
+# receiver is trapped; and of the confidence: the least, by speed, the speed that counts in full, by room, and metres of it.
+CAME, TRAPPED, CONFIDENCE = 1.05, 7.0, (0.3, 0.4, 5.0, 0.3, 10.0)
+
+
 def classify_actions(df: DataFrame, focal: DataFrame, agents: DataFrame, proximity: float = 12.0, ahead_s: float = 1.0, window_s: float = 1.0) -> DataFrame:
     """(series_id, t, agent_id, action, confidence) of the carrier and of those within proximity of it, else Neutral and 0.
 
@@ -238,21 +261,37 @@ def classify_actions(df: DataFrame, focal: DataFrame, agents: DataFrame, proximi
     forward = F.when(F.col("_past").isNotNull() & F.col("_future").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.cos("_future") * F.col("att_x") + F.sin("_future") * F.col("att_y")))).otherwise(0.0)
     d = d.withColumns({"fwd": forward, "to_goal": F.hypot(F.col("gx") - F.col("x"), F.col("gy") - F.col("y"))})
     fwd, speed, gap = F.col("fwd"), F.col("speed"), F.col("gap")
-    close = lambda share, metres: F.when(F.col("to_goal").isNotNull(), F.col("to_goal") < metres).otherwise(F.greatest(fwd, F.lit(0.0)) > share)
-    came = F.coalesce(F.hypot(F.col("_lx") - F.col("_bx"), F.col("_ly") - F.col("_by")) > proximity * 1.05, F.lit(False))
-    chance = (fwd > 0.72) & (speed > 2.8) & (gap > 3.5) & close(0.55, 12.0)
-    ball = F.when(chance, F.when((fwd > 0.85) & (speed > 4.0) & (gap > 6.0), "Conversion").otherwise("Creation")).when((fwd > 0.6) & (speed > 0.5) & (gap > proximity * 0.5), "Penetration").when((F.abs(fwd) < 0.5) & (speed > 0.25), "Expansion").when((gap < 6.0) & (speed > 0.7), "Pressure").otherwise("Neutral")
-    mate = F.when(close(0.4, 15.0) & (fwd > 0.45) & (speed > 2.2) & (gap > 4.5), "Creation").when((fwd > 0.3) & (speed > 0.3), "Penetration").otherwise("Expansion")
-    foe = F.when(close(0.3, 15.0) & ((fwd < -0.05) | (gap < 7.5)), "Prevention").when(gap < 5.0, "Pressure").when(speed > 0.6, "Denial").otherwise("Neutral")
-    action = F.when(F.col("near") & came & (gap < 7.0) & (speed > 0.6), "Pressure").when(F.col("on_ball"), ball).when(F.col("near"), F.when(F.col("grp").eqNullSafe(F.col("own")), mate).otherwise(foe)).otherwise("Neutral")
-    sure = F.when(F.col("on_ball") | F.col("near"), F.least(0.3 + 0.4 * F.least(speed / 5.0, F.lit(1.0)) + F.when(gap > 10.0, 0.3).otherwise(0.0), F.lit(1.0))).otherwise(0.0)
+    came = F.coalesce(F.hypot(F.col("_lx") - F.col("_bx"), F.col("_ly") - F.col("_by")) > proximity * CAME, F.lit(False))
+
+    def fits(name: str) -> Column:
+        """Whether all limits of an entry of LIMITS hold."""
+        parts = []
+        for what, bound in LIMITS[name].items():
+            if what == "goal":  # metres to the goal where it is known, else the share of movement along the attack
+                parts.append(F.when(F.col("to_goal").isNotNull(), F.col("to_goal") < bound[1]).otherwise(F.greatest(fwd, F.lit(0.0)) > bound[0]))
+            elif what == "free":
+                parts.append(gap > proximity * bound)
+            else:
+                value, side = {"forward": (fwd, 1), "back": (fwd, -1), "across": (F.abs(fwd), -1), "speed": (speed, 1), "gap": (gap, 1), "pressed": (gap, -1)}[what]
+                parts.append(value > bound if side > 0 else value < bound)
+        out = parts[0]
+        for c in parts[1:]:
+            out = out & c
+        return out
+
+    ball = F.when(fits("chance"), F.when(fits("sure chance"), "Conversion").otherwise("Creation")).when(fits("advance"), "Penetration").when(fits("spread"), "Expansion").when(fits("pressed on the ball"), "Pressure").otherwise("Neutral")
+    mate = F.when(fits("chance beside"), "Creation").when(fits("advance beside"), "Penetration").otherwise("Expansion")
+    foe = F.when(fits("before the goal") & (fits("going back") | fits("within reach")), "Prevention").when(fits("pressing"), "Pressure").when(fits("moving"), "Denial").otherwise("Neutral")
+    action = F.when(F.col("near") & came & fits("pressed on coming"), "Pressure").when(F.col("on_ball"), ball).when(F.col("near"), F.when(F.col("grp").eqNullSafe(F.col("own")), mate).otherwise(foe)).otherwise("Neutral")
+    least, by_speed, fast, by_room, room = CONFIDENCE
+    sure = F.when(F.col("on_ball") | F.col("near"), F.least(least + by_speed * F.least(speed / fast, F.lit(1.0)) + F.when(gap > room, by_room).otherwise(0.0), F.lit(1.0))).otherwise(0.0)
     # carriers that gave the ball to one who is pressed when it has it
     then = times.select(ID, (F.col("_k") - F.col("_ahead")).alias("_k"), F.col("carrier").alias("receiver"), F.col("t").alias("_then"))
     passed = times.where("_k <= _n - _ahead").join(then, [ID, "_k"]).where("carrier <> receiver").select(ID, "t", "carrier", "receiver", "_then")
     everyone = df.select(ID, F.col("t").alias("_then"), "agent_id", "x", "y").join(agents.select("agent_id", "grp"), "agent_id")
     there = everyone.select(ID, "_then", F.col("agent_id").alias("receiver"), F.col("grp").alias("_rg"), F.col("x").alias("_rx"), F.col("y").alias("_ry"))
     trapped = passed.join(there, [ID, "_then", "receiver"]).join(everyone, [ID, "_then"]).where("agent_id <> receiver and not (grp <=> _rg)")
-    trapped = trapped.where(F.hypot(F.col("x") - F.col("_rx"), F.col("y") - F.col("_ry")) < 7.0).select(ID, "t", F.col("carrier").alias("agent_id"), F.lit(True).alias("_trap")).distinct()
+    trapped = trapped.where(F.hypot(F.col("x") - F.col("_rx"), F.col("y") - F.col("_ry")) < TRAPPED).select(ID, "t", F.col("carrier").alias("agent_id"), F.lit(True).alias("_trap")).distinct()
     d = d.withColumns({"action": action, "confidence": sure}).join(trapped, [ID, "t", "agent_id"], "left")
     return d.select(ID, "t", "agent_id", F.when(F.col("_trap") & F.col("action").isin("Penetration", "Creation", "Conversion"), "Neutral").otherwise(F.col("action")).alias("action"), "confidence")
 
