@@ -286,8 +286,16 @@ def hash_split(df: DataFrame, key: str, test_share: float, folds: int = 0, seed:
 
 
 def kmeans(df: DataFrame, vec: str, k: int, most: int = 100, tol: float = 1e-6, seed: int = 0) -> np.ndarray:
-    """Centroids by Lloyd steps from k hashed rows: each step sends k centroids out and takes k sums back."""
-    rows = df.select(F.transform(vec, lambda v: v.cast("double")).alias("v"))
+    """Centroids by Lloyd steps from k hashed rows: each step sends k centroids out and takes k sums back. Rows are kept in
+    Spark's cache meanwhile."""
+    rows = df.select(F.transform(vec, lambda v: v.cast("double")).alias("v")).persist()
+    try:
+        return _lloyd(rows, k, most, tol, seed)
+    finally:
+        rows.unpersist()
+
+
+def _lloyd(rows: DataFrame, k: int, most: int, tol: float, seed: int) -> np.ndarray:
     c = np.array([r.v for r in rows.distinct().orderBy(F.xxhash64(F.lit(seed), "v")).limit(k).collect()])
     for _ in range(most):
         def step(it, c=c):

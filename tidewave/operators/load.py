@@ -62,14 +62,28 @@ def step(state: tuple[float, float], load: float, p: dict = PMC) -> tuple[float,
     return state[0] * math.exp(-1 / p["tau_fitness"]) + w, state[1] * math.exp(-1 / p["tau_fatigue"]) + w
 
 
+def _recursion(w: np.ndarray, keep: float, gain: float, start: float) -> np.ndarray:
+    """s[n] = keep * s[n - 1] + gain * w[n], 64 days at once by sums of what is left of each."""
+    out = np.empty(len(w))
+    days = 64 if keep > 0.5 else 1  # so that no power of keep gets too small to divide by
+    for at in range(0, len(w), days):
+        part = w[at : at + days]
+        left = keep ** np.arange(1, len(part) + 1) if days > 1 else np.ones(1)
+        out[at : at + days] = left * start + left * np.cumsum(gain * part / left) if days > 1 else keep * start + gain * part
+        start = out[at + len(part) - 1]
+    return out
+
+
 def simulate(loads, p: dict = PMC, state: tuple[float, float] = (0.0, 0.0)) -> pd.DataFrame:
-    """fitness, fatigue, form (gained fitness less fatigue) and performance after each day."""
-    rows = []
-    for w in loads:
-        state = step(state, w, p)
-        form = p["gain_fitness"] * state[0] - p["gain_fatigue"] * state[1]
-        rows.append((*state, form, p["baseline"] + form))
-    return pd.DataFrame(rows, columns=["fitness", "fatigue", "form", "performance"])
+    """fitness, fatigue, form (gained fitness less fatigue) and performance after each day; step() for all of them."""
+    w = np.array([np.nan if v is None else v for v in loads], float)
+    w = np.where(np.isfinite(w) & (w > 0), w, 0.0)
+    ewma = p["rule"] == "ewma"
+    both = []
+    for start, tau in zip(state, (p["tau_fitness"], p["tau_fatigue"]), strict=True):
+        both.append(_recursion(w, 1 - 1 / tau if ewma else math.exp(-1 / tau), 1 / tau if ewma else 1.0, start))
+    form = p["gain_fitness"] * both[0] - p["gain_fatigue"] * both[1]
+    return pd.DataFrame({"fitness": both[0], "fatigue": both[1], "form": form, "performance": p["baseline"] + form})
 
 
 def pulse_response(df: DataFrame, p: dict = PMC, day: str = "day", load: str = "load") -> DataFrame:
