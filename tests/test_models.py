@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewave.functions import timezones
-from tidewave.operators import models
+from tidewave.operators import control, models, statistics
 
 
 def test_splits(spark):
@@ -78,3 +78,28 @@ def test_time_zones(spark):
     assert got[0].u == utc
     back = spark.createDataFrame([(int(utc),)], "u long").select(timezones.unix_to_local(F.col("u"), "US/Eastern").alias("l")).first().l
     assert str(back) == "2017-08-14 08:20:00"
+
+
+def test_linear_systems(spark):
+    s = control.LinearSystem(np.array([[0.5, 0.0], [0.0, 0.8]]), np.eye(2))
+    x, y = s.step(np.array([2.0, 1.0]))
+    assert x.tolist() == [1.0, 0.8] and y.tolist() == [2.0, 1.0]
+    a, b, c = control.double_integrator(0.1)
+    plant = control.LinearSystem(a, c, b, np.array([[2.0]]))
+    xs, ys = plant.simulate(np.zeros(2), [1.0, 1.0, None])
+    assert xs[2] == pytest.approx([0.02, 0.2]) and ys[:, 0] == pytest.approx([2.0, 2.005, 0.02]) and len(xs) == 4
+    xs, _ = plant.feedback(np.array([[10.0, 5.0]])).simulate(np.array([1.0, 0.0]), [0.0] * 200)
+    assert np.abs(xs[-1]).max() < 1e-3
+    assert plant.simulate(np.zeros(2), [])[1].shape == (0, 1)
+    for bad in (lambda: control.LinearSystem(a, np.eye(3)), lambda: control.LinearSystem(a, c, None, np.eye(1)), lambda: s.feedback(np.eye(2))):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_density_on_the_count_scale(spark):
+    rng = np.random.default_rng(0)
+    d = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(rng.normal(size=500))] + [(2, 0, 3.0), (2, 1, 3.0), (3, 0, None)], "series_id long, i long, x double")
+    got = statistics.kde_counts(d, 10).toPandas()
+    one = got[got.series_id == 1]
+    assert np.trapezoid(one["count"], one["at"]) == pytest.approx(500 * (one["at"].max() - one["at"].min()) / 1.1 / 10, rel=0.08)
+    assert (got[got.series_id == 2]["count"] == got[got.series_id == 2].density).all() and set(got.series_id) == {1, 2}

@@ -5,11 +5,14 @@ Kernels take the arrays of one series; transfer entropies of labels are aggregat
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewave.operators import dynamics, signal
+from tidewave.operators.grouped import table
 from tidewave.operators.models import lcg
 from tidewave.operators.series import ID, over
 
@@ -90,6 +93,51 @@ def closed_loop(a: np.ndarray, b: np.ndarray, gain: np.ndarray) -> np.ndarray:
     return a - b @ gain
 
 
+@dataclass(frozen=True)
+class LinearSystem:
+    """x' = A x + B u, y = C x + D u in whole steps; without B or D inputs count for nothing there."""
+
+    a: np.ndarray
+    c: np.ndarray
+    b: np.ndarray | None = None
+    d: np.ndarray | None = None
+
+    def __post_init__(self) -> None:
+        n = len(self.a)
+        fits = self.a.shape == (n, n) and self.c.shape[1] == n and (self.b is None or len(self.b) == n)
+        fits = fits and (self.d is None or self.b is not None and self.d.shape == (len(self.c), self.b.shape[1]))
+        if not fits:
+            raise ValueError("the matrices don't fit one another")
+
+    def step(self, x: np.ndarray, u: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(the next state, the output of this one)."""
+        put = lambda m: 0.0 if m is None or u is None else m @ np.atleast_1d(u)
+        return self.a @ x + put(self.b), self.c @ x + put(self.d)
+
+    def simulate(self, x0: np.ndarray, inputs) -> tuple[np.ndarray, np.ndarray]:
+        """(the states from x0 on, one more than there are inputs; the output at each input). An input may be None."""
+        xs, ys = [np.asarray(x0, float)], []
+        for u in inputs:
+            x, y = self.step(xs[-1], u)
+            xs.append(x)
+            ys.append(y)
+        return np.array(xs), np.array(ys).reshape(len(ys), len(self.c))
+
+    def feedback(self, gain: np.ndarray) -> LinearSystem:
+        """The system under u = r - K x, r being the new input."""
+        if self.b is None:
+            raise ValueError("feedback needs an input")
+        return LinearSystem(closed_loop(self.a, self.b, gain), self.c, self.b, self.d)
+
+    def responses(self, df: DataFrame, x0, names: list[str]) -> DataFrame:
+        """df of series (series_id, i, x) with the outputs, under their names, to x as the only input, each series from x0."""
+
+        def run(x: np.ndarray, i: np.ndarray) -> dict:
+            return {"i": i} | dict(zip(names, self.simulate(np.asarray(x0, float), x)[1].T, strict=True))
+
+        return table(df, run, f"i {dict(df.dtypes)['i']}, " + ", ".join(f"{n} double" for n in names), columns=["x", "i"])
+
+
 def double_integrator(dt: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(A, B, C) of position and velocity moved by an acceleration."""
     if dt <= 0:

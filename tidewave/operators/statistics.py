@@ -201,6 +201,17 @@ def kde(df: DataFrame, points: int = 80, pad: float = 0.05, bandwidth: float | N
     return table(df, run, "at double, density double")
 
 
+def kde_counts(df: DataFrame, bins: int, points: int = 80, pad: float = 0.05, bandwidth: float | None = None) -> DataFrame:
+    """(series_id, at, density, count): the density, and how many values a histogram's bin there would be expected to hold.
+
+    The bins are those of histogram() by series: the range over their number. Of a constant series, whose one bin has no
+    width, count is the density; a series without finite values has no rows.
+    """
+    g = df.where(finite(F.col(X))).groupBy(ID).agg(F.count(X).alias("_n"), ((F.max(X) - F.min(X)) / bins).alias("_w"))
+    d = kde(df, points, pad, bandwidth).join(g, ID)
+    return d.select(ID, "at", "density", F.when(F.col("_w") > 0, F.col("density") * F.col("_n") * F.col("_w")).otherwise(F.col("density")).alias("count"))
+
+
 def bandpower(f: np.ndarray, psd: np.ndarray, lo: float, hi: float) -> float:
     """Trapezoidal integral of psd over [lo, hi], with the edges interpolated; NaN where the bands don't meet."""
     lo, hi = max(lo, f[0]) if len(f) else lo, min(hi, f[-1]) if len(f) else hi

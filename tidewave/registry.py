@@ -602,6 +602,12 @@ def density(t):
     return tidy(statistics.kde(wave(t), points=40))
 
 
+@query(f"""{WAVE}, s AS (SELECT series_id, count(*) AS n, list(x ORDER BY x) AS v, stddev_pop(x) AS sd, min(x) AS lo, max(x) AS hi FROM wave GROUP BY series_id), q AS (SELECT *, (v[1 + round_even(0.75 * (n - 1), 0)::INT] - v[1 + round_even(0.25 * (n - 1), 0)::INT]) / 1.34 AS iqr FROM s), b AS (SELECT *, CASE WHEN n < 2 THEN 1.0 ELSE greatest(1.06 * coalesce(least(nullif(sd, 0), nullif(iqr, 0)), 0) * n ** -0.2, (hi - lo) * 0.001) END AS h0 FROM q), c AS (SELECT *, CASE WHEN h0 = 0 THEN 1.0 ELSE h0 END AS h, lo - 0.05 * CASE WHEN hi > lo THEN hi - lo ELSE 1 END AS a, hi + 0.05 * CASE WHEN hi > lo THEN hi - lo ELSE 1 END AS z FROM b), g AS (SELECT *, a + unnest(range(0, 40)) * (z - a) / 39 AS "at" FROM c) SELECT series_id, round("at", 6) AS "at", round(list_sum(list_transform(v, lambda y: exp(-0.5 * (("at" - y) / h) ** 2))) / (n * h * sqrt(2 * pi())), 6) AS density, round(list_sum(list_transform(v, lambda y: exp(-0.5 * (("at" - y) / h) ** 2))) / (n * h * sqrt(2 * pi())) * CASE WHEN hi > lo THEN n * (hi - lo) / 12 ELSE 1 END, 5) AS "count" FROM g""")
+def density_counts(t):
+    d = statistics.kde_counts(wave(t), 12, points=40)
+    return tidy(d.withColumn("count", F.round("count", 5)))
+
+
 @query(f"""{GAPS}, d AS (SELECT series_id, t, interval, min(t) OVER (PARTITION BY series_id) AS t0, max(t) OVER (PARTITION BY series_id) AS t1 FROM gaps WHERE k > 0), w AS (SELECT series_id, t0, unnest(range(0, greatest(floor((t1 - t0 - 86400 + 1e-9) / 43200)::BIGINT + 1, 0))) * 43200 AS k FROM (SELECT DISTINCT series_id, t0, t1 FROM d)) SELECT w.series_id, round(w.t0 + 86400 + k, 3) AS "end", count(*) AS n, round(avg(interval), 3) AS mean, CASE WHEN count(*) > 1 THEN round(stddev_pop(interval), 3) END AS std FROM w JOIN d ON d.series_id = w.series_id AND d.t - d.t0 > k - 1e-9 AND d.t - d.t0 <= k + 86400 + 1e-9 GROUP BY w.series_id, w.t0, k""")
 def event_windows(t):
     d = biosignals.rolling_event_grid(biosignals.intervals(beats(t)), length=86400.0, step=43200.0)

@@ -60,3 +60,9 @@ def dmd_error(t):
         return {"error": control.dmd_error(dynamics.dmd(s), s) if s.shape[1] > 4 else float("nan")}
 
     return tidy(summary(wave(t), run, "error double").where(~F.isnan("error")), 4)
+
+
+@query(f"""WITH RECURSIVE n AS ({WAVE.split('AS (', 1)[1][:-1]}), r AS (SELECT series_id, i, x, 1.0e0 AS p, 0.0e0 AS v FROM n WHERE i = 0 UNION ALL SELECT n.series_id, n.i, n.x, 0.9 * r.p + 0.1 * r.v + 0.005 * r.x, 0.8 * r.v + 0.1 * r.x FROM r JOIN n ON n.series_id = r.series_id AND n.i = r.i + 1) SELECT series_id, i, round(p, 6) AS "position", round(v + 0.5 * x, 6) AS moved FROM r""")
+def linear_response(t):
+    system = control.LinearSystem(np.array([[0.9, 0.1], [0.0, 0.8]]), np.eye(2), np.array([[0.005], [0.1]]), np.array([[0.0], [0.5]]))
+    return tidy(system.responses(wave(t), [1.0, 0.0], ["position", "moved"]))
