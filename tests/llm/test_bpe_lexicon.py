@@ -103,3 +103,17 @@ def test_operators_on_odd_tables(spark, documents):
     assert [(r.doc_id, r.text, len(r.tokens)) for r in e.collect()] == [(1, "a b", 2)] * 2
     ids = spark.createDataFrame([(1, [64, None, -1, 10**6, 50256]), (2, None), (3, []), (4, [140, 64])], "k long, tokens array<int>")
     assert [tuple(r) for r in bl.decoded(ids, ["k"]).orderBy("k").collect()] == [(1, "a<|endoftext|>"), (2, None), (3, ""), (4, "�a")]
+
+
+def test_most_frequent_pieces(documents):
+    texts = [f" w{k % 40}x" * (k % 7 + 1) + " the" * (k % 5) for k in range(200)] + [None, "", "<|endoftext|>" * 9]
+    got = [(bytes(r.piece), r.n) for r in bl.frequent_pieces(documents(texts), most=12).collect()]
+    p = bl.pieces([t or "" for t in texts], bl.model().special)
+    n = {}
+    for a, size, s in zip(p.start.tolist(), p.size.tolist(), p.special.tolist(), strict=True):
+        if s < 0:
+            w = p.data[a : a + size].tobytes()
+            n[w] = n.get(w, 0) + 1
+    assert got == sorted(n.items(), key=lambda x: (-x[1], x[0]))[:12]
+    assert bl.frequent_pieces(documents([])).count() == 0
+    assert bl.frequent_pieces(documents(["a b"]), most=99).count() == 2

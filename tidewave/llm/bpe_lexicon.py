@@ -345,7 +345,11 @@ def decode(m: Model, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
 
 
 def frequent_pieces(docs: DataFrame, most: int = LEXICON_WORDS, text: str = "text", path: str = FILE) -> DataFrame:
-    """(piece as bytes, n) of the pieces that all texts together have most often; ties by bytes. Tasks count before they send."""
+    """(piece as bytes, n) of the pieces that all texts together have most often; ties by bytes.
+
+    Tasks count before they send. What is sorted in one place are the most frequent and those within a sixteenth of a power
+    of two of them, as often as the last that is taken.
+    """
     special = model(path).special
 
     def count(batches):
@@ -369,8 +373,17 @@ def frequent_pieces(docs: DataFrame, most: int = LEXICON_WORDS, text: str = "tex
                 total = {}
         yield sent()
 
+    s = Scratch(docs.sparkSession, "pieces")
     counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "piece binary, n long")
-    return counted.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most)
+    counted = s.save(counted.groupBy("piece").agg(F.sum("n").alias("n")), "counted")
+    # from how often on there are enough: only these meet in one task, and not the most of each
+    level = F.floor(F.log2("n") * 16).cast("int")
+    left, least = most, 0
+    for r in counted.groupBy(level.alias("level")).agg(F.count("*").alias("pieces")).orderBy(F.desc("level")).collect():
+        left, least = left - r.pieces, r.level
+        if left <= 0:
+            break
+    return counted.where(level >= least).orderBy(F.desc("n"), "piece").limit(most)
 
 
 def published(spark: SparkSession, words: DataFrame, path: str = FILE) -> str:
