@@ -33,15 +33,22 @@ def marks(keys: DataFrame, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def marked(df: DataFrame, key: str, bitmap: np.ndarray, bits: int = BITS) -> DataFrame:
-    """The rows of df whose key may be in the map, all columns kept."""
+def marked(df: DataFrame, key: str, bitmap: np.ndarray, bits: int = BITS, then=None, schema=None) -> DataFrame:
+    """The rows of df whose key may be in the map, all columns kept.
+
+    then: a function of their batches that gives batches of the schema; it runs in the same worker, and what it gives comes
+    back in their place.
+    """
     b = df.sparkSession.sparkContext.broadcast(bitmap)
 
-    def run(batches):
+    def kept(batches):
         for batch in batches:
             p = np.asarray(batch.column(batch.num_columns - 1))
             ok = (b.value[p // 62] >> (p % 62)) & 1 == 1
             if ok.any():
                 yield batch.select(batch.schema.names[:-1]).filter(pa.array(ok))
 
-    return df.select("*", _place(key, bits).alias(fresh("_place", df))).mapInArrow(run, df.schema)
+    def run(batches):
+        return then(kept(batches)) if then else kept(batches)
+
+    return df.select("*", _place(key, bits).alias(fresh("_place", df))).mapInArrow(run, schema if then else df.schema)

@@ -314,7 +314,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
     if further is not None:
         of_marks = of_marks.union(further.select("doc_id"))
     bits = marks(of_marks)
-    wanted = marked(source, "doc_id", bits)
 
     def sets(batches):
         for b in chunks(batches, "text"):
@@ -322,7 +321,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
             at = [i for i, x in enumerate(got) if len(x)]
             yield record(SETS, b.column("doc_id").take(pa.array(at, pa.int64())), [len(got[i]) for i in at], *zip(*[_sums(got[i]) for i in at], strict=True) if at else ([], []), [registers(got[i]).tobytes() for i in at], [got[i].tobytes() for i in at])
 
-    full = s.save(told_apart(wanted.mapInArrow(sets, _ddl(SETS))).dropDuplicates(["doc_id"]).select("doc_id", "n", "regs", "shingles"), "sets")
+    full = s.save(told_apart(marked(source, "doc_id", bits, then=sets, schema=_ddl(SETS))).dropDuplicates(["doc_id"]).select("doc_id", "n", "regs", "shingles"), "sets")
     light = full.select("doc_id", "n", "regs")
 
     def confirmed(pairs: DataFrame, name: str, filtered: bool) -> DataFrame:
