@@ -116,3 +116,12 @@ def test_any_log(spark, seed):
         states = {"finish_query": worklog.STATUSES, "start_attempt": worklog.KINDS, "finish_attempt": worklog.OUTCOMES, "add_artifact": worklog.ROLES}.get(a, [None])
         log.append(act(seq, a, name(k), of=name("q"), parent=r.choice([None, name(k)]), agent=r.choice(["x", "x", ""]), state=r.choice([*states, *states, "odd"]), text=r.choice(["t", "t/u", "t", ""]), sha=r.choice([None, None, "b" * 64, "c"])))
     check(spark, log)
+
+
+def test_long_chains_of_parents(spark):
+    n = 300
+    log = [act(k, "open_query", f"q{k}", parent=f"q{k - 1}" if k else "none", text="t") for k in range(n)]
+    log += [act(n + k, "open_query", f"r{k}", parent=f"r{k - 1}" if k else None, text="t") for k in range(n)]
+    log += [act(3 * n + k, "start_attempt", f"a{k}", of="r0", parent=f"a{k - 1}" if k else None, agent="x") for k in range(n)]
+    log += [act(4 * n + k, "start_attempt", f"b{k}", of="q5" if k == 7 else "r0", parent=f"b{k - 1}" if k else None, agent="x") for k in range(n)]
+    check(spark, log)

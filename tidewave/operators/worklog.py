@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewave.plans.stored import stored
+
 #: The columns of a log. id: of what is opened, started, finished or attached to; of: the query of an attempt; parent: the
 #: query or attempt that it belongs under; text: title, summary or path; state: status, kind, outcome or role.
 LOG = "seq long, at timestamp, action string, id string, of string, parent string, agent string, state string, text string, sha256 string"
 # States of each action.
 STATUSES, KINDS, OUTCOMES, ROLES = ["done", "abandoned"], ["session", "spawn", "revise"], ["succeeded", "failed", "superseded", "refused"], ["input", "output", "log"]
-#: Chains of parents that are longer are an error.
-DEEPEST = 200
 
 
 def _blank(c: str) -> Column:
@@ -49,50 +49,53 @@ def judged(log: DataFrame) -> DataFrame:
     """log, a row for each seq, with fault: why an action was refused, null if it was taken.
 
     An id belongs to the first action that opens or starts it with right fields; later ones of the same id are refused.
-    Finishing again overwrites what was before. A refused query or attempt refuses what refers to it. Each round follows the
-    chains of parents one step, by joins; the log is kept in Spark's cache for them.
+    Finishing again overwrites what was before. A refused query or attempt refuses what refers to it. Queries and then
+    attempts are judged among themselves, and every action looks up the one that its id names. The log is kept in Spark's
+    cache meanwhile.
     """
     once = log.withColumn("_r", F.row_number().over(Window.partitionBy("seq").orderBy(F.hash(*log.columns), *[c for c in log.columns if c != "seq"]))).where("_r = 1").drop("_r")
-    d = once.withColumn("fault", own_fault(once))
-    kind = F.when(F.col("action") == "open_query", "query").when(F.col("action") == "start_attempt", "attempt")
-    d = d.withColumn("made", F.when(F.col("fault").isNull(), kind))
-    first = F.row_number().over(Window.partitionBy("made", "id").orderBy("seq"))
-    d = d.withColumn("fault", F.when(F.col("made").isNotNull() & (first > 1), "id is there already").otherwise(F.col("fault"))).persist()
-    of = lambda k, n: d.where(f"made = '{k}' and fault is null").select(F.col("id").alias(f"{n}_id"), F.col("seq").alias(f"{n}_seq"), F.col("of").alias(f"{n}_of"))
-    is_ = lambda *a: F.col("action").isin(*a)
-    # what each action refers to: its subject, and a parent of the same kind
-    subject = F.when(is_("finish_query", "finish_attempt", "add_artifact"), F.col("id")).when(is_("start_attempt"), F.col("of"))
-    j = d.withColumns({"_q": F.when(is_("finish_query", "start_attempt"), subject), "_a": F.when(is_("finish_attempt", "add_artifact"), subject), "_pq": F.when(is_("open_query"), F.col("parent")), "_pa": F.when(is_("start_attempt"), F.col("parent"))})
-    for key, kind_ in (("_q", "query"), ("_a", "attempt"), ("_pq", "query"), ("_pa", "attempt")):
-        r = of(kind_, key)
-        j = j.join(r, (F.col(key) == F.col(f"{key}_id")) & (F.col(f"{key}_seq") < F.col("seq")), "left")
-    gone = lambda k: F.col(k).isNotNull() & F.col(f"{k}_id").isNull()
-    fault = (
-        F.when(F.col("fault").isNotNull(), F.col("fault"))
-        .when(is_("start_attempt") & F.col("of").isNull() | gone("_q"), "query not found")
-        .when(gone("_a"), "attempt not found")
-        .when(gone("_pq"), "parent query not found")
-        .when(gone("_pa"), "parent attempt not found")
-        .when(F.col("_pa_of") != F.col("of"), "parent attempt belongs to a different query")
-    )
-    j = j.withColumn("fault", fault)
-    # a refused one refuses what refers to it
-    up = [F.struct(F.lit("query").alias("k"), F.col(c).alias("id")) for c in ("_q", "_pq")] + [F.struct(F.lit("attempt").alias("k"), F.col(c).alias("id")) for c in ("_a", "_pa")]
-    refers = j.where("fault is null").select("seq", F.col("made").alias("k"), "id", F.explode(F.array(*up)).alias("u")).where("u.id is not null").select("seq", "k", "id", F.col("u.k").alias("uk"), F.col("u.id").alias("uid"))
-    as_subject = lambda f: f.select(F.col("k").alias("uk"), F.col("id").alias("uid"))
-    bad = j.where("fault is not null and made is not null and fault <> 'id is there already'").select(F.col("made").alias("k"), "id").distinct().persist()
-    refused = None
-    for _ in range(DEEPEST):
-        refused = bad if refused is None else refused.union(bad)
-        more = refers.where("k is not null").join(as_subject(bad), ["uk", "uid"], "left_semi").select("k", "id").distinct()
-        bad = more.join(refused, ["k", "id"], "left_anti").persist()
-        if bad.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"parents in chains of over {DEEPEST}")
-    hit = refers.join(as_subject(refused).distinct(), ["uk", "uid"], "left_semi").select(F.col("seq").alias("_hit")).distinct()
-    j = j.join(hit, F.col("seq") == F.col("_hit"), "left").withColumn("fault", F.when(F.col("fault").isNull() & F.col("_hit").isNotNull(), "what it refers to was refused").otherwise(F.col("fault")))
-    return j.select(*log.columns, "fault")
+    d = once.withColumn("fault", own_fault(once)).persist()
+    q, a = _owners(d, "open_query"), _owners(d, "start_attempt")
+
+    up = q.select(F.col("id").alias("_u"), F.col("seq").alias("_useq"))
+    j = q.join(up, (F.col("parent") == F.col("_u")) & (F.col("_useq") < F.col("seq")), "left")
+    lost = F.col("parent").isNotNull() & F.col("_u").isNull()
+    q = _closed(j.select("id", "seq", F.when(lost, "parent query not found").alias("why"), lost.alias("bad"), F.col("_u").alias("up")))
+
+    of = q.select(F.col("id").alias("_q"), F.col("seq").alias("_qseq"), F.col("bad").alias("_qbad"))
+    up = a.select(F.col("id").alias("_u"), F.col("seq").alias("_useq"), F.col("of").alias("_uof"))
+    j = a.join(of, (F.col("of") == F.col("_q")) & (F.col("_qseq") < F.col("seq")), "left").join(up, (F.col("parent") == F.col("_u")) & (F.col("_useq") < F.col("seq")), "left")
+    why = F.when(F.col("_q").isNull(), "query not found").when(F.col("parent").isNotNull() & F.col("_u").isNull(), "parent attempt not found").when(F.col("_uof") != F.col("of"), "parent attempt belongs to a different query")
+    j = j.withColumn("why", why)
+    a = _closed(j.select("id", "seq", "why", (F.col("why").isNotNull() | F.col("_qbad")).alias("bad"), F.col("_u").alias("up")))
+
+    made = q.withColumn("_k", F.lit("query")).unionByName(a.withColumn("_k", F.lit("attempt"))).select("_k", F.col("id").alias("_id"), F.col("seq").alias("_seq"), "why", "bad")
+    makes, kind = F.col("action").isin("open_query", "start_attempt"), F.when(F.col("action").isin("open_query", "finish_query"), "query").otherwise("attempt")
+    fine = d.where("fault is null").drop("fault").withColumn("_kind", kind)
+    found = fine.join(made, (F.col("_kind") == F.col("_k")) & (F.col("id") == F.col("_id")), "left")
+    there = F.coalesce(F.col("_seq") < F.col("seq"), F.lit(False))
+    refused = F.when(F.col("bad"), "what it refers to was refused")
+    fault = F.when(makes, F.when(there, "id is there already").otherwise(F.coalesce("why", refused))).when(~there, F.concat("_kind", F.lit(" not found"))).otherwise(refused)
+    return found.select(*log.columns, fault.alias("fault")).unionByName(d.where("fault is not null"))
+
+
+def _owners(d: DataFrame, action: str) -> DataFrame:
+    """(id, seq, of, parent) of the first of the actions of each id whose own fields are right."""
+    return d.where((F.col("action") == action) & F.col("fault").isNull()).groupBy("id").agg(F.min(F.struct("seq", "of", "parent")).alias("_m")).select("id", "_m.*")
+
+
+def _closed(nodes: DataFrame) -> DataFrame:
+    """nodes (id, seq, why, bad, up) without up, bad also where any node on the chain of ups is.
+
+    Each round looks twice as far up a chain, so that their number is the logarithm of the longest one's length, and writes
+    a table, so that no plan holds more than one round. An up has a smaller seq than what is under it.
+    """
+    t = stored(nodes)
+    while not (active := t.where("up is not null and not bad")).isEmpty():
+        above = t.select(F.col("id").alias("_u"), F.col("bad").alias("_bad"), F.col("up").alias("_up"))
+        next_ = active.join(above, F.col("up") == F.col("_u")).select("id", "seq", "why", F.col("_bad").alias("bad"), F.col("_up").alias("up"))
+        t = stored(t.where("up is null or bad").unionByName(next_))
+    return t.drop("up")
 
 
 def _last(actions: DataFrame, *columns: str) -> DataFrame:
