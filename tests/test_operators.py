@@ -436,3 +436,12 @@ def test_control_and_sensing():
     y, m = control.sensed(control.row_selection(4, [2, 0]), np.array([1.0, 2, 3, 4]), signal.dct_basis(4))
     assert y.tolist() == [3, 1] and m.shape == (2, 4) and control.restored(np.eye(4)[0], signal.dct_basis(4)) == pytest.approx(signal.dct_basis(4)[:, 0])
     assert control.decibels(np.array([1.0, 10, 0])).tolist() == [0, 20, -120]
+
+
+def test_equal_steps_are_no_acceleration(spark):
+    v = [9.53, 13.48, 49.44, 53.39]
+    rows = [("a", float(k), 1, v[k], v[k + 1]) for k in range(3)] + [("a", float(k), 2, x, 0.0) for k, x in enumerate((0.0, 1.0, 3.0))]
+    d = spark.createDataFrame(rows, "series_id string, t double, agent_id long, x double, y double")
+    assert spatial.accelerations(d).where("agent_id = 1 and t = 2").first().accel == 0
+    assert [(r.together, r.against) for r in spatial.effort_phase(d).collect()] == [(0, 0)]
+    assert {(r.together, r.against) for r in spatial.effort_phase(d, 3.0).collect()} == {(0, 0)}

@@ -22,6 +22,12 @@ ACCEL, CARRY_M, NEAR_M, SPEED_WEIGHT = 0.8, 2.0, 0.1, 0.5
 PITCH = {"length": (90.0, 120.0, 105.0), "width": (45.0, 90.0, 68.0), "goal_width": 7.32, "goal_height": 2.44, "outer_depth": 16.5, "inner_depth": 5.5, "spot": 11.0, "circle": 9.15, "corner": 1.0}
 
 
+def norm(x: Column | str, y: Column | str) -> Column:
+    """The root of the sum of squares, as the reference has it: equal steps then differ by the same last bits as in SQL."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    return F.sqrt(x * x + y * y)
+
+
 def by_agent(frame: tuple[int, int] | None = None):
     w = Window.partitionBy(*AGENT).orderBy("t")
     return w.rowsBetween(*frame) if frame else w
@@ -33,7 +39,7 @@ def velocities(df: DataFrame) -> DataFrame:
     dt = F.col("t") - F.lag("t").over(w)
     v = lambda c: F.when(dt > 0, (F.col(c) - F.lag(c).over(w)) / dt).otherwise(F.when(dt.isNotNull(), 0.0))
     d = df.withColumns({"vx": v("x"), "vy": v("y")})
-    return d.withColumns({"speed": F.hypot("vx", "vy"), "heading": F.atan2("vy", "vx")})
+    return d.withColumns({"speed": norm("vx", "vy"), "heading": F.atan2("vy", "vx")})
 
 
 def accelerations(df: DataFrame) -> DataFrame:
@@ -77,7 +83,7 @@ def window_bearings(df: DataFrame, seconds: float, ahead: bool = False) -> DataF
     edge = F.last(p).over(w.rangeBetween(0, Window.unboundedFollowing)) if ahead else F.first(p).over(w.rangeBetween(Window.unboundedPreceding, 0))
     d = df.withColumn("_p", F.coalesce(far, edge))
     dx, dy = ((F.col(f"_p.{c}") - F.col(c)) * (1 if ahead else -1) for c in "xy")
-    return d.withColumn("bearing", F.when(F.hypot(dx, dy) > 1e-9, F.atan2(dy, dx))).drop("_p")
+    return d.withColumn("bearing", F.when(norm(dx, dy) > 1e-9, F.atan2(dy, dx))).drop("_p")
 
 
 def peak_pace(df: DataFrame) -> DataFrame:
@@ -89,7 +95,7 @@ def pair_distances(df: DataFrame) -> DataFrame:
     """(series_id, t, a, b, distance) of all pairs a < b of the agents of each frame."""
     a = df.select(ID, "t", F.col("agent_id").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"))
     b = df.select(ID, "t", F.col("agent_id").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"))
-    return a.join(b, [ID, "t"]).where("a < b").select(ID, "t", "a", "b", F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")).alias("distance"))
+    return a.join(b, [ID, "t"]).where("a < b").select(ID, "t", "a", "b", norm(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")).alias("distance"))
 
 
 def nearest_agent(df: DataFrame) -> DataFrame:
@@ -107,12 +113,12 @@ def free_space_ahead(df: DataFrame, half_angle: float = math.pi / 4) -> DataFram
     j = v.join(o, [ID, "t"]).where("agent_id <> o")
     turn = F.atan2(F.col("oy") - F.col("y"), F.col("ox") - F.col("x")) - F.col("heading")
     off = F.abs(F.atan2(F.sin(turn), F.cos(turn)))
-    return j.groupBy(ID, "t", "agent_id").agg(F.avg(F.when(off <= half_angle, F.hypot(F.col("ox") - F.col("x"), F.col("oy") - F.col("y")))).alias("ahead"))
+    return j.groupBy(ID, "t", "agent_id").agg(F.avg(F.when(off <= half_angle, norm(F.col("ox") - F.col("x"), F.col("oy") - F.col("y")))).alias("ahead"))
 
 
 def focal_distances(df: DataFrame, focal: DataFrame) -> DataFrame:
     """df with the distance to the focal point (series_id, t, fx, fy) of its frame."""
-    return df.join(focal, [ID, "t"]).withColumn("distance", F.hypot(F.col("x") - F.col("fx"), F.col("y") - F.col("fy")))
+    return df.join(focal, [ID, "t"]).withColumn("distance", norm(F.col("x") - F.col("fx"), F.col("y") - F.col("fy")))
 
 
 def towards_focal(df: DataFrame, focal: DataFrame) -> DataFrame:
@@ -133,9 +139,9 @@ def carrier(df: DataFrame, focal: DataFrame) -> DataFrame:
 def path(df: DataFrame) -> DataFrame:
     """(series_id, agent_id, length, net, linearity, rms_off_chord): linearity is net over length, null if either is under 1e-9."""
     w, whole = by_agent(), Window.partitionBy(*AGENT).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seg = F.coalesce(F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)), F.lit(0.0))
+    seg = F.coalesce(norm(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)), F.lit(0.0))
     d = df.withColumns({"_s": seg, "_x0": F.first("x").over(whole), "_y0": F.first("y").over(whole), "_x1": F.last("x").over(whole), "_y1": F.last("y").over(whole)})
-    net = F.hypot(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
+    net = norm(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
     off = ratio((F.col("_x1") - F.col("_x0")) * (F.col("y") - F.col("_y0")) - (F.col("_y1") - F.col("_y0")) * (F.col("x") - F.col("_x0")), net)
     g = d.withColumns({"_n": net, "_o": off}).groupBy(*AGENT).agg(F.sum("_s").alias("length"), F.first("_n").alias("net"), F.sqrt(F.avg(F.col("_o") * F.col("_o"))).alias("_r"))
     fine = (F.col("length") > 1e-9) & (F.col("net") > 1e-9)
@@ -164,7 +170,7 @@ def directional_phase(df: DataFrame) -> DataFrame:
     v = velocities(df).where("speed > 0").select(ID, "t", "agent_id", "heading")
     j = v.select(ID, "t", F.col("agent_id").alias("a"), F.col("heading").alias("u")).join(v.select(ID, "t", F.col("agent_id").alias("b"), F.col("heading").alias("w")), [ID, "t"]).where("a < b")
     c, s = F.avg(F.cos(F.col("u") - F.col("w"))), F.avg(F.sin(F.col("u") - F.col("w")))
-    g = j.groupBy(ID, "a", "b").agg(F.atan2(s, c).alias("mean_angle"), F.hypot(c, s).alias("r"))
+    g = j.groupBy(ID, "a", "b").agg(F.atan2(s, c).alias("mean_angle"), norm(c, s).alias("r"))
     return g.withColumn("relation", F.when(F.col("r") < 0.5, "mix").when(F.abs("mean_angle") <= math.pi / 4, "in").when(F.abs("mean_angle") >= 3 * math.pi / 4, "opp").otherwise("out"))
 
 
@@ -187,7 +193,7 @@ def around(seconds: float):
 def agent_summary(df: DataFrame, agents: DataFrame | None = None) -> DataFrame:
     """(series_id, agent_id, distance, mean_speed, peak_speed, accelerations, decelerations); with agents (agent_id, grp), by group instead."""
     w = by_agent()
-    d = accelerations(df).withColumn("_s", F.coalesce(F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)), F.lit(0.0)))
+    d = accelerations(df).withColumn("_s", F.coalesce(norm(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)), F.lit(0.0)))
     g = d.groupBy(*AGENT).agg(F.sum("_s").alias("distance"), F.avg("speed").alias("mean_speed"), F.max("speed").alias("peak_speed"), F.count(F.when(F.col("event") == "accel", 1)).alias("accelerations"), F.count(F.when(F.col("event") == "decel", 1)).alias("decelerations"))
     if agents is None:
         return g
@@ -253,15 +259,15 @@ def classify_actions(df: DataFrame, focal: DataFrame, agents: DataFrame, proximi
     here = here.join(before, [ID, "_lt", "_last"], "left")
     w = by_agent()
     d = d.withColumns({"_lx": F.lag("x").over(w), "_ly": F.lag("y").over(w)}).join(here.select(ID, "t", "carrier", "own", "cx", "cy", "_bx", "_by"), [ID, "t"])
-    d = d.withColumns({"on_ball": F.coalesce(F.col("agent_id") == F.col("carrier"), F.lit(False)), "near": F.coalesce((F.col("agent_id") != F.col("carrier")) & (F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) <= proximity), F.lit(False))})
+    d = d.withColumns({"on_ball": F.coalesce(F.col("agent_id") == F.col("carrier"), F.lit(False)), "near": F.coalesce((F.col("agent_id") != F.col("carrier")) & (norm(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) <= proximity), F.lit(False))})
     other = d.where("near").select(ID, "t", F.col("agent_id").alias("_o"), F.col("grp").alias("_og"), F.col("x").alias("_ox"), F.col("y").alias("_oy"))
     pressed = d.where("near or on_ball").join(other, [ID, "t"]).where("_o <> agent_id and not (_og <=> grp)")
-    pressed = pressed.groupBy(*AGENT, "t").agg(F.min(F.hypot(F.col("_ox") - F.col("x"), F.col("_oy") - F.col("y"))).alias("_m"))
+    pressed = pressed.groupBy(*AGENT, "t").agg(F.min(norm(F.col("_ox") - F.col("x"), F.col("_oy") - F.col("y"))).alias("_m"))
     d = d.join(pressed, [*AGENT, "t"], "left").withColumn("gap", F.coalesce("_m", F.lit(float("inf"))))
     forward = F.when(F.col("_past").isNotNull() & F.col("_future").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.cos("_future") * F.col("att_x") + F.sin("_future") * F.col("att_y")))).otherwise(0.0)
-    d = d.withColumns({"fwd": forward, "to_goal": F.hypot(F.col("gx") - F.col("x"), F.col("gy") - F.col("y"))})
+    d = d.withColumns({"fwd": forward, "to_goal": norm(F.col("gx") - F.col("x"), F.col("gy") - F.col("y"))})
     fwd, speed, gap = F.col("fwd"), F.col("speed"), F.col("gap")
-    came = F.coalesce(F.hypot(F.col("_lx") - F.col("_bx"), F.col("_ly") - F.col("_by")) > proximity * CAME, F.lit(False))
+    came = F.coalesce(norm(F.col("_lx") - F.col("_bx"), F.col("_ly") - F.col("_by")) > proximity * CAME, F.lit(False))
 
     def fits(name: str) -> Column:
         """Whether all limits of an entry of LIMITS hold."""
@@ -291,7 +297,7 @@ def classify_actions(df: DataFrame, focal: DataFrame, agents: DataFrame, proximi
     everyone = df.select(ID, F.col("t").alias("_then"), "agent_id", "x", "y").join(agents.select("agent_id", "grp"), "agent_id")
     there = everyone.select(ID, "_then", F.col("agent_id").alias("receiver"), F.col("grp").alias("_rg"), F.col("x").alias("_rx"), F.col("y").alias("_ry"))
     trapped = passed.join(there, [ID, "_then", "receiver"]).join(everyone, [ID, "_then"]).where("agent_id <> receiver and not (grp <=> _rg)")
-    trapped = trapped.where(F.hypot(F.col("x") - F.col("_rx"), F.col("y") - F.col("_ry")) < TRAPPED).select(ID, "t", F.col("carrier").alias("agent_id"), F.lit(True).alias("_trap")).distinct()
+    trapped = trapped.where(norm(F.col("x") - F.col("_rx"), F.col("y") - F.col("_ry")) < TRAPPED).select(ID, "t", F.col("carrier").alias("agent_id"), F.lit(True).alias("_trap")).distinct()
     d = d.withColumns({"action": action, "confidence": sure}).join(trapped, [ID, "t", "agent_id"], "left")
     return d.select(ID, "t", "agent_id", F.when(F.col("_trap") & F.col("action").isin("Penetration", "Creation", "Conversion"), "Neutral").otherwise(F.col("action")).alias("action"), "confidence")
 
@@ -314,13 +320,13 @@ def dot(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
 
 def unit(x: Column, y: Column) -> tuple[Column, Column]:
     """The vector of length 1 in the same direction, 0 for 0."""
-    n = F.hypot(x, y)
+    n = norm(x, y)
     return tuple(F.when(n > 0, c * (1 / n)).otherwise(0.0) for c in (x, y))
 
 
 def angle_between(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """The angle of two vectors, 0 to pi."""
-    c = dot(ax, ay, bx, by) / (F.hypot(ax, ay) * F.hypot(bx, by) + 1e-12)
+    c = dot(ax, ay, bx, by) / (norm(ax, ay) * norm(bx, by) + 1e-12)
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
 
 
@@ -328,7 +334,7 @@ def distance_matrix(df: DataFrame) -> DataFrame:
     """(series_id, t, agent_id, distances): a map of the distances to all agents of the frame, 0 to itself."""
     o = df.select(ID, "t", F.col("agent_id").alias("_o"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     j = df.join(o, [ID, "t"])
-    return j.groupBy(ID, "t", "agent_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_o", F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")))))).alias("distances"))
+    return j.groupBy(ID, "t", "agent_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_o", norm(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")))))).alias("distances"))
 
 
 def focal_context(df: DataFrame, focal: DataFrame) -> DataFrame:
@@ -347,7 +353,7 @@ def local_triangles(df: DataFrame, focal: DataFrame, k: int = 5, longest: float
     near = focal_distances(df, focal).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     corner = lambda n: near.select(ID, "t", F.col("agent_id").alias(n), F.col("_r").alias(f"r{n}"), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
     j = corner("a").join(corner("b"), [ID, "t"]).where("ra < rb").join(corner("c"), [ID, "t"]).where("rb < rc")
-    side = lambda p, q: F.hypot(F.col(f"x{p}") - F.col(f"x{q}"), F.col(f"y{p}") - F.col(f"y{q}"))
+    side = lambda p, q: norm(F.col(f"x{p}") - F.col(f"x{q}"), F.col(f"y{p}") - F.col(f"y{q}"))
     area = F.abs((F.col("xb") - F.col("xa")) * (F.col("yc") - F.col("ya")) - (F.col("yb") - F.col("ya")) * (F.col("xc") - F.col("xa")))
     j = j.withColumn("edge", F.greatest(side("a", "b"), side("b", "c"), side("c", "a"))).where((F.col("edge") <= longest) & (area >= 2.0))
     first = Window.partitionBy(ID, "t").orderBy("edge", "ra", "rb", "rc")
@@ -363,14 +369,14 @@ def path_windows(df: DataFrame, metres: float) -> DataFrame:
     if not (math.isfinite(metres) and metres > 0):
         raise ValueError("a window above 0 is needed")
     w = by_agent()
-    step = F.coalesce(F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)), F.lit(0.0))
+    step = F.coalesce(norm(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)), F.lit(0.0))
     d = df.select(*AGENT, "t", "x", "y", step.alias("_s")).withColumn("_c", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     way, reach = F.round(F.col("_c") * 1e6).cast("long"), int(round(metres * 1e6))
     on = Window.partitionBy(*AGENT).orderBy(way)
     here = F.struct("t", "x", "y", F.col("_c").alias("c"))
     d = d.withColumns({"_e": F.min(here).over(on.rangeBetween(reach, Window.unboundedFollowing)), "_i": F.collect_list(here).over(on.rangeBetween(0, reach - 1))}).where("_e is not null")
     inner = F.filter("_i", lambda p: (p["t"] >= F.col("t")) & (p["t"] < F.col("_e.t")))
-    d = d.withColumns({"_i": F.concat(inner, F.array("_e")), "length": F.col("_e.c") - F.col("_c"), "net": F.hypot(F.col("_e.x") - F.col("x"), F.col("_e.y") - F.col("y"))})
+    d = d.withColumns({"_i": F.concat(inner, F.array("_e")), "length": F.col("_e.c") - F.col("_c"), "net": norm(F.col("_e.x") - F.col("x"), F.col("_e.y") - F.col("y"))})
     off = F.transform("_i", lambda p: F.abs((p["x"] - F.col("x")) * (F.col("_e.y") - F.col("y")) - (p["y"] - F.col("y")) * (F.col("_e.x") - F.col("x"))) / F.col("net"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size("_i")
     fine = F.col("net") >= 1e-9
