@@ -445,3 +445,10 @@ def test_equal_steps_are_no_acceleration(spark):
     assert spatial.accelerations(d).where("agent_id = 1 and t = 2").first().accel == 0
     assert [(r.together, r.against) for r in spatial.effort_phase(d).collect()] == [(0, 0)]
     assert {(r.together, r.against) for r in spatial.effort_phase(d, 3.0).collect()} == {(0, 0)}
+
+
+def test_bearing_of_a_mean_at_the_same_height(spark):
+    d = spark.createDataFrame([("a", 0.0, 1, 3.0, 0.2), ("a", 0.0, 2, 3.0, 0.1)], "series_id string, t double, agent_id long, x double, y double")
+    focal = spark.createDataFrame([("a", 0.0, 2.0, 0.6 / 3 * (1 - 2**-53))], "series_id string, t double, fx double, fy double")
+    b = {r.agent_id: r.bearing for r in spatial.focal_context(d, focal).collect()}
+    assert b[1] == math.pi and b[2] == pytest.approx(math.pi - math.atan(0.1))

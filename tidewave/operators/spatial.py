@@ -338,8 +338,14 @@ def distance_matrix(df: DataFrame) -> DataFrame:
 
 
 def focal_context(df: DataFrame, focal: DataFrame) -> DataFrame:
-    """df with fx, fy, distance and bearing to the focal point, and on_ball: whether no other agent is nearer (the smaller id on ties)."""
-    d = focal_distances(df, focal).withColumn("bearing", F.atan2(F.col("fy") - F.col("y"), F.col("fx") - F.col("x")))
+    """df with fx, fy, distance and bearing to the focal point, and on_ball: whether no other agent is nearer (the smaller id on ties).
+
+    A height that differs from the focal point's by 1e-12 of both or less, as a mean's last bits do, is the same: the bearing
+    is then 0 or pi, and never -pi by the order in which the mean was summed.
+    """
+    dy = F.col("fy") - F.col("y")
+    dy = F.when(F.abs(dy) > 1e-12 * (F.abs("fy") + F.abs("y")), dy).otherwise(0.0)
+    d = focal_distances(df, focal).withColumn("bearing", F.atan2(dy, F.col("fx") - F.col("x")))
     w = Window.partitionBy(ID, "t").orderBy(F.round("distance", 9), "agent_id")
     return d.withColumn("on_ball", F.row_number().over(w) == 1)
 
