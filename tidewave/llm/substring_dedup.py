@@ -175,13 +175,15 @@ def _originals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(out.select("doc_id", "n_words", "sha", "original"), "outlined")
 
 
-def maximal_repeats(source: DataFrame, scratch: Scratch) -> DataFrame:
+def maximal_repeats(source: DataFrame, scratch: Scratch, bitmap: np.ndarray | None = None) -> DataFrame:
     """source (doc_id, h, text) -> doc_id, h, start, n, source, source_start: what an earlier document has too, in words.
 
+    bitmap: marks of the doc_ids to search, all if there is none; what it lets pass is read in the same worker.
+
     Every window of LENGTH words that also starts in a document of smaller doc_id lies in one of them. An anchor's group is
     never gathered: it is joined with the row of its first document, and what differs from that with the next one's.
     """
-    anchors = source.mapInArrow(_anchors, _ddl(ANCHORS))
+    anchors = source.mapInArrow(_anchors, _ddl(ANCHORS)) if bitmap is None else marked(source, "doc_id", bitmap, then=_anchors, schema=_ddl(ANCHORS))
     shared = scratch.save(anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n"), "shared")
     wanted = spread_join(anchors, shared, ["anchor"], F.struct("doc_id", "place")).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     wanted = scratch.save(wanted, "wanted")
@@ -216,8 +218,8 @@ def repeats(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """
     outline = _originals(docs, scratch)
     first = outline.where(f"doc_id = original and n_words >= {LENGTH}").select("doc_id")
-    source = marked(docs.where(F.col("doc_id").isNotNull()), "doc_id", marks(first)).select("doc_id", F.xxhash64("text").alias("h"), "text")
-    found = maximal_repeats(source, scratch).groupBy("doc_id").agg(F.collect_set(F.struct("h", "start", "n")).alias("spans"))
+    source = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    found = maximal_repeats(source, scratch, marks(first)).groupBy("doc_id").agg(F.collect_set(F.struct("h", "start", "n")).alias("spans"))
     return outline, scratch.save(found, "repeats")
 
 
