@@ -99,11 +99,19 @@ def pair_distances(df: DataFrame) -> DataFrame:
 
 
 def nearest_agent(df: DataFrame) -> DataFrame:
-    """(series_id, t, agent_id, nearest, distance, free_space): the nearest other agent, the smaller id on ties, and the mean distance of all others."""
-    p = pair_distances(df)
-    both = p.select(ID, "t", F.col("a").alias("agent_id"), F.col("b").alias("o"), "distance").union(p.select(ID, "t", "b", "a", "distance"))
-    g = both.groupBy(ID, "t", "agent_id").agg(F.min(F.struct("distance", "o")).alias("m"), F.avg("distance").alias("free_space"))
-    return g.select(ID, "t", "agent_id", F.col("m.o").alias("nearest"), F.col("m.distance").alias("distance"), "free_space")
+    """(series_id, t, agent_id, nearest, distance, free_space): the nearest other agent, the smaller id on ties, and the mean distance of all others.
+
+    A frame is gathered as one row and its agents are compared within it, so that pairs are never shuffled or sorted.
+    """
+    frames = df.where(F.col(ID).isNotNull() & F.col("t").isNotNull()).groupBy(ID, "t").agg(F.collect_list(F.struct("agent_id", "x", "y")).alias("_f"))
+    d = frames.select(ID, "t", "_f", F.explode(F.array_distinct(F.transform("_f", lambda o: o["agent_id"]))).alias("agent_id"))
+    own, others = F.filter("_f", lambda o: o["agent_id"] == F.col("agent_id")), F.filter("_f", lambda o: o["agent_id"] != F.col("agent_id"))
+    d = d.select(ID, "t", "agent_id", own.alias("_m"), others.alias("_o")).where("size(_o) > 0")
+    apart = lambda m: F.transform("_o", lambda o: F.struct(norm(m["x"] - o["x"], m["y"] - o["y"]).alias("distance"), o["agent_id"].alias("o")))
+    d = d.select(ID, "t", "agent_id", F.flatten(F.transform("_m", apart)).alias("_d"))
+    known = F.filter("_d", lambda p: p["distance"].isNotNull())
+    mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, p: s + p["distance"]) / F.size(known))
+    return d.select(ID, "t", "agent_id", F.array_min("_d").alias("m"), mean.alias("free_space")).select(ID, "t", "agent_id", F.col("m.o").alias("nearest"), F.col("m.distance").alias("distance"), "free_space")
 
 
 def free_space_ahead(df: DataFrame, half_angle: float = math.pi / 4) -> DataFrame:
