@@ -1,6 +1,6 @@
 """Steps that must not grow faster than their input."""
 
-from tidewave.operators import spatial
+from tidewave.operators import classification, probabilities, spatial
 
 
 def plan(df):
@@ -12,3 +12,10 @@ def test_nearest_agent_makes_no_pairs(spark):
     got = spatial.nearest_agent(d)
     assert "Join" not in plan(got)
     assert {r.agent_id: (r.nearest, r.distance, r.free_space) for r in got.collect()} == {0: (1, 1, 2), 1: (0, 1, 1.5), 2: (1, 2, 2.5)}
+
+
+def test_exponentials_of_probabilities_are_taken_once(spark):
+    d = spark.createDataFrame([(k, float(k % 7), k % 3) for k in range(30)], "i long, x double, y int")
+    got = probabilities.nb_proba(d, classification.gaussian_nb(d, ["x"], "y"), ["x"], ["i"])
+    assert plan(got).count("EXP(") == 3
+    assert got.groupBy("i").agg({"p": "sum"}).where("abs(`sum(p)` - 1) > 1e-12").count() == 0

@@ -87,10 +87,18 @@ def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
 
 
 def gaussian_nb(df: DataFrame, columns: list[str], label: str, smoothing: float = 1e-9) -> DataFrame:
-    """One row per class: label, prior, and mean and variance of each column, the variance with smoothing times the largest of all."""
-    top = df.agg(F.greatest(*[F.var_pop(c) for c in columns], F.lit(0.0)).alias("v")).first().v if len(columns) > 1 else df.agg(F.var_pop(columns[0]).alias("v")).first().v
-    n = df.count()
-    return df.groupBy(F.col(label).alias("label")).agg((F.count(F.lit(1)) / F.lit(n)).alias("prior"), *[F.avg(c).alias(f"mean_{c}") for c in columns], *[(F.var_pop(c) + smoothing * (top or 0.0)).alias(f"var_{c}") for c in columns])
+    """One row per class: label, prior, and mean and variance of each column, the variance with smoothing times the largest of all. One pass over df."""
+    stats = [f(c).alias(f"{k}_{c}") for c in columns for k, f in (("n", F.count), ("mean", F.avg), ("var", F.var_pop))]
+    rows = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"), *stats).collect()
+    n, top = sum(r.n for r in rows), 0.0
+    for c in columns:
+        size, mean, var = (np.array([r[f"{k}_{c}"] for r in rows if r[f"n_{c}"]], float) for k in ("n", "mean", "var"))
+        if len(size):
+            top = max(top, float((size * (var + (mean - np.average(mean, weights=size)) ** 2)).sum() / size.sum()))
+    spread = lambda v: None if v is None else v + smoothing * top
+    kind = dict(df.dtypes)[label]
+    schema = f"label {kind}, prior double, " + ", ".join([f"`mean_{c}` double" for c in columns] + [f"`var_{c}` double" for c in columns])
+    return df.sparkSession.createDataFrame([(r.label, r.n / n, *[r[f"mean_{c}"] for c in columns], *[spread(r[f"var_{c}"]) for c in columns]) for r in rows], schema)
 
 
 def nb_predict(df: DataFrame, model: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:

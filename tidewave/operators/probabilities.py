@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.operators import classification, statistics
-from tidewave.operators.models import softmax
 
 
 def linear(columns: list[str], w, b: float = 0.0) -> Column:
@@ -26,6 +25,17 @@ def _spread(df: DataFrame, keep: list[str], classes: list, **values: list[Column
     return kept.select(*kept.columns[:-1], "_s.*")
 
 
+def _softmaxed(df: DataFrame, keep: list[str], classes: list, name: str, scores: list[Column]) -> DataFrame:
+    """keep, label, the score under that name and p, a row for each class. Each score and exponential is worked out once a row."""
+    d = df.select(*keep, *[s.alias(f"_s{k}") for k, s in enumerate(scores)])
+    s = [F.col(f"_s{k}") for k in range(len(scores))]
+    d = d.withColumn("_top", F.greatest(*s) if len(s) > 1 else s[0])
+    d = d.withColumns({f"_e{k}": F.exp(c - F.col("_top")) for k, c in enumerate(s)})
+    e = [F.col(f"_e{k}") for k in range(len(scores))]
+    d = d.withColumn("_t", sum(e, F.lit(0.0)))
+    return _spread(d, keep, classes, **{name: s, "p": [c / F.col("_t") for c in e]})
+
+
 def nb_log_joint(model: DataFrame, columns: list[str]) -> tuple[list, list[Column]]:
     """(classes, log joint probability of each) of a gaussian_nb model."""
     classes = sorted(model.collect(), key=lambda r: r.label)
@@ -36,13 +46,13 @@ def nb_log_joint(model: DataFrame, columns: list[str]) -> tuple[list, list[Colum
 def nb_proba(df: DataFrame, model: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     """keep, label, log_joint and p."""
     classes, logs = nb_log_joint(model, columns)
-    return _spread(df, keep, classes, log_joint=logs, p=softmax(logs))
+    return _softmaxed(df, keep, classes, "log_joint", logs)
 
 
 def lda_proba(df: DataFrame, model: dict, columns: list[str], keep: list[str]) -> DataFrame:
     """keep, label, score (the discriminant) and p."""
     scores = [linear(columns, w, b) for w, b in zip(model["w"], model["b"], strict=True)]
-    return _spread(df, keep, model["classes"], score=scores, p=softmax(scores))
+    return _softmaxed(df, keep, model["classes"], "score", scores)
 
 
 def logistic_proba(df: DataFrame, w: np.ndarray, columns: list[str], keep: list[str]) -> DataFrame:
