@@ -1,5 +1,8 @@
 """Steps that must not grow faster than their input."""
 
+import numpy as np
+import pyarrow as pa
+
 from tidewave.operators import classification, probabilities, spatial
 
 
@@ -19,3 +22,9 @@ def test_exponentials_of_probabilities_are_taken_once(spark):
     got = probabilities.nb_proba(d, classification.gaussian_nb(d, ["x"], "y"), ["x"], ["i"])
     assert plan(got).count("EXP(") == 3
     assert got.groupBy("i").agg({"p": "sum"}).where("abs(`sum(p)` - 1) > 1e-12").count() == 0
+
+
+def test_vectors_are_packed_in_blocks():
+    x = np.arange(12.0).reshape(4, 3)
+    (b,) = classification._packed([pa.RecordBatch.from_pydict({"v": pa.array(x.tolist())})])
+    assert b.column(0).to_pylist() == [4] and b.column(1).to_pylist() == [x.tobytes()]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -295,27 +296,41 @@ def hash_split(df: DataFrame, key: str, test_share: float, folds: int = 0, seed:
 
 def kmeans(df: DataFrame, vec: str, k: int, most: int = 100, tol: float = 1e-6, seed: int = 0) -> np.ndarray:
     """Centroids by Lloyd steps from k hashed rows: each step sends k centroids out and takes k sums back. Rows are kept in
-    Spark's cache meanwhile."""
-    rows = df.select(F.transform(vec, lambda v: v.cast("double")).alias("v")).persist()
+    Spark's cache meanwhile, packed in blocks of about a megabyte."""
+    v = df.select(F.transform(vec, lambda v: v.cast("double")).alias("v"))
+    hashed = v.withColumn("_h", F.xxhash64(F.lit(seed), "v"))
+    hashes = [r[0] for r in hashed.select("_h").distinct().orderBy("_h").limit(k).collect()]
+    c = np.array([r.v for r in hashed.where(F.col("_h").isin(hashes)).distinct().orderBy("_h").limit(k).collect()])
+    rows = v.mapInArrow(_packed, "n int, x binary").persist()
     try:
-        return _lloyd(rows, k, most, tol, seed)
+        return _lloyd(rows, c, most, tol)
     finally:
         rows.unpersist()
 
 
-def _lloyd(rows: DataFrame, k: int, most: int, tol: float, seed: int) -> np.ndarray:
-    c = np.array([r.v for r in rows.distinct().orderBy(F.xxhash64(F.lit(seed), "v")).limit(k).collect()])
+def _packed(batches):
+    for b in batches:
+        if b.num_rows:
+            x = np.asarray(b.column(0).flatten()).reshape(b.num_rows, -1)
+            step = max(1, (1 << 17) // max(1, x.shape[1]))
+            parts = [x[i : i + step] for i in range(0, len(x), step)]
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(p) for p in parts], pa.int32()), "x": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+
+def _lloyd(rows: DataFrame, c: np.ndarray, most: int, tol: float) -> np.ndarray:
     for _ in range(most):
-        def step(it, c=c):
+        def step(batches, c=c):
             total, n = np.zeros_like(c), np.zeros(len(c))
-            for pdf in it:
-                x = np.stack(pdf.v.to_list())
-                at = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
-                np.add.at(total, at, x)
-                n += np.bincount(at, minlength=len(c))
-            yield pd.DataFrame({"k": np.arange(len(c)), "n": n, "s": list(total)})
-
-        got = rows.mapInPandas(step, "k int, n double, s array<double>").groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(c.shape[1])]).collect()
+            for b in batches:
+                for size, block in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    x = np.frombuffer(block.as_buffer(), np.float64).reshape(size, -1)
+                    at = np.stack([((x - m) ** 2).sum(1) for m in c], 1).argmin(1)
+                    n += np.bincount(at, minlength=len(c))
+                    for k in np.unique(at):
+                        total[k] += x[at == k].sum(0)
+            yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(len(c)), pa.int32()), "n": n, "s": pa.array(list(total), pa.list_(pa.float64()))})
+
+        got = rows.mapInArrow(step, "k int, n double, s array<double>").groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(c.shape[1])]).collect()
         new = c.copy()
         for r in got:
             if r.n:
