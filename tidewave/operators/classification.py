@@ -221,14 +221,16 @@ def sigmoid(x: Column) -> Column:
 
 
 def logistic(df: DataFrame, columns: list[str], y: str, rate: float = 0.1, most: int = 1000, tol: float = 1e-6, l2: float = 0.0) -> np.ndarray:
-    """Intercept and coefficients by full-batch gradient descent from zero; each step is one aggregation over the rows."""
+    """Intercept and coefficients by full-batch gradient descent from zero; each step is one aggregation over the different rows,
+    which are counted first and kept in Spark's cache."""
     w = np.zeros(len(columns) + 1)
-    rows = df.dropna(subset=[*columns, y]).select(*[F.col(c).cast("double") for c in columns], F.col(y).cast("double").alias("_y")).persist()
-    n = rows.count()
+    rows = df.dropna(subset=[*columns, y]).select(*[F.col(c).cast("double") for c in columns], F.col(y).cast("double").alias("_y"))
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias("_n")).persist()
+    n = rows.agg(F.sum("_n")).first()[0] or 0
     try:
         for _ in range(most):
             z = sum((F.col(c) * float(v) for c, v in zip(columns, w[1:], strict=True)), F.lit(float(w[0])))
-            e = sigmoid(z) - F.col("_y")
+            e = (sigmoid(z) - F.col("_y")) * F.col("_n")
             g = np.array(rows.agg(F.sum(e), *[F.sum(e * F.col(c)) for c in columns]).first(), float) / n
             g[1:] += l2 * w[1:]
             w = w - rate * g
