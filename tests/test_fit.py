@@ -128,3 +128,19 @@ def test_a_folder_taken_in_twice(spark, tmp_path):
     assert (b.duration_s, b.sport, third.count()) == (49.0, "gravel", 3)
     daily = joins.daily_loads(first.select("owner", F.col("ride_date").alias("date"), "tss", F.col("duration_s").alias("duration"), "sport", "counts_for_load")).collect()
     assert {(str(r.date), r.ride_count) for r in daily} == {("2001-09-09", 2), ("2024-05-06", 1)}
+
+
+def test_samples_are_read_once_and_each_day_is_looked_up_once(spark, tmp_path, monkeypatch):
+    days = ["2024-01-01", "2024-01-01", "2024-02-01", "2024-13-45"]
+    files = spark.createDataFrame([("me", f"/raw/{d}-{k}.fit", 1, f"h{k}", None, None, "run", None, None, "bad" if k == 3 else None) for k, d in enumerate(days)], "owner string, path string, bytes long, file_hash string, manufacturer string, product string, sport string, start timestamp, modified timestamp, error string")
+    rows = [(f"/raw/{d}-{k}.fit", float(i), 100.0 * (k + 1), float("nan") if i else 120.0, None, 2.0) for k, d in enumerate(days) for i in range(40)]
+    spark.createDataFrame(rows, "path string, t_s double, power_w double, heart_rate_bpm double, cadence double, speed_mps double").write.parquet(f"{tmp_path}/samples")
+    history = spark.createDataFrame([("run", "2024-01-15", None, 250.0)], "sport string, since string, until string, ftp_w double").withColumns({c: F.col(c).cast("date") for c in ("since", "until")})
+    asked, valid_at = [], joins.valid_at
+    monkeypatch.setattr(joins, "valid_at", lambda facts, *a: asked.append(facts) or valid_at(facts, *a))
+    table, outcomes = catalog.ingest(files, spark.read.parquet(f"{tmp_path}/samples"), spark.createDataFrame([], catalog.ACTIVITIES), history, 30.0, "/raw")
+    assert table._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert asked[0].count() == 2
+    got = {r.source_file: (r.ftp_used_w, r.avg_hr_bpm, r.np_w, r.duration_s, r.max_cadence, r.avg_speed_kmh) for r in table.collect()}
+    assert got == {f"{d}-{k}.fit": (ftp, 120.0, pytest.approx(100.0 * (k + 1)), 39.0, None, 7.2) for k, (d, ftp) in enumerate(zip(days[:3], (50.0, 50.0, 250.0)))}
+    assert {r.outcome for r in outcomes.where("path like '%-3.fit'").collect()} == {"failed"}

@@ -17,7 +17,7 @@ STRATEGIES = {"restriction": (0.75, 0.25), "activity": (0.25, 0.75), "balanced":
 
 
 def file_name(path: Column) -> Column:
-    return F.element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), -1)
+    return F.substring_index(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1)
 
 
 def source_key(path: Column, root: str | None = None) -> Column:
@@ -47,11 +47,12 @@ def ride_date(path: Column, start: Column | None = None, modified: Column | None
     """yyyy-mm-dd from the file's name (dashes before underscores), else of the start, else of the change of the file; years 1990 to 2100."""
     name = file_name(path)
     dash = F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})", 1)
-    score = F.regexp_replace(F.regexp_extract(name, r"(\d{4}_\d{2}_\d{2})", 1), "_", "-")
-    found = F.when(dash != "", dash).when(score != "", score)
+    score = F.replace(F.regexp_extract(name, r"(\d{4}_\d{2}_\d{2})", 1), F.lit("_"), F.lit("-"))
+    # choices are elements of arrays, so that none is worked out twice
+    found = F.get(F.filter(F.array(dash, score), lambda c: c != ""), F.lit(0))
     options = [found, *[F.date_format(c, "yyyy-MM-dd") for c in (start, modified) if c is not None]]
-    fair = lambda c: F.when(F.substring(c, 1, 4).cast("int").between(1990, 2100), c)
-    return F.coalesce(*[fair(c) for c in options], F.lit("1970-01-01"))
+    fair = F.filter(F.array(*options), lambda c: F.substring(c, 1, 4).cast("int").between(1990, 2100))
+    return F.coalesce(F.get(fair, F.lit(0)), F.lit("1970-01-01"))
 
 
 def stamp_seconds(s: Column) -> Column:
@@ -97,11 +98,18 @@ def ingest(files: DataFrame, samples: DataFrame, activities: DataFrame, history:
     failed (with the file's error). A row is found again by its source_key and scored anew; of several files of one key the
     last by path counts. The ride's threshold power is that of its sport (cycling if none) on its day. Taking in the same
     files again changes nothing.
+
+    Samples go through one window and one aggregation, and meet their files there. Threshold powers are looked up once for
+    each different sport and day of the files. Paths of one folder begin alike, so rows are sorted by a hash of them first.
     """
     by_path = Window.partitionBy("file_hash").orderBy("path")
     known = activities.where("file_hash is not null").select("file_hash").distinct().withColumn("_known", F.lit(True))
-    some = samples.groupBy(F.col("path").alias("_path")).agg(F.count(F.lit(1)).alias("_n"))
-    seen = files.join(known, "file_hash", "left").join(some, files["path"] == some["_path"], "left").drop("_path")
+    hashed = lambda d: d.withColumn("_h", F.xxhash64("path"))
+    finite = lambda c, f: f(F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c)))
+    others = [finite(c, f).alias(f"{n}_{k}") for c, k in (("heart_rate_bpm", "hr_bpm"), ("cadence", "cadence"), ("speed_mps", "speed_mps")) for n, f in (("avg", F.avg), ("max", F.max))]
+    measured = load.ride_metrics(hashed(samples), 1.0, by=["_h", "path"], also=[*others, F.greatest(F.max("t_s"), F.lit(0.0)).alias("_last_s")])
+    measured = measured.withColumnsRenamed({"n": "_n", "duration_s": "_duration"}).drop("intensity", "tss")
+    seen = hashed(files.join(known, "file_hash", "left")).join(measured, ["_h", "path"], "left").drop("_h")
     seen = seen.withColumns({"source_key": source_key(F.col("path"), root), "_twin": F.row_number().over(by_path) > 1, "_known": F.coalesce("_known", F.lit(False))})
     last = F.row_number().over(Window.partitionBy("source_key").orderBy(F.desc("path"))) == 1
     reason = F.when(F.col("error").isNotNull(), F.col("error"))
@@ -111,19 +119,16 @@ def ingest(files: DataFrame, samples: DataFrame, activities: DataFrame, history:
     told = seen.withColumn("reason", reason).withColumn("outcome", F.when(F.col("error").isNotNull(), "failed").when(F.col("reason").isNotNull(), "skipped").otherwise("inserted"))
     outcomes = told.select("path", "source_key", "outcome", "reason")
     new = told.where("outcome = 'inserted'").withColumn("_last", last).where("_last")
-    day = F.to_date(ride_date(F.col("path"), F.col("start"), F.col("modified")))
+    told_day = ride_date(F.col("path"), F.col("start"), F.col("modified"))
     pipe = pipeline(F.col("path"), platform(F.col("manufacturer")))
-    new = new.withColumns({"ride_date": day, "ingest_pipeline": pipe, "_sport": F.coalesce(F.when(F.trim("sport") != "", F.trim("sport")), F.lit("cycling"))})
+    sport = F.coalesce(F.when(F.trim("sport") != "", F.trim("sport")), F.lit("cycling"))
+    new = new.withColumns({"ride_date": F.to_date(told_day), "ingest_pipeline": pipe, "_sport": sport})
     new = new.withColumn("external_id", external_id(F.col("path"), F.col("ingest_pipeline")))
     h = history.select(F.col("sport").alias("_sport"), F.col("since"), F.col("until"), F.col("ftp_w"))
-    rated = joins.valid_at(new.select("path", "_sport", "ride_date"), h, "_sport", "ride_date", "since", "until", "ftp_w", max(fallback_ftp, 50.0), "ftp_used_w").select(F.col("path").alias("_p"), "ftp_used_w")
-    own = samples.withColumnRenamed("path", "series_id")
-    power = load.ride_metrics(own, 1.0)
-    finite = lambda c, f: f(F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c)))
-    others = own.groupBy("series_id").agg(*[finite(c, f).alias(f"{n}_{k}") for c, k in (("heart_rate_bpm", "hr_bpm"), ("cadence", "cadence"), ("speed_mps", "speed_mps")) for n, f in (("avg", F.avg), ("max", F.max))], F.greatest(F.max("t_s"), F.lit(0.0)).alias("_last_s"))
-    m = new.join(rated, new["path"] == rated["_p"]).drop("_p")
-    m = m.join(power.withColumnsRenamed({"duration_s": "_duration"}), m["path"] == power["series_id"]).drop("series_id")
-    m = m.join(others, m["path"] == others["series_id"]).drop("series_id")
+    least = max(fallback_ftp, 50.0)
+    days = files.select(sport.alias("_sport"), told_day.try_cast("date").alias("ride_date")).where("ride_date is not null").distinct()
+    rated = joins.valid_at(days, h, "_sport", "ride_date", "since", "until", "ftp_w", least, "ftp_used_w").select("_sport", "ride_date", "ftp_used_w")
+    m = new.join(rated, ["_sport", "ride_date"], "left").withColumn("ftp_used_w", F.coalesce("ftp_used_w", F.lit(least)))
     intensity = F.col("np") / F.col("ftp_used_w")
     rows = m.select(
         "owner",

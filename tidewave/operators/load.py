@@ -283,22 +283,27 @@ def plans(df: DataFrame, goals: tuple[str, ...] = GOALS, horizon: int = 4, p: di
     return df.groupBy(ID).applyInPandas(run, f"{ID} {dict(df.dtypes)[ID]}, goal string, loads array<double>, success boolean, score double, form_start double, form_end double, chronic double, load_share double")
 
 
-def ride_metrics(df: DataFrame, ftp: Column | float, at: str = "t_s", power: str = "power_w") -> DataFrame:
+def ride_metrics(df: DataFrame, ftp: Column | float, at: str = "t_s", power: str = "power_w", by: list[str] | None = None, also: list[Column] | None = None) -> DataFrame:
     """One row per series of samples, one a second: avg and max power, np, intensity, tss, work_kj, duration_s.
 
+    by: the columns that name a series, series_id if there are none; also: further aggregates of a series' samples, taken
+    in the same pass.
+
     np is the fourth root of the mean fourth power of the means of full 30-sample windows (of the samples if fewer);
     missing power is 0; the duration is the last time, at least 1. tss = duration np intensity / (ftp 36).
     """
-    w = over((-29, 0), at=at)
+    by = by or [ID]
+    w = over((-29, 0), id_=by, at=at)
     p = F.coalesce(F.col(power), F.lit(0.0))
-    d = df.select(ID, F.col(at).alias("_t"), p.alias("_p"), F.avg(p).over(w).alias("_m"), F.count(F.lit(1)).over(w).alias("_k"))
-    g = d.groupBy(ID).agg(
+    d = df.select(*(df.columns if also else by), F.col(at).alias("_t"), p.alias("_p"), F.avg(p).over(w).alias("_m"), F.count(F.lit(1)).over(w).alias("_k"))
+    g = d.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("_p").alias("avg_power"),
         F.max("_p").alias("max_power"),
         F.avg(F.when(F.col("_k") == 30, F.pow("_m", F.lit(4.0)))).alias("_full"),
         F.avg(F.pow("_p", F.lit(4.0))).alias("_raw"),
         F.greatest(F.max("_t").cast("double"), F.lit(1.0)).alias("duration_s"),
+        *(also or []),
     )
     f = ftp if isinstance(ftp, Column) else F.lit(float(ftp))
     g = g.withColumn("np", F.pow(F.coalesce("_full", "_raw"), F.lit(0.25))).withColumn("intensity", ratio(F.col("np"), f, 0.0))
