@@ -103,3 +103,31 @@ def test_a_very_common_passage_and_a_very_long_text(documents):
     words, kept = brute(texts)
     got = {r.doc_id: r.n_removed for r in substring_dedup.repeat_digests(documents(texts)).collect()}
     assert got == {d: len(words[d]) - len(kept[d]) for d in range(len(texts))}
+
+
+def test_rows_alike_are_matched_at_once(monkeypatch):
+    import pyarrow as pa
+
+    a, other = " ".join(f"a{i}" for i in range(14)), " ".join(f"b{i}" for i in range(13))
+    cols = {"anchor": [9] * 4, "doc_id": [5, 2, 6, 7], "h": [1, 2, 3, 4], "place": [30, 3, 8, 3], "left": [4] * 4, "ws": [a, a, a, other], "source": [2] * 4, "source_place": [10] * 4, "source_left": [4] * 4, "source_ws": [a, a, None, a]}
+    extend, asked = substring_dedup.extend, []
+    monkeypatch.setattr(substring_dedup, "extend", lambda own, *rest: asked.append(own) or extend(own, *rest))
+    (got,) = substring_dedup._matches([pa.RecordBatch.from_pydict(cols)])
+    assert [(r["doc_id"], r["h"], r["start"], r["n"], r["source"], r["source_start"]) for r in got.to_pylist() if r["source"] is not None] == [(5, 1, 26, 14, 2, 6), (6, 3, 4, 14, 2, 6)]
+    assert {r["doc_id"] for r in got.to_pylist() if r["source"] is None} == {7} and got.schema.names == substring_dedup.MATCHES.names
+    assert asked == [other.split()]
+    (none,) = substring_dedup._matches([pa.RecordBatch.from_pydict({k: v[1:2] for k, v in cols.items()})])
+    assert none.num_rows == 0
+
+
+def test_anchors_hash_no_whole_windows(monkeypatch):
+    import pyarrow as pa
+
+    windows, asked = substring_dedup.windows, []
+    monkeypatch.setattr(substring_dedup, "windows", lambda w, k: asked.append(k) or windows(w, k))
+    for texts in ([], [""], ["a b c"], [" ".join("abcdefghijkl")], [" ".join("abcdefghijklm"), "x"], ["x", " ".join("abcdefghijklmno")]):
+        w = substring_dedup.words(pa.array(texts, pa.string()))
+        _, at, low, high = substring_dedup.anchored(w)
+        assert sorted(x for a, z in zip(low, high, strict=True) for x in range(a, z + 1)) == windows(w, 13)[1].tolist()
+        assert all(z <= x <= a + 6 for x, a, z in zip(at, low, high, strict=True))
+    assert set(asked) == {7}

@@ -51,7 +51,7 @@ def anchored(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """
     seeds, where = windows(w, SEED)
     n = len(w.hash) - AROUND
-    _, start = windows(w, LENGTH)
+    start = np.flatnonzero(w.doc[: max(n - AROUND, 0)] == w.doc[LENGTH - 1 :])
     if not len(start):
         return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     all_seeds = np.zeros(len(w.hash), np.uint64)
@@ -132,17 +132,29 @@ def extend(ws: list[str], left: int, other: list[str], other_left: int) -> tuple
     return a, z
 
 
+def _alike(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The matches of rows whose words are all their source's."""
+    place, left, n = b.column("place"), b.column("left"), b.num_rows
+    size = pa.compute.add(pa.compute.count_substring(b.column("ws"), " ").cast(pa.int64()), 1)
+    ahead = pa.compute.subtract(b.column("source_place"), left)
+    none = [pa.nulls(n, f.type) for f in AROUNDS]
+    return record(MATCHES, none[0], b.column("doc_id"), b.column("h"), *none[3:], pa.compute.subtract(place, left), size, b.column("source"), ahead)
+
+
 def _matches(batches):
-    """Each occurrence against the first document's: a match, and the windows before and after it that don't match."""
+    """Each occurrence against the first document's: a match, and the windows before and after it that don't match.
+
+    source_ws is null where it says the same as ws, at the same place.
+    """
     for b in batches:
-        out = []
+        out, rows = [], []
+        same = pa.compute.and_(pa.compute.fill_null(pa.compute.equal(b.column("ws"), b.column("source_ws")), True), pa.compute.equal(b.column("left"), b.column("source_left")))
+        later = np.flatnonzero(np.asarray(pa.compute.and_(same, pa.compute.greater(b.column("doc_id"), b.column("source")))))
+        others = np.flatnonzero(~np.asarray(same))
         columns = ("anchor", "doc_id", "h", "place", "left", "ws", "source", "source_place", "source_left", "source_ws")
-        for anchor, doc, h, place, left, ws, source, source_place, source_left, source_ws in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+        part = b.take(pa.array(others))
+        for k, anchor, doc, h, place, left, ws, source, source_place, source_left, source_ws in zip(others.tolist(), *(part.column(c).to_pylist() for c in columns), strict=True):
             match = lambda i, n: out.append((None, doc, h, None, None, None, place - i, n, source, source_place - i))  # noqa: B023, E731
-            if ws == source_ws and left == source_left:
-                if doc > source:
-                    match(left, ws.count(" ") + 1)
-                continue
             own = ws.split(" ")
             got = extend(own, left, source_ws.split(" "), source_left)
             # windows are named by how far before the anchor they start
@@ -155,7 +167,13 @@ def _matches(batches):
             for a, z in ((first, lo - 1), (hi + 1, last)):
                 if a <= z:
                     out.append((anchor, doc, h, place, z, " ".join(own[left - z : left - a + LENGTH]), None, None, None, None))
-        yield record(MATCHES, *(zip(*out, strict=True) if out else [[]] * len(MATCHES)))
+            rows += [k] * (len(out) - len(rows))
+        got = record(MATCHES, *(zip(*out, strict=True) if out else [[]] * len(MATCHES)))
+        if len(later):
+            alike = _alike(b.take(pa.array(later)))
+            order = np.argsort(np.r_[later, np.asarray(rows, np.int64)], kind="stable")
+            got = pa.Table.from_batches([alike, got]).take(pa.array(order)).combine_chunks().to_batches()[0] if rows else alike
+        yield got
 
 
 def _windows(batches):
@@ -194,7 +212,10 @@ def maximal_repeats(source: DataFrame, scratch: Scratch, bitmap: np.ndarray | No
     for k in range(ROUNDS):
         first = around.groupBy("anchor").agg(F.min(F.struct("doc_id", "place", "left", "ws")).alias("f"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("f.doc_id < high")
         first = scratch.save(first.select("anchor", "n", *[F.col(f"f.{c}").alias(n) for c, n in (("doc_id", "source"), ("place", "source_place"), ("left", "source_left"), ("ws", "source_ws"))]), f"first-{k}")
-        matches = scratch.save(spread_join(around, first, ["anchor"], F.struct("doc_id", "h", "place", "left")).mapInArrow(_matches, _ddl(MATCHES)), f"matches-{k}")
+        met = spread_join(around, first, ["anchor"], F.struct("doc_id", "h", "place", "left"))
+        same = (F.col("ws") == F.col("source_ws")) & (F.col("left") == F.col("source_left"))
+        met = met.where(~same | (F.col("doc_id") > F.col("source"))).withColumn("source_ws", F.when(~same, F.col("source_ws")))
+        matches = scratch.save(met.mapInArrow(_matches, _ddl(MATCHES)), f"matches-{k}")
         scratch.drop("around", f"first-{k}")
         found.append(matches.where("source is not null").select(*columns))
         around = matches.where("source is null").select(*AROUNDS.names)
